@@ -226,14 +226,21 @@ def alias_retrieval(
 ) -> DataFrame:
     """Targets to releases sharing a name or identity key, with the strongest state per target.
 
-    ``targets`` has ``name_keys`` and ``identity_keys`` arrays, ``releases`` has ``name_keys``. ``status`` is
-    evaluated per distinct pair and may use the columns of both sides plus ``name_relation``.
+    ``targets`` has ``name_keys`` and ``identity_keys`` arrays, ``releases`` has ``name_keys``. ``status`` may use the
+    other columns of both sides plus ``name_relation``. Names repeat, so both sides fold to distinct rows with a
+    count before they meet: a name held by many releases costs one row per distinct variant, not one per release.
     """
-    keys = targets.select(target_id, F.explode(F.array_distinct(F.concat("name_keys", "identity_keys"))).alias("_key"))
-    names = releases.select(release_id, F.explode("name_keys").alias("_key"))
-    pairs = keys.join(names, "_key").select(target_id, release_id).distinct()
-    r = releases.withColumnRenamed("name_keys", "release_keys")
-    both = pairs.join(targets, target_id).join(r, release_id)
+    t_cols = [c for c in targets.columns if c != target_id]
+    r_cols = [c for c in releases.columns if c != release_id]
+    tsig = F.sha2(F.to_json(F.struct(*t_cols), {"ignoreNullFields": "false"}), 256)
+    rsig = F.sha2(F.to_json(F.struct(*r_cols), {"ignoreNullFields": "false"}), 256)
+    t = targets.withColumn("_t", tsig)
+    tset = t.groupBy("_t").agg(F.first(F.struct(*t_cols)).alias("_b")).select("_t", "_b.*")
+    rset = releases.withColumn("_r", rsig).groupBy("_r").agg(F.first(F.struct(*r_cols)).alias("_b"), F.count(F.lit(1)).alias("_n")).select(
+        "_r", "_n", "_b.*").withColumnRenamed("name_keys", "release_keys")
+    keys = tset.select("_t", F.explode(F.array_distinct(F.concat("name_keys", "identity_keys"))).alias("_key"))
+    pairs = keys.join(rset.select("_r", F.explode("release_keys").alias("_key")), "_key").select("_t", "_r").distinct()
+    both = pairs.join(tset, "_t").join(rset, "_r")
     relation = (
         F.when(F.arrays_overlap("name_keys", "release_keys"), "exact_or_alias_name")
         .when(F.arrays_overlap("identity_keys", "release_keys"), "explicit_identity_name").otherwise("retrieval_only")
@@ -242,9 +249,8 @@ def alias_retrieval(
     rank = F.lit(len(REPRESENTATION))
     for i, label in reversed(list(enumerate(REPRESENTATION))):
         rank = F.when(F.col("_status") == label, i).otherwise(rank)
-    folded = rated.groupBy(target_id).agg(
-        F.count(F.lit(1)).alias("release_candidate_count"), F.min_by("_status", rank).alias("_status"))
-    return targets.join(folded, target_id, "left").select(
+    folded = rated.groupBy("_t").agg(F.sum("_n").alias("release_candidate_count"), F.min_by("_status", rank).alias("_status"))
+    return t.select(target_id, "_t").join(folded, "_t", "left").select(
         target_id, F.coalesce("release_candidate_count", F.lit(0)).alias("release_candidate_count"),
         F.coalesce("_status", F.lit("no_exact_name_release_candidate")).alias("representation_status"),
     )

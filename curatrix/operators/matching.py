@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from curatrix.functions.rules import sequence_ratio
 from curatrix.functions.text import col
 from curatrix.operators.scale import small_side
+from curatrix.session import materialize
 
 MAX_FREQUENT = 10
 
@@ -51,7 +52,11 @@ def candidate_pairs(
 
     ``left(lkey, words)`` and ``right(rkey, words, min_id, *class_columns)`` hold distinct signatures.
     """
-    frequent = _frequent_words(right, "words", frequency_limit)
+    flat = lambda side, key: side.select(key, F.explode("words").alias("word"))
+    # At most postings / limit words are frequent; without any, the plain index is the whole answer.
+    frequent = materialize(_frequent_words(right, "words", frequency_limit))
+    if frequent.isEmpty():
+        return flat(left, "lkey").join(flat(right, "rkey"), "word").select("lkey", "rkey").distinct()
     l = _split_words(left, "lkey", "words", frequent)
     r = _split_words(right, "rkey", "words", frequent)
     rare = l.where(~F.col("hot")).join(r.where(~F.col("hot")), "word").select("lkey", "rkey")
@@ -114,8 +119,9 @@ def top_matches(
     ``right_columns`` also identify a right signature, but do not split the classes.
     """
     wanted = [*class_columns, *right_columns]
-    lsig = signatures(left, left_id, words, left_columns, 1, "lkey")
-    rsig = signatures(right, right_id, words, wanted, k, "rkey")
+    # Signatures are far fewer than records and are read several times.
+    lsig = materialize(signatures(left, left_id, words, left_columns, 1, "lkey").drop("ids", "min_id"))
+    rsig = materialize(signatures(right, right_id, words, wanted, k, "rkey"))
     rcols = [F.col(c).alias(f"r_{c}") for c in wanted]
 
     def attach(pairs: DataFrame) -> DataFrame:

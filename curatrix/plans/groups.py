@@ -1 +1,466 @@
-"""Pending."""
+"""Grouping operators over the driver tables."""
+
+from pyspark.sql import functions as F
+
+from curatrix.functions import rules, text
+from curatrix.functions.reference import with_reference
+from curatrix.operators import dq, graph, group, queues, rank, review
+from curatrix.plans.registry import query
+
+
+@query("year_bounds", "select o_custkey, min(year(o_orderdate))::int as first_year, max(year(o_orderdate))::int as last_year, count(distinct o_orderkey) as member_count from orders group by 1")
+def year_bounds(t):
+    return group.year_bounds(t.orders.select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderkey"), "o_custkey", "y", "o_orderkey")
+
+
+def joined(column, fields):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",")
+
+
+CENSUS_SQL = """
+with o as (select o_custkey, count(*) as n, min(year(o_orderdate))::int as y0, max(year(o_orderdate))::int as y1, string_agg(year(o_orderdate) || ':' || o_orderkey, ',' order by year(o_orderdate), o_orderkey) as sets from orders group by 1),
+ l as (select distinct o_custkey, l_partkey, p_name, p_brand from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+ p as (select o_custkey, string_agg(l_partkey || ':' || p_name || ':' || p_brand, ',' order by l_partkey) as components from l group by 1),
+ th as (select o_custkey, string_agg(o_orderpriority, ',' order by o_orderpriority) as themes from (select distinct o_custkey, o_orderpriority from orders) group by 1)
+select c_custkey, c_name, n_name || '>' || r_name as lineage, o.y0 as first_year, o.y1 as last_year, coalesce(o.n, 0) as set_count, coalesce(sets, '') as sets, coalesce(themes, '') as themes, coalesce(components, '') as components
+from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey left join o on c_custkey = o.o_custkey left join p on c_custkey = p.o_custkey left join th on c_custkey = th.o_custkey"""
+
+
+@query("nested_census", CENSUS_SQL)
+def nested_census(t):
+    """Customer = entity, order = occurrence, line item = component link, nation > region = lineage."""
+    from curatrix.operators.scale import small_side
+
+    nodes = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("up"), F.col("n_name").alias("name")).unionByName(
+        t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("up"), F.col("r_name").alias("name")))
+    lineage = graph.ancestry(nodes, "id", "up", "name").select("id", F.array_join(F.transform("lineage", lambda x: x["name"]), ">").alias("lineage"))
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("theme"))
+    bounds = group.year_bounds(orders, "c_custkey", "year", "o_orderkey")
+    entities = t.customer.select("c_custkey", "c_name", F.concat(F.lit("n"), "c_nationkey").alias("id")).join(small_side(lineage), "id", "left").join(bounds, "c_custkey", "left")
+    lines = t.lineitem.select("l_orderkey", "l_partkey").join(orders.select("c_custkey", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    parts = lines.select("c_custkey", "l_partkey").distinct().join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
+    out = group.nested_census(entities, "c_custkey", {
+        "sets": (orders, ["year", "o_orderkey"], ["year", "o_orderkey"]), "themes": (orders.select("c_custkey", "theme").distinct(), ["theme"], ["theme"]),
+        "components": (parts, ["l_partkey"], ["l_partkey", "p_name", "p_brand"])})
+    return out.select(
+        "c_custkey", "c_name", "lineage", "first_year", "last_year", F.coalesce("member_count", F.lit(0)).alias("set_count"), joined("sets", ["year", "o_orderkey"]).alias("sets"),
+        joined("themes", ["theme"]).alias("themes"), joined("components", ["l_partkey", "p_name", "p_brand"]).alias("components"))
+
+
+@query("ancestry", "select n_nationkey, n_name || '>' || r_name as lineage from nation join region on n_regionkey = r_regionkey")
+def ancestry(t):
+    nodes = t.nation.select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("up"), F.col("n_name").alias("name")).unionByName(
+        t.region.select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("up"), F.col("r_name").alias("name")))
+    out = graph.ancestry(nodes, "id", "up", "name").where("id < 1000")
+    return out.select(F.col("id").alias("n_nationkey"), F.array_join(F.transform("lineage", lambda x: x["name"]), ">").alias("lineage"))
+
+
+PROFILE_SQL = """
+with e as (select o_orderkey as id, year(o_orderdate)::int as year, o_orderkey % 40 + 1 as num_parts, o_orderpriority, o_orderstatus from orders),
+ m as (select id, 'theme' as kind, o_orderpriority as name from e union all select id, 'era', o_orderstatus from e),
+ c as (select l_orderkey as id, case when l_returnflag = 'R' then 'headgear' when l_returnflag = 'A' then 'torso' else 'bodywear' end as role, p_type as color, l_quantity > 40 as printed from lineitem join part on l_partkey = p_partkey),
+ pe as (select id, sum(printed::int) as pn, max((role = 'headgear')::int) as hg, max((role = 'bodywear')::int) as bw from c group by 1),
+ s as (select kind, name, count(*) as entity_count, min(year) as year_min, max(year) as year_max, round(avg(num_parts), 3) as mean_parts, median(num_parts)::double as median_parts, round(avg(coalesce(pn, 0)), 3) as mean_printed,
+   round(avg(coalesce(hg, 0)), 4) as headgear_fraction, round(avg(coalesce(bw, 0)), 4) as bodywear_fraction from m join e using (id) left join pe using (id) group by 1, 2),
+ r as (select kind, name, string_agg(role || '=' || n, ',' order by n desc, role) as role_counts from (select kind, name, role, count(*) as n from m join c using (id) group by 1, 2, 3) group by 1, 2),
+ k as (select kind, name, string_agg(color || '=' || n, ',' order by n desc, color) as top_colors from (select *, row_number() over (partition by kind, name order by n desc, color) as rn from (select kind, name, color, count(*) as n from m join c using (id) group by 1, 2, 3)) where rn <= 3 group by 1, 2)
+select * from s join r using (kind, name) join k using (kind, name)"""
+
+
+def mapped(column):
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+@query("group_profile", PROFILE_SQL)
+def group_profile(t):
+    e = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), (F.col("o_orderkey") % 40 + 1).cast("int").alias("num_parts"))
+    kinds = F.explode(F.array(F.struct(F.lit("theme").alias("kind"), F.col("o_orderpriority").alias("name")), F.struct(F.lit("era").alias("kind"), F.col("o_orderstatus").alias("name"))))
+    m = t.orders.select(F.col("o_orderkey").alias("id"), kinds.alias("m")).select("id", "m.*")
+    role = F.when(F.col("l_returnflag") == "R", "headgear").when(F.col("l_returnflag") == "A", "torso").otherwise("bodywear")
+    c = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), role.alias("role"), F.col("p_type").alias("color"), (F.col("l_quantity") > 40).alias("printed"))
+    out = group.group_profile(e, m, c, "id", 3, ("headgear", "bodywear"))
+    return out.withColumn("role_counts", mapped("role_counts")).withColumn("top_colors", mapped("top_colors"))
+
+
+TAGS = {"article": ("the ",), "suffix": ("tion",), "conjunction": ("und ",), "link": ("http",)}
+
+
+@query("multi_membership_distribution", """
+with d as (select doc_id, [lang, source] as nm, list_filter([case when contains(lower(text), 'the ') then 'article' end, case when contains(lower(text), 'tion') then 'suffix' end, case when contains(lower(text), 'und ') then 'conjunction' end, case when contains(lower(text), 'http') then 'link' end], lambda x: x is not null) as tags, lang, source from documents),
+ r as (select 'lang' as kind, lang as name, tags from d union all select 'source', source, tags from d), a as (select kind, name, count(*) as records, count_if(len(tags) > 0) as tagged_records from r group by 1, 2),
+ c as (select kind, name, tag, count(*) as tag_count from (select kind, name, unnest(tags) as tag from r) group by 1, 2, 3)
+select a.*, tag, tag_count, round(tag_count / records, 4) as tag_fraction from a left join c using (kind, name)""")
+def membership_distribution(t):
+    pair = lambda k: F.struct(F.lit(k).alias("kind"), F.col(k).alias("name"))
+    d = t.documents.select(F.array(pair("lang"), pair("source")).alias("m"), rules.keyword_tags("text", TAGS).alias("tags"))
+    return group.membership_distribution(d, "m", "tags")
+
+
+@query("value_counts", "select string_agg(event_type || '=' || n, ',' order by n desc, event_type) as counts from (select event_type, count(*) as n from events group by 1)")
+def value_counts(t):
+    from curatrix.operators.scale import value_counts as counts
+
+    c = counts(t.events, "event_type").select(F.col("event_type").alias("value"), "n")
+    return c.agg(rules.count_map(F.collect_list(F.struct("value", "n"))).alias("m")).select(mapped("m").alias("counts"))
+
+
+@query("entity_groups", """
+with c as (select c_custkey, lower(c_mktsegment) as name, 'file' || c_nationkey % 3 as src, c_nationkey as identity, c_nationkey % 5 as universe, c_custkey % 12 as variant from customer),
+ s as (select name, list_sort(list(c_custkey))[1:20] as ids, count(*) as record_count, count(distinct src) as source_count, count(distinct identity) as identity_count, count(distinct universe) as universe_count, count(distinct variant) as variant_count from c group by 1)
+select name, record_count, source_count, identity_count, universe_count, variant_count, source_count > 1 as cross_source, concat_ws(',', case when identity_count > 1 then 'multiple_identities' end, case when universe_count > 1 then 'multiple_universes' end, case when variant_count > 8 then 'many_variants' end) as ambiguity_flags,
+ case when source_count > 1 then 'cross_source_character_candidate' else 'single_source_name_group' end as resolution_status, array_to_string(ids, ',') as sample_records from s""")
+def entity_groups(t):
+    return _entities(t).withColumn("ambiguity_flags", F.array_join("ambiguity_flags", ",")).withColumn("sample_records", F.array_join(F.col("sample_records").cast("array<string>"), ","))
+
+
+def _entities(t, name=None):
+    c = t.customer.select("c_custkey", (F.lower("c_mktsegment") if name is None else name).alias("name"), F.concat(F.lit("file"), F.col("c_nationkey") % 3).alias("src"), F.col("c_nationkey").alias("identity"),
+                          (F.col("c_nationkey") % 5).alias("universe"), (F.col("c_custkey") % 12).alias("variant"))
+    limits = {"multiple_identities": ("identity", 1), "multiple_universes": ("universe", 1), "many_variants": ("variant", 8)}
+    return group.entity_groups(c, "name", "src", ["identity", "universe", "variant"], limits, 20, "c_custkey")
+
+
+@query("group_values", """
+with p as (select lower(c_mktsegment) as name, 'nation' as facet, c_nationkey::varchar as value from customer union all select lower(c_mktsegment), 'name', c_name from customer)
+select name, facet, 0 as chunk_no, string_agg(value, ',' order by value) as values from (select distinct * from p) group by 1, 2""")
+def group_values(t):
+    c = t.customer.select(F.lower("c_mktsegment").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("label")).withColumnRenamed("name", "segment")
+    c = c.withColumnRenamed("label", "name")
+    out = group.group_values(c, "segment", ["nation", "name"], 100000)
+    return out.withColumnRenamed("segment", "name").withColumn("values", F.array_join("values", ","))
+
+
+@query("strict_duplicates", """
+with d as (select doc_id, source, sha256(text) as h, lang from documents), g as (select h, lang, count(*) as record_count, count(distinct source) as source_count, array_to_string(list_sort(list(doc_id))[1:50], ',') as sample_records from d group by 1, 2 having count(*) >= 2)
+select *, source_count > 1 as cross_source_duplicate from g""")
+def strict_duplicates(t):
+    d = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("h"), "lang")
+    return group.strict_duplicates(d, ["h", "lang"], "source", "doc_id", 50).withColumn("sample_records", F.array_join(F.col("sample_records").cast("array<string>"), ","))
+
+
+@query("alias_collapse", """
+with p as (select p_type as name, p_name as ident from part), k as (select name, ident, count(*) as n, case when ident like 'small %' then 'little' || substr(ident, 6) when ident like '% bolt' then 'any bolt' else ident end as sk from p group by 1, 2)
+select name, sk as semantic_key, count(*) as raw_key_count, sum(n)::bigint as record_count from k group by 1, 2 having count(*) > 1 or bool_or(sk <> ident)""")
+def alias_collapse(t):
+    labels = t.part.select(F.col("p_type").alias("name"), F.col("p_name").alias("alias")).distinct()
+    canon = F.when(F.startswith("alias", F.lit("small ")), F.concat(F.lit("little"), F.substring("alias", F.lit(6), F.lit(100)))).when(F.endswith("alias", F.lit(" bolt")), F.lit("any bolt"))
+    aliases = labels.select("name", "alias", canon.alias("canonical")).where("canonical is not null")
+    return group.alias_collapse(t.part.select(F.col("p_type").alias("name"), F.col("p_name").alias("ident")), "name", "ident", aliases)
+
+
+@query("brand_candidates", """
+with c as (select c_custkey, case when c_custkey % 4 = 0 then lower(c_mktsegment) end as explicit, case when c_custkey % 3 = 0 then left(c_mktsegment, 3) else upper(c_mktsegment) end as prefix from customer),
+ a as (select lower(s) as alias, list_sort(list(distinct 'B' || n)) as b from (select distinct c_mktsegment as s, c_nationkey % 2 as n from customer where c_mktsegment <> 'MACHINERY') group by 1), p as (select upper(left(s, 3)) as prefix, list_sort(list(distinct 'P' || s)) as b from (select distinct c_mktsegment as s from customer where c_mktsegment <> 'BUILDING') group by 1),
+ j as (select c.*, a.b as b1, p.b as b2, t.b as b3 from c left join a on a.alias = c.explicit left join p on p.prefix = c.prefix left join a t on t.alias = lower(c.prefix)), k as (select *, coalesce(b1, b2, b3, []) as bs from j)
+select c_custkey, array_to_string(bs, ',') as brand_candidates, case when b1 is not null then 'explicit_brand_name_or_alias' when b2 is not null then 'observed_product_prefix' when b3 is not null then 'exact_brand_or_alias_token' end as candidate_method,
+ case when len(bs) = 1 then 'brand_candidate_single' when len(bs) > 1 then 'brand_candidate_ambiguous' else 'unresolved_prefix' end as resolution_status from k""")
+def brand_candidates(t):
+    seg = F.col("c_mktsegment")
+    c = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lower(seg)).alias("explicit"), F.when(F.col("c_custkey") % 3 == 0, F.left(seg, F.lit(3))).otherwise(F.upper(seg)).alias("prefix"))
+    base = t.customer.select("c_mktsegment", (F.col("c_nationkey") % 2).alias("n")).distinct()
+    aliases = base.where("c_mktsegment <> 'MACHINERY'").select(F.lower(seg).alias("alias"), F.concat(F.lit("B"), F.col("n")).alias("brand"))
+    prefixes = base.where("c_mktsegment <> 'BUILDING'").select(F.upper(F.left(seg, F.lit(3))).alias("prefix"), F.concat(F.lit("P"), seg).alias("brand")).distinct()
+    out = group.brand_candidates(c, "explicit", "prefix", aliases, prefixes)
+    return out.select("c_custkey", F.array_join("brand_candidates", ",").alias("brand_candidates"), "candidate_method", "resolution_status")
+
+
+@query("release_groups", """
+with g as (select p_brand || '-' || p_size as code, count(*) as record_count, count(distinct p_name) as name_count, count(distinct p_type) as variant_count, count(distinct p_retailprice > 1000) as brand_count from part group by 1)
+select *, concat_ws(',', case when name_count > 1 then 'multiple_names_for_same_code' end, case when variant_count > 1 then 'multiple_variants_for_same_code' end, case when brand_count > 1 then 'multiple_brand_candidates' end) as conflict_flags,
+ case when brand_count = 1 then 'candidate_ready_for_identity_resolution' else 'brand_or_identity_review_required' end as release_status from g""")
+def release_groups(t):
+    p = t.part.select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("code"), "p_name", "p_type", (F.col("p_retailprice") > 1000).alias("b"))
+    return group.release_groups(p, "code", "p_name", "p_type", "b").withColumn("conflict_flags", F.array_join("conflict_flags", ","))
+
+
+REF_SQL = """
+with d as (select doc_id, source || case doc_id % 4 when 0 then ' v2 #' || (n_chars % 20) when 1 then ' Vol. 2 #' || (n_chars % 20) when 2 then ' (' || (1990 + n_chars % 30) || ')' else '' end as raw, source, doc_id % 4 as k, n_chars % 20 as n, 1990 + n_chars % 30 as y from documents),
+ e as (select *, case when k in (0, 1) then source || '|v2|regular|i' || n else 'raw|' || trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) end as reference_key, case when k in (0, 1) then 'comic_issue_explicit' when k = 2 then 'dated_work' else 'raw_only' end as kind from d)
+"""
+
+
+@query("reference_groups", REF_SQL + """select reference_key, count(*) as record_count, count(distinct raw) as raw_values, min(kind) as parse_status, min(case when k = 3 then null else source end) as source_work, min(case when k < 2 then 2 end) as volume, min(case when k < 2 then n::varchar end) as issue,
+ null::int as season, null::int as episode, count(distinct case when k = 2 then y end) as year_hints from e group by 1""")
+def reference_groups(t):
+    return _references(t)
+
+
+def _references(t):
+    k = F.col("doc_id") % 4
+    n, y = (F.col("n_chars") % 20).cast("string"), (F.col("n_chars") % 30 + 1990).cast("string")
+    tail = F.when(k == 0, F.concat(F.lit(" v2 #"), n)).when(k == 1, F.concat(F.lit(" Vol. 2 #"), n)).when(k == 2, F.concat(F.lit(" ("), y, F.lit(")"))).otherwise("")
+    d = t.documents.select("doc_id", F.concat("source", tail).alias("raw"))
+    return group.reference_groups(with_reference(d, "raw", "p").withColumn("raw_key", text.norm_text("raw")), "raw", "p")
+
+
+@query("appearance_rank", REF_SQL + """, g as (select reference_key, min(kind) as s, min(raw) as raw, count(*) as n, count(case when k <> 3 then 1 end) as w, count(distinct case when k = 2 then y end) as ys from e group by 1)
+select reference_key, case s when 'raw_only' then 'freeform_or_title_only' else s end as appearance_kind, (case s when 'comic_issue_explicit' then 80 when 'dated_work' then 45 else 15 end + case when w > 0 then 10 else 0 end + case when ys = 1 then 5 else 0 end + least(15, greatest(0, n - 1) * 3))::bigint as review_priority_score from g""")
+def appearance_rank(t):
+    return queues.appearance_rank(_references(t), "parse_status", "reference_key", "source_work", "year_hints", "record_count").select(
+        "reference_key", F.when(F.col("appearance_kind") == "dated_raw", "dated_work").otherwise(F.col("appearance_kind")).alias("appearance_kind"), F.col("review_priority_score").cast("long").alias("review_priority_score"))
+
+
+HIER = ("with c as (select lower(r_name) as ch, case when c_nationkey % 4 = 0 then null else lower(n_name) end as idn, case when c_custkey % 3 = 0 then null else lower(c_mktsegment) end as un, case when c_custkey % 2 = 0 then 'v' || c_custkey % 7 end as va, 'f' || c_custkey % 5 as src from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey), "
+        "k as (select ch, coalesce(idn, '__identity_unresolved__') as idn, coalesce(un, '__universe_unresolved__') as un, coalesce(va, '__variant_unresolved__') as va, src, 'character-user-' || replace(ch, ' ', '-') as cid, coalesce(replace(idn, '_', '-'), 'identity-unresolved') as ip, coalesce(un, 'universe-unresolved') as up, coalesce(va, 'variant-unresolved') as vp from c) ")
+
+
+def _hierarchy(t):
+    base = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    rows = base.select(F.lower("r_name").alias("ch"), F.when(F.col("c_nationkey") % 4 != 0, F.lower("n_name")).alias("idn"), F.when(k % 3 != 0, F.lower("c_mktsegment")).alias("un"), F.when(k % 2 == 0, F.concat(F.lit("v"), k % 7)).alias("va"), F.concat(F.lit("f"), k % 5).alias("src"))
+    return group.entity_hierarchy(rows, "ch", "idn", "un", "va", "src")
+
+
+@query("hierarchy_characters", HIER + "select ch as character_key, cid as character_id, count(*) as record_count, count(distinct src) as source_count, count(distinct idn) as identity_count, count(distinct case when idn <> '__identity_unresolved__' then idn end) as resolved_identity_count, bool_or(idn = '__identity_unresolved__') as has_unresolved_identity from k group by 1, 2")
+def hierarchy_characters(t):
+    return _hierarchy(t)["character"]
+
+
+@query("hierarchy_incarnations", HIER + "select ch as character_key, idn as identity_key, un as universe_key, cid as character_id, cid || '--' || ip || '--' || up as incarnation_id, count(*) as record_count, count(distinct src) as source_count, count(distinct va) as variant_count, bool_or(va = '__variant_unresolved__') as has_unresolved_variant from k group by 1, 2, 3, 4, 5")
+def hierarchy_incarnations(t):
+    return _hierarchy(t)["incarnation"]
+
+
+@query("hierarchy_outfits", HIER + "select ch as character_key, idn as identity_key, un as universe_key, va as variant_key, cid || '--' || ip || '--' || up as incarnation_id, cid || '--' || ip || '--' || up || '--' || vp as outfit_id, count(*) as record_count, count(distinct src) as source_count from k group by 1, 2, 3, 4, 5, 6")
+def hierarchy_outfits(t):
+    return _hierarchy(t)["outfit"]
+
+
+GAP_SQL = """
+with o as (select o_custkey, o_orderstatus, case when o_orderpriority = '1-URGENT' then 'wishlist' when o_orderpriority in ('2-HIGH', '3-MEDIUM') then 'design_target' else 'stock' end as cls, case o_orderstatus when 'F' then case when o_totalprice > 480000 then 'yes' else 'no' end when 'P' then 'maybe' else '' end as st, year(o_orderdate)::int as y, o_orderpriority from orders),
+ g as (select o_custkey, count(*) as record_count, bool_or(cls <> 'stock') as tg, bool_or(st = 'yes') as ow, bool_or(st = 'no') as mi, bool_or(st = 'maybe') as mb, bool_or(cls = 'wishlist') as wi from o group by 1),
+ s as (select o_custkey, record_count, case when ow then 'target_covered_or_in_pipeline' when wi then 'wishlist_gap_candidate' when mi then 'explicit_missing_design_target' when mb then 'maybe_gap_candidate' else 'unknown_target_state' end as candidate_state from g where tg)
+"""
+
+
+def _gap_rows(t):
+    pr = F.col("o_orderpriority")
+    cls = F.when(pr == "1-URGENT", "wishlist").when(pr.isin("2-HIGH", "3-MEDIUM"), "design_target").otherwise("stock")
+    st = F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_totalprice") > 480000, "yes").otherwise("no")).when(F.col("o_orderstatus") == "P", "maybe").otherwise("")
+    return t.orders.select("o_custkey", cls.alias("cls"), st.alias("st"), F.year("o_orderdate").cast("string").alias("year"), "o_orderpriority", F.col("o_orderstatus").alias("variant"))
+
+
+@query("gap_state", GAP_SQL + "select * from s")
+def gap_state(t):
+    return group.gap_state(_gap_rows(t), ["o_custkey"], "st", "cls")
+
+
+@query("backlog_rank", GAP_SQL + """, f as (select o_custkey, count(distinct o_orderpriority) as src, count(distinct y) as ys, count(distinct o_orderstatus) as vs, count(distinct 1) as nm from o group by 1),
+ v as (select o_custkey, arg_min(fam, (-n) * 100 + r) as franchise_family from (select o_custkey, fam, case fam when 'Anime' then 1 when 'Gaming' then 2 else 3 end as r, count(*) as n from (select o_custkey, case when o_orderpriority = '1-URGENT' then 'Gaming' when o_orderpriority = '2-HIGH' then 'Anime' else 'Unclassified' end as fam from o) group by 1, 2, 3) group by 1)
+select s.o_custkey, candidate_state, record_count, case candidate_state when 'wishlist_gap_candidate' then 'acquisition_wishlist' when 'explicit_missing_design_target' then 'custom_design_candidate' else 'review_only_unknown_state' end as gap_mode,
+ (case candidate_state when 'wishlist_gap_candidate' then 100 when 'explicit_missing_design_target' then 80 when 'maybe_gap_candidate' then 30 else 10 end + case when src > 1 then least(30, (src - 1) * 8) else 0 end + 10 + 4 + 0)::bigint as priority_score, franchise_family,
+ case when candidate_state in ('wishlist_gap_candidate', 'explicit_missing_design_target') then 'actionable' else 'review' end as route from s join f using (o_custkey) join v using (o_custkey)""")
+def backlog_rank(t):
+    rows = _gap_rows(t)
+    state = group.gap_state(rows, ["o_custkey"], "st", "cls").select("o_custkey", "candidate_state")
+    j = rows.join(state, "o_custkey").withColumn("text", F.when(F.col("o_orderpriority") == "1-URGENT", "gaming").when(F.col("o_orderpriority") == "2-HIGH", "anime").otherwise("none"))
+    out = queues.backlog_rank(j, "o_custkey", "candidate_state", "o_orderpriority", "text")
+    return out.drop("priority_reasons").withColumn("priority_score", F.col("priority_score").cast("long"))
+
+
+BRAND_SQL = """
+with c as (select c_mktsegment as brand, case when c_nationkey < 20 then 'AX' else 'N' || c_nationkey end as pf from customer where c_acctbal >= 0), p as (select brand, pf, count(*) as n from c group by 1, 2),
+ b as (select brand, sum(n)::bigint as figure_count, count(*) as prefix_count, max(n) as dominant_count from p group by 1), d as (select brand, min(pf) as dominant_prefix from p join b using (brand) where n = dominant_count group by 1),
+ census as (select brand, figure_count, prefix_count, dominant_prefix, dominant_count, round(dominant_count / figure_count, 4) as dominant_fraction, dominant_count >= 10 and round(dominant_count / figure_count, 4) >= 0.80 as stable_prefix_candidate from b join d using (brand))
+"""
+
+
+def _census(t):
+    c = t.customer.where("c_acctbal >= 0").select(F.col("c_mktsegment").alias("brand"), F.when(F.col("c_nationkey") < 20, "AX").otherwise(F.concat(F.lit("N"), "c_nationkey")).alias("pf"))
+    return group.brand_census(c, "brand", "pf")
+
+
+@query("brand_census", BRAND_SQL + "select * from census")
+def brand_census(t):
+    return _census(t)
+
+
+@query("registry_gap", BRAND_SQL + """select census.*, case when brand in ('FURNITURE', 'BUILDING') then lower(brand) end as canonical, case when brand in ('FURNITURE', 'BUILDING') then 'known_registry_match' else 'unmodeled_brand_slug' end as registry_status,
+ round(figure_count * case when stable_prefix_candidate then 1.5 else 1.0 end * case when brand in ('FURNITURE', 'BUILDING') then 0.25 else 1.0 end, 2)::double as review_priority_score from census""")
+def registry_gap(t):
+    known = t.customer.where("c_mktsegment in ('FURNITURE', 'BUILDING')").select(F.col("c_mktsegment").alias("alias"), F.lower("c_mktsegment").alias("canonical")).distinct()
+    return queues.registry_gap(_census(t), known, "brand")
+
+
+@query("entity_review_rank", """
+with c as (select lower(c_mktsegment) || c_nationkey % 7 as name, 'file' || c_nationkey % 3 as src, c_nationkey as idn, c_nationkey % 5 as un, c_custkey % 12 as va from customer),
+ s as (select name, count(*) as n, count(distinct src) > 1 as cs, count(distinct idn) > 1 as mi, count(distinct un) > 1 as mu, count(distinct va) > 8 as mv from c group by 1)
+select name, concat_ws(',', case when cs then 'cross_source' end, case when mi then 'multiple_identities' end, case when mu then 'multiple_universes' end, case when mv then 'many_variants' end) as review_reasons,
+ (cs::int * 10 + mi::int * 25 + mu::int * 25 + mv::int * 15 + least(20, n // 5))::bigint as review_priority_score from s where cs or mi or mu or mv""")
+def entity_review_rank(t):
+    groups = _entities(t, F.concat(F.lower("c_mktsegment"), (F.col("c_nationkey") % 7).cast("string")))
+    return queues.entity_review_rank(groups).select("name", F.array_join("review_reasons", ",").alias("review_reasons"), F.col("review_priority_score").cast("long").alias("review_priority_score"))
+
+
+@query("coverage", """
+with k as (select p_partkey, p_type, exists(select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R') as a, exists(select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49) as b from part)
+select p_type, count(*) as registered, count_if(a or b) as covered_count, count_if(not (a or b)) as gap_count, round(avg((a or b)::int), 4) as coverage_fraction from k group by 1""")
+def coverage(t):
+    src = lambda cond: t.lineitem.where(cond).select(F.col("l_partkey").alias("p_partkey"))
+    c = group.coverage(t.part.select("p_partkey", "p_type"), {"returned": src("l_returnflag = 'R'"), "bulk": src("l_quantity > 49")}, "p_partkey")
+    return group.coverage_gaps(c, ["p_type"])
+
+
+SETS_SQL = """
+with e as (select l_orderkey, case l_returnflag when 'R' then 'torso_front' when 'A' then 'head_front' else 'lower_body' end as role, l_suppkey % 3 as comp, case when l_orderkey % 5 = 0 then l_linestatus else 'S' end as subj from lineitem),
+ s as (select l_orderkey, count(*) as evidence_records, list_sort(list(distinct role)) as roles, case when min(subj) = max(subj) then min(subj) end as subject from e group by 1),
+ x as (select l_orderkey, count(*) as cross_surface_links from (select l_orderkey, comp from e group by 1, 2 having count(distinct role) >= 2) group by 1), j as (select s.*, coalesce(cross_surface_links, 0) as cross_surface_links from s left join x using (l_orderkey))
+"""
+
+
+def _sets(t):
+    role = F.when(F.col("l_returnflag") == "R", "torso_front").when(F.col("l_returnflag") == "A", "head_front").otherwise("lower_body")
+    e = t.lineitem.select("l_orderkey", role.alias("role"), (F.col("l_suppkey") % 3).alias("comp"), F.when(F.col("l_orderkey") % 5 == 0, F.col("l_linestatus")).otherwise("S").alias("subj"))
+    return group.exact_reference_sets(e, ["l_orderkey"], "subj", "role", "comp", ("torso_front", "head_front", "lower_body"))
+
+
+@query("reference_sets", SETS_SQL + "select l_orderkey, evidence_records, array_to_string(roles, ',') as canonical_roles, subject, cross_surface_links, len(roles) > 1 as multi_surface, list_contains(roles, 'torso_front') as has_torso_front, list_contains(roles, 'head_front') as has_head_front, list_contains(roles, 'lower_body') as has_lower_body from j")
+def reference_sets(t):
+    return _sets(t).withColumn("canonical_roles", F.array_join("canonical_roles", ","))
+
+
+@query("acquisition_gaps", SETS_SQL + """, d as (select o_orderkey as l_orderkey, case o_orderstatus when 'F' then 'physical_left_side_view' else 'torso_rear_evidence' end as done from orders),
+ g as (select j.*, done, list_filter([case when list_contains(roles, 'torso_front') and done <> 'torso_rear_evidence' then 'torso_rear_evidence' end, case when list_contains(roles, 'head_front') then 'head_rear_evidence' end, case when list_contains(roles, 'lower_body') then 'lower_body_rear_or_side_evidence' end,
+   case when done <> 'physical_left_side_view' then 'physical_left_side_view' end, 'physical_right_side_view'], lambda x: x is not null) as tg from j join d using (l_orderkey))
+select l_orderkey, array_to_string(tg, ',') as targets, (list_contains(tg, 'torso_rear_evidence')::int * 4 + list_contains(tg, 'head_rear_evidence')::int * 3 + list_contains(tg, 'lower_body_rear_or_side_evidence')::int * 2 + list_contains(tg, 'physical_left_side_view')::int + 1
+ + case when len(roles) > 1 then 2 else 0 end + least(cross_surface_links, 2))::bigint as priority_score from g""")
+def acquisition_gaps(t):
+    done = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", "physical_left_side_view").otherwise("torso_rear_evidence").alias("target"))
+    out = group.acquisition_gaps(_sets(t), ["l_orderkey"], done)
+    return out.select("l_orderkey", F.array_join("targets", ",").alias("targets"), F.col("priority_score").cast("long").alias("priority_score"))
+
+
+@query("decorated_corpus", """
+with n as (select l_partkey, arg_min(l_shipmode, k) as part_name, sum(n)::bigint as record_count from (select l_partkey, l_returnflag || l_linestatus as l_shipmode, count(*) as n, (-count(*)) * 1000 + ascii(l_returnflag) * 0 + rank_no as k from (select *, case l_returnflag || l_linestatus when 'AF' then 1 when 'AO' then 2 when 'NF' then 3 when 'NO' then 4 when 'RF' then 5 else 6 end as rank_no from lineitem) group by l_partkey, l_returnflag, l_linestatus, rank_no) group by 1),
+ u as (select l_partkey, count(*) as users_count, array_to_string(list_sort(list(l_orderkey))[1:7], ',') as users from (select distinct l_partkey, l_orderkey from lineitem) group by 1),
+ r as (select distinct l_partkey, o_orderpriority as theme, year(o_orderdate)::int as year, o_custkey as source from lineitem join orders on l_orderkey = o_orderkey),
+ s as (select l_partkey, count(distinct theme) as theme_count, min(year) as year_min, max(year) as year_max, count(distinct source) as sources_count from r group by 1), i as (select l_partkey, array_to_string(list_sort(list(distinct source))[1:4], ',') as sources from r group by 1)
+select * from n join u using (l_partkey) join s using (l_partkey) join i using (l_partkey)""")
+def decorated_corpus(t):
+    comp = t.lineitem.select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_orderkey").alias("user"))
+    ctx = t.orders.select(F.col("o_orderkey").alias("user"), F.col("o_orderpriority").alias("theme"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("source"))
+    out = group.decorated_corpus(comp, "l_partkey", "name", "user", ctx, 7, 4)
+    return out.withColumn("users", F.array_join(F.col("users").cast("array<string>"), ",")).withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+
+
+@query("component_summary", """
+with c as (select l_orderkey, string_agg(role || '=' || n, ',' order by n desc, role) as role_counts, sum(n)::bigint as component_count from (select l_orderkey, l_returnflag as role, count(*) as n from lineitem group by 1, 2) group by 1),
+ a as (select l_orderkey, count(*) as accessory_count, string_agg(l_returnflag || ':' || l_partkey, ',' order by l_returnflag, l_partkey) as accessories from lineitem where l_returnflag in ('R', 'A') group by 1)
+select c.l_orderkey, component_count, role_counts, coalesce(accessory_count, 0) as accessory_count, coalesce(accessories, '') as accessories from c left join a using (l_orderkey)""")
+def component_summary(t):
+    out = group.component_summary(t.lineitem, "l_orderkey", "l_returnflag", "l_partkey", ("R", "A"))
+    return out.select("l_orderkey", "component_count", mapped("role_counts").alias("role_counts"), "accessory_count", F.coalesce(joined("accessories", ["role", "item"]), F.lit("")).alias("accessories"))
+
+
+CORPUS_SQL = """
+with c as (select l_orderkey, case l_returnflag when 'R' then 'Minifig Head ' || case when l_quantity > 40 then 'Balaclava' when l_quantity < 5 then 'Alien' else 'Plain' end when 'A' then case when l_quantity > 40 then 'Headwear Cowl' when l_quantity > 20 then 'Helmet Classic' else 'Headwear Costume Mask' end else 'Torso Plain' end as nm, l_partkey % 2 = 0 as std from lineitem),
+ f as (select l_orderkey, bool_or(nm like 'Helmet%' or nm like 'Headwear%') as gear, bool_or(nm like '%Balaclava') as hm, bool_or(nm like 'Helmet%' or nm like 'Headwear%') as special, bool_or(nm like '%Alien' and not std) as md, bool_or(nm like '%Costume%') as co, bool_or(nm like '%Cowl') as cw, bool_or(nm like 'Helmet%') as he, bool_or(nm like '%Costume Mask') as mk,
+  count_if(nm like '%Balaclava') + count_if(nm like 'Helmet%' or nm like 'Headwear%') + count_if(nm like '%Alien' and not std) as evidence_count, count_if(nm like '%Costume Mask') as mc, count_if(nm like '%Alien' and not std) as dc from c group by 1),
+ r as (select *, list_filter([case when hm and not gear then 'head_print_or_decorated_head_only' end, case when hm and gear then 'head_print_plus_headgear' end, case when co then 'costume_head_cover' end, case when cw then 'cowl_plus_head' end, case when he then 'helmet_plus_head' end, case when mk then 'separate_mask_headgear' end, case when md then 'modified_or_nonhuman_head' end], lambda x: x is not null) as routes from f where hm or special or md)
+"""
+
+
+def _corpus(t):
+    q = F.col("l_quantity")
+    name = (
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Minifig Head "), F.when(q > 40, "Balaclava").when(q < 5, "Alien").otherwise("Plain")))
+        .when(F.col("l_returnflag") == "A", F.when(q > 40, "Headwear Cowl").when(q > 20, "Helmet Classic").otherwise("Headwear Costume Mask")).otherwise("Torso Plain"))
+    num = F.when(F.col("l_partkey") % 2 == 0, F.lit("3626c")).otherwise(F.lit("99999"))
+    part = F.struct(num.alias("part_num"), name.alias("part_name"), F.lit(None).cast("string").alias("print_of"), F.lit(None).cast("string").alias("component_role"))
+    return group.candidate_corpus(t.lineitem.select("l_orderkey", part.alias("c")), "l_orderkey", "c")
+
+
+@query("candidate_corpus", CORPUS_SQL + "select l_orderkey, array_to_string(routes, ',') as candidate_routes, evidence_count, mc as explicit_mask_count, dc as modified_count, gear as has_gear from r")
+def candidate_corpus(t):
+    return _corpus(t).withColumn("candidate_routes", F.array_join("candidate_routes", ","))
+
+
+@query("evidence_rank", CORPUS_SQL + """, h as (select *, list_contains(routes, 'costume_head_cover') or mc > 0 or (dc > 0 and not gear) as hi, list_has_any(routes, ['cowl_plus_head', 'hood_plus_head', 'head_print_or_decorated_head_only', 'head_print_plus_headgear']) as med, list_has_any(routes, ['costume_head_cover', 'separate_mask_headgear', 'modified_or_nonhuman_head']) as strong from r)
+select l_orderkey, case when hi then 'high_component_route_candidate' when med then 'medium_component_route_candidate' else 'low_or_generic_headgear_candidate' end as confidence_band,
+ greatest(0, case when hi then 100 when med then 60 else 25 end + least(20, evidence_count * 2) - greatest(0, len(routes) - 2) * 5 - case when list_contains(routes, 'helmet_plus_head') and not strong and not med then 20 else 0 end)::bigint as route_score from h""")
+def evidence_rank(t):
+    c = F.col
+    out = group.evidence_rank(_corpus(t), "candidate_routes", c("evidence_count"), c("explicit_mask_count"), c("modified_count"), c("has_gear"))
+    return out.select("l_orderkey", "confidence_band", c("route_score").cast("long").alias("route_score"))
+
+
+@query("queue_rollup", """
+with p as (select p_type, p_partkey, p_size as s, case when p_size > 40 then 'high' when p_size > 20 then 'medium' else 'low' end as band from part), c as (select p_type, sum(n)::bigint as record_count, string_agg(band || '=' || n, ',' order by n desc, band) as band_counts from (select p_type, band, count(*) as n from p group by 1, 2) group by 1),
+ t as (select p_type, string_agg(p_partkey::varchar, ',' order by rn) as top_candidates, max(s) as m from (select *, row_number() over (partition by p_type order by s desc, p_partkey) as rn from p) where rn <= 10 group by 1)
+select p_type, record_count, band_counts, top_candidates, m + case when record_count > 1 then 5 else 0 end as group_score from c join t using (p_type)""")
+def queue_rollup(t):
+    p = t.part.select("p_type", "p_partkey", F.col("p_size").alias("s"), F.when(F.col("p_size") > 40, "high").when(F.col("p_size") > 20, "medium").otherwise("low").alias("band"))
+    out = group.queue_rollup(p, "p_type", "band", "p_partkey", "s")
+    return out.withColumn("band_counts", mapped("band_counts")).withColumn("top_candidates", F.array_join(F.col("top_candidates").cast("array<string>"), ","))
+
+
+@query("size_histogram", "select n as group_size, count(*) as groups from (select o_custkey, o_orderstatus, count(*) as n from orders group by 1, 2) group by 1")
+def size_histogram(t):
+    return group.size_histogram(t.orders, ["o_custkey", "o_orderstatus"])
+
+
+@query("benchmark_cases", """
+with a as (select 'documents' as corpus, doc_id as id, text, lang as tier from documents union all select 'benchmark', item_id, text, 'held_out' from benchmark)
+select corpus, case corpus when 'documents' then 'development' else 'test' end as split, case when length(text) > 1000 then 'long' when length(text) > 300 then 'medium' else 'short' end as tier, count(*) as cases, count(distinct sha256(text)) as groups from a group by 1, 2, 3""")
+def benchmark_cases(t):
+    """Corpora with a fixed split, a target tier per case and distinct content groups."""
+    from curatrix.operators.dedup import union_sources
+
+    cases = union_sources({"documents": t.documents.select(F.col("doc_id").alias("id"), "text"), "benchmark": t.benchmark.select(F.col("item_id").alias("id"), "text")})
+    cases = graph.corpus_split(cases.withColumnRenamed("source_file", "corpus"), "corpus", {"documents": "development", "benchmark": "test"})
+    size = F.length("text")
+    tier = F.when(size > 1000, "long").when(size > 300, "medium").otherwise("short")
+    return cases.select("corpus", "split", tier.alias("tier"), F.sha2("text", 256).alias("h")).groupBy("corpus", "split", "tier").agg(F.count(F.lit(1)).alias("cases"), F.count_distinct("h").alias("groups"))
+
+
+@query("cohort_violations", """
+with d as (select sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as h, count(*) as n from documents group by 1), b as (select distinct sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as h from benchmark)
+select d.h, n as occurrences, b.h is not null as in_baseline from d left join b using (h) where n > 1 or b.h is not null""")
+def cohort_violations(t):
+    h = F.sha2(text.squash(F.lower("text")), 256).alias("h")
+    return graph.cohort_violations(t.documents.select(h), t.benchmark.select(h), "h")
+
+
+@query("leakage", """
+with s as (select sha256(text) as h, case when ('0x' || left(sha256(doc_id::varchar), 8))::ubigint % 100 < 80 then 'train' when ('0x' || left(sha256(doc_id::varchar), 8))::ubigint % 100 < 90 then 'validation' else 'test' end as split from documents)
+select h, count(distinct split) as split_count, count(*) as records from s group by 1 having count(distinct split) > 1""")
+def leakage(t):
+    from curatrix.functions.ids import hash_mod_split
+
+    return graph.leakage(t.documents.select(F.sha2("text", 256).alias("h"), hash_mod_split("doc_id").alias("split")), "h", "split")
+
+
+@query("connected_components", """
+with recursive e as (select distinct 'd' || doc_id as g, sha256(text) as v from documents union select distinct 'd' || doc_id, sha256(left(text, 60)) from documents),
+ x as (select a.g as a, b.g as b from e a join e b using (v) where a.g <> b.g), reach as (select distinct g, g as r from e union select reach.g, x.b from reach join x on reach.r = x.a)
+select substr(g, 2)::bigint as doc_id, min(r) as component from reach group by 1""")
+def connected_components(t):
+    """Documents linked by equal text or equal opening line; the label is the smallest member."""
+    d = F.concat(F.lit("d"), "doc_id")
+    keys = F.explode(F.array(F.concat(F.lit("~t"), F.sha2("text", 256)), F.concat(F.lit("~h"), F.sha2(F.left("text", F.lit(60)), 256))))
+    edges = t.documents.select(d.alias("src"), keys.alias("dst"))
+    nodes = t.documents.select(d.alias("node"))
+    everything = nodes.unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    labels = graph.connected_components(everything, edges).where(F.startswith("node", F.lit("d")))
+    return labels.select(F.substring("node", F.lit(2), F.lit(20)).cast("long").alias("doc_id"), "component")
+
+
+@query("connected_groups")
+def connected_groups(t):
+    """Leakage-safe split: source pages of one opening line or one text stay together."""
+    d = t.documents.select("doc_id", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("grp"), F.sha2("text", 256).alias("sha"), F.sha2(F.left("text", F.lit(60)), 256).alias("head"))
+    return graph.grouped_split(graph.connected_groups(d, "doc_id", "grp", ["sha", "head"]))
+
+
+@query("hardcase_score", """
+with c as (select user_id, event_id, case event_type when 'error' then 'uncertain' when 'click' then 'omitted' when 'view' then 'simplified' else 'exaggerated' end as decision, case event_type when 'error' then 'review_uncertainty' when 'click' then 'feature_loss' when 'view' then 'detail_compression' else 'feature_exaggeration' end as cat,
+  case when event_id % 3 = 0 then 'head' when event_id % 3 = 1 then 'torso' else 'lower_body' end as region, case when value > 20 then 'source_only' when value > 5 then 'observed_in_both' else 'multi_view' end as basis, value / 30 as conf from events),
+ p as (select *, not (decision = 'uncertain' and basis <> 'observed_in_both') as pr, case decision when 'uncertain' then 6 when 'omitted' then 5 when 'exaggerated' then 4 else 1 end as w from c)
+select user_id, count(*) as critic_item_count, count_if(pr) as priority_item_count, count_if(not pr) as unpaired_uncertainty_count, count_if(basis = 'source_only' and decision = 'omitted') as source_only_omitted_count,
+ (sum(case when pr then w else 0 end) + greatest(count(distinct case when pr then cat end) - 1, 0) * 2 + greatest(count(distinct case when pr then region end) - 1, 0) + count_if(pr and basis = 'source_only') * 2 + count_if(pr and decision = 'uncertain') * 3 + count_if(pr and conf < 0.9))::bigint as hardcase_score from p group by 1""")
+def hardcase_score(t):
+    e, v, k = F.col("event_type"), F.col("value"), F.col("event_id") % 3
+    pick = lambda a, b, c, d: F.when(e == "error", a).when(e == "click", b).when(e == "view", c).otherwise(d)
+    rows = t.events.select("user_id", F.col("event_id").alias("critic_id"), pick("uncertain", "omitted", "simplified", "exaggerated").alias("decision"), pick("review_uncertainty", "feature_loss", "detail_compression", "feature_exaggeration").alias("critic_category"),
+                           F.when(k == 0, "head").when(k == 1, "torso").otherwise("lower_body").alias("region"), F.when(v > 20, "source_only").when(v > 5, "observed_in_both").otherwise("multi_view").alias("evidence_basis"), (v / 30).alias("confidence"))
+    return review.hardcase_score(dq.dedup_or_fail(rows, ["critic_id"]), "user_id")

@@ -49,8 +49,8 @@ def exact_key_crosswalk(t):
 
 
 CODE_SQL = """
-with rel as (select p_partkey, regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') as code, p_name from part),
- cat as (select regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') as code, p_name || ' ' || lower(p_type) as cname from part where p_size <= 2),
+with rel as (select p_partkey, regexp_replace(upper(p_brand || '-' || p_type || '-' || (p_size + 1)), '[^A-Z0-9]+', '', 'g') as code, p_name from part),
+ cat as (select regexp_replace(upper(p_brand || '-' || p_type || '-' || p_size), '[^A-Z0-9]+', '', 'g') as code, p_name || ' ' || lower(p_type) as cname from part),
  ent as (select code, cname, count(*) as n from cat group by 1, 2),
  prs as (select r.code, r.p_name, sum(n)::bigint as match_count, max(round(len(list_intersect(string_split(r.p_name, ' '), string_split(cname, ' '))) /
    len(list_distinct(list_concat(string_split(r.p_name, ' '), string_split(cname, ' ')))), 4)) as ov from (select distinct code, p_name from rel) r join ent using (code) group by 1, 2)
@@ -61,8 +61,9 @@ from rel left join prs on rel.code = prs.code and rel.p_name = prs.p_name"""
 
 
 def code_frame(t):
-    rel = t.part.select("p_partkey", text.norm_code("p_brand").alias("code"), "p_name")
-    cat = t.part.where("p_size <= 2").select(text.norm_code("p_brand").alias("code"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("cname"))
+    code = lambda size: text.norm_code(F.concat_ws("-", "p_brand", "p_type", size.cast("string")))
+    rel = t.part.select("p_partkey", code(F.col("p_size") + 1).alias("code"), "p_name")
+    cat = t.part.select(code(F.col("p_size")).alias("code"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("cname"))
     return joins.code_crosswalk(rel, cat, "p_partkey", "code", "p_name", "cname")
 
 
@@ -72,7 +73,7 @@ def code_crosswalk(t):
 
 
 @query("crosswalk_triage", f"""
-with x as ({CODE_SQL}), b as (select regexp_replace(upper(p_brand), '[^A-Z0-9]+', '', 'g') as code, count(distinct p_type) as brands from part where p_size <= 2 group by 1),
+with x as ({CODE_SQL}), b as (select regexp_replace(upper(p_brand || '-' || p_type || '-' || p_size), '[^A-Z0-9]+', '', 'g') as code, count(distinct p_retailprice > 1000) as brands from part group by 1),
  y as (select x.*, coalesce(b.brands, 0) as brands, match_status = 'exact_unique_serial_match' and identity_consistency = 'name_supportive' as prom from x left join b using (code)),
  k as (select *, case when match_status = 'exact_unique_serial_match' then 'unique_serial_name_review' when match_status = 'exact_serial_collision' and brands <= 1 and max_name_overlap >= 0.35 then 'same_brand_multi_record_one_name_supportive_possible_bundle'
    when match_status = 'exact_serial_collision' and brands <= 1 then 'same_brand_multi_record_bundle_or_reuse' when match_status = 'exact_serial_collision' then 'cross_brand_serial_collision' else 'no_current_herobloks_exact_match' end as rt from y)
@@ -80,7 +81,8 @@ select p_partkey, case when prom then 'promoted' else 'review' end as outcome, c
  case when prom then null when rt in ('same_brand_multi_record_one_name_supportive_possible_bundle', 'cross_brand_serial_collision') then 'high'
   when rt in ('unique_serial_name_review', 'same_brand_multi_record_bundle_or_reuse') then 'medium' else 'low' end as review_priority from k""")
 def crosswalk_triage(t):
-    brands = t.part.where("p_size <= 2").groupBy(text.norm_code("p_brand").alias("code")).agg(F.count_distinct("p_type").alias("brands"))
+    code = text.norm_code(F.concat_ws("-", "p_brand", "p_type", F.col("p_size").cast("string")))
+    brands = t.part.groupBy(code.alias("code")).agg(F.count_distinct(F.col("p_retailprice") > 1000).alias("brands"))
     j = code_frame(t).join(brands, "code", "left")
     supportive = F.when(F.coalesce("max_name_overlap", F.lit(0.0)) >= 0.35, 1).otherwise(0)
     r = group.crosswalk_triage(F.col("match_status"), F.col("identity_consistency"), F.col("match_count"), F.coalesce("brands", F.lit(0)), supportive)
@@ -88,8 +90,8 @@ def crosswalk_triage(t):
 
 
 @query("cascading_catalogs", """
-with r as (select p_partkey, p_partkey % 400 as code from part), a as (select s_suppkey as code, count(*) as n from supplier where s_suppkey % 2 = 0 group by 1),
- b as (select s_suppkey + s_suppkey % 3 as code, count(*) as n from supplier group by 1), c as (select c_custkey % 300 as code, count(*) as n from customer where c_custkey < 310 group by 1),
+with r as (select p_partkey, p_partkey % 400 as code from part), a as (select s_suppkey * 2 - s_suppkey % 7 // 6 * 2 as code, count(*) as n from supplier group by 1),
+ b as (select s_suppkey + s_suppkey % 3 as code, count(*) as n from supplier group by 1), c as (select c_custkey - c_custkey % 5 % 2 as code, count(*) as n from customer group by 1),
  j as (select r.*, coalesce(a.n, 0) as an, coalesce(b.n, 0) as bn, coalesce(c.n, 0) as cn from r left join a using (code) left join b using (code) left join c using (code)),
  s as (select *, case when an = 1 then 'exact_unique_serial_match' when an > 1 then 'exact_serial_collision' else 'no_exact_serial_match' end as primary_status,
   case when an = 0 and bn > 1 then 'historical_exact_serial_collision' when an = 0 and bn = 1 then 'historical_exact_unique_serial_match' else 'no_historical_exact_serial_match' end as fallback_status,
@@ -98,8 +100,8 @@ select p_partkey, primary_status, fallback_status, manual_status, case when an >
  case when an = 0 and bn > 0 then 'second:' || bn else '' end as fallback_hits from s""")
 def cascading_catalogs(t):
     rel = t.part.select("p_partkey", (F.col("p_partkey") % 400).alias("code"))
-    cats = [("first", t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("code"))), ("second", t.supplier.select((F.col("s_suppkey") + F.col("s_suppkey") % 3).alias("code")))]
-    out = joins.cascading_catalogs(rel, cats, "code", t.customer.where("c_custkey < 310").select((F.col("c_custkey") % 300).alias("code")))
+    cats = [("first", t.supplier.select(F.expr("s_suppkey * 2 - (s_suppkey % 7) div 6 * 2").alias("code"))), ("second", t.supplier.select((F.col("s_suppkey") + F.col("s_suppkey") % 3).alias("code")))]
+    out = joins.cascading_catalogs(rel, cats, "code", t.customer.select(F.expr("c_custkey - c_custkey % 5 % 2").alias("code")))
     hits = F.array_join(F.transform("fallback_hits", lambda h: F.concat(h["catalog"], F.lit(":"), h["n"].cast("string"))), ",")
     return out.select("p_partkey", "primary_status", "fallback_status", "manual_status", "effective_status", hits.alias("fallback_hits"))
 
@@ -119,7 +121,7 @@ def overlay_corrections(t):
 @query("priority_resolution", """
 with l as (select c_custkey, case when c_custkey % 3 = 0 then 'S' || c_custkey else 'C' || c_custkey end as lid, c_mktsegment || '-' || c_nationkey as lname from customer),
  r as (select s_suppkey, 'S' || s_suppkey as rid, case when s_suppkey % 2 = 0 then 'FURNITURE-' || s_nationkey else 'BUILDING-' || s_suppkey end as rname from supplier),
- e as (select 'C' || c_custkey as lid, 'S' || (c_custkey % 130) as v from customer where c_custkey % 3 = 1 union all select 'C' || c_custkey, 'S' || (c_custkey % 131) from customer where c_custkey % 3 = 1 and c_custkey % 2 = 0),
+ e as (select 'C' || c_custkey as lid, 'S' || (c_custkey % 130) as v from customer union all select 'C' || c_custkey, 'S' || (c_custkey % 650) from customer),
  x as (select lid, min(v) as mv, max(v) as xv from e join r on e.v = r.rid group by 1), n as (select rname, min(rid) as rid from r group by 1 having count(*) = 1)
 select l.c_custkey, coalesce(r.rid, case when x.mv = x.xv then x.mv end, n.rid) as match_id,
  case when r.rid is not null then 'exact_primary_id' when x.mv = x.xv then 'embedded_id' when n.rid is not null then 'unique_exact_name' else 'unmatched' end as match_method,
@@ -130,9 +132,7 @@ def priority_resolution(t):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     left = t.customer.select("c_custkey", F.when(c % 3 == 0, key("S", c)).otherwise(key("C", c)).alias("lid"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("lname"))
     right = t.supplier.select(key("S", s).alias("rid"), F.when(s % 2 == 0, key("FURNITURE-", F.col("s_nationkey"))).otherwise(key("BUILDING-", s)).alias("rname"))
-    base = t.customer.where("c_custkey % 3 = 1")
-    embedded = base.select(key("C", c).alias("lid"), key("S", c % 130).alias("value")).unionByName(
-        base.where("c_custkey % 2 = 0").select(key("C", c).alias("lid"), key("S", c % 131).alias("value")))
+    embedded = t.customer.select(key("C", c).alias("lid"), F.explode(F.array(key("S", c % 130), key("S", c % 650))).alias("value"))
     return joins.priority_resolution(left, right, "lid", "rid", "lname", "rname", embedded).select("c_custkey", "match_id", "match_method", "confidence")
 
 
@@ -154,17 +154,17 @@ def expand_to_parts(t):
 
 
 @query("alias_retrieval", """
-with tg as (select p_partkey, p_name as n1, p_type, lower(p_type) || ' ' || split_part(p_name, ' ', 2) as ident from part where p_size % 5 = 0),
- rl as (select p_partkey as rid, case when p_size = 1 then split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) else lower(p_type) || ' ' || split_part(p_name, ' ', 2) end as rn, p_type as rt from part where p_size <= 2),
- pr as (select tg.p_partkey, rl.rid, tg.n1 = rl.rn as nm, tg.p_type = rl.rt as same from tg join rl on rl.rn = tg.n1 or rl.rn = tg.ident),
- st as (select p_partkey, count(*) as n, max(case when same then 2 else 1 end) as best from pr group by 1)
+with tg as (select p_partkey, p_name as n1, p_type, lower(p_type) || ' ' || split_part(p_name, ' ', 2) as ident from part),
+ rl as (select case when p_size <= 5 then p_name else lower(p_type) || ' ' || split_part(p_name, ' ', 2) || case when p_size > 10 then ' ' || p_size else '' end end as rn, p_brand as rt, count(*) as n from part group by 1, 2),
+ pr as (select tg.p_partkey, n, 'Brand#' || length(tg.p_type) = rl.rt as same from tg join rl on rl.rn = tg.n1 or rl.rn = tg.ident),
+ st as (select p_partkey, sum(n)::bigint as n, max(case when same then 2 else 1 end) as best from pr group by 1)
 select tg.p_partkey, coalesce(n, 0) as release_candidate_count, case best when 2 then 'likely_existing_representation' when 1 then 'name_match_variant_unresolved' else 'no_exact_name_release_candidate' end as representation_status
 from tg left join st using (p_partkey)""")
 def alias_retrieval(t):
     noun, kind = F.split_part("p_name", F.lit(" "), F.lit(2)), F.lower("p_type")
-    targets = t.part.where("p_size % 5 = 0").select("p_partkey", F.col("p_type").alias("variant"), text.alias_keys(text.norm_ascii("p_name")).alias("name_keys"), text.alias_keys(text.norm_ascii(F.concat_ws(" ", kind, noun))).alias("identity_keys"))
-    name = F.when(F.col("p_size") == 1, F.col("p_name")).otherwise(F.concat_ws(" ", kind, noun))
-    releases = t.part.where("p_size <= 2").select(F.col("p_partkey").alias("rid"), F.col("p_type").alias("release_variant"), text.alias_keys(text.norm_ascii(name)).alias("name_keys"))
+    targets = t.part.select("p_partkey", F.concat(F.lit("Brand#"), F.length("p_type").cast("string")).alias("variant"), text.alias_keys(text.norm_ascii("p_name"), ()).alias("name_keys"), text.alias_keys(text.norm_ascii(F.concat_ws(" ", kind, noun)), ()).alias("identity_keys"))
+    name = F.when(F.col("p_size") <= 5, F.col("p_name")).otherwise(F.concat_ws(" ", kind, noun, F.when(F.col("p_size") > 10, F.col("p_size").cast("string"))))
+    releases = t.part.select(F.col("p_partkey").alias("rid"), F.col("p_brand").alias("release_variant"), text.alias_keys(text.norm_ascii(name), ()).alias("name_keys"))
     status = F.when((F.col("variant") == F.col("release_variant")) & (F.col("name_relation") != "retrieval_only"), "likely_existing_representation").otherwise("name_match_variant_unresolved")
     return joins.alias_retrieval(targets, releases, "p_partkey", "rid", status)
 
@@ -198,7 +198,7 @@ def alias_fallback(t):
 
 
 @query("hash_gate", """
-with q as (select doc_id, sha256(text) as h from documents), c as (select doc_id, case when doc_id % 13 = 0 then 'other' else sha256(text) end as h from documents where doc_id % 11 <> 0),
+with q as (select doc_id, sha256(text) as h from documents), c as (select doc_id, case when doc_id % 13 = 0 then 'other' else sha256(text) end as h from documents where n_chars >= 300),
  r as (select doc_id, case when doc_id % 17 = 0 then 'stale' else sha256(text) end as h, case when quality = 1 then 'approved' else 'rejected' end as decision, toxic = 0 as ok from labels join documents using (doc_id)),
  g as (select doc_id, count(*) as n, min(decision) as d0, max(decision) as d1, bool_and(ok) as ok, min(h) as h0, max(h) as h1 from r group by 1),
  j as (select q.doc_id, coalesce(n, 0) as review_count, case when c.h is null then 'candidate_missing' when c.h <> q.h then 'candidate_digest_mismatch' when n is null then 'review_missing'
@@ -207,28 +207,28 @@ select doc_id, review_count, blocked_reason, blocked_reason is null as admitted
 def hash_gate(t):
     h = F.sha2("text", 256)
     q = t.documents.select("doc_id", h.alias("digest"))
-    c = t.documents.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(h).alias("digest"))
+    c = t.documents.where("n_chars >= 300").select("doc_id", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(h).alias("digest"))
     r = t.labels.join(t.documents.select("doc_id", h.alias("_h")), "doc_id").select(
         "doc_id", F.when(F.col("doc_id") % 17 == 0, "stale").otherwise(F.col("_h")).alias("digest"), F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"),
         F.create_map(F.lit("clean"), F.col("toxic") == 0).alias("checks"))
     return joins.hash_gate(q, c, r, "doc_id", ["digest"]).drop("digest")
 
 
-@query("overlay_documents", """select p_partkey, case when p_size % 7 = 0 then sha256('v2|' || p_name) else sha256(p_name) end as digest, case when p_size % 7 = 0 then 'supplement' else 'base' end as origin from part""")
+@query("overlay_documents", """select p_partkey, case when p_size > 40 then sha256('v2|' || p_name) else sha256(p_name) end as digest, case when p_size > 40 then 'supplement' else 'base' end as origin from part""")
 def overlay_documents(t):
     base = t.part.select("p_partkey", F.sha2("p_name", 256).alias("digest"))
-    new = t.part.where("p_size % 7 = 0").select("p_partkey", F.sha2(F.concat(F.lit("v2|"), "p_name"), 256).alias("digest"))
+    new = t.part.where("p_size > 40").select("p_partkey", F.sha2(F.concat(F.lit("v2|"), "p_name"), 256).alias("digest"))
     return joins.overlay_documents(base, new.unionAll(new), ["p_partkey"], "digest")
 
 
 @query("set_drift", """
-with a as (select p_partkey, p_name, p_size from part where p_partkey % 10 <> 0), b as (select p_partkey, case when p_partkey % 4 = 1 then p_name || '!' else p_name end as p_name, case when p_partkey % 6 = 1 then null else p_size end as p_size from part where p_partkey % 10 <> 1)
+with a as (select p_partkey, p_name, p_size from part where p_brand <> 'Brand#3'), b as (select p_partkey, case when p_partkey % 4 = 1 then p_name || '!' else p_name end as p_name, case when p_partkey % 6 = 1 then null else p_size end as p_size from part where p_brand <> 'Brand#4')
 select coalesce(a.p_partkey, b.p_partkey) as p_partkey, case when b.p_partkey is null then 'missing_right' when a.p_partkey is null then 'extra_right' when a.p_name <> b.p_name or b.p_size is null then 'changed' else 'equal' end as drift_status,
  case when a.p_partkey is null or b.p_partkey is null then '' else concat_ws(',', case when a.p_name <> b.p_name then 'p_name' end, case when b.p_size is null then 'p_size' end) end as changed_fields
 from a full join b on a.p_partkey = b.p_partkey""")
 def set_drift(t):
-    a = t.part.where("p_partkey % 10 <> 0").select("p_partkey", "p_name", "p_size")
-    b = t.part.where("p_partkey % 10 <> 1").select("p_partkey", F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("p_name"),
+    a = t.part.where("p_brand <> 'Brand#3'").select("p_partkey", "p_name", "p_size")
+    b = t.part.where("p_brand <> 'Brand#4'").select("p_partkey", F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("p_name"),
                                                    F.when(F.col("p_partkey") % 6 != 1, F.col("p_size")).alias("p_size"))
     return joins.drift(a, b, ["p_partkey"], ["p_name", "p_size"]).withColumn("changed_fields", F.array_join("changed_fields", ","))
 
@@ -295,7 +295,7 @@ def content_address(t):
 @query("upsert", """select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn = 1""")
 def upsert(t):
     rows = t.events.select("user_id", "event_id", "event_type", "value")
-    return dedup.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["user_id"], "event_id")
+    return dedup.upsert(rows.where("value < 10"), rows.where("value >= 10"), ["user_id"], "event_id")
 
 
 @query("integrity_counts", """
