@@ -32,64 +32,51 @@ def _subsets(words: Column) -> Column:
     return F.filter(grown, lambda s: s != "")
 
 
-def _frequent_words(signatures: DataFrame, words: str, limit: int) -> DataFrame:
-    counts = signatures.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return counts.where(F.col("df") > limit).select("word")
-
-
-def _split_words(signatures: DataFrame, key: str, words: str, frequent: DataFrame) -> DataFrame:
-    """``(key, word, is_frequent)``; the frequent list is at most postings / limit long."""
-    flat = signatures.select(key, F.explode(words).alias("word"))
-    return flat.join(small_side(frequent.withColumn("hot", F.lit(True))), "word", "left").withColumn(
-        "hot", F.coalesce("hot", F.lit(False)))
-
-
 def candidate_pairs(
     left: DataFrame, right: DataFrame, k: int, class_columns: Sequence[str] = (), frequency_limit: int = 1000,
     score: Callable[[DataFrame], DataFrame] | None = None, bound: Callable[[DataFrame], Column] | None = None,
 ) -> DataFrame:
     """Pairs ``(lkey, rkey)`` that contain every top-k partner of each left signature.
 
-    ``left(lkey, words)`` and ``right(rkey, words, min_id, *class_columns)`` hold distinct signatures.
+    ``left(lkey, words, scope)`` and ``right(rkey, words, scopes, min_id, *class_columns)`` hold distinct signatures;
+    a pair needs a shared word inside a shared scope (block), so other blocks never meet.
     """
-    flat = lambda side, key: side.select(key, F.explode("words").alias("word"))
-    # At most postings / limit words are frequent; without any, the plain index is the whole answer.
-    frequent = materialize(_frequent_words(right, "words", frequency_limit))
+    l = left.select("lkey", "scope", F.explode("words").alias("word"))
+    r = right.select("rkey", F.explode("scopes").alias("scope"), "words").select("rkey", "scope", F.explode("words").alias("word"))
+    on = ["scope", "word"]
+    counts = r.groupBy(*on).agg(F.count(F.lit(1)).alias("df"))
+    # At most postings / limit entries are frequent; without any, the plain index is the whole answer.
+    frequent = materialize(counts.where(F.col("df") > frequency_limit).select(*on, F.lit(True).alias("hot")))
     if frequent.isEmpty():
-        return flat(left, "lkey").join(flat(right, "rkey"), "word").select("lkey", "rkey").distinct()
-    l = _split_words(left, "lkey", "words", frequent)
-    r = _split_words(right, "rkey", "words", frequent)
-    rare = l.where(~F.col("hot")).join(r.where(~F.col("hot")), "word").select("lkey", "rkey")
+        return l.join(r, on).select("lkey", "rkey").distinct()
+    mark = lambda side: side.join(small_side(frequent), on, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    l, r = mark(l), mark(r)
+    rare = l.where(~F.col("hot")).join(r.where(~F.col("hot")), on).select("lkey", "rkey")
 
     pack = F.array_sort(F.collect_list("word"))
-    lhot = l.where("hot").groupBy("lkey").agg(pack.alias("hot_words"))
-    rhot = r.where("hot").groupBy("rkey").agg(pack.alias("hot_words")).join(
+    lhot = l.where("hot").groupBy("lkey", "scope").agg(pack.alias("hot_words"))
+    rhot = r.where("hot").groupBy("rkey", "scope").agg(pack.alias("hot_words")).join(
         right.select("rkey", "min_id", F.size("words").alias("_size"), *class_columns), "rkey")
     narrow = F.size("hot_words") <= MAX_FREQUENT
-    lsets = lhot.where(narrow).select("lkey", F.explode(_subsets(F.col("hot_words"))).alias("wordset"))
+    lsets = lhot.where(narrow).select("lkey", "scope", F.explode(_subsets(F.col("hot_words"))).alias("wordset"))
     rsets = rhot.where(narrow).withColumn("wordset", F.explode(_subsets(F.col("hot_words")))).drop("hot_words")
-    classes = ["wordset", "_size", *class_columns]
+    classes = ["scope", "wordset", "_size", *class_columns]
     kept = rsets.withColumn("_n", F.row_number().over(W.partitionBy(*classes).orderBy("min_id"))).where(F.col("_n") <= k)
-    hot = lsets.join(kept.select("wordset", "rkey"), "wordset").select("lkey", "rkey")
+    hot = lsets.join(kept.select("scope", "wordset", "rkey"), ["scope", "wordset"]).select("lkey", "rkey")
     # Names with very many frequent words take the plain index on both sides; still every pair.
-    lwide, rwide = lhot.where(~narrow), rhot.where(~narrow)
-    lflat = lhot.select("lkey", F.explode("hot_words").alias("word"))
-    rflat = rhot.select("rkey", F.explode("hot_words").alias("word"))
-    wide = lwide.select("lkey", F.explode("hot_words").alias("word")).join(rflat, "word").select("lkey", "rkey").unionAll(
-        lflat.join(rwide.select("rkey", F.explode("hot_words").alias("word")), "word").select("lkey", "rkey"))
+    flat = lambda side, key: side.select(key, "scope", F.explode("hot_words").alias("word"))
+    wide = flat(lhot.where(~narrow), "lkey").join(flat(rhot, "rkey"), on).select("lkey", "rkey").unionAll(
+        flat(lhot, "lkey").join(flat(rhot.where(~narrow), "rkey"), on).select("lkey", "rkey"))
     pairs = rare.unionAll(hot).unionAll(wide).distinct()
     if bound is None or score is None:
         return pairs
     # Bound pass: the k-th best score so far decides which classes must be read in full.
-    scored = score(pairs)
-    ranked = scored.withColumn("_n", F.row_number().over(
+    ranked = score(pairs).withColumn("_n", F.row_number().over(
         W.partitionBy("lkey").orderBy(F.col("score").desc(), "min_id"))).where(F.col("_n") <= k)
     kth = ranked.groupBy("lkey").agg(F.count(F.lit(1)).alias("_c"), F.min("score").alias("_kth")).where(F.col("_c") == k)
     sizes = rsets.groupBy(*classes).agg(F.count(F.lit(1)).alias("_members")).where(F.col("_members") > k)
     lwords = left.select("lkey", F.col("words").alias("lwords"))
-    open_ = (
-        lsets.join(sizes, "wordset").join(lwords, "lkey").join(kth, "lkey", "left")
-    )
+    open_ = lsets.join(sizes, ["scope", "wordset"]).join(lwords, "lkey").join(kth, "lkey", "left")
     open_ = open_.where(F.col("_kth").isNull() | (bound(open_) >= F.col("_kth")))
     rest = open_.select("lkey", *classes).join(rsets, classes).select("lkey", "rkey")
     return pairs.unionAll(rest).distinct()
@@ -109,19 +96,22 @@ def signatures(df: DataFrame, ident: str, words: str, class_columns: Sequence[st
 def top_matches(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, score: Callable[[DataFrame], DataFrame],
     k: int = 5, class_columns: Sequence[str] = (), left_columns: Sequence[str] = (), min_score: float = 0.0,
-    allowed: Callable[[DataFrame], Column] | None = None, frequency_limit: int = 1000,
+    scope: Column | None = None, scopes: Column | None = None, frequency_limit: int = 1000,
     bound: Callable[[DataFrame], Column] | None = None, right_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Top-k partners per left record as ``(left_id, rank, right_id, score)``.
 
     ``score`` receives pairs with ``lwords``, ``rwords``, the left and class columns and adds ``score``; it must
     not fall when the overlap grows within one class, unless ``bound`` gives an upper bound per class.
-    ``right_columns`` also identify a right signature, but do not split the classes.
+    ``right_columns`` also identify a right signature, but do not split the classes. ``scope`` of a left signature and
+    the ``scopes`` array of a right one (over their own columns) say which blocks may meet.
     """
     wanted = [*class_columns, *right_columns]
     # Signatures are far fewer than records and are read several times.
-    lsig = materialize(signatures(left, left_id, words, left_columns, 1, "lkey").drop("ids", "min_id"))
-    rsig = materialize(signatures(right, right_id, words, wanted, k, "rkey"))
+    lsig = materialize(signatures(left, left_id, words, left_columns, 1, "lkey").drop("ids", "min_id").withColumn(
+        "scope", F.lit("") if scope is None else scope))
+    rsig = materialize(signatures(right, right_id, words, wanted, k, "rkey").withColumn(
+        "scopes", F.array(F.lit("")) if scopes is None else scopes))
     rcols = [F.col(c).alias(f"r_{c}") for c in wanted]
 
     def attach(pairs: DataFrame) -> DataFrame:
@@ -133,8 +123,6 @@ def top_matches(
     rate = lambda pairs: score(attach(pairs))
     pairs = candidate_pairs(lsig, rsig, k, class_columns, frequency_limit, rate, bound)
     scored = rate(pairs)
-    if allowed is not None:
-        scored = scored.where(allowed(scored))
     scored = scored.where((F.col("score") >= min_score) & (F.col("score") > 0))
     best = scored.withColumn("_n", F.row_number().over(
         W.partitionBy("lkey").orderBy(F.col("score").desc(), "min_id"))).where(F.col("_n") <= k)
@@ -177,9 +165,12 @@ def fuzzy_topk(
     left, right = left.withColumnRenamed(block, "block"), right.withColumnRenamed(block, "block")
     pools = right.select("block").distinct().withColumn("has_pool", F.lit(True))
     left = left.join(small_side(pools), "block", "left").withColumn("has_pool", F.coalesce("has_pool", F.lit(False)))
-    inside = lambda p: F.when(F.col("has_pool"), F.col("block") == F.col("r_block")).otherwise(F.col("r_block") != open_block)
-    return top_matches(left, right, left_id, right_id, words, token_score(), k, ["block"], ["block", "has_pool"],
-                       min_score, inside, frequency_limit)
+    # Scope "=block" is the block itself, "*" is every block but the open one.
+    own = F.concat(F.lit("="), F.coalesce("block", F.lit("")))
+    pooled = left.where(~F.col("has_pool")).isEmpty()
+    scopes = F.array(own) if pooled else F.when(F.col("block").eqNullSafe(F.lit(open_block)), F.array(own)).otherwise(F.array(own, F.lit("*")))
+    return top_matches(left, right, left_id, right_id, words, token_score(), k, ["block"], ["block", "has_pool"], min_score,
+                       F.when(F.col("has_pool"), own).otherwise("*"), scopes, frequency_limit)
 
 
 def confidence_band(score: Column | str, high: float = 0.7, medium: float = 0.45) -> Column:

@@ -430,26 +430,31 @@ def leakage(t):
     return graph.leakage(t.documents.select(F.sha2("text", 256).alias("h"), hash_mod_split("doc_id").alias("split")), "h", "split")
 
 
-@query("connected_components", """
-with recursive e as (select distinct 'd' || doc_id as g, sha256(text) as v from documents union select distinct 'd' || doc_id, sha256(left(text, 60)) from documents),
+LETTERS = "sha256(regexp_replace(lower(text), '[^a-z]+', '', 'g'))"
+
+
+@query("connected_components", f"""
+with recursive e as (select distinct 'd' || doc_id as g, {LETTERS} as v from documents union select distinct 'd' || doc_id, source || n_chars from documents),
  x as (select a.g as a, b.g as b from e a join e b using (v) where a.g <> b.g), reach as (select distinct g, g as r from e union select reach.g, x.b from reach join x on reach.r = x.a)
 select substr(g, 2)::bigint as doc_id, min(r) as component from reach group by 1""")
 def connected_components(t):
-    """Documents linked by equal text or equal opening line; the label is the smallest member."""
+    """Documents linked by equal letters or by equal source and size; the label is the smallest member."""
     d = F.concat(F.lit("d"), "doc_id")
-    keys = F.explode(F.array(F.concat(F.lit("~t"), F.sha2("text", 256)), F.concat(F.lit("~h"), F.sha2(F.left("text", F.lit(60)), 256))))
-    edges = t.documents.select(d.alias("src"), keys.alias("dst"))
-    nodes = t.documents.select(d.alias("node"))
-    everything = nodes.unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    letters = F.concat(F.lit("~t"), F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), 256))
+    size = F.concat(F.lit("~s"), "source", F.col("n_chars").cast("string"))
+    edges = t.documents.select(d.alias("src"), F.explode(F.array(letters, size)).alias("dst"))
+    everything = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     labels = graph.connected_components(everything, edges).where(F.startswith("node", F.lit("d")))
     return labels.select(F.substring("node", F.lit(2), F.lit(20)).cast("long").alias("doc_id"), "component")
 
 
 @query("connected_groups")
 def connected_groups(t):
-    """Leakage-safe split: source pages of one opening line or one text stay together."""
-    d = t.documents.select("doc_id", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("grp"), F.sha2("text", 256).alias("sha"), F.sha2(F.left("text", F.lit(60)), 256).alias("head"))
-    return graph.grouped_split(graph.connected_groups(d, "doc_id", "grp", ["sha", "head"]))
+    """Leakage-safe split: documents with equal letters or equal source and size stay together."""
+    letters = F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), 256)
+    d = t.documents.select("doc_id", F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("grp"), F.sha2("text", 256).alias("sha256"),
+                           letters.alias("duplicate_cluster_id"), F.concat("source", F.col("n_chars").cast("string")).alias("source_reference_asset_id"))
+    return graph.grouped_split(graph.connected_groups(d, "doc_id", "grp", ["sha256", "duplicate_cluster_id", "source_reference_asset_id"]))
 
 
 @query("hardcase_score", """
