@@ -47,12 +47,15 @@ def nested_census(t):
         joined("themes", ["theme"]).alias("themes"), joined("components", ["l_partkey", "p_name", "p_brand"]).alias("components"))
 
 
-@query("ancestry", "select n_nationkey, n_name || '>' || r_name as lineage from nation join region on n_regionkey = r_regionkey")
+@query("ancestry", "select c_custkey, c_name || '>' || n_name || '>' || r_name as lineage from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def ancestry(t):
-    nodes = t.nation.select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("up"), F.col("n_name").alias("name")).unionByName(
-        t.region.select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("up"), F.col("r_name").alias("name")))
-    out = graph.ancestry(nodes, "id", "up", "name").where("id < 1000")
-    return out.select(F.col("id").alias("n_nationkey"), F.array_join(F.transform("lineage", lambda x: x["name"]), ">").alias("lineage"))
+    """Customer > nation > region as one parent table."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = t.customer.select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("up"), F.col("c_name").alias("name")).unionByName(
+        t.nation.select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("up"), F.col("n_name").alias("name"))).unionByName(
+        t.region.select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("up"), F.col("r_name").alias("name")))
+    out = graph.ancestry(nodes, "id", "up", "name").where(F.startswith("id", F.lit("c")))
+    return out.select(F.substring("id", F.lit(2), F.lit(20)).cast("long").alias("c_custkey"), joined("lineage", ["name"]).alias("lineage")).withColumn("lineage", F.replace("lineage", F.lit(","), F.lit(">")))
 
 
 PROFILE_SQL = """

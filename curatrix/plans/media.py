@@ -113,10 +113,10 @@ def embedding_index(t):
 with n as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) as u from embeddings),
  p as (select a.vec_id as query_id, b.vec_id as neighbour_id, round(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])), 6) as cosine from n a join n b on a.vec_id <> b.vec_id),
  r as (select *, row_number() over (partition by query_id order by cosine desc, neighbour_id) as rank from p)
-select query_id, neighbour_id, round(cosine, 5) as cosine, rank::int as rank from r where rank <= 3""")
+select query_id, neighbour_id, cosine, rank::int as rank from r where rank <= 3""")
 def nearest_neighbours(t):
     e = media.embedding_index(t.embeddings, "vec_id", "embedding", "driver-model")
-    return media.nearest_neighbours(e.select("vec_id", "unit"), e.select("vec_id", "unit"), "vec_id", "unit", 3).withColumn("cosine", F.round("cosine", 5))
+    return media.nearest_neighbours(e.select("vec_id", "unit"), e.select("vec_id", "unit"), "vec_id", "unit", 3)
 
 
 @query("status_rollup", "select o_orderstatus, count(*) as n from orders group by 1")

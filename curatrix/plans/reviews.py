@@ -188,7 +188,7 @@ def _folder(t, name):
     return f"{checkpoint_root(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("incremental_ingest")
+@query("incremental_ingest", "select event_id, ts, user_id, event_type, value, props from (select *, row_number() over (partition by user_id, event_type order by event_id) as rn from events) where rn = 1")
 def incremental_ingest(t):
     """Event files read as a stream; one row per user and type survives, restarts do not double rows."""
     source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
@@ -216,13 +216,13 @@ def file_tree(t):
     return readers.scan_file_tree(t.spark, t.folder, {"columnar": ("parquet",)})
 
 
-@query("write_layer")
+@query("write_layer", "select o_orderkey, o_orderpriority, o_totalprice, row_number() over (order by o_orderpriority, o_orderkey) as row_no from orders")
 def write_layer(t):
-    """Ordered layer written and read back with its row numbers."""
-    return writers.write_layer(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name"), _folder(t, "layer"), ["r_name", "n_nationkey"])
+    """Ordered layer of orders written and read back with its row numbers."""
+    return writers.write_layer(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), _folder(t, "layer"), ["o_orderpriority", "o_orderkey"])
 
 
-@query("publish_atomically")
+@query("publish_atomically", "select o_orderstatus, count(*) as rows from orders group by 1")
 def publish_atomically(t):
     """Orders published after a duplicate-key check on the staged files."""
     path = _folder(t, "published")
