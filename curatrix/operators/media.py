@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from curatrix.functions.ids import stable_id
-from curatrix.operators.scale import estimated_bytes, small_side, top_k
+from curatrix.operators.scale import estimated_bytes, top_k
+from curatrix.session import materialize
 
 
 def mask_overlap(masks: DataFrame, left: str, right: str, by: Sequence[str] = ("asset",)) -> DataFrame:
@@ -195,24 +198,96 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest_neighbours(index: DataFrame, queries: DataFrame, ident: str, unit: str, k: int = 5, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Exact top-k neighbours by cosine of unit vectors.
+def _pivot_vectors(index: DataFrame, ident: str, unit: str, pivots: int) -> np.ndarray:
+    """A fixed number of vectors in hash order; they only steer the pruning, never the result."""
+    rows = index.select(F.xxhash64(ident).alias("h"), F.col(unit).alias("u")).orderBy("h").limit(pivots).collect()
+    return np.array([r["u"] for r in rows], dtype="float64").reshape(len(rows), -1)
 
-    Queries of a checked small size are broadcast, so the index is scanned once without a shuffle. A larger
-    query set is split into parts by hash; index and query parts meet on their part pair, and every part pair
-    keeps only ``k`` rows per query before the final merge.
+
+def _cells(df: DataFrame, key: str, unit: str, centres: np.ndarray) -> DataFrame:
+    """Nearest pivot and the angle to it, one matrix product per Arrow batch."""
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                cosines = np.clip(np.stack(pdf["unit"].to_numpy()) @ centres.T, -1.0, 1.0)
+                best = cosines.argmax(axis=1)
+                yield pdf.assign(cell=best.astype("int32"), angle=np.arccos(cosines[np.arange(len(pdf)), best]))
+
+    source = df.select(F.col(key).alias("id"), F.col(unit).alias("unit"))
+    return source.mapInPandas(assign, f"id {dict(source.dtypes)['id']}, unit array<double>, cell int, angle double")
+
+
+def _block_counts(stats: dict, block: int) -> Column:
+    return F.create_map(*[F.lit(v) for cell, row in stats.items() for v in (cell, -(-row["n"] // block))])
+
+
+def _best_in_block(k: int):
+    """Top-k of one query block against one index block: a bounded matrix product."""
+
+    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "neighbour_id": [], "cosine": []}
+        if len(q) and len(x):
+            x = x.sort_values("xid", kind="stable")
+            ids = x["xid"].to_numpy()
+            scores = np.round(np.stack(q["unit"].to_numpy()) @ np.stack(x["xunit"].to_numpy()).T, 6)
+            for row, own in enumerate(q["id"].to_numpy()):
+                line = np.where(ids == own, -2.0, scores[row])
+                order = np.argsort(-line, kind="stable")[:k]
+                order = order[line[order] > -2.0]
+                out["query_id"].extend([own] * len(order))
+                out["neighbour_id"].extend(ids[order])
+                out["cosine"].extend(line[order])
+        return pd.DataFrame(out)
+
+    return search
+
+
+def nearest_neighbours(
+    index: DataFrame, queries: DataFrame, ident: str, unit: str, k: int = 5, max_pivots: int = 256, block: int = 2048,
+) -> DataFrame:
+    """Exact top-k neighbours by cosine of unit vectors, without emitting all pairs.
+
+    Vectors fall into the cell of their nearest pivot, and cells are cut into blocks of about ``block`` rows, so a
+    crowded cell is many tasks. A first look at one block of the own cell gives every query a lower bound; the
+    triangle inequality on angles then drops the cell pairs that cannot hold a better neighbour. The remaining
+    block pairs are matrix products that return ``k`` rows per query. Only per-cell figures reach the driver.
     """
-    q = queries.select(F.col(ident).alias("query_id"), F.col(unit).alias("query_unit"))
-    score = F.round(cosine("query_unit", unit), 6)
-    if estimated_bytes(queries) <= limit_bytes:
-        pairs = index.join(F.broadcast(q), F.col(ident) != F.col("query_id"))
-    else:
-        parts = max(2, int(estimated_bytes(queries) // limit_bytes) + 1)
-        left = index.withColumn("_i", F.pmod(F.xxhash64(ident), F.lit(parts))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(parts))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = left.join(right, ["_i", "_q"]).where(F.col(ident) != F.col("query_id"))
-    scored = pairs.select("query_id", F.col(ident).alias("neighbour_id"), score.alias("cosine"))
-    return top_k(scored, ["query_id"], [F.col("cosine").desc(), "neighbour_id"], k, "rank")
+    # About one cell per block, so that a small index is not cut into crumbs.
+    centres = _pivot_vectors(index, ident, unit, max(1, min(max_pivots, -(-index.count() // block))))
+    kind = dict(index.dtypes)[ident]
+    if not len(centres):
+        return index.sparkSession.createDataFrame([], f"query_id {kind}, neighbour_id {kind}, cosine double, rank int")
+    x = materialize(_cells(index, ident, unit, centres))
+    q = x if queries is index else materialize(_cells(queries, ident, unit, centres))
+    figures = lambda df: {r["cell"]: r for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()}
+    xs, qs = figures(x), figures(q)
+    spark = index.sparkSession
+
+    def blocked(df: DataFrame, stats: dict) -> DataFrame:
+        return df.withColumn("blk", F.pmod(F.xxhash64("id"), F.try_element_at(_block_counts(stats, block), F.col("cell"))).cast("int"))
+
+    qb = blocked(q, qs)
+    xb = blocked(x, xs).select(F.col("id").alias("xid"), F.col("unit").alias("xunit"), F.col("cell").alias("xcell"), F.col("blk").alias("xblk"))
+    schema = f"query_id {kind}, neighbour_id {kind}, cosine double"
+    # First look: the block of the own cell that the query id hashes to.
+    probe = blocked(q, xs)
+    first = probe.groupBy("cell", "blk").cogroup(xb.groupBy("xcell", "xblk")).applyInPandas(_best_in_block(k), schema)
+    bound = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("cosine").alias("kth"))
+    worst = q.join(bound, q["id"] == bound["query_id"], "left").groupBy("cell").agg(
+        F.max(F.when(F.coalesce("c", F.lit(0)) < k, F.lit(np.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("kth") - 1e-6))))).alias("w"))
+    limit = {r["cell"]: r["w"] for r in worst.collect()}
+    between = np.arccos(np.clip(centres @ centres.T, -1.0, 1.0))
+    pairs = [(int(a), int(b)) for a, ra in qs.items() for b, rb in xs.items() if between[a, b] - ra["r"] - rb["r"] <= limit[a] + 1e-9]
+    # Cell pairs are at most pivots squared; the blocks below them are expanded by the executors.
+    plan = F.broadcast(spark.createDataFrame(pairs, "qc int, xc int"))
+    blocks = lambda stats, cell: F.explode(F.sequence(F.lit(0), F.try_element_at(_block_counts(stats, block), F.col(cell)) - 1))
+    left = qb.join(plan, F.col("cell") == F.col("qc")).select("qc", F.col("blk").alias("qk"), "xc", blocks(xs, "xc").alias("xk"), "id", "unit")
+    right = xb.join(plan, F.col("xcell") == F.col("xc")).select("qc", blocks(qs, "qc").alias("qk"), "xc", F.col("xblk").alias("xk"), "xid", "xunit")
+    right = right.withColumnsRenamed({c: f"x_{c}" for c in ("qc", "qk", "xc", "xk")})
+    on = ["qc", "qk", "xc", "xk"]
+    found = left.groupBy(*on).cogroup(right.groupBy(*[f"x_{c}" for c in on])).applyInPandas(_best_in_block(k), schema)
+    return top_k(found, ["query_id"], [F.col("cosine").desc(), "neighbour_id"], k, "rank")
 
 
 def image_part_index(images: DataFrame, parts: DataFrame, stem: str, part: str) -> DataFrame:

@@ -116,7 +116,8 @@ with n as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(l
 select query_id, neighbour_id, cosine, rank::int as rank from r where rank <= 3""")
 def nearest_neighbours(t):
     e = media.embedding_index(t.embeddings, "vec_id", "embedding", "driver-model")
-    return media.nearest_neighbours(e.select("vec_id", "unit"), e.select("vec_id", "unit"), "vec_id", "unit", 3)
+    vectors = e.select("vec_id", "unit")
+    return media.nearest_neighbours(vectors, vectors, "vec_id", "unit", 3)
 
 
 @query("status_rollup", "select o_orderstatus, count(*) as n from orders group by 1")
