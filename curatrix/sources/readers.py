@@ -221,7 +221,9 @@ def select_catalog(texts: DataFrame, catalog: str) -> DataFrame:
 def svg_element_profile(spark: SparkSession, root: str) -> DataFrame:
     """Counts of element tags, fills and strokes per SVG, a side hint and file name words."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.svg").text(root, wholetext=True)
-    text = text.select("value", F.col("_metadata.file_path").alias("source_path"), F.lower(F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]+$", 1)).alias("stem"))
+    # File names in the metadata are percent-encoded.
+    name = F.try_url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    text = text.select("value", F.col("_metadata.file_path").alias("source_path"), F.lower(F.regexp_extract(name, r"^(.*)\.[^.]+$", 1)).alias("stem"))
     body = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
 
     def counts(pattern: str) -> Column:
@@ -251,7 +253,7 @@ def _jpeg_size(content: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.udf("struct<w:int,h:int>", useArrow=True)
+@F.udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())]), useArrow=True)
 def jpeg_size(content):
     """Size from the frame header of a JPEG: a marker walk that column functions cannot express."""
     found = _jpeg_size(bytes(content)) if content is not None else None
