@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from curatrix.operators.graph import connected_components
+from curatrix.operators.scale import small_side
 from curatrix.session import materialize
 
 
@@ -52,28 +53,39 @@ def content_address(df: DataFrame, ident: str, content: str) -> tuple[DataFrame,
     return blobs, occurrences.drop(content)
 
 
-def near_duplicate_pairs(df: DataFrame, ident: str, code: str, distance: int = 3) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, ident: str, code: str, distance: int = 3, crowded: int = 2000) -> DataFrame:
     """Distinct 64-bit codes within a Hamming distance.
 
-    With ``distance + 1`` bands two such codes agree on a whole band. Codes are made distinct first, so equal
-    copies never pair with each other. A band value shared by many codes is split further by a second band:
-    of ``b`` bands at least ``b - distance`` agree, and extra bands raise that to two.
+    Equal codes fold first, so copies never pair with each other. Of ``distance + 2`` bands at least two agree, so
+    codes meet on a pair of bands. A band pair shared by more than ``crowded`` codes is split further by a second,
+    interleaved banding of the same bits, of which two bands must agree as well; no pair is lost.
     """
-    codes = df.select(code).where(F.col(code).isNotNull()).distinct()
+    codes = materialize(df.select(F.col(code).alias("code")).where("code is not null").distinct())
     bands = distance + 2
     width = 64 // bands
-    piece = lambda i: F.expr(f"shiftrightunsigned({code}, {i * width})").bitwiseAND(
-        F.lit((1 << (width if i < bands - 1 else 64 - width * (bands - 1))) - 1))
-    keys = [
-        F.struct(F.lit(i * bands + j).alias("b"), piece(i).alias("x"), piece(j).alias("y"))
-        for i in range(bands) for j in range(i + 1, bands)
-    ]
-    exploded = codes.select(code, F.explode(F.array(*keys)).alias("band"))
-    left = exploded.select(F.col(code).alias("code_a"), "band")
-    right = exploded.select(F.col(code).alias("code_b"), "band")
-    pairs = left.join(right, "band").where(F.col("code_a") < F.col("code_b"))
-    far = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b")))
-    return pairs.withColumn("hamming", far).where(F.col("hamming") <= distance).select("code_a", "code_b", "hamming").distinct()
+    blocks = [((1 << (width if i < bands - 1 else 64 - width * (bands - 1))) - 1) << (i * width) for i in range(bands)]
+    combs = [sum(1 << bit for bit in range(64) if bit % bands == r) for r in range(bands)]
+
+    def band_pairs(masks: Sequence[int]) -> Column:
+        signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+        return F.explode(F.array(*[
+            F.struct(F.lit(i * bands + j).alias("b"), F.col("code").bitwiseAND(F.lit(signed[i] | signed[j])).alias("v"))
+            for i in range(bands) for j in range(i + 1, bands)]))
+
+    banded = codes.select("code", band_pairs(blocks).alias("band"))
+    hot = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("band"))
+
+    def meet(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+        other = rows.select(F.col("code").alias("code_b"), *on)
+        far = F.bit_count(F.col("code").bitwiseXOR(F.col("code_b")))
+        pairs = rows.join(other, list(on)).where(F.col("code") < F.col("code_b")).withColumn("hamming", far)
+        return pairs.where(F.col("hamming") <= distance).select(F.col("code").alias("code_a"), "code_b", "hamming")
+
+    if hot.isEmpty():
+        return meet(banded, ["band"]).distinct()
+    cold = meet(banded.join(small_side(hot), "band", "left_anti"), ["band"])
+    split = banded.join(small_side(hot), "band", "left_semi").select("code", "band", band_pairs(combs).alias("comb"))
+    return cold.unionAll(meet(split, ["band", "comb"])).distinct()
 
 
 def near_duplicate_groups(df: DataFrame, ident: str, code: str, distance: int = 3) -> DataFrame:

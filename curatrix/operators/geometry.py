@@ -79,15 +79,13 @@ def mesh_audit(triangles: DataFrame, digits: int = 7, area: float = 1e-10, volum
 
 
 def face_components(triangles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected face groups per mesh over shared edges; a face links to the edge, never to every other face."""
-    node = lambda *parts: F.to_json(F.array(*[p.cast("string") for p in parts]))
-    face = node(F.lit("f"), F.col("mesh_id"), F.col("tri_id"))
-    line = node(F.lit("e"), F.col("mesh_id"), F.to_json("lo"), F.to_json("hi"))
-    nodes = triangles.select(face.alias("node"), "mesh_id")
-    links = edges.select(face.alias("src"), line.alias("dst"))
-    everything = nodes.select("node").unionByName(links.select(F.col("dst").alias("node"))).distinct()
-    labels = connected_components(everything, links)
-    return nodes.join(labels, "node").groupBy("mesh_id").agg(F.count_distinct("component").alias("components"))
+    """Connected face groups per mesh over shared edges; every face links to the first face of an edge only."""
+    first = edges.groupBy("mesh_id", "lo", "hi").agg(F.min("tri_id").alias("_t"))
+    links = edges.join(first, ["mesh_id", "lo", "hi"]).where(F.col("tri_id") != F.col("_t"))
+    node = lambda c: F.struct(F.col("mesh_id"), F.col(c).alias("tri_id"))
+    nodes = triangles.select(node("tri_id").alias("node"))
+    labels = connected_components(nodes, links.select(node("tri_id").alias("src"), node("_t").alias("dst")))
+    return labels.select("node.mesh_id", "component").groupBy("mesh_id").agg(F.count_distinct("component").alias("components"))
 
 
 def apply_transform(vertices: DataFrame, transforms: DataFrame, key: str, matrix: str = "m") -> DataFrame:

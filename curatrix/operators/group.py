@@ -469,21 +469,27 @@ def size_histogram(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("groups"))
 
 
-def collision_class(df: DataFrame, names: str, matches: str, joined: Column, evidence: str | None = None) -> DataFrame:
+def collision_class(observed: DataFrame, entries: DataFrame, key: Sequence[str], evidence: DataFrame | None = None) -> DataFrame:
     """Structure of a code shared by several catalogue entries.
 
-    ``names`` is the word array of the observed labels, ``matches`` an array of word arrays.
+    ``observed(key, words, joined)`` holds the words of the user's labels and whether a label joins two names;
+    ``entries(key, entry_words)`` has one row per catalogue entry. Entries are tested row by row and only counted per
+    code; ``evidence(key, resolution)`` overrides the structural class.
     """
-    micro = F.exists(matches, lambda m: F.exists(m, lambda w: F.contains(w, F.lit("microfigure"))))
-    supportive = F.size(F.filter(matches, lambda m: F.arrays_overlap(m, F.col(names))))
+    distinct = entries.select(*key, "entry_words").distinct().join(observed.select(*key, "words"), list(key))
+    counts = distinct.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("catalog_entries"), F.count_if(F.arrays_overlap("entry_words", "words")).alias("supportive_entries"),
+        F.bool_or(F.exists("entry_words", lambda w: F.contains(w, F.lit("microfigure")))).alias("_micro"))
+    out = observed.join(counts, list(key), "left").na.fill(0, ["catalog_entries", "supportive_entries"])
+    n = F.col("supportive_entries")
     structural = (
-        F.when(micro & (supportive >= 1), "shared_code_scale_or_component_variant")
-        .when(joined & (supportive >= 2), "shared_package_code_multiple_figures")
-        .when(supportive == 1, "one_catalog_entry_matches_user_identity_other_collision_needs_review")
-        .when(supportive >= 2, "multiple_catalog_entries_support_user_label").otherwise("true_or_unresolved_catalog_collision"))
-    out = df.withColumn("supportive_entries", supportive).withColumn("structural_class", structural)
-    override = F.col(evidence) if evidence else F.lit(None).cast("string")
-    return out.withColumn("collision_class", F.coalesce(override, "structural_class"))
+        F.when(F.coalesce("_micro", F.lit(False)) & (n >= 1), "shared_code_scale_or_component_variant")
+        .when(F.col("joined") & (n >= 2), "shared_package_code_multiple_figures")
+        .when(n == 1, "one_catalog_entry_matches_user_identity_other_collision_needs_review")
+        .when(n >= 2, "multiple_catalog_entries_support_user_label").otherwise("true_or_unresolved_catalog_collision"))
+    out = out.withColumn("structural_class", structural)
+    out = out.join(evidence, list(key), "left") if evidence is not None else out.withColumn("resolution", F.lit(None).cast("string"))
+    return out.select(*key, "catalog_entries", "supportive_entries", "structural_class", F.coalesce("resolution", "structural_class").alias("collision_class"))
 
 
 def crosswalk_triage(status: Column, consistency: Column, matches: Column, brands: Column, supportive: Column) -> Column:

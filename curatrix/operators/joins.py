@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions.rules import jaccard
 from curatrix.functions.text import norm_text, tokens
 from curatrix.operators.scale import first_values, small_side, top_k
+from curatrix.session import materialize
 
 
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column]], columns: Sequence[Column | str]) -> DataFrame:
@@ -62,21 +63,38 @@ def exact_key_crosswalk(
 
 def code_crosswalk(
     releases: DataFrame, catalog: DataFrame, release_id: str, code: str, name: str, catalog_name: str,
-    supportive: float = 0.35,
+    supportive: float = 0.35, crowded: int = 1_000_000,
 ) -> DataFrame:
     """Equal codes: unique, collision or none, best name overlap and consistency.
 
-    Expects both frames with a normalised ``code`` column. Catalogue rows are folded to distinct
-    ``(code, name)`` with a count, so a code shared by many rows does not multiply the releases.
+    Expects both frames with a normalised ``code`` column. Equal names fold on both sides before they are
+    compared. A code whose distinct labels times distinct names exceed ``crowded`` is compared through the word
+    index instead, where only names that share a word meet.
     """
+    from curatrix.operators.matching import top_matches
+
+    words = lambda c: tokens(norm_text(c), min_length=1)
     entries = catalog.groupBy(code, F.col(catalog_name).alias("_name")).agg(F.count(F.lit(1)).alias("_rows"))
     names = releases.select(code, F.col(name).alias("_label")).distinct()
-    score = jaccard(tokens(norm_text("_label"), min_length=1), tokens(norm_text("_name"), min_length=1))
-    pairs = (
-        names.join(entries, code)
-        .groupBy(code, "_label").agg(F.sum("_rows").alias("match_count"), F.max(score).alias("max_name_overlap"))
-    )
-    joined = releases.withColumn("_label", F.col(name)).join(pairs, [code, "_label"], "left").drop("_label")
+    counts = entries.groupBy(code).agg(F.sum("_rows").alias("match_count"), F.count(F.lit(1)).alias("_e"))
+    labels = names.groupBy(code).agg(F.count(F.lit(1)).alias("_l"))
+    hot = materialize(counts.join(labels, code).where(F.col("_e") * F.col("_l") > crowded).select(code))
+    plain = lambda df: df if no_hot else df.join(small_side(hot), code, "left_anti")
+    no_hot = hot.isEmpty()
+    # Words are taken once per distinct name, not once per pair.
+    lw = plain(names).withColumn("_lw", words("_label"))
+    best = lw.join(plain(entries).withColumn("_rw", words("_name")), code).groupBy(code, "_label").agg(
+        F.max(jaccard("_lw", "_rw")).alias("max_name_overlap"))
+    if not no_hot:
+        crowd = lambda df: df.join(small_side(hot), code, "left_semi")
+        left = crowd(names).select(F.struct(code, "_label").alias("lid"), words("_label").alias("words"), F.col(code).alias("block"))
+        right = crowd(entries).select(F.col("_name").alias("rid"), words("_name").alias("words"), F.col(code).alias("block"))
+        score = lambda pairs: pairs.withColumn("score", jaccard("lwords", "rwords"))
+        found = top_matches(left, right, "lid", "rid", "words", score, 1, ["block"], ["block"], scope=F.col("block").cast("string"),
+                            scopes=F.array(F.col("block").cast("string")))
+        hit = left.select("lid").join(found, "lid", "left").select("lid.*", F.coalesce("score", F.lit(0.0)).alias("max_name_overlap"))
+        best = best.unionByName(hit)
+    joined = releases.withColumn("_label", F.col(name)).join(counts.select(code, "match_count"), code, "left").join(best, [code, "_label"], "left")
     n = F.coalesce(F.col("match_count"), F.lit(0))
     return joined.select(
         release_id, code, name, n.alias("match_count"), F.col("max_name_overlap"),

@@ -35,11 +35,14 @@ def _subsets(words: Column) -> Column:
 def candidate_pairs(
     left: DataFrame, right: DataFrame, k: int, class_columns: Sequence[str] = (), frequency_limit: int = 1000,
     score: Callable[[DataFrame], DataFrame] | None = None, bound: Callable[[DataFrame], Column] | None = None,
+    bonus: str | None = None,
 ) -> DataFrame:
     """Pairs ``(lkey, rkey)`` that contain every top-k partner of each left signature.
 
     ``left(lkey, words, scope)`` and ``right(rkey, words, scopes, min_id, *class_columns)`` hold distinct signatures;
-    a pair needs a shared word inside a shared scope (block), so other blocks never meet.
+    a pair needs a shared word inside a shared scope (block), so other blocks never meet. ``bonus`` names an array on
+    both sides whose overlap can only raise a score: the best of every class are kept once without it and once per
+    value of it.
     """
     l = left.select("lkey", "scope", F.explode("words").alias("word"))
     r = right.select("rkey", F.explode("scopes").alias("scope"), "words").select("rkey", "scope", F.explode("words").alias("word"))
@@ -56,13 +59,18 @@ def candidate_pairs(
     pack = F.array_sort(F.collect_list("word"))
     lhot = l.where("hot").groupBy("lkey", "scope").agg(pack.alias("hot_words"))
     rhot = r.where("hot").groupBy("rkey", "scope").agg(pack.alias("hot_words")).join(
-        right.select("rkey", "min_id", F.size("words").alias("_size"), *class_columns), "rkey")
+        right.select("rkey", "min_id", F.size("words").alias("_size"), *class_columns, *([bonus] if bonus else [])), "rkey")
     narrow = F.size("hot_words") <= MAX_FREQUENT
     lsets = lhot.where(narrow).select("lkey", "scope", F.explode(_subsets(F.col("hot_words"))).alias("wordset"))
     rsets = rhot.where(narrow).withColumn("wordset", F.explode(_subsets(F.col("hot_words")))).drop("hot_words")
     classes = ["scope", "wordset", "_size", *class_columns]
-    kept = rsets.withColumn("_n", F.row_number().over(W.partitionBy(*classes).orderBy("min_id"))).where(F.col("_n") <= k)
+    first_k = lambda rows, by: rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("min_id"))).where(F.col("_n") <= k)
+    kept = first_k(rsets, classes)
     hot = lsets.join(kept.select("scope", "wordset", "rkey"), ["scope", "wordset"]).select("lkey", "rkey")
+    if bonus:
+        lb = lsets.join(left.select("lkey", F.explode(bonus).alias("_b")), "lkey")
+        rb = first_k(rsets.withColumn("_b", F.explode(bonus)), [*classes, "_b"]).select("scope", "wordset", "_b", "rkey")
+        hot = hot.unionAll(lb.join(rb, ["scope", "wordset", "_b"]).select("lkey", "rkey"))
     # Names with very many frequent words take the plain index on both sides; still every pair.
     flat = lambda side, key: side.select(key, "scope", F.explode("hot_words").alias("word"))
     wide = flat(lhot.where(~narrow), "lkey").join(flat(rhot, "rkey"), on).select("lkey", "rkey").unionAll(
@@ -98,13 +106,15 @@ def top_matches(
     k: int = 5, class_columns: Sequence[str] = (), left_columns: Sequence[str] = (), min_score: float = 0.0,
     scope: Column | None = None, scopes: Column | None = None, frequency_limit: int = 1000,
     bound: Callable[[DataFrame], Column] | None = None, right_columns: Sequence[str] = (),
+    bonus: str | None = None,
 ) -> DataFrame:
     """Top-k partners per left record as ``(left_id, rank, right_id, score)``.
 
     ``score`` receives pairs with ``lwords``, ``rwords``, the left and class columns and adds ``score``; it must
     not fall when the overlap grows within one class, unless ``bound`` gives an upper bound per class.
     ``right_columns`` also identify a right signature, but do not split the classes. ``scope`` of a left signature and
-    the ``scopes`` array of a right one (over their own columns) say which blocks may meet.
+    the ``scopes`` array of a right one (over their own columns) say which blocks may meet. ``bonus`` is an array
+    column of both sides (listed in ``left_columns`` and ``right_columns``) whose overlap can only raise a score.
     """
     wanted = [*class_columns, *right_columns]
     # Signatures are far fewer than records and are read several times.
@@ -121,7 +131,7 @@ def top_matches(
         )
 
     rate = lambda pairs: score(attach(pairs))
-    pairs = candidate_pairs(lsig, rsig, k, class_columns, frequency_limit, rate, bound)
+    pairs = candidate_pairs(lsig, rsig, k, class_columns, frequency_limit, rate, bound, bonus)
     scored = rate(pairs)
     scored = scored.where((F.col("score") >= min_score) & (F.col("score") > 0))
     best = scored.withColumn("_n", F.row_number().over(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "joins", "matching", "groups", "ranking", "pages", "reviews", "media")
+MODULES = ("text", "joins", "matching", "groups", "ranking", "pages", "reviews", "media", "geometry")
 
 
 def load():

@@ -51,7 +51,7 @@ def fuzzy_subject_match(t):
     right = t.part.select(F.col("p_partkey").alias("rid"), F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("words"), F.array(F.col("p_size") % 20 + 1970).alias("years"))
     generic = ("economy", "small")
     right = right.withColumn("specific", F.size(F.filter("words", lambda w: ~w.isin(*generic))))
-    return matching.top_matches(left, right, "p_partkey", "rid", "words", matching.subject_score(generic), 8, ["years", "specific"], ["years"])
+    return matching.top_matches(left, right, "p_partkey", "rid", "words", matching.subject_score(generic), 8, ["specific"], ["years"], right_columns=["years"], bonus="years")
 
 
 def composite(t):
@@ -111,14 +111,13 @@ def promotion_rank(t):
 
 
 @query("collision_class", """
-with g as (select p_brand, p_size, list(distinct p_name) as names, count(*) as n, bool_or(contains(p_name, 'small')) as joined from part group by 1, 2), a as (select *, list_distinct(flatten(list_transform(names[1:1], lambda x: string_split(x, ' ')))) as w1 from (select p_brand, p_size, list_sort(names) as names, n, joined from g)),
- s as (select *, len(list_filter(names, lambda m: list_has_any(string_split(m, ' '), w1))) as sup from a)
-select p_brand, p_size, sup::int as supportive_entries, case when joined and sup >= 2 then 'shared_package_code_multiple_figures' when sup = 1 then 'one_catalog_entry_matches_user_identity_other_collision_needs_review' when sup >= 2 then 'multiple_catalog_entries_support_user_label' else 'true_or_unresolved_catalog_collision' end as structural_class from s""")
+with e as (select distinct p_brand, p_size, p_name from part), o as (select p_brand, p_size, string_split(min(p_name), ' ') as w, bool_or(contains(p_name, 'small')) as joined from part group by 1, 2),
+ s as (select p_brand, p_size, joined, count(*) as catalog_entries, count_if(list_has_any(string_split(p_name, ' '), w)) as sup from o join e using (p_brand, p_size) group by 1, 2, 3)
+select p_brand, p_size, catalog_entries, sup as supportive_entries, case when joined and sup >= 2 then 'shared_package_code_multiple_figures' when sup = 1 then 'one_catalog_entry_matches_user_identity_other_collision_needs_review' when sup >= 2 then 'multiple_catalog_entries_support_user_label' else 'true_or_unresolved_catalog_collision' end as structural_class from s""")
 def collision_class(t):
-    # A code has few distinct names: the vocabulary of names is fixed by the catalogue.
-    g = t.part.groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_name")).alias("names"), F.bool_or(F.contains("p_name", F.lit("small"))).alias("joined"))
-    g = g.withColumn("observed", F.split(F.get("names", F.lit(0)), " ")).withColumn("matches", F.transform("names", lambda n: F.split(n, " ")))
-    return group.collision_class(g, "observed", "matches", F.col("joined")).select("p_brand", "p_size", "supportive_entries", "structural_class")
+    observed = t.part.groupBy("p_brand", "p_size").agg(F.split(F.min("p_name"), " ").alias("words"), F.bool_or(F.contains("p_name", F.lit("small"))).alias("joined"))
+    entries = t.part.select("p_brand", "p_size", F.split("p_name", " ").alias("entry_words"))
+    return group.collision_class(observed, entries, ["p_brand", "p_size"]).drop("collision_class")
 
 
 @query("counterpart_class", """

@@ -98,3 +98,56 @@ def test_subsets(spark):
 def test_bands(spark):
     df = spark.createDataFrame([(0.9, 0.2), (0.9, 0.01), (0.8, 0.06), (0.5, 0.5)], "t double, m double")
     assert [r.b for r in df.select(matching.composite_band("t", "m").alias("b")).collect()] == ["strong_candidate", "unresolved", "review_candidate", "unresolved"]
+
+
+@pytest.mark.parametrize("crowded", [1_000_000, 10])
+def test_code_crosswalk_with_a_crowded_code(spark, crowded):
+    from curatrix.operators import joins
+
+    rng = random.Random(9)
+    label = lambda: " ".join(rng.sample(WORDS, rng.randint(1, 3)))
+    rel = [(i, "HOT" if i % 3 else f"C{i % 7}", label()) for i in range(60)]
+    cat = [("HOT" if i % 2 else f"C{i % 5}", label()) for i in range(80)]
+    out = joins.code_crosswalk(spark.createDataFrame(rel, "id int, code string, name string"), spark.createDataFrame(cat, "code string, cname string"), "id", "code", "name", "cname", crowded=crowded)
+    got = {r.id: (r.match_count, r.max_name_overlap, r.identity_consistency) for r in out.collect()}
+    for i, code, name in rel:
+        found = [c for k, c in cat if k == code]
+        best = max([round(len(set(name.split()) & set(c.split())) / len(set(name.split()) | set(c.split())), 4) for c in found], default=None)
+        want = "no_catalog_match" if not found else "name_supportive" if best >= 0.35 else "serial_match_name_needs_review"
+        assert got[i] == (len(found), best, want)
+
+
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_subject_match_with_years_equals_brute_force(spark, limit):
+    rng = random.Random(11)
+    pick = lambda lo, hi: sorted(rng.sample(WORDS[:7], rng.randint(lo, hi)))
+    left = [(i, pick(1, 3), [1990 + rng.randint(0, 3)] if i % 4 else []) for i in range(50)]
+    right = [(i, pick(1, 4), [1990 + rng.randint(0, 5)]) for i in range(160)]
+    generic = ("old", "ice")
+    ldf = spark.createDataFrame(left, "lid int, words array<string>, years array<int>")
+    rdf = spark.createDataFrame(right, "rid int, words array<string>, years array<int>").withColumn("specific", F.size(F.filter("words", lambda w: ~w.isin(*generic))))
+    out = matching.top_matches(ldf, rdf, "lid", "rid", "words", matching.subject_score(generic), 6, ["specific"], ["years"], right_columns=["years"], bonus="years", frequency_limit=limit)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.lid, []).append((r["rank"], r.rid, round(r.score, 4)))
+
+    def score(a, b, ya, yb):
+        s, t = set(a), set(b)
+        shared = s & t
+        if not shared:
+            return 0.0
+        long_word = 0.42 if len(min(shared)) >= 7 else 0.0
+        if s <= t:
+            v = (0.79 if t - s <= set(generic) else long_word) if len(s) == 1 else min(1.0, 0.72 + 0.07 * len(s))
+        elif len(shared) >= 2:
+            v = min(0.88, 0.30 + 0.45 * len(shared) / len(s) + 0.05 * len(shared))
+        else:
+            v = long_word
+        if v and ya:
+            v = max(0.0, min(1.0, v + (0.10 if set(ya) & set(yb) else -0.10)))
+        return round(v, 4)
+
+    for lid, a, ya in left:
+        scored = sorted((-score(a, b, ya, yb), rid) for rid, b, yb in right)
+        want = [(i, rid, -s) for i, (s, rid) in enumerate([x for x in scored if x[0] < 0][:6], 1)]
+        assert sorted(got.get(lid, [])) == want

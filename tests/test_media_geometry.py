@@ -116,7 +116,8 @@ def test_difference_hash_and_pairs(spark):
     codes += [c ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for c in codes[:40]] + codes[:10]
     df = spark.createDataFrame(list(enumerate(codes)), "id int, code long")
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(set(codes), 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    assert set(values(dedup.near_duplicate_pairs(df, "id", "code", 3), "code_a", "code_b")) == want
+    for crowded in (2000, 1):
+        assert set(values(dedup.near_duplicate_pairs(df, "id", "code", 3, crowded), "code_a", "code_b")) == want
     groups = dedup.near_duplicate_groups(df, "id", "code", 3)
     assert groups.count() == len(codes) and groups.where("id in (0, 120)").select("group_code").distinct().count() == 1
 
