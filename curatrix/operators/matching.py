@@ -19,7 +19,8 @@ from curatrix.functions.text import col
 from curatrix.operators.scale import small_side
 from curatrix.session import materialize
 
-MAX_FREQUENT = 10
+# Up to this many frequent words all their sets are listed.
+MAX_FREQUENT = 8
 
 
 def _subsets(words: Column) -> Column:
@@ -32,8 +33,20 @@ def _subsets(words: Column) -> Column:
     return F.filter(grown, lambda s: s != "")
 
 
+def _combinations(words: Column, size: int) -> Column:
+    """Combinations of two or three words of a sorted array, each joined by blanks."""
+
+    def after(i: Column) -> Column:
+        return F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0)))
+
+    if size == 2:
+        return F.flatten(F.transform(words, lambda w, i: F.transform(after(i), lambda v: F.concat_ws(" ", w, v))))
+    return F.flatten(F.transform(words, lambda w, i: F.flatten(F.transform(
+        after(i), lambda v, j: F.transform(after(i + j + 1), lambda u: F.concat_ws(" ", w, v, u))))))
+
+
 def candidate_pairs(
-    left: DataFrame, right: DataFrame, k: int, class_columns: Sequence[str] = (), frequency_limit: int = 1000,
+    left: DataFrame, right: DataFrame, k: int, class_columns: Sequence[str] = (), frequency_limit: int = 64,
     score: Callable[[DataFrame], DataFrame] | None = None, bound: Callable[[DataFrame], Column] | None = None,
     bonus: str | None = None,
 ) -> DataFrame:
@@ -61,8 +74,9 @@ def candidate_pairs(
     rhot = r.where("hot").groupBy("rkey", "scope").agg(pack.alias("hot_words")).join(
         right.select("rkey", "min_id", F.size("words").alias("_size"), *class_columns, *([bonus] if bonus else [])), "rkey")
     narrow = F.size("hot_words") <= MAX_FREQUENT
-    lsets = lhot.where(narrow).select("lkey", "scope", F.explode(_subsets(F.col("hot_words"))).alias("wordset"))
-    rsets = rhot.where(narrow).withColumn("wordset", F.explode(_subsets(F.col("hot_words")))).drop("hot_words")
+    sets = F.explode(F.when(narrow, _subsets(F.col("hot_words"))).otherwise(F.concat("hot_words", _combinations(F.col("hot_words"), 2))))
+    lsets = lhot.select("lkey", "scope", sets.alias("wordset"))
+    rsets = rhot.withColumn("wordset", sets).drop("hot_words")
     classes = ["scope", "wordset", "_size", *class_columns]
     first_k = lambda rows, by: rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("min_id"))).where(F.col("_n") <= k)
     kept = first_k(rsets, classes)
@@ -71,10 +85,11 @@ def candidate_pairs(
         lb = lsets.join(left.select("lkey", F.explode(bonus).alias("_b")), "lkey")
         rb = first_k(rsets.withColumn("_b", F.explode(bonus)), [*classes, "_b"]).select("scope", "wordset", "_b", "rkey")
         hot = hot.unionAll(lb.join(rb, ["scope", "wordset", "_b"]).select("lkey", "rkey"))
-    # Names with very many frequent words take the plain index on both sides; still every pair.
-    flat = lambda side, key: side.select(key, "scope", F.explode("hot_words").alias("word"))
-    wide = flat(lhot.where(~narrow), "lkey").join(flat(rhot, "rkey"), on).select("lkey", "rkey").unionAll(
-        flat(lhot, "lkey").join(flat(rhot.where(~narrow), "rkey"), on).select("lkey", "rkey"))
+    # A name with very many frequent words lists only its sets of one and two; a pair that shares three or more
+    # meets on a triple instead, which is far rarer than a word.
+    triples = lambda side, key: side.select(key, "scope", F.explode(_combinations(F.col("hot_words"), 3)).alias("word"))
+    wide = triples(lhot.where(~narrow), "lkey").join(triples(rhot, "rkey"), on).select("lkey", "rkey").unionAll(
+        triples(lhot, "lkey").join(triples(rhot.where(~narrow), "rkey"), on).select("lkey", "rkey"))
     pairs = rare.unionAll(hot).unionAll(wide).distinct()
     if bound is None or score is None:
         return pairs
@@ -104,7 +119,7 @@ def signatures(df: DataFrame, ident: str, words: str, class_columns: Sequence[st
 def top_matches(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, score: Callable[[DataFrame], DataFrame],
     k: int = 5, class_columns: Sequence[str] = (), left_columns: Sequence[str] = (), min_score: float = 0.0,
-    scope: Column | None = None, scopes: Column | None = None, frequency_limit: int = 1000,
+    scope: Column | None = None, scopes: Column | None = None, frequency_limit: int = 64,
     bound: Callable[[DataFrame], Column] | None = None, right_columns: Sequence[str] = (),
     bonus: str | None = None,
 ) -> DataFrame:
@@ -166,7 +181,7 @@ def token_score(block_bonus: float = 0.12) -> Callable[[DataFrame], DataFrame]:
 
 def fuzzy_topk(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str = "words", block: str | None = None,
-    k: int = 5, min_score: float = 0.18, open_block: str = "other", frequency_limit: int = 1000,
+    k: int = 5, min_score: float = 0.18, open_block: str = "other", frequency_limit: int = 64,
 ) -> DataFrame:
     """Token-overlap top-k inside the block; a left row whose block has no pool sees all blocks but ``open_block``."""
     if block is None:

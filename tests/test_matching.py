@@ -151,3 +151,16 @@ def test_subject_match_with_years_equals_brute_force(spark, limit):
         scored = sorted((-score(a, b, ya, yb), rid) for rid, b, yb in right)
         want = [(i, rid, -s) for i, (s, rid) in enumerate([x for x in scored if x[0] < 0][:6], 1)]
         assert sorted(got.get(lid, [])) == want
+
+
+def test_combinations(spark):
+    words = F.array(*[F.lit(w) for w in "abcd"])
+    row = spark.range(1).select(matching._combinations(words, 2).alias("p"), matching._combinations(words, 3).alias("t")).first()
+    assert sorted(row.p) == sorted(" ".join(c) for c in itertools.combinations("abcd", 2))
+    assert sorted(row.t) == sorted(" ".join(c) for c in itertools.combinations("abcd", 3))
+
+
+def test_names_with_many_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MAX_FREQUENT", 2)
+    test_fuzzy_topk_equals_brute_force(spark, 5)
+    test_composite_equals_brute_force(spark, 4)
