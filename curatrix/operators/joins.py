@@ -230,9 +230,10 @@ def expand_to_parts(
         .when(~printed, "base_substrate_link")
         .when(F.col("_b.score") >= strict_score, "strict_print_link").otherwise("unverified_print_link")
     )
-    flat = linked.select(subject, "component_id", part, F.col("_b.score").alias(score),
+    flat = linked.select(subject, "component_id", part, "print_of", F.col("_b.score").alias(score),
                          F.col("_b.entity").alias(entity), kind.alias("link_class"))
-    return top_k(flat, [subject], [F.col(score).desc(), part, "component_id"], keep, "link_rank")
+    order = [F.col(score).desc(), part, "component_id", F.col("print_of").asc_nulls_first()]
+    return top_k(flat, [subject], order, keep, "link_rank").drop("print_of")
 
 
 # Order of representation states, strongest first.
