@@ -43,7 +43,17 @@ def part_bounds_by_label(t):
     return geometry.part_bounds(mesh, labels).select("mesh_id", "part_id", *[f"{m}_{a}" for a in "xyz" for m in ("min", "max")], "triangle_count")
 
 
-@query("collision_candidates")
+# Which box ends a triangle spans on each axis, for the SQL side.
+SPANS = ", ".join("(" + ", ".join(str(f(CORNERS[k][a] for k in face)) for a in range(3) for f in (min, max)) + ")" for face in FACES)
+COLLISION_SQL = f"""
+with b as ({BOX_SQL}), f(xa, xb, ya, yb, za, zb) as (values {SPANS}),
+ p as (select a.*, b.id as id2, b.x0 as u0, b.x1 as u1, b.y0 as v0, b.y1 as v1, b.z0 as w0, b.z1 as w1 from b a join b on a.id < b.id and a.x0 <= b.x1 + 1e-9 and a.x1 + 1e-9 >= b.x0 and a.y0 <= b.y1 + 1e-9 and a.y1 + 1e-9 >= b.y0 and a.z0 <= b.z1 + 1e-9 and a.z1 + 1e-9 >= b.z0),
+ t as (select id, id2, x0 + f.xa * (x1 - x0) as a0, x0 + f.xb * (x1 - x0) as a1, y0 + f.ya * (y1 - y0) as b0, y0 + f.yb * (y1 - y0) as b1, z0 + f.za * (z1 - z0) as c0, z0 + f.zb * (z1 - z0) as c1,
+   u0 + g.xa * (u1 - u0) as d0, u0 + g.xb * (u1 - u0) as d1, v0 + g.ya * (v1 - v0) as e0, v0 + g.yb * (v1 - v0) as e1, w0 + g.za * (w1 - w0) as h0, w0 + g.zb * (w1 - w0) as h1 from p, f, f as g)
+select id as left_part, id2 as right_part, count(*) as triangle_pairs from t where a0 <= d1 + 1e-9 and a1 + 1e-9 >= d0 and b0 <= e1 + 1e-9 and b1 + 1e-9 >= e0 and c0 <= h1 + 1e-9 and c1 + 1e-9 >= h0 group by 1, 2"""
+
+
+@query("collision_candidates", COLLISION_SQL)
 def collision_candidates(t):
     """Triangle pairs of different parts with overlapping boxes, counted per pair of parts."""
     mesh = box_meshes(t).withColumn("tri_id", F.col("mesh_id") * 12 + F.col("tri_id"))

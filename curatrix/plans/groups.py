@@ -451,7 +451,16 @@ def connected_components(t):
     return labels.select(F.substring("node", F.lit(2), F.lit(20)).cast("long").alias("doc_id"), "component")
 
 
-@query("connected_groups")
+GROUPS_SQL = f"""
+with recursive e as (select distinct doc_id, sha256(text) as v from documents union select distinct doc_id, {LETTERS} from documents union select distinct doc_id, source || n_chars from documents),
+ x as (select a.doc_id as a, b.doc_id as b from e a join e b using (v) where a.doc_id <> b.doc_id), reach as (select distinct doc_id as g, doc_id as r from e union select reach.g, x.b from reach join x on reach.r = x.a),
+ c as (select g, min(r) as root from reach group by 1), m as (select c.g as doc_id, root, source || '-' || doc_id as group_id from c join documents on doc_id = c.g),
+ d as (select root, sha256('[' || string_agg('["group","' || group_id || '"]', ',' order by '["group","' || group_id || '"]') || ']') as component_id from m group by 1),
+ v as (select m.doc_id, group_id, false as used_fallback, component_id, ('0x' || left(sha256(component_id), 16))::ubigint::double / 18446744073709551616.0 as f from m join d using (root))
+select doc_id, group_id, used_fallback, component_id, case when f < 0.8 then 'train' when f < 0.9 then 'validation' else 'test' end as split from v"""
+
+
+@query("connected_groups", GROUPS_SQL)
 def connected_groups(t):
     """Leakage-safe split: documents with equal letters or equal source and size stay together."""
     letters = F.sha2(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), 256)

@@ -35,7 +35,14 @@ def image_candidates(t):
     return pages.image_candidates(t.pages, needles=("example", ".png", ".jpg"))
 
 
-@query("preferred_page_image")
+IMAGE_SQL = f"""
+with m as (select page_id, url, list_concat(regexp_extract_all(html, '(?i)<meta[^>]+property=["'']og:image["''][^>]+content=["'']([^"'']+)["'']', 1), regexp_extract_all(html, '(?i)<img[^>]+(?:data-zoom-image|data-image|data-src|src)=["'']([^"'']+)["'']', 1),
+   regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+\\.(?:png|jpe?g|webp)(?:\\?[^"'']*)?)["'']', 1)) as refs from pages),
+ r as (select page_id, list_transform(refs, lambda x: case when x like '//%' then regexp_extract(url, '^([A-Za-z]+:)', 1) || x when x like '/%' then regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || x else x end) as u from m)
+select page_id, len(list_distinct(u))::int as image_count, u[1] as first_image from r"""
+
+
+@query("preferred_page_image", IMAGE_SQL)
 def preferred_page_image(t):
     p = t.pages.select("page_id", pages.page_images("html", "url").alias("images"))
     return p.select("page_id", F.size("images").alias("image_count"), pages.preferred_page_image("images", 0).alias("first_image"))

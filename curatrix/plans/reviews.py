@@ -195,7 +195,15 @@ def incremental_ingest(t):
     return jobs.incremental_ingest(source, _folder(t, "ingest"), _folder(t, "ingest-log"), ["user_id", "event_type"], ["event_id"])
 
 
-@query("review_log_stream")
+STREAM_SQL = """
+with r as (select user_id as item_id, case event_type when 'purchase' then 'adjudicated' when 'view' then 'draft' else 'submitted' end as st, event_id % 3 as who, event_type as ph, 'e' || event_id as rid from events),
+ s as (select item_id, count_if(st = 'submitted') as submitted_count, count_if(st = 'draft') as draft_count, count_if(st = 'adjudicated') as adjudicated_count, count(distinct case when st = 'submitted' then ph end) as submitted_payloads, count(distinct case when st = 'submitted' then who end) as independent_reviewers,
+  count(distinct case when st = 'adjudicated' then ph end) as adjudicated_payloads, (count_if(st <> 'draft') > 0)::int as evidence_variants, 0 as evidence_missing, 0 as reference_errors, count_if(st = 'adjudicated') as independence_errors from r group by 1)
+select *, case when independence_errors > 0 then 'invalid_adjudicator_independence' when submitted_count >= 2 and independent_reviewers < 2 then 'needs_independent_second_review' when submitted_count >= 2 and submitted_payloads = 1 then 'agreement_candidate' when submitted_count >= 2 then 'needs_adjudication' when submitted_count = 1 then 'needs_second_review' else 'draft_only' end as status,
+ false as training_eligible, null::varchar as selected_review_id from s"""
+
+
+@query("review_log_stream", STREAM_SQL)
 def review_log_stream(t):
     """Event log read as a stream of reviews; statuses of touched items are recomputed."""
     source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
