@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions.ids import set_digest
 from curatrix.functions.rules import compact, count_map, reasons, weighted_sum
@@ -31,8 +31,7 @@ def nested_census(
     nested = {n: nest(df, [key], order, items, n, chunk) for n, (df, order, items) in facets.items()}
     out = entities.withColumn("chunk_no", F.lit(0))
     for name, part in nested.items():
-        head, tail = part.where("chunk_no = 0"), part.where("chunk_no > 0")
-        out = out.join(head.drop("chunk_no"), key, "left") if name not in out.columns else out
+        out = out.join(part.where("chunk_no = 0").drop("chunk_no"), key, "left")
     extra = None
     for name, part in nested.items():
         tail = part.where("chunk_no > 0")

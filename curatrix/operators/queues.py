@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions.rules import (
-    classify_ladder, compact, containment, jaccard, measurement_signals, name_drift, reasons, signal_score, temporal_relation,
-    weighted_sum,
+    classify_ladder, compact, name_drift, reasons, signal_score, temporal_relation, weighted_sum,
 )
 from curatrix.functions.text import norm_text, tokens, year_like
 from curatrix.operators.pages import url_host

@@ -6,10 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from curatrix.functions.ids import canonical_digest, canonical_json, stable_id
-from curatrix.functions.rules import compact, reasons, weighted_sum
+from curatrix.functions.ids import canonical_digest, canonical_json
+from curatrix.functions.rules import compact, reasons
 from curatrix.operators.dq import with_errors
-from curatrix.operators.scale import position, small_side
 
 # Vocabulary of a review.
 SCHEMA = "fortnite-semantic-review/v1"

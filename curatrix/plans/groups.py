@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import rules, text
 from curatrix.functions.reference import with_reference
-from curatrix.operators import dq, graph, group, queues, rank, review
+from curatrix.operators import dq, graph, group, queues, review
 from curatrix.plans.registry import query
 
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from curatrix.functions import rules, text
-from curatrix.operators import dedup, dq, group, joins, matching
+from curatrix.functions import text
+from curatrix.operators import dedup, dq, group, joins
 from curatrix.plans.registry import query
 
 

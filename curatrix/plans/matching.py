@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from curatrix.functions import rules, text
 from curatrix.operators import group, matching, queues, rank
 from curatrix.plans.registry import query
 

@@ -1,12 +1,10 @@
 """Review lifecycle over labels, documents and events."""
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
-from curatrix.functions.ids import stable_id
-from curatrix.operators import dq, graph, queues, rank, review
+from curatrix.operators import dq, queues, review
 from curatrix.plans.registry import query
 from curatrix.session import checkpoint_root
 from curatrix.sources import readers, writers

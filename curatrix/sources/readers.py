@@ -5,13 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from curatrix.functions.rules import classify_ladder
-
 # Required columns of the ten catalogue datasets.
 CATALOG: dict[str, tuple[str, ...]] = {
     "minifigs": ("fig_num", "name", "num_parts", "img_url"),
@@ -272,8 +270,6 @@ def image_headers(files: DataFrame, content: str = "content") -> DataFrame:
         .when(head.rlike("^47494638(37|39)61"), "gif").when(head.rlike("^52494646.{8}57454250"), "webp"))
     kind = hexed(13, 4)
     le24 = lambda at: number(F.concat(hexed(at + 2, 1), hexed(at + 1, 1), hexed(at, 1))) + 1
-    bits = number(F.concat(hexed(25, 1), hexed(24, 1), hexed(23, 1), hexed(22, 1)))
-    lossless = number(F.concat(hexed(25, 1), hexed(24, 1), hexed(23, 1), hexed(22, 1)).substr(1, 8)).cast("long")
     raw = F.conv(F.concat(hexed(25, 1), hexed(24, 1), hexed(23, 1), hexed(22, 1)), 16, 10).cast("long")
     jpeg = jpeg_size(F.when(fmt == "jpeg", c))
     size = (

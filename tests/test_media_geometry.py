@@ -4,8 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from curatrix.operators import dedup, geometry, media, pages
 from conftest import values
 

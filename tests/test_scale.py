@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.ids import set_digest
 from curatrix.operators import scale
-from conftest import values
 
 
 def skewed(spark, n=3000):

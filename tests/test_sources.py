@@ -1,7 +1,5 @@
 import gzip
 import hashlib
-import io
-import json
 import struct
 import zipfile
 

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from curatrix.operators import review
 from curatrix.streaming import jobs
 from conftest import values
