@@ -152,8 +152,8 @@ def year_like(c: Column | str) -> Column:
 
 
 def numeric_like(c: Column | str) -> Column:
-    c = F.trim(col(c))
-    return F.coalesce(c.rlike("[0-9]") & ~c.rlike("[A-Za-z]"), F.lit(False))
+    """A bare number of two to six digits."""
+    return F.coalesce(F.trim(col(c).cast("string")).rlike("^[0-9]{2,6}$"), F.lit(False))
 
 
 def release_years(c: Column | str) -> Column:

@@ -82,11 +82,11 @@ def external_id(t):
 @query("years_in", """select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\b((?:19|20)[0-9]{2})\\b', 1),
   lambda y: y::int), lambda y: y between 1970 and 2035))), ',') as years,
   regexp_matches(trim(source), '^(?:18|19|20)[0-9]{2}$') as source_year_like,
-  regexp_matches(text, '[0-9]') and not regexp_matches(text, '[A-Za-z]') as text_numeric_like from documents""")
+  regexp_matches(n_chars::varchar, '^[0-9]{2,6}$') as size_numeric_like from documents""")
 def years_in(t):
     return t.documents.select(
         "doc_id", F.array_join(text.years_in("text"), ",").alias("years"), text.year_like("source").alias("source_year_like"),
-        text.numeric_like("text").alias("text_numeric_like"))
+        text.numeric_like("n_chars").alias("size_numeric_like"))
 
 
 @query("release_years", """select o_orderkey, year(o_orderdate)::int as first_year, case when o_orderkey % 2 = 0 then 2005 else year(o_orderdate)::int end as last_year from orders""")

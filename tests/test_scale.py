@@ -70,3 +70,14 @@ def test_set_digest_ignores_order_and_partitions(spark):
     b = df.orderBy(F.rand(3)).repartition(5).agg(set_digest("s").alias("d")).first().d
     c = df.where("id < 999").agg(set_digest("s").alias("d")).first().d
     assert a == b != c
+
+
+def test_census_continues_large_entities_on_chunk_rows(spark):
+    from curatrix.operators import group
+
+    entities = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "k string, name string")
+    sets = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 1)], "k string, n int")
+    parts = spark.createDataFrame([("a", "p1"), ("b", "p2"), ("b", "p3"), ("b", "p4")], "k string, p string")
+    out = group.nested_census(entities, "k", {"sets": (sets, ["n"], ["n"]), "parts": (parts, ["p"], ["p"])}, chunk=3)
+    got = {(r.k, r.chunk_no): ([s.n for s in r.sets], [p.p for p in r.parts], r.name) for r in out.collect()}
+    assert got == {("a", 0): ([0, 1, 2], ["p1"], "A"), ("a", 1): ([3, 4, 5], [], "A"), ("a", 2): ([6], [], "A"), ("b", 0): ([1], ["p2", "p3", "p4"], "B"), ("c", 0): ([], [], "C")}
