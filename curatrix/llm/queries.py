@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import decontaminate
+from curatrix.llm import bpe, decontaminate
 
+#: Place of the public tokenizer file.
+WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,3 +32,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op3_benchmark_decontamination")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op10_bpe_encoding_and_decoding")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.report(table(spark, folder, "documents"), WORD_BPE)
