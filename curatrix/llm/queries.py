@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, decontaminate
+from curatrix.llm import bpe, decontaminate, ngram_lm
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -37,3 +37,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe_encoding_and_decoding")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.report(table(spark, folder, "documents"), WORD_BPE)
+
+
+@query("op9_lm_scoring")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.report(table(spark, folder, "documents"))
