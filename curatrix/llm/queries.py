@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, decontaminate, ngram_lm
+from curatrix.llm import bpe, decontaminate, fingerprints, ngram_lm
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -42,3 +42,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_lm_scoring")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.report(table(spark, folder, "documents"))
+
+
+@query("op1_document_fingerprints")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.report(table(spark, folder, "documents"))
