@@ -32,7 +32,7 @@ def resolve(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write_file(folder: str, name: str, data: bytes) -> str:
     system, path = resolve(f"{folder}/{name}")
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(data)
     return name
 
@@ -44,7 +44,7 @@ def mapped(uri: str) -> str:
         return path
     copy = os.path.join(tempfile.gettempdir(), uri.replace("/", "_").replace(":", "_"))
     if not os.path.exists(copy):
-        with system.open_input_stream(path) as source, tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
+        with system.open_input_stream(path, compression=None) as source, tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
             while block := source.read(1 << 24):
                 out.write(block)
         os.replace(out.name, copy)

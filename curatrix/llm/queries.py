@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, decontaminate, fingerprints, ngram_lm
+from curatrix.llm import bpe, decontaminate, fingerprints, ngram_lm, secret_scan, sharding, warc
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -47,3 +47,18 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_document_fingerprints")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.report(table(spark, folder, "documents"))
+
+
+@query("op2_warc")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.report(table(spark, folder, "pages"))
+
+
+@query("op5_secret_scans")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
+@query("op6_sharding")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.report(table(spark, folder, "documents"))
