@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, decontaminate, fingerprints, ngram_lm, secret_scan, sharding, warc
+from curatrix.llm import bpe, decontaminate, fingerprints, ngram_lm, quality, secret_scan, sharding, warc
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -62,3 +62,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_sharding")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.report(table(spark, folder, "documents"))
+
+
+@query("op4_quality_classifier")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
