@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 U = np.uint64
-SLICE_BYTES = 1 << 19
+SLICE_BYTES, BATCH_BYTES = 1 << 19, 1 << 22
 _STEP = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -134,7 +134,7 @@ def fresh(df: DataFrame, name: str = "_llm") -> str:
 
 
 def per_text(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]], fields: StructType, out: str, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) and a struct ``out`` that ``fn`` makes of each batch of texts; no shuffle."""
+    """The columns ``keep`` (all by default) and a struct ``out`` that ``fn`` makes of texts, a few megabytes at a time; no shuffle."""
     keep = df.columns if keep is None else keep
     source = df.select(*[df[c] for c in keep], df[text].cast("string").alias(mark := fresh(df, "_text")))
     schema = StructType([*source.schema.fields[:-1], StructField(out, fields, False)])
@@ -142,9 +142,9 @@ def per_text(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]],
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = fn(batch.column(batch.schema.get_field_index(mark)))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.StructArray.from_arrays(made, names=names)], names=[*keep, out])
+            for row, end, _, _ in slices(batch.column(len(keep)), BATCH_BYTES):
+                piece = batch.slice(row, end - row)
+                made = fn(piece.column(len(keep)))
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(keep))] + [pa.StructArray.from_arrays(made, names=names)], names=[*keep, out])
 
     return source.mapInArrow(run, schema)
