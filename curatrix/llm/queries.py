@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, chunks, decontaminate, fingerprints, ngram_lm, quality, secret_scan, sharding, warc
+from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, ngram_lm, quality, secret_scan, sharding, warc
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -72,3 +72,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.report(table(spark, folder, "documents"))
+
+
+@query("op8_ngram_jaccard_join")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.report(table(spark, folder, "documents"))
