@@ -7,7 +7,8 @@ successful tasks report belong to the archive, so a retry leaves no doubles.
 
 Reading. Files are cut into byte ranges whatever their records. A task looks for the gzip magic in its range, decodes what stands there and takes it for a member only if a WARC header
 comes out; then it follows members one after another, and owns those that start inside its range. What looks like a member inside another one (an archive stored as a payload) does not lead
-to the end of the range or of the file: then the search goes on behind it. Damage elsewhere raises an error instead of losing records.
+to the end of the range or of the file: then the search goes on behind it. Ranges must therefore be longer than a record that stores archives uncompressed (``range_bytes``); any other record may be of any length.
+Damage elsewhere raises an error instead of losing records.
 
 Null payloads are empty. A null key is written as ``none`` and read as null; it never is the response that others name, and where all keys of a payload are null each page is a response. Repeated rows
 are written as often as they stand. Empty tables give an archive without files, and reading it gives no rows. Line breaks in addresses become spaces.
