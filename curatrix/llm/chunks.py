@@ -27,10 +27,11 @@ _PARTS = (U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93))
 
 
 def gear(low: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``h = (h << 1) + gear[byte]`` modulo 2**16 at every byte: the sum of 16 shifted bytes, doubled up in four steps."""
+    """``h = (h << 1) + gear[byte]`` modulo 2**16 at every byte of each text: the sum of 16 shifted bytes, doubled up in four steps."""
     h = _GEAR[low]
+    place = np.arange(len(low), dtype=np.int32) - np.repeat(at[:-1], np.diff(at)).astype(np.int32)
     for step in (1, 2, 4, 8):
-        h[step:] = h[step:] + (h[:-step] << np.uint16(step))
+        h[step:] = h[step:] + np.where(place[step:] >= step, h[:-step] << np.uint16(step), np.uint16(0))
     return h
 
 
