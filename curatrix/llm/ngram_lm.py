@@ -3,8 +3,8 @@
 Levels. Level 1 holds the hashes of all training words (one more token ends each document) with exact counts; a word's id is its rank.
 Level ``k`` holds, for each node of level ``k - 1``, its successors: at level 2 the next word's id, from level 3 on its *rank among the successors
 of the shorter context* (``w`` after ``u v`` is stored as the rank of ``w`` among the successors of ``v``). A level is one monotone sequence
-``parent * width + child`` and one monotone sequence of pointers, both in Elias-Fano form, and 8-bit codes of the smoothed probabilities
-and of the weight left to the shorter context. Levels are cut into shards by ranges of parents, built by sorted partitions and mapped into
+``parent * width + child`` and one monotone sequence of pointers, both in Elias-Fano form, 8-bit codes of the smoothed probabilities
+and of the weight left to the shorter context, and a bit filter that spares most searches for what is not there. Levels are cut into shards by ranges of parents, built by sorted partitions and mapped into
 memory by the scoring tasks; nothing of them passes through the driver but the list of shards.
 
 Model. ``P1`` is the add-one estimate; above it absolute discounting is interpolated: ``P(w|h) = (c(hw) - D) / c(h) + left(h) P(w|h')``. N-grams of order 2
@@ -23,10 +23,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from curatrix.llm import files
-from curatrix.llm.text import SPACED, U, fresh, per_text, slices, word_hashes, words
+from curatrix.llm.text import SPACED, U, fresh, mix, per_text, slices, word_hashes, words
 from curatrix.session import materialize
 
 END = 1
@@ -63,28 +63,33 @@ def encode_sequence(values: np.ndarray) -> dict[str, np.ndarray]:
     return {"head": np.array([n, width, (top >> width) + 1], np.int64), "low": _packed(values & ((1 << width) - 1), width), "high": unary, "one": ones[::32].astype(np.int64), "zero": zeros.astype(np.int64)}
 
 
+_ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Place of the r-th set bit of a byte, at ``byte * 8 + r``.
+_IN_BYTE = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[:8] for x in range(256)], np.uint8).ravel()
+
+
+def _byte_counts(x: np.ndarray) -> np.ndarray:
+    """In byte ``i`` the set bits of bytes 0 to ``i``."""
+    x = x - ((x >> U(1)) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+    return ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
+
+
 def _nth(bits: np.ndarray, flip: np.uint64, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """The place of the ``rest``-th set bit (of the bits xor ``flip``) from place ``at`` on, which is itself number 0."""
     word = at >> 6
     now = (bits[word] ^ flip) & (_ALL << (at & 63).astype(U))
-    rest = rest.astype(np.int64)
-    have = np.bitwise_count(now).astype(np.int64)
-    go = np.flatnonzero(rest >= have)
+    counts, rest = _byte_counts(now), rest.astype(U)
+    go = np.flatnonzero(rest >= counts >> U(56))
     while len(go):
-        rest[go] -= have[go]
+        rest[go] -= counts[go] >> U(56)
         word[go] += 1
         now[go] = bits[word[go]] ^ flip
-        have[go] = np.bitwise_count(now[go])
-        go = go[rest[go] >= have[go]]
-    place = np.zeros(len(at), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        have = np.bitwise_count(now & U((1 << width) - 1)).astype(np.int64)
-        up = rest >= have
-        rest -= np.where(up, have, 0)
-        step = np.where(up, width, 0)
-        now = now >> step.astype(U)
-        place += step
-    return (word << 6) + place
+        counts[go] = _byte_counts(now[go])
+        go = go[rest[go] >= counts[go] >> U(56)]
+    byte = np.bitwise_count(((rest * _ONES | _TOPS) - counts) & _TOPS).astype(U) << U(3)
+    before = (counts << U(8)) >> byte & U(255)
+    return (word << 6) + byte.astype(np.int64) + _IN_BYTE[((now >> byte & U(255)) << U(3)) + rest - before]
 
 
 class Sequence:
@@ -121,19 +126,32 @@ class Sequence:
             return out
         high = values >> self.width
         live = np.flatnonzero((values >= 0) & (high < self.tops))
-        want = values[live] & ((1 << self.width) - 1)
-        a, b = self._from(high[live]), self._from(high[live] + 1)
-        end = b.copy()
+        high, want = high[live], values[live] & ((1 << self.width) - 1)
+        at = self._from(high)
+        # most buckets hold an element or none: a few steps along the unary bits settle them
+        todo = np.arange(len(live))
+        for _ in range(4):
+            place = at[todo] + high[todo]
+            todo = todo[(self._high[place >> 6] >> (place & 63).astype(U) & U(1)) == 1]
+            if not len(todo):
+                return out
+            low = self.low(at[todo])
+            hit = low == want[todo]
+            out[live[todo[hit]]] = at[todo[hit]]
+            todo = todo[low < want[todo]]
+            at[todo] += 1
+        a, end = at[todo], self._from(high[todo] + 1)
+        b = end.copy()
         open_ = np.flatnonzero(a < b)
         while len(open_):
             middle = (a[open_] + b[open_]) >> 1
-            less = self.low(middle) < want[open_]
+            less = self.low(middle) < want[todo[open_]]
             a[open_[less]] = middle[less] + 1
             b[open_[~less]] = middle[~less]
             open_ = open_[a[open_] < b[open_]]
         there = np.flatnonzero(a < end)
-        there = there[self.low(a[there]) == want[there]]
-        out[live[there]] = a[there]
+        there = there[self.low(a[there]) == want[todo[there]]]
+        out[live[todo[there]]] = a[there]
         return out
 
 
@@ -206,6 +224,15 @@ class Trie:
             out[cut[s]: cut[s + 1]] = maps[s]["count"][nodes[cut[s]: cut[s + 1]] - before[s]]
         return out
 
+    @staticmethod
+    def _find(arrays: dict, keys: Sequence, values: np.ndarray) -> np.ndarray:
+        """Looks up what the level's bit filter lets through."""
+        place = (mix(values.view(U)) & U(len(arrays["bits"]) * 8 - 1)).astype(np.int64)
+        may = np.flatnonzero((arrays["bits"][place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & (values >= 0))
+        out = np.full(len(values), -1, np.int64)
+        out[may] = keys.find(values[may])
+        return out
+
     def children(self, level: int, parents: np.ndarray, kids: np.ndarray):
         """``(node, rank among the parent's successors, probability, weight left)`` for pairs sorted by parent; node -1 if not kept."""
         first, before, maps, keys, starts = self.levels[level]
@@ -216,7 +243,7 @@ class Trie:
             known = parent < len(maps[s]["left"])
             inside = np.where(known, parent, 0)
             left[rows] = np.where(known, _VALUE[maps[s]["left"][inside]], 1.0)
-            at = keys[s].find(np.where(known, parent * self.widths[level] + kids[rows], -1))
+            at = self._find(maps[s], keys[s], np.where(known, parent * self.widths[level] + kids[rows], -1))
             hit = at >= 0
             node[rows] = np.where(hit, at + before[s], -1)
             p[rows] = np.where(hit, _VALUE[maps[s]["p"][np.maximum(at, 0)]], 0.0)
@@ -226,42 +253,76 @@ class Trie:
         return node, rank, p, left
 
 
-class Tokens:
-    """Word ids, counts and document bounds of a slice of texts, an end token after each."""
+class Words:
+    """Word ids and counts by hash, with a direct-mapped memo of recent words."""
+
+    def __init__(self, trie: Trie, bits: int = 18):
+        self.trie, self.mask = trie, (1 << bits) - 1
+        self.hash, self.id, self.count = (np.full(1 << bits, x, np.int64) for x in (-1, -1, 0))
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = hashes & self.mask
+        new = np.unique(hashes[self.hash[slot] != hashes])
+        if len(new):
+            ids, counts = self.trie.words(new)
+            at = new & self.mask
+            self.hash[at], self.id[at], self.count[at] = new, ids, counts
+        ids, counts = self.id[slot], self.count[slot]
+        lost = np.flatnonzero(self.hash[slot] != hashes)  # two new words of one slot
+        if len(lost):
+            at = np.searchsorted(new, hashes[lost])
+            at = np.where(new[np.minimum(at, len(new) - 1)] == hashes[lost], at, -1)
+            known = at >= 0
+            both = self.trie.words(np.unique(hashes[lost[~known]])) if not known.all() else None
+            ids_new, counts_new = self.trie.words(new)
+            ids[lost[known]], counts[lost[known]] = ids_new[at[known]], counts_new[at[known]]
+            if both:
+                place = np.searchsorted(np.unique(hashes[lost[~known]]), hashes[lost[~known]])
+                ids[lost[~known]], counts[lost[~known]] = both[0][place], both[1][place]
+        return ids, counts
+
+
+def token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, bounds)`` of the tokens of a slice of texts, an end token after each text."""
+    low, starts, ends, first = words(data, at, SPACED)
+    bounds = first + np.arange(len(at))
+    hashes = np.full(len(starts) + len(at) - 1, END, np.int64)
+    inner = np.ones(len(hashes), bool)
+    inner[bounds[1:] - 1] = False
+    hashes[inner] = (word_hashes(low, starts, ends) >> U(1)).astype(np.int64)
+    return hashes, bounds
+
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, trie: Trie | None):
-        low, starts, ends, first = words(data, at, SPACED)
-        rows = len(at) - 1
-        self.bounds = first + np.arange(rows + 1)
-        self.hashes = np.full(len(starts) + rows, END, np.int64)
-        inner = np.ones(len(self.hashes), bool)
-        inner[self.bounds[1:] - 1] = False
-        self.hashes[inner] = (word_hashes(low, starts, ends) >> U(1)).astype(np.int64)
-        if trie:
-            own, back = np.unique(self.hashes, return_inverse=True)
-            ids, counts = trie.words(own)
-            self.ids, self.counts = ids[back], counts[back]
-            self.after = np.arange(len(self.ids)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))  # tokens before it in its document
+class Numbers:
+    """A slice of documents as word ids."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.ids = data.view(np.int64)
+        self.bounds = at // 8
+        self.after = np.arange(len(self.ids)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))  # tokens before it in its document
 
     def steps(self, trie: Trie, levels: int):
-        """For level 1, 2, ...: per token its node, and for the pair with the token before it the lookup in that level."""
+        """For level 1, 2, ...: per token the lookup of itself after its context: ``(node, rank, probability, weight left)``."""
         node, child = self.ids, self.ids
         for level in range(1, levels):
             parent = np.full(len(node), -1, np.int64)
             parent[1:] = node[:-1]
             parent[self.after < level] = -1
-            asked = np.flatnonzero((parent >= 0))
-            keep = asked[child[asked] >= 0]
+            asked = np.flatnonzero(parent >= 0)
             found = [np.full(len(node), -1, np.int64), np.full(len(node), -1, np.int64), np.zeros(len(node)), np.ones(len(node))]
-            order = np.lexsort((child[asked], parent[asked]))
-            rows = asked[order]
+            p, c = parent[asked], child[asked]
+            wide = trie.widths[level] + 1
+            if len(p) and int(p.max()) < (1 << 62) // wide:
+                order = np.argsort(p * wide + c)
+            else:
+                order = np.lexsort((c, p))
+            rows, p, c = asked[order], p[order], c[order]
             new = np.ones(len(rows), bool)
-            new[1:] = (parent[rows][1:] != parent[rows][:-1]) | (child[rows][1:] != child[rows][:-1])
+            new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
             back = np.cumsum(new) - 1
-            got = trie.children(level, parent[rows[new]], child[rows[new]])
-            for to, x in zip(found, got, strict=True):
+            for to, x in zip(found, trie.children(level, p[new], c[new]), strict=True):
                 to[rows] = x[back]
-            yield level, parent, child, keep, found
+            yield level, found
             node, child = found[0], found[1]
 
 
@@ -273,7 +334,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[at], np.add.reduceat(np.concatenate([n for _, n in parts])[order], at) if len(at) else np.zeros(0, np.int64)
 
 
-_tries: dict[str, Trie] = {}
+_tries: dict[str, object] = {}
 
 
 def _trie(mark: str, folder: str, levels, widths) -> Trie:
@@ -283,13 +344,26 @@ def _trie(mark: str, folder: str, levels, widths) -> Trie:
     return _tries[mark]
 
 
+def _words(mark: str, *args) -> Words:
+    if f"{mark}w" not in _tries:
+        made = Words(_trie(mark, *args))
+        _tries[f"{mark}w"] = made
+    return _tries[f"{mark}w"]
+
+
 class Model:
     """A trained trie: its folder, shards, widths and the training totals."""
 
     def __init__(self, folder: str):
-        self.folder, self.levels, self.widths, self.tokens, self.vocabulary = folder, [], [1], 0, 0
+        self.folder, self.levels, self.widths, self.tokens, self.vocabulary = folder, [], [], 0, 0
         self.mark = uuid.uuid4().hex
 
+    def add(self, rows: list, width: int) -> None:
+        """A level of shards, in order of parents."""
+        before = np.concatenate([[0], np.cumsum([r["nodes"] for r in rows])]).astype(int).tolist()
+        self.levels.append([(r["first"], b, r["name"]) for r, b in zip(rows, before, strict=False)])
+        self.widths.append(width)
+
     def args(self):
         return f"{self.mark}{len(self.levels)}", self.folder, list(self.levels), list(self.widths)
 
@@ -298,7 +372,7 @@ _COUNTED = StructType([StructField("key", LongType()), StructField("n", LongType
 _SHARD = StructType([StructField("first", LongType()), StructField("nodes", LongType()), StructField("total", LongType()), StructField("widest", LongType()), StructField("name", StringType())])
 
 
-def _count(docs: DataFrame, text: str, keys) -> DataFrame:
+def _count(rows: DataFrame, column: Column, keys) -> DataFrame:
     """``(key, n)`` summed inside each task before the shuffle; ``keys`` makes them of a slice."""
 
     def run(batches):
@@ -313,16 +387,16 @@ def _count(docs: DataFrame, text: str, keys) -> DataFrame:
                 own, n = np.unique(keys(data, at), return_counts=True)
                 parts.append((own, n.astype(np.int64)))
                 size += len(own)
-                if size > 3_000_000:
+                if size > 2_000_000:
                     parts = [_summed(parts)]
                     size = len(parts[0][0])
-                    if size > 1_500_000:
+                    if size > 1_000_000:
                         yield row(parts[0])
                         parts, size = [], 0
         if parts:
             yield row(_summed(parts))
 
-    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, _COUNTED)
+    return rows.select(column.alias("of")).mapInArrow(run, _COUNTED)
 
 
 def _build(counted: DataFrame, shard: Column, shards: int, least: int, write) -> list:
@@ -356,32 +430,67 @@ def _build(counted: DataFrame, shard: Column, shards: int, least: int, write) ->
     return sorted(materialize(summed.mapInArrow(run, _SHARD)).collect(), key=lambda r: r["first"])
 
 
+def _filter(values: np.ndarray) -> np.ndarray:
+    """A bit for the hash of each value, eight to sixteen bits a value."""
+    bits = np.zeros(1 << max(0, (len(values) - 1).bit_length()), np.uint8)
+    place = (mix(values.view(U)) & U(len(bits) * 8 - 1)).astype(np.int64)
+    np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+    return bits
+
+
 def _named(name: str, arrays: dict) -> dict:
     return {f"{name}.{k}": v for k, v in arrays.items()}
 
 
-def train(docs: DataFrame, *, text: str = "text", order: int = 3, min_count: int = 2, discount: float = 0.75) -> Model:
-    """Counts the n-grams of all rows and builds the trie."""
+def _sizes(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint32 if n.max() < 1 << 32 else np.int64)
+
+
+def vocabulary(docs: DataFrame, *, text: str = "text") -> Model:
+    """Level 1: all words of all rows, counted."""
     spark = docs.sparkSession
     model = Model(files.shared_folder(spark, "trie"))
-    folder, shards = model.folder, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     span = -(-(1 << 31) // shards)  # of the upper 31 bits of a hash
 
-    def first_level(shard: int, k: np.ndarray, n: np.ndarray) -> dict:
+    def write(shard: int, k: np.ndarray, n: np.ndarray) -> dict:
         base = shard * span << 32
-        data = _named("key", encode_sequence(k - base)) | {"count": n.astype(np.uint32 if n.max() < 1 << 32 else np.int64)}
-        name = files.write_file(folder, f"1-{shard}-{uuid.uuid4().hex}", _pack(data))
+        name = files.write_file(model.folder, f"1-{shard}-{uuid.uuid4().hex}", _pack(_named("key", encode_sequence(k - base)) | {"count": _sizes(n)}))
         return {"first": base, "nodes": len(k), "total": int(n.sum()), "widest": 0, "name": name}
 
-    def add(rows: list, width: int) -> None:
-        before = np.concatenate([[0], np.cumsum([r["nodes"] for r in rows])]).astype(int).tolist()
-        model.levels.append([(r["first"], b, r["name"]) for r, b in zip(rows, before, strict=False)])
-        model.widths.append(width)
-
-    rows = _build(_count(docs, text, lambda data, at: Tokens(data, at, None).hashes), F.shiftright("key", 32) / F.lit(span), shards, 1, first_level)
-    model.widths = []
-    add(rows, 1)
+    counted = _count(docs, F.col(text).cast("string"), lambda data, at: token_hashes(data, at)[0])
+    rows = _build(counted, F.expr(f"shiftright(key, 32) div {span}"), shards, 1, write)
+    model.add(rows, 1)
     model.tokens, model.vocabulary = sum(r["total"] for r in rows), sum(r["nodes"] for r in rows)
+    return model
+
+
+_NUMBERED = StructType([StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType())])
+
+
+def numbered(docs: DataFrame, model: Model, *, text: str = "text", out: str = "numbers", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` and a struct ``out``: the tokens' word ids (64 bits each, -1 if unknown), their number, the known ones, and the score of level 1."""
+    args, n, v = model.args(), model.tokens, model.vocabulary
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        lookup = _words(*args)
+        made: list[list] = [[], [], [], []]
+        for _, _, data, at in slices(column, SLICE):
+            hashes, bounds = token_hashes(data, at)
+            ids, counts = lookup(hashes)
+            cut = bounds[:-1]
+            made[0] += [ids[a:b].tobytes() for a, b in zip(cut, bounds[1:], strict=True)]
+            made[1].append(np.diff(bounds))
+            made[2].append(np.add.reduceat((counts > 0).astype(np.int64), cut))
+            made[3].append(np.add.reduceat(np.log10((counts + 1) / (n + v + 1)), cut))
+        return [pa.array(made[0], pa.binary()), *[pa.array(np.concatenate(x)) for x in made[1:]]]
+
+    return per_text(docs, text, run, _NUMBERED, out, keep)
+
+
+def grow(model: Model, rows: DataFrame, ids: Column, *, order: int = 3, min_count: int = 2, discount: float = 0.75) -> Model:
+    """Levels 2 to ``order`` from the word ids of all rows."""
+    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parents, width = model.vocabulary, model.vocabulary
     for level in range(1, order):
         if not parents:
@@ -389,70 +498,92 @@ def train(docs: DataFrame, *, text: str = "text", order: int = 3, min_count: int
         args, each = model.args(), -(-parents // shards)
 
         def keys(data, at, args=args, level=level, width=width):
-            trie = _trie(*args)
-            tokens = Tokens(data, at, trie)
-            if level == 1:
-                use = tokens.after >= 1
-                use[1:] &= (tokens.ids[:-1] >= 0) & (tokens.ids[1:] >= 0)
-                at_ = np.flatnonzero(use)
-                return tokens.ids[at_ - 1] * width + tokens.ids[at_]
-            for k, _, _, _, found in tokens.steps(trie, level):
-                if k == level - 1:
+            n = Numbers(data, at)
+            node, rank = n.ids, n.ids
+            if level > 1:
+                for _, found in n.steps(_trie(*args), level):
                     node, rank = found[0], found[1]
-            at_ = np.flatnonzero(tokens.after >= level)
-            at_ = at_[(node[at_ - 1] >= 0) & (rank[at_] >= 0)]
-            return node[at_ - 1] * width + rank[at_]
+            use = np.flatnonzero(n.after >= level)
+            use = use[(node[use - 1] >= 0) & (rank[use] >= 0)]
+            return node[use - 1] * width + rank[use]
 
         def write(shard: int, k: np.ndarray, n: np.ndarray, args=args, level=level, width=width, each=each, parents=parents) -> dict:
             base = shard * each
             many = min(each, parents - base)
             parent = k // width - base
-            of = _trie(*args).counts_of(level - 1, np.arange(base, base + many))
-            p = (n - discount) / np.maximum(of[parent], 1)
+            p = (n - discount) / np.maximum(_trie(*args).counts_of(level - 1, np.arange(base, base + many))[parent], 1)
             left = 1 - np.bincount(parent, weights=p, minlength=many)
             starts = np.searchsorted(parent, np.arange(many + 1))
-            data = (_named("key", encode_sequence(k - base * width)) | _named("from", encode_sequence(starts)) | {"p": _code(p), "left": _code(np.clip(left, 1e-8, 1)), "count": n.astype(np.uint32 if n.max() < 1 << 32 else np.int64)})
-            name = files.write_file(folder, f"{level + 1}-{shard}-{uuid.uuid4().hex}", _pack(data))
+            data = _named("key", encode_sequence(k - base * width)) | _named("from", encode_sequence(starts)) | {"bits": _filter(k - base * width), "p": _code(p), "left": _code(np.clip(left, 1e-8, 1)), "count": _sizes(n)}
+            name = files.write_file(model.folder, f"{level + 1}-{shard}-{uuid.uuid4().hex}", _pack(data))
             return {"first": base, "nodes": len(k), "total": int(n.sum()), "widest": int(np.diff(starts).max()), "name": name}
 
-        rows = _build(_count(docs, text, keys), F.expr(f"key div {width} div {each}"), shards, min_count, write)
-        if not rows:
+        done = _build(_count(rows, ids, keys), F.expr(f"key div {width} div {each}"), shards, min_count, write)
+        if not done:
             break
-        add(rows, width)
-        parents, width = sum(r["nodes"] for r in rows), max(r["widest"] for r in rows)
+        model.add(done, width)
+        parents, width = sum(r["nodes"] for r in done), max(r["widest"] for r in done)
     return model
 
 
-def scored(docs: DataFrame, model: Model, *, text: str = "text", out: str = "lm", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and a struct ``out``: ``n_tokens``, ``n_known``, ``base_score`` and ``score``."""
+def _stored(df: DataFrame, model: Model) -> DataFrame:
+    """Written to the folder of the model: the words of each text are looked up once for all levels."""
+    path = f"{model.folder}/rows-{uuid.uuid4().hex[:8]}"
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def train(docs: DataFrame, *, text: str = "text", **options) -> Model:
+    """Counts the n-grams of all rows and builds the trie."""
+    model = vocabulary(docs, text=text)
+    rows = _stored(numbered(docs, model, text=text, keep=[]), model)
+    return grow(model, rows, F.col("numbers")["ids"], **options)
+
+
+_SCORED = StructType([*_NUMBERED.fields[1:], StructField("score", DoubleType())])
+
+
+def _score(rows: DataFrame, model: Model, numbers: str, out: str, keep: list[str]) -> DataFrame:
+    """``keep`` and a struct ``out`` of the figures of numbered rows and their score."""
     args, n, v = model.args(), model.tokens, model.vocabulary
-    kinds = StructType([StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
+    source = rows.select(*[rows[c] for c in keep], *[rows[numbers][f.name].alias(f"{out}_{i}") for i, f in enumerate(_NUMBERED.fields)])
+    schema = StructType([*source.schema.fields[: len(keep)], StructField(out, _SCORED, False)])
 
-    def run(column: pa.Array) -> list[pa.Array]:
+    def run(batches):
         trie = _trie(*args)
-        made: list[list] = [[], [], [], []]
-        for _, _, data, at in slices(column, SLICE):
-            t = Tokens(data, at, trie)
-            base = (t.counts + 1) / (n + v + 1)
-            p = base.copy()
-            for _, _, _, _, found in t.steps(trie, len(args[2])):
-                p = found[2] + found[3] * p
-            cut = t.bounds[:-1]
-            made[0].append(np.diff(t.bounds))
-            made[1].append(np.add.reduceat((t.counts > 0).astype(np.int64), cut))
-            made[2].append(np.add.reduceat(np.log10(base), cut))
-            made[3].append(np.add.reduceat(np.log10(p), cut))
-        return [pa.array(np.concatenate(x)) for x in made]
+        for batch in batches:
+            for row, end, data, at in slices(batch.column(len(keep)), SLICE):
+                t = Numbers(data, at)
+                counts = np.zeros(len(t.ids), np.int64)
+                known = t.ids >= 0
+                own, back = np.unique(t.ids[known], return_inverse=True)
+                counts[known] = trie.counts_of(0, own)[back]
+                p = (counts + 1) / (n + v + 1)
+                for _, found in t.steps(trie, len(args[2])):
+                    p = found[2] + found[3] * p
+                piece = batch.slice(row, end - row)
+                score = pa.array(np.add.reduceat(np.log10(p), t.bounds[:-1]))
+                figures = pa.StructArray.from_arrays([*[piece.column(len(keep) + i) for i in (1, 2, 3)], score], names=_SCORED.names)
+                yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in range(len(keep))], figures], names=[*keep, out])
+
+    return source.mapInArrow(run, schema)
 
-    return per_text(docs, text, run, kinds, out, keep)
+
+def scored(docs: DataFrame, model: Model, *, text: str = "text", out: str = "lm", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` and a struct ``out``: ``n_tokens``, ``n_known``, ``base_score`` and ``score``."""
+    keep = docs.columns if keep is None else keep
+    name = fresh(docs, "_numbers")
+    return _score(numbered(docs, model, text=text, out=name, keep=keep), model, name, out, keep)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Trains on the rows that are not held out and scores all rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", "text", held.alias("held_out"))
-    model = train(docs.where(~F.col("held_out")), **options)
-    s = F.col(out := fresh(docs, "_lm"))
-    return scored(docs, model, out=out, keep=["doc_id", "held_out"]).select(
+    model = vocabulary(docs.where(~F.col("held_out")))
+    rows = _stored(numbered(docs, model, keep=["doc_id", "held_out"]), model)
+    grow(model, rows.where(~F.col("held_out")), F.col("numbers")["ids"], **options)
+    s = F.col("lm")
+    return _score(rows, model, "numbers", "lm", ["doc_id", "held_out"]).select(
         "doc_id", "held_out", s["n_tokens"].alias("n_tokens"), s["n_known"].alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         s["base_score"].alias("base_score"), s["score"].alias("score"))
