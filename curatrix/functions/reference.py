@@ -30,7 +30,7 @@ def _part(value: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(value, pattern, group), F.lit(""))
 
 
-def _peeled(core: Column, peel: int) -> Column:
+def _peeled(core: Column) -> Column:
     """Reads trailing parentheses from right to left: ``struct(core, hint, notes)``."""
     start = F.struct(core.alias("core"), F.lit(None).cast("int").alias("hint"), F.array().cast("array<string>").alias("notes"))
 
@@ -47,7 +47,7 @@ def _peeled(core: Column, peel: int) -> Column:
             F.when(present & ~plain & (dated | noted), F.array_append(acc["notes"], token)).otherwise(acc["notes"]).alias("notes"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(peel)), start, step)
+    return F.aggregate(F.sequence(F.lit(0), F.length(core) - F.length(F.replace(core, F.lit("("), F.lit("")))), start, step)
 
 
 def _reading(raw: Column, unquoted: Column, state: Column) -> Column:
@@ -96,17 +96,17 @@ def _reading(raw: Column, unquoted: Column, state: Column) -> Column:
     )
 
 
-def with_reference(df: DataFrame, column: str, name: str = "reference", peel: int = 4) -> DataFrame:
+def with_reference(df: DataFrame, column: str, name: str = "reference") -> DataFrame:
     """Adds ``struct(kind, source_work, volume, issue, annual, subtitle, season, episode, qualifiers, year_hint,
     canonical_key)`` read from a free-text column.
 
-    ``peel`` bounds how many trailing parentheses (years, dates, qualifiers) are read. Every stage is bound to a
+    All trailing parentheses (years, dates, qualifiers) are read: a value bounds their number itself. Every stage is bound to a
     variable, so the rules are evaluated once per row.
     """
     raw = squash(F.coalesce(F.col(column), F.lit("")))
     unquoted = F.regexp_replace(F.regexp_replace(raw, '^"+|"+$', ""), "^'+|'+$", "")
     core = F.trim(F.regexp_replace(F.trim(unquoted), r"(?:\[[^\]]+\])+\s*$", ""))
-    bound = F.array(F.struct(raw.alias("raw"), unquoted.alias("unquoted"), _peeled(core, peel).alias("state")))
+    bound = F.array(F.struct(raw.alias("raw"), unquoted.alias("unquoted"), _peeled(core).alias("state")))
     out = df.withColumn("_r", F.get(F.transform(bound, lambda b: _reading(b["raw"], b["unquoted"], b["state"])), F.lit(0)))
     work = F.when(F.col("_r.key_tail").isNotNull(), norm_text("_r.source_work"))
     key = F.concat_ws("|", F.when(F.col("_r.kind") == "episode_explicit", F.lit("episode")), work, "_r.key_tail")

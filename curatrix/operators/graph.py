@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from curatrix.functions.ids import hash_fraction_split
+from curatrix.functions.ids import hash_fraction_split, set_digest
 from curatrix.operators.scale import small_side
 from curatrix.session import materialize
 
@@ -69,13 +69,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
 
 def connected_groups(
     records: DataFrame, record: str, group: str, fields: Sequence[str], fallback: str | None = None,
-    bucket: int = 100000,
 ) -> DataFrame:
     """Transitive closure over a group id and duplicate fields: ``(record, group_id, used_fallback, component_id)``.
 
-    ``component_id`` is the SHA-256 of the sorted group members; independent of row order and of repeated
-    occurrences. Components above ``bucket`` members are digested in two levels. A missing group raises unless a
-    ``fallback`` column is named.
+    ``component_id`` digests the set of group members; independent of row order, of repeated
+    occurrences and of the number of members. A missing group raises unless a ``fallback`` column is named.
     """
     blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     given = blank(group)
@@ -94,23 +92,15 @@ def connected_groups(
     edges = base.select(F.col("node").alias("src"), values.alias("dst")).where("dst is not null").distinct()
     nodes = members.unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     labels = connected_components(nodes, edges).join(members, "node", "left_semi")
-    ids = component_digests(labels, bucket)
+    ids = component_digests(labels)
     return (
         base.join(labels.join(ids, "component").select("node", "component_id"), "node")
         .select(record, "group_id", (F.col("_kind") == "fallback").alias("used_fallback"), "component_id"))
 
 
-def component_digests(labels: DataFrame, bucket: int = 100000) -> DataFrame:
-    """SHA-256 of the sorted member list per component; two levels once a component exceeds ``bucket``."""
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    parts = labels.join(sizes, "component").withColumn(
-        "_b", F.when(F.col("_n") <= bucket, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / bucket) * 2)))
-    joined = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("node")), ","), F.lit("]"))
-    first = parts.groupBy("component", "_b").agg(F.sha2(joined, 256).alias("_d"), F.first("_n").alias("_n"))
-    lists = F.array_sort(F.collect_list(F.struct("_b", "_d")))
-    return first.groupBy("component").agg(F.first("_n").alias("_n"), lists.alias("_l")).select(
-        "component", F.when(F.size("_l") == 1, F.get("_l", F.lit(0))["_d"])
-        .otherwise(F.sha2(F.array_join(F.transform("_l", lambda x: x["_d"]), ","), 256)).alias("component_id"))
+def component_digests(labels: DataFrame) -> DataFrame:
+    """One digest of the member set per component; the same formula, and constant state, for every size."""
+    return labels.groupBy("component").agg(set_digest("node").alias("component_id"))
 
 
 def grouped_split(groups: DataFrame, component: str = "component_id", train: float = 0.8, validation: float = 0.1) -> DataFrame:

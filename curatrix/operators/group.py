@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from curatrix.functions.ids import set_digest
 from curatrix.functions.rules import compact, count_map, reasons, weighted_sum
 from curatrix.functions.text import slug
-from curatrix.operators.scale import first_values, nest, small_side, top_k
+from curatrix.operators.scale import first_values, nest, null_safe_join, position, small_side, top_k
 
 UNRESOLVED = "__{}_unresolved__"
 
@@ -107,7 +107,7 @@ def entity_groups(
     if record:
         picked = top_k(df.select(key, record), [key], [record], sample, "_n").groupBy(key).agg(
             F.array_sort(F.collect_list(record)).alias("sample_records"))
-        out = out.join(picked, key)
+        out = null_safe_join(out, picked, [key])
     return out
 
 
@@ -125,7 +125,7 @@ def strict_duplicates(df: DataFrame, keys: Sequence[str], source: str, record: s
         F.count(F.lit(1)).alias("record_count"), F.count_distinct(source).alias("source_count")).where("record_count >= 2")
     picked = top_k(df.select(*keys, record), keys, [record], sample, "_n").groupBy(*keys).agg(
         F.array_sort(F.collect_list(record)).alias("sample_records"))
-    return stats.join(picked, list(keys)).withColumn("cross_source_duplicate", F.col("source_count") > 1)
+    return null_safe_join(stats, picked, list(keys)).withColumn("cross_source_duplicate", F.col("source_count") > 1)
 
 
 def alias_collapse(df: DataFrame, name: str, identity: str, aliases: DataFrame) -> DataFrame:
@@ -269,26 +269,29 @@ def brand_census(df: DataFrame, brand: str, prefix: str, min_count: int = 10, mi
         ((top >= min_count) & (share >= min_share)).alias("stable_prefix_candidate"))
 
 
-def serial_observations(segments: DataFrame, serial: str, name: str, source: str, at: str, keep: int = 50) -> DataFrame:
-    """Per serial: distinct names in first-seen order, their state and occurrences."""
-    firsts = segments.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(serial, name).agg(
-        F.min(F.struct(F.col(source), F.col(at))).alias("_first"))
-    counts = firsts.groupBy(serial).agg(F.count(F.lit(1)).alias("name_count"))
-    head = top_k(firsts, [serial], ["_first", name], keep, "_n").groupBy(serial).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(name).alias("v")))), lambda x: x["v"]).alias("historical_names"))
-    seen = segments.groupBy(serial).agg(F.count(F.lit(1)).alias("occurrence_count"))
-    out = seen.join(counts, serial, "left").join(head, serial, "left")
-    n = F.coalesce(F.col("name_count"), F.lit(0))
-    return out.select(
-        serial, "occurrence_count", n.alias("name_count"),
-        F.coalesce("historical_names", F.array().cast("array<string>")).alias("historical_names"),
-        F.when(n == 0, "blank_catalog_slot").when(n == 1, "named").otherwise("conflicting_names").alias("name_status"))
+def serial_names(segments: DataFrame, serial: str, name: str, source: str, at: str) -> DataFrame:
+    """Every distinct name of a serial as a row ``(serial, name_no, name, source, at)``, in first-seen order."""
+    firsts = segments.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(serial, name).agg(F.min(F.struct(F.col(source), F.col(at))).alias("_first"))
+    placed = position(firsts, [F.col("_first"), F.col(name)], [serial], name="name_no")
+    return placed.select(serial, "name_no", name, F.col(f"_first.{source}").alias(source), F.col(f"_first.{at}").alias(at))
+
+
+def serial_observations(segments: DataFrame, serial: str, name: str, source: str, at: str) -> DataFrame:
+    """Per serial: occurrences, number of distinct names, the first one, and the state; all names are rows of ``serial_names``."""
+    seen = segments.groupBy(serial).agg(
+        F.count(F.lit(1)).alias("occurrence_count"), F.count_distinct(F.nullif(F.col(name), F.lit(""))).alias("name_count"),
+        F.min(F.when(F.coalesce(F.col(name), F.lit("")) != "", F.struct(F.col(source), F.col(at), F.col(name))))[name].alias("first_name"))
+    n = F.col("name_count")
+    return seen.withColumn("name_status", F.when(n == 0, "blank_catalog_slot").when(n == 1, "named").otherwise("conflicting_names"))
 
 
-def catalog_digest(observations: DataFrame, serial: str = "serial") -> DataFrame:
-    line = F.concat_ws("|", F.col(serial), "name_status", F.array_join("historical_names", ";"),
-                       F.col("occurrence_count").cast("string"))
-    return observations.agg(F.count(F.lit(1)).alias("serials"), set_digest(line).alias("catalog_digest"))
+def catalog_digest(segments: DataFrame, serial: str, name: str, source: str, at: str) -> DataFrame:
+    """Number of serials and one digest over all of them: a line per serial and a line per name, however many."""
+    seen = serial_observations(segments, serial, name, source, at)
+    heads = seen.select(F.concat_ws("|", F.lit("serial"), F.col(serial), "name_status", F.col("occurrence_count").cast("string")).alias("line"), F.lit(1).alias("one"))
+    names = serial_names(segments, serial, name, source, at)
+    tails = names.select(F.concat_ws("|", F.lit("name"), F.col(serial), F.col("name_no").cast("string"), name).alias("line"), F.lit(0).alias("one"))
+    return heads.unionByName(tails).agg(F.sum("one").alias("serials"), set_digest("line").alias("catalog_digest"))
 
 
 def coverage(registry: DataFrame, sources: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -377,18 +380,17 @@ def decorated_corpus(
         .join(scalars, part, "left").join(ids, part, "left"))
 
 
-def component_summary(components: DataFrame, entity: str, role: str, item: str, listed: Sequence[str], keep: int = 1000) -> DataFrame:
-    """Per entity: component count, role counts and the ordered accessory list with its full length."""
+def component_summary(components: DataFrame, entity: str, role: str, listed: Sequence[str]) -> DataFrame:
+    """Per entity: component count, role counts and the number of listed components."""
     roles = components.groupBy(entity, F.col(role).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    counts = roles.groupBy(entity).agg(
-        F.sum("n").alias("component_count"), count_map(F.collect_list(F.struct("value", "n"))).alias("role_counts"))
-    extra = components.where(F.col(role).isin(*listed))
-    total = extra.groupBy(entity).agg(F.count(F.lit(1)).alias("accessory_count"))
-    head = top_k(extra.select(entity, role, item), [entity], [role, item], keep, "_n").groupBy(entity).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(role).alias("r"), F.col(item).alias("i")))),
-                    lambda x: F.struct(x["r"].alias("role"), x["i"].alias("item"))).alias("accessories"))
-    return counts.join(total, entity, "left").join(head, entity, "left").withColumn(
-        "accessory_count", F.coalesce("accessory_count", F.lit(0)))
+    return roles.groupBy(entity).agg(
+        F.sum("n").alias("component_count"), count_map(F.collect_list(F.struct("value", "n"))).alias("role_counts"),
+        F.coalesce(F.sum(F.when(F.col("value").isin(*listed), F.col("n"))), F.lit(0)).alias("accessory_count"))
+
+
+def component_accessories(components: DataFrame, entity: str, role: str, item: str, listed: Sequence[str]) -> DataFrame:
+    """Every listed component as a row ``(entity, accessory_no, role, item)`` in order; complete for any number of them."""
+    return position(components.where(F.col(role).isin(*listed)).select(entity, role, item), [F.col(role), F.col(item)], [entity], name="accessory_no")
 
 
 def candidate_corpus(components: DataFrame, entity: str, component: str) -> DataFrame:
@@ -459,7 +461,7 @@ def queue_rollup(df: DataFrame, base: str, band: str, ident: str, score: str, to
     best = top_k(df.select(base, ident, score), [base], [F.col(score).desc(), ident], top, "_n").groupBy(base).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(ident).alias("i")))), lambda x: x["i"]).alias("top_candidates"),
         F.max(score).alias("_max"))
-    return counts.join(best, base).withColumn(
+    return null_safe_join(counts, best, [base]).withColumn(
         "group_score", F.col("_max") + F.when(F.col("record_count") > 1, bonus).otherwise(0)).drop("_max")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions.rules import jaccard
 from curatrix.functions.text import norm_text, tokens
-from curatrix.operators.scale import first_values, small_side, top_k
+from curatrix.operators.scale import first_values, null_safe_join, position, small_side
 from curatrix.session import materialize
 
 
@@ -211,12 +211,13 @@ def priority_resolution(
 
 def expand_to_parts(
     candidates: DataFrame, components: DataFrame, geometry: DataFrame, subject: str, entity: str, part: str,
-    role: str, component_role: str, score: str, roles: DataFrame, keep: int = 30, strict_score: float = 0.9,
+    role: str, component_role: str, score: str, roles: DataFrame, listed: int = 30, strict_score: float = 0.9,
 ) -> DataFrame:
     """Candidate entities to their role-compatible components to exact geometry ids.
 
     ``roles(role, component_role)`` is the compatibility table. Gives the best entity per
-    ``(subject, component)`` with its link class, first ``keep`` per subject.
+    ``(subject, component)`` with its link class and its place among the links of the subject. All links stay; ``listed`` marks the
+    first ones, which make up the short part list.
     """
     hop = candidates.join(small_side(roles), role).join(components, [entity, component_role])
     best = hop.groupBy(subject, "component_id", part, "print_of").agg(
@@ -233,7 +234,8 @@ def expand_to_parts(
     flat = linked.select(subject, "component_id", part, "print_of", F.col("_b.score").alias(score),
                          F.col("_b.entity").alias(entity), kind.alias("link_class"))
     order = [F.col(score).desc(), part, "component_id", F.col("print_of").asc_nulls_first()]
-    return top_k(flat, [subject], order, keep, "link_rank").drop("print_of")
+    placed = position(flat, order, [subject], name="link_rank")
+    return placed.withColumn("in_part_list", F.col("link_rank") <= listed).drop("print_of")
 
 
 # Order of representation states, strongest first.
@@ -391,7 +393,7 @@ def propagate_by_signature(df: DataFrame, signature: str, label: str, key: str)
         F.when(F.col(label).isNotNull(), "reviewed").when(F.col("reviewed_members") == 0, "signature_unreviewed")
         .when(F.col("_low") == F.col("_high"), "propagated_candidate").otherwise("conflicting_reviews")
     )
-    return df.join(votes, signature).select(
+    return null_safe_join(df, votes, [signature]).select(
         key, signature, "signature_members", "reviewed_members", state.alias("propagation_status"),
         F.when(state == "propagated_candidate", F.col("_low")).when(state == "reviewed", F.col(label)).alias("propagated_label"),
     )

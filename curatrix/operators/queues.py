@@ -12,7 +12,7 @@ from curatrix.functions.rules import (
 from curatrix.functions.text import norm_text, tokens, year_like
 from curatrix.operators.pages import url_host
 from curatrix.operators.rank import top_margin
-from curatrix.operators.scale import first_values, small_side
+from curatrix.operators.scale import null_safe_join, position, small_side
 
 
 def priority_queue(features: DataFrame, signals: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -28,10 +28,12 @@ FAMILIES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("DC", ("dc", "batman", "superman", "justice league", "titans", "doom patrol", "aquaman")), ("Anime", ("anime",)),
     ("Gaming", ("gaming", "games")),
 )
+# Fixed values.
 STATE_SCORE: dict[str, tuple[int, str]] = {
     "wishlist_gap_candidate": (100, "explicit_wishlist"), "explicit_missing_design_target": (80, "explicit_missing"),
     "maybe_gap_candidate": (30, "maybe_state"),
 }
+# Fixed values.
 DETAILS: tuple[tuple[str, int, str], ...] = (
     ("identity", 8, "identity_specific"), ("variant", 10, "variant_specific"), ("first_appearance", 10, "source_appearance_present"),
     ("year", 4, "year_present"), ("preferred", 6, "preferred_reference_present"), ("universe", 4, "universe_present"),
@@ -164,16 +166,14 @@ def field_shape_audit(
         F.size("review_signals") > 0)
 
 
-def presentation_alias_audit(df: DataFrame, group: str, field: str, keep: int = 50) -> DataFrame:
-    """Raw labels of one group that share a normalised key, shortest first."""
+def presentation_alias_audit(df: DataFrame, group: str, field: str) -> DataFrame:
+    """Raw labels of one group that share a normalised key, one row per label, shortest first; none is left out."""
     labels = df.where(F.coalesce(F.col(field), F.lit("")) != "").groupBy(group, field).agg(F.count(F.lit(1)).alias("n"))
     keyed = labels.withColumn("normalized_key", norm_text(field)).where("normalized_key <> ''")
     counts = keyed.groupBy(group, "normalized_key").agg(F.count(F.lit(1)).alias("raw_label_count"), F.sum("n").alias("record_count")).where(
         "raw_label_count > 1")
-    sized = keyed.withColumn("_l", F.struct(F.length(field).alias("size"), F.col(field).alias("label")))
-    heads = first_values(sized.join(counts, [group, "normalized_key"], "left_semi"), [group, "normalized_key"], "_l", keep, "_labels")
-    return counts.join(heads, [group, "normalized_key"]).select(
-        group, "normalized_key", "raw_label_count", "record_count", F.transform("_labels", lambda x: x["label"]).alias("raw_labels"))
+    listed = null_safe_join(keyed.select(group, "normalized_key", F.col(field).alias("raw_label")), counts, [group, "normalized_key"])
+    return position(listed, [F.length("raw_label"), F.col("raw_label")], [group, "normalized_key"], name="label_no")
 
 
 def sanitisation_queue(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions.ids import set_digest
-from curatrix.operators.scale import position, small_side, top_k
+from curatrix.operators.scale import null_safe_join, position, small_side, top_k
 from curatrix.session import materialize
 
 
@@ -113,7 +113,7 @@ def resolve_slots(
     head = top_k(unique, [sample, slot], ["_b"], alternates + 1, "_r").groupBy(sample, slot).agg(
         F.array_sort(F.collect_list(F.struct("_r", "_b"))).alias("_l"))
     first = F.get("_l", F.lit(0))["_b"]
-    return head.join(totals, [sample, slot]).select(
+    return null_safe_join(head, totals, [sample, slot]).select(
         sample, slot, first["a"].alias("preferred_asset_id"), F.round(-first["s"], 3).alias("preferred_score"),
         F.transform(F.slice("_l", 2, alternates), lambda x: x["_b"]["a"]).alias("alternate_asset_ids"),
         "occurrence_count", "distinct_contents")

@@ -10,12 +10,15 @@ from curatrix.session import materialize
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of a frame (an upper bound for plain file scans)."""
+    """Optimizer's size estimate of a frame (for plain file scans the bytes of the compressed files)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_side(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise the planner shuffles both sides."""
+def small_side(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
+    """Broadcast hint only behind a size check; otherwise the planner decides and adaptive execution may change its mind.
+
+    The estimate of a scan is the size of its compressed files, so the limit is far below what an executor can hold.
+    """
     return F.broadcast(df) if estimated_bytes(df) <= limit_bytes else df
 
 
@@ -51,6 +54,13 @@ def _null_safe(columns: Sequence[str], prefix: str) -> Column:
     return condition
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of equal names in which null equals null; the keys of the left side are kept."""
+    other = right.withColumnsRenamed({k: f"_o_{k}" for k in keys})
+    joined = left.join(other, _null_safe(keys, "_o_"), how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_o_{k}" for k in keys])
+
+
 def nest(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], items: Sequence[str], name: str = "items",
     chunk: int = 10000,
@@ -90,7 +100,7 @@ def first_values(df: DataFrame, keys: Sequence[str], value: str, n: int, name: s
         distinct.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(value))).where(F.col("_n") <= n)
         .groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
     )
-    return counts.join(head, list(keys))
+    return null_safe_join(counts, head, list(keys))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "rank") -> DataFrame:

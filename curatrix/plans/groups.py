@@ -348,11 +348,15 @@ def decorated_corpus(t):
 
 @query("component_summary", """
 with c as (select l_orderkey, string_agg(role || '=' || n, ',' order by n desc, role) as role_counts, sum(n)::bigint as component_count from (select l_orderkey, l_returnflag as role, count(*) as n from lineitem group by 1, 2) group by 1),
- a as (select l_orderkey, count(*) as accessory_count, string_agg(l_returnflag || ':' || l_partkey, ',' order by l_returnflag, l_partkey) as accessories from lineitem where l_returnflag in ('R', 'A') group by 1)
-select c.l_orderkey, component_count, role_counts, coalesce(accessory_count, 0) as accessory_count, coalesce(accessories, '') as accessories from c left join a using (l_orderkey)""")
+ a as (select l_orderkey, count(*) as accessory_count from lineitem where l_returnflag in ('R', 'A') group by 1)
+select c.l_orderkey, component_count, role_counts, coalesce(accessory_count, 0) as accessory_count from c left join a using (l_orderkey)""")
 def component_summary(t):
-    out = group.component_summary(t.lineitem, "l_orderkey", "l_returnflag", "l_partkey", ("R", "A"))
-    return out.select("l_orderkey", "component_count", mapped("role_counts").alias("role_counts"), "accessory_count", F.coalesce(joined("accessories", ["role", "item"]), F.lit("")).alias("accessories"))
+    return group.component_summary(t.lineitem, "l_orderkey", "l_returnflag", ("R", "A")).withColumn("role_counts", mapped("role_counts"))
+
+
+@query("component_accessories", """select l_orderkey, row_number() over (partition by l_orderkey order by l_returnflag, l_partkey)::bigint as accessory_no, l_returnflag, l_partkey from lineitem where l_returnflag in ('R', 'A')""")
+def component_accessories(t):
+    return group.component_accessories(t.lineitem, "l_orderkey", "l_returnflag", "l_partkey", ("R", "A"))
 
 
 CORPUS_SQL = """
@@ -455,7 +459,8 @@ GROUPS_SQL = f"""
 with recursive e as (select distinct doc_id, sha256(text) as v from documents union select distinct doc_id, {LETTERS} from documents union select distinct doc_id, source || n_chars from documents),
  x as (select a.doc_id as a, b.doc_id as b from e a join e b using (v) where a.doc_id <> b.doc_id), reach as (select distinct doc_id as g, doc_id as r from e union select reach.g, x.b from reach join x on reach.r = x.a),
  c as (select g, min(r) as root from reach group by 1), m as (select c.g as doc_id, root, source || '-' || doc_id as group_id from c join documents on doc_id = c.g),
- d as (select root, sha256('[' || string_agg('["group","' || group_id || '"]', ',' order by '["group","' || group_id || '"]') || ']') as component_id from m group by 1),
+ dh as (select root, sha256('["group","' || group_id || '"]') as h from m),
+ d as (select root, sha256(count(*) || '|' || sum(('0x' || left(h, 15))::bigint::hugeint) || '|' || sum(('0x' || substr(h, 16, 15))::bigint::hugeint)) as component_id from dh group by 1),
  v as (select m.doc_id, group_id, false as used_fallback, component_id, ('0x' || left(sha256(component_id), 16))::ubigint::double / 18446744073709551616.0 as f from m join d using (root))
 select doc_id, group_id, used_fallback, component_id, case when f < 0.8 then 'train' when f < 0.9 then 'validation' else 'test' end as split from v"""
 

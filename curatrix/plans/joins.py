@@ -144,7 +144,7 @@ with cand as (select o_custkey, o_orderkey as fig, case when o_orderstatus = 'F'
  hop as (select o_custkey, component_id, l_partkey, print_of, max(score) as score, max_by(cand.fig, score * 1e9 + cand.fig) as fig from cand join roles using (role) join comp on comp.fig = cand.fig and comp.component_role = roles.component_role group by 1, 2, 3, 4),
  lk as (select hop.*, case when geo.l_partkey is null then 'no_geometry' when print_of is null then 'base_substrate_link' when score >= 0.9 then 'strict_print_link' else 'unverified_print_link' end as link_class,
    row_number() over (partition by o_custkey order by score desc, hop.l_partkey, component_id, print_of nulls first) as link_rank from hop left join geo on geo.l_partkey = hop.l_partkey)
-select o_custkey, component_id, l_partkey, score, fig, link_class, link_rank::int as link_rank from lk where link_rank <= 30""")
+select o_custkey, component_id, l_partkey, score, fig, link_class, link_rank, link_rank <= 30 as in_part_list from lk""")
 def expand_to_parts(t):
     cand = t.orders.select("o_custkey", F.col("o_orderkey").alias("fig"), F.when(F.col("o_orderstatus") == "F", "head").otherwise("torso").alias("role"), F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
     comp = t.lineitem.select(F.col("l_orderkey").alias("fig"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("component_id"), "l_partkey",

@@ -95,16 +95,21 @@ with s as (select page_id, 0 as pos, 'K' || page_id as serial, 'First name' as n
 """
 
 
-@query("serial_observations", SERIAL_SQL + "select serial, occurrence_count, name_count, names as historical_names, name_status from r")
+@query("serial_observations", SERIAL_SQL + "select serial, occurrence_count, name_count, split_part(names, ';', 1) as first_name, name_status from r")
 def serial_observations(t):
-    out = group.serial_observations(_segments(t), "serial", "name", "page_id", "pos")
-    return out.withColumn("historical_names", F.array_join("historical_names", ";"))
+    return group.serial_observations(_segments(t), "serial", "name", "page_id", "pos")
 
 
-@query("catalog_digest", SERIAL_SQL + """, l as (select sha256(serial || '|' || name_status || '|' || names || '|' || occurrence_count) as h from r)
-select count(*) as serials, sha256(count(*) || '|' || sum(('0x' || left(h, 15))::bigint::hugeint) || '|' || sum(('0x' || substr(h, 16, 15))::bigint::hugeint)) as catalog_digest from l""")
+@query("serial_names", SERIAL_SQL + "select serial, row_number() over (partition by serial order by fp, name)::bigint as name_no, name, (fp // 10)::bigint as page_id, (fp % 10)::int as pos from f")
+def serial_names(t):
+    return group.serial_names(_segments(t), "serial", "name", "page_id", "pos")
+
+
+@query("catalog_digest", SERIAL_SQL + """, l as (select sha256('serial|' || serial || '|' || name_status || '|' || occurrence_count) as h, 1 as one from r
+ union all select sha256('name|' || serial || '|' || row_number() over (partition by serial order by fp, name) || '|' || name), 0 from f)
+select sum(one)::bigint as serials, sha256(count(*) || '|' || sum(('0x' || left(h, 15))::bigint::hugeint) || '|' || sum(('0x' || substr(h, 16, 15))::bigint::hugeint)) as catalog_digest from l""")
 def catalog_digest(t):
-    return group.catalog_digest(group.serial_observations(_segments(t), "serial", "name", "page_id", "pos"))
+    return group.catalog_digest(_segments(t), "serial", "name", "page_id", "pos")
 
 
 @query("web_profile", f"""

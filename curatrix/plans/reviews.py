@@ -149,12 +149,11 @@ def field_shape_audit(t):
 
 @query("presentation_alias_audit", """
 with p as (select p_brand, case p_size % 3 when 0 then p_name when 1 then upper(p_name) else replace(p_name, ' ', ' - ') end as label from part), k as (select p_brand, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) as nk, label, count(*) as n from p group by 1, 2, 3)
-select p_brand, nk as normalized_key, count(*) as raw_label_count, sum(n)::bigint as record_count, string_agg(label, '|' order by length(label), label) as raw_labels from k group by 1, 2 having count(*) > 1""")
+select p_brand, nk as normalized_key, count(*) over w as raw_label_count, (sum(n) over w)::bigint as record_count, label as raw_label, row_number() over (w order by length(label), label) as label_no from k window w as (partition by p_brand, nk) qualify count(*) over w > 1""")
 def presentation_alias_audit(t):
     k = F.col("p_size") % 3
     label = F.when(k == 0, F.col("p_name")).when(k == 1, F.upper("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit(" - ")))
-    out = queues.presentation_alias_audit(t.part.select("p_brand", label.alias("label")), "p_brand", "label")
-    return out.withColumn("raw_labels", F.array_join("raw_labels", "|"))
+    return queues.presentation_alias_audit(t.part.select("p_brand", label.alias("label")), "p_brand", "label")
 
 
 @query("reference_links", """select o_orderkey, 'catalog:' || o_custkey as physical_reference_id, case when o_orderstatus = 'F' and o_totalprice > 50000 then 'physical_reference_link_ready' else 'physical_reference_link_unresolved' end as link_status from orders""")

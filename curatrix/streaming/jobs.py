@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from curatrix.operators.scale import null_safe_join
 from curatrix.operators.dedup import exact_dedup
 from curatrix.operators.review import adjudicate, flatten_reviews, normalise_reviews, validate_reviews
 from curatrix.operators.dq import split_valid
@@ -22,7 +23,7 @@ def incremental_ingest(
 ) -> DataFrame:
     """Append rows with keys that were not processed before; the target itself is the memory.
 
-    Every micro-batch keeps the first row per key and anti-joins the earlier batches. Rows land under
+    Every micro-batch keeps the first row per key and anti-joins the earlier batches; a null key equals a null key. Rows land under
     ``batch_id=N``; a replayed batch overwrites its own folder, so a restart never doubles rows. No key state
     has to fit in executor memory.
     """
@@ -33,7 +34,7 @@ def incremental_ingest(
         fresh = exact_dedup(batch, keys, order)
         known = _read_or_none(batch.sparkSession, target, _with_batch(schema))
         if known is not None:
-            fresh = fresh.join(known.where(F.col("batch_id") < batch_id).select(*keys), list(keys), "left_anti")
+            fresh = null_safe_join(fresh, known.where(F.col("batch_id") < batch_id).select(*keys), list(keys), "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     query = source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,8 +53,9 @@ def groups(spark, rows, **kw):
 def test_groups_are_transitive_and_ordered(spark):
     got = {r.derived_asset_id: (r.component_id, r.split) for r in groups(spark, ROWS).collect()}
     assert got["1"] == got["2"] == got["3"] != got["4"]
-    want = hashlib.sha256(json.dumps(sorted([["group", g] for g in "ABC"]), separators=(",", ":")).encode()).hexdigest()
-    assert got["1"][0] == want
+    members = [hashlib.sha256(json.dumps(["group", g], separators=(",", ":")).encode()).hexdigest() for g in "ABC"]
+    low, high = (sum(int(m[a:b], 16) for m in members) for a, b in ((0, 15), (15, 30)))
+    assert got["1"][0] == hashlib.sha256(f"3|{low}|{high}".encode()).hexdigest()
     again = {r.derived_asset_id: (r.component_id, r.split) for r in groups(spark, ROWS[::-1]).collect()}
     assert again == got
     more = {r.derived_asset_id: (r.component_id, r.split) for r in groups(spark, [*ROWS, ("5", "A", "h1", "s1", None)]).collect()}
@@ -69,11 +70,12 @@ def test_missing_group_raises_unless_fallback(spark):
     assert got["6"].used_fallback and got["6"].group_id == "s6" and not got["1"].used_fallback
 
 
-def test_large_components_are_digested_in_two_levels(spark):
+def test_component_digests_have_one_formula(spark):
     labels = spark.createDataFrame([(f"n{i}", "c") for i in range(500)] + [("m", "d")], "node string, component string")
-    a = dict(values(graph.component_digests(labels, 100), "component", "component_id"))
-    b = dict(values(graph.component_digests(labels.repartition(9), 100), "component", "component_id"))
-    assert a == b and a["d"] == hashlib.sha256(b"[m]").hexdigest()
+    a = dict(values(graph.component_digests(labels), "component", "component_id"))
+    b = dict(values(graph.component_digests(labels.repartition(9)), "component", "component_id"))
+    h = hashlib.sha256(b"m").hexdigest()
+    assert a == b and a["c"] != a["d"] == hashlib.sha256(f"1|{int(h[:15], 16)}|{int(h[15:30], 16)}".encode()).hexdigest()
 
 
 def test_ancestry_survives_cycles_and_missing_parents(spark):
