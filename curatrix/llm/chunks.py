@@ -35,7 +35,7 @@ def gear(low: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut(column: pa.Array, cut_bits: int = CUT_BITS, longest: int = LONGEST):
+def cut(column: pa.Array, cut_bits: int = CUT_BITS, longest: int = LONGEST):  # longest: at most 127
     """For each slice of texts: ``(first row, pieces' rows, digests, words, start bytes, end bytes, bytes, offsets)``."""
     for row, end, data, at in slices(column):
         low, starts, ends, first = words(data, at, SPACED)
@@ -59,7 +59,8 @@ def cut(column: pa.Array, cut_bits: int = CUT_BITS, longest: int = LONGEST):
 
 
 _SEEN = StructType([StructField("digest", LongType()), StructField("doc", LongType())])
-_PLACED = StructType([StructField(n, LongType()) for n in ("digest", "doc", "text")] + [StructField(n, IntegerType()) for n in ("place", "words", "more", "start", "middle", "end")])
+#: ``at`` packs the chunk's place and its two numbers of words, ``span`` the lengths up to the second piece and from there on; most chunks are shuffled only to be dropped.
+_PLACED = StructType([StructField(n, LongType()) for n in ("digest", "doc", "text", "at", "start", "span")])
 
 
 def _rows(docs: DataFrame, key: str, text: str, fn, schema: StructType) -> DataFrame:
@@ -109,14 +110,18 @@ def _placed(doc, row, rows, digest, many, start, end, data, at):
     base = points[at[rows - row]]
     start, end = points[start] - base, points[end] - base
     more = np.where(second > first, many[second], 0)
-    return chunk, doc[rows[first]], text[first], *[x.astype(np.int32) for x in (place[first], many[first], more, start[first], start[second], end[second])]
+    at, span = (place[first] << 14) | (many[first] << 7) | more, ((start[second] - start[first]) << 32) | (end[second] - start[second])
+    return chunk, doc[rows[first]], text[first], at, start[first], span
 
 
 def repeated_chunks(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``digest, doc, text, place, words, more, start, middle, end, first_doc``: every chunk that documents of different ids hold."""
     seen = _rows(docs, key, text, _seen, _SEEN)
     shared = seen.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).where("first_doc < _last").drop("_last")
-    return _rows(docs, key, text, _placed, _PLACED).join(shared, "digest")
+    middle = F.col("start") + F.shiftright("span", 32)
+    return _rows(docs, key, text, _placed, _PLACED).join(shared, "digest").select(
+        "digest", "doc", "text", "first_doc", F.shiftright("at", 14).cast("int").alias("place"), (F.shiftright("at", 7) % 128).cast("int").alias("words"), (F.col("at") % 128).cast("int").alias("more"),
+        F.col("start").cast("int").alias("start"), middle.cast("int").alias("middle"), (middle + F.col("span") % (1 << 32)).cast("int").alias("end"))
 
 
 _CUT = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
