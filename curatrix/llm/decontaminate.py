@@ -151,13 +151,12 @@ def n_hit(found: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: counts, digest of the item ids, verdict and the hit spans in code points."""
+    """One row per document: counts, digest of the item ids and verdict."""
     found = contamination(docs.select("doc_id", "text"), benchmark, out="found", keep=["doc_id"], **options)
     f = F.col("found")
     return found.select(
         "doc_id", f["n_words"].alias("n_words"), n_hit(f).alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (F.size(f["hit"]) > 0).alias("contaminated"),
-        F.transform(f["hit"], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+        F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (F.size(f["hit"]) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, ngram_lm, quality, secret_scan, sharding, warc
+from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, ngram_lm, quality, secret_scan, sharding, sql, warc
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op3_benchmark_decontamination")
+@query("op3_benchmark_decontamination", sql.DECONTAMINATION)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -49,12 +49,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.report(table(spark, folder, "documents"))
 
 
-@query("op2_warc")
+@query("op2_warc", sql.WARC)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return warc.report(table(spark, folder, "pages"))
 
 
-@query("op5_secret_scans")
+@query("op5_secret_scans", sql.SECRETS)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
@@ -74,6 +74,6 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.report(table(spark, folder, "documents"))
 
 
-@query("op8_ngram_jaccard_join")
+@query("op8_ngram_jaccard_join", sql.JACCARD)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.report(table(spark, folder, "documents"))

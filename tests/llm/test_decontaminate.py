@@ -31,12 +31,12 @@ def test_equals_plain_search(spark, case):
 def test_spans_are_code_points_of_the_original(spark, case):
     docs, items = case
     texts = {d: t for d, t in docs if d}
-    for r in dc.report(documents(spark, docs), spark.createDataFrame(items, ITEMS)).where("contaminated").collect():
-        for span in r.spans if r.doc_id else []:
-            part = texts[r.doc_id][span.start: span.end]
-            assert part and part[0].strip() and part[-1].strip()
-    r = dc.report(documents(spark, [(1, "é漢 🙂, One")]), spark.createDataFrame([(1, "one")], ITEMS)).first()
-    assert [tuple(s) for s in r.spans] == [(6, 9)] and r.n_hit == 1
+    for r in dc.contamination(documents(spark, docs), spark.createDataFrame(items, ITEMS)).where("size(contamination.hit) > 0").collect():
+        for span in r.contamination.hit:
+            part = r.text[span.start: span.end]
+            assert part and part[0].strip() and part[-1].strip() and texts.get(r.doc_id, r.text) == r.text
+    r = dc.contamination(documents(spark, [(1, "é漢 🙂, One")]), spark.createDataFrame([(1, "one")], ITEMS)).first()
+    assert [tuple(s) for s in r.contamination.hit] == [(2, 3, 6, 9)]
 
 
 def test_empty_tables_and_clean_documents(spark, case):
