@@ -65,7 +65,7 @@ def annotation_count() -> Column:
 
 
 def validate_reviews(df: DataFrame) -> DataFrame:
-    """Adds ``errors``: one message per broken rule, nested items included."""
+    """Adds ``errors``: one code ``field:rule`` per broken rule, nested items included."""
     c = F.col
     filled = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
     hashed = lambda x: x.isNull() | x.rlike("^[0-9a-fA-F]{64}$")
@@ -75,45 +75,40 @@ def validate_reviews(df: DataFrame) -> DataFrame:
     modelled = F.coalesce(c("reviewer.reviewer_type").isin("model", "hybrid"), F.lit(False))
     refs = F.coalesce(F.size("adjudicates_review_ids"), F.lit(0)) > 0
     regions = F.coalesce(F.map_keys("annotations.regions"), F.array().cast("array<string>"))
+    person, proof, notes = c("reviewer"), c("evidence"), c("annotations")
     rules = [
-        (c("schema") == SCHEMA, f"schema must be '{SCHEMA}'"),
-        (filled(c("translation_pair_id")), "translation_pair_id must be a non-empty string"),
-        (c("reviewer").isNotNull(), "reviewer must be an object"),
-        (c("reviewer.reviewer_type").isin(*REVIEWER_TYPES), "reviewer.reviewer_type is not allowed"),
-        (filled(c("reviewer.reviewer_id")), "reviewer.reviewer_id must be a non-empty string"),
-        (c("reviewer.review_role").isin(*ROLES), "reviewer.review_role is not allowed"),
-        (~modelled | filled(c("reviewer.model_id")), "model/hybrid reviews require reviewer.model_id"),
-        (~modelled | filled(c("reviewer.model_revision")), "model/hybrid reviews require reviewer.model_revision"),
-        (c("evidence").isNotNull(), "evidence must be an object"),
-        (F.startswith("evidence.source_image_url", F.lit("https://")), "evidence.source_image_url must be an https URL"),
-        (F.startswith("evidence.lego_image_url", F.lit("https://")), "evidence.lego_image_url must be an https URL"),
-        (hashed(c("evidence.source_image_sha256")), "evidence.source_image_sha256 must be null or a SHA-256 hex digest"),
-        (hashed(c("evidence.lego_image_sha256")), "evidence.lego_image_sha256 must be null or a SHA-256 hex digest"),
-        (c("evidence.evidence_scope").isin(*SCOPES), "evidence.evidence_scope is not allowed"),
-        (~c("evidence.claims_unobserved_surfaces"), "evidence.claims_unobserved_surfaces must be false"),
-        (c("annotations").isNotNull(), "annotations must be an object"),
-        (c("annotations.regions").isNotNull(), "annotations.regions must be an object"),
-        (F.forall(regions, lambda r: r.isin(*REGIONS)), "unknown annotation regions"),
-        (listed("annotations.identity_critical_features"), "annotations.identity_critical_features must hold non-empty strings"),
-        (listed("limitations"), "limitations must hold non-empty strings"),
-        (c("review_status").isin(*STATUSES), "review_status is not allowed"),
-        (~final | filled(c("created_at")), "submitted/adjudicated reviews require created_at"),
-        (~final | (annotation_count() > 0), "submitted/adjudicated reviews require at least one semantic annotation"),
-        (listed("adjudicates_review_ids"), "adjudicates_review_ids must hold non-empty review IDs"),
-        (~adjudicated | F.coalesce(c("reviewer.review_role") == "adjudicator", F.lit(False)),
-         "review_status=adjudicated requires reviewer.review_role=adjudicator"),
-        (~adjudicated | refs, "adjudicated reviews must list adjudicates_review_ids"),
-        (adjudicated | ~refs, "non-adjudicated reviews must not claim adjudicates_review_ids"),
+        (c("schema") == SCHEMA, "schema:unknown"),
+        (filled(c("translation_pair_id")), "translation_pair_id:empty"),
+        *[(part.isNotNull(), f"{name}:missing") for name, part in (("reviewer", person), ("evidence", proof), ("annotations", notes))],
+        (notes["regions"].isNotNull(), "annotations.regions:missing"),
+        (person["reviewer_type"].isin(*REVIEWER_TYPES), "reviewer.reviewer_type:unknown"),
+        (person["review_role"].isin(*ROLES), "reviewer.review_role:unknown"),
+        (proof["evidence_scope"].isin(*SCOPES), "evidence.evidence_scope:unknown"),
+        (c("review_status").isin(*STATUSES), "review_status:unknown"),
+        (F.forall(regions, lambda r: r.isin(*REGIONS)), "annotations.regions:unknown"),
+        (filled(person["reviewer_id"]), "reviewer.reviewer_id:empty"),
+        *[(~modelled | filled(person[f]), f"reviewer.{f}:needed_for_model") for f in ("model_id", "model_revision")],
+        *[(F.startswith(proof[f"{side}_image_url"], F.lit("https://")), f"evidence.{side}_image_url:not_https") for side in ("source", "lego")],
+        *[(hashed(proof[f"{side}_image_sha256"]), f"evidence.{side}_image_sha256:not_a_digest") for side in ("source", "lego")],
+        (~proof["claims_unobserved_surfaces"], "evidence.claims_unobserved_surfaces:set"),
+        *[(listed(name), f"{name}:empty_item") for name in ("annotations.identity_critical_features", "limitations", "adjudicates_review_ids")],
+        (~final | filled(c("created_at")), "created_at:needed_when_final"),
+        (~final | (annotation_count() > 0), "annotations:needed_when_final"),
+        (~adjudicated | F.coalesce(person["review_role"] == "adjudicator", F.lit(False)), "reviewer.review_role:not_adjudicator"),
+        (~adjudicated | refs, "adjudicates_review_ids:needed_when_adjudicated"),
+        (adjudicated | ~refs, "adjudicates_review_ids:only_when_adjudicated"),
     ]
     known = F.filter(_items(), lambda x: x["region"].isin(*REGIONS))
-    broken = lambda ok, field: lambda x: F.when(~F.coalesce(ok(x["item"]), F.lit(False)), F.concat(x["region"], F.lit(f".{field}")))
-    nested = F.concat(
-        F.transform(known, broken(lambda i: F.trim(i["feature"]) != "", "feature must be a non-empty string")),
-        F.transform(known, broken(lambda i: i["decision"].isin(*DECISIONS), "decision is not allowed")),
-        F.transform(known, broken(lambda i: i["confidence"].between(0, 1) & ~F.isnan(i["confidence"]), "confidence must be in [0, 1]")),
-        F.transform(known, broken(lambda i: i["evidence_basis"].isin(*BASES), "evidence_basis is not allowed")))
+    checks = {
+        "feature:empty": lambda i: F.trim(i["feature"]) != "", "decision:unknown": lambda i: i["decision"].isin(*DECISIONS),
+        "confidence:out_of_range": lambda i: i["confidence"].between(0, 1) & ~F.isnan(i["confidence"]), "evidence_basis:unknown": lambda i: i["evidence_basis"].isin(*BASES)}
+
+    def broken(code, ok):
+        return lambda x: F.when(~F.coalesce(ok(x["item"]), F.lit(False)), F.concat(x["region"], F.lit(f".{code}")))
+
+    nested = F.concat(*[F.transform(known, broken(code, ok)) for code, ok in checks.items()])
     keys = F.transform(known, lambda x: F.struct(x["region"], F.lower(F.trim(x["item"]["feature"])), x["item"]["decision"]))
-    repeated = F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("duplicate feature/decision within region"))
+    repeated = F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("annotations.regions:repeated_decision"))
     out = with_errors(df, rules, "_e")
     nested = F.coalesce(F.filter(nested, lambda m: m.isNotNull()), F.array().cast("array<string>"))
     return out.withColumn("errors", F.concat("_e", nested, compact(repeated))).drop("_e")
@@ -404,13 +399,13 @@ def asset_review_errors(reviews: DataFrame, candidates: DataFrame, key: str, dig
     j = reviews.join(candidates.select(key, F.lit(True).alias("_known"), *[F.col(d).alias(f"c_{d}") for d in digests]), key, "left")
     approved = F.col("decision") == "approved"
     checks = (F.coalesce(F.size("checks"), F.lit(0)) > 0)
-    rules = [(F.col("_known"), "unknown candidate"), (F.col("decision").isin(*decisions), "decision is not allowed")]
-    rules += [(F.col("_known").isNull() | (F.col(d) == F.col(f"c_{d}")), f"{d} does not match the candidate") for d in digests]
+    rules = [(F.col("_known"), "candidate:unknown"), (F.col("decision").isin(*decisions), "decision:unknown")]
+    rules += [(F.col("_known").isNull() | (F.col(d) == F.col(f"c_{d}")), f"{d}:differs") for d in digests]
     rules += [
-        (checks, "checks must be an object"),
-        (~approved | F.forall(F.map_values("checks"), lambda v: v), "approval requires every check to be true"),
-        (~(F.col("decision") == "rejected") | (F.trim(F.coalesce("notes", F.lit(""))) != ""), "rejection requires notes"),
-        (F.col("model_input_allowed") == approved, "model_input_allowed must follow the decision")]
+        (checks, "checks:missing"),
+        (~approved | F.forall(F.map_values("checks"), lambda v: v), "checks:open"),
+        (~(F.col("decision") == "rejected") | (F.trim(F.coalesce("notes", F.lit(""))) != ""), "notes:needed_when_rejected"),
+        (F.col("model_input_allowed") == approved, "model_input_allowed:differs")]
     return with_errors(j, rules).drop("_known", *[f"c_{d}" for d in digests])
 
 
@@ -425,9 +420,9 @@ def source_review_findings(queue: DataFrame, reviews: DataFrame, key: str, flags
     """
     counts = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rule = with_errors(reviews, [
-        *[(F.col(f).isin(*TRISTATE), f"{f} must be true, false or uncertain") for f in flags],
-        (~_any_true(flags) | (F.col("needs_edit") == "true"), "a visible mark requires an edit"),
-        (~(F.col("needs_edit") == "uncertain") | (F.trim(F.coalesce("notes", F.lit(""))) != ""), "uncertain needs notes")])
+        *[(F.col(f).isin(*TRISTATE), f"{f}:unknown") for f in flags],
+        (~_any_true(flags) | (F.col("needs_edit") == "true"), "needs_edit:mark_without_edit"),
+        (~(F.col("needs_edit") == "uncertain") | (F.trim(F.coalesce("notes", F.lit(""))) != ""), "notes:needed_when_uncertain")])
     broken = rule.select(key, F.explode("errors").alias("finding")).distinct()
     known = queue.select(key).distinct()
     return (

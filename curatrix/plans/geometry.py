@@ -206,7 +206,7 @@ def asset_review_errors(t):
 @query("source_review_findings", """
 with q as (select doc_id from documents where n_chars >= 200), r as (select doc_id, toxic = 1 as mark, quality = 1 as edit from labels union all select doc_id, toxic = 1, quality = 1 from labels where toxic = 1)
 select doc_id, 'unknown_record' as finding from (select distinct doc_id from r) where doc_id not in (select doc_id from q) union all select doc_id, 'duplicate_review' from r group by 1 having count(*) > 1
-union all select doc_id, 'unreviewed_record' from q where doc_id not in (select doc_id from r) union all select distinct doc_id, 'a visible mark requires an edit' from r where mark and not edit""")
+union all select doc_id, 'unreviewed_record' from q where doc_id not in (select doc_id from r) union all select distinct doc_id, 'needs_edit:mark_without_edit' from r where mark and not edit""")
 def source_review_findings(t):
     word = lambda c: F.when(c, "true").otherwise("false")
     rows = t.labels.select("doc_id", word(F.col("toxic") == 1).alias("visible_text"), word(F.col("quality") == 1).alias("needs_edit"), F.lit(None).cast("string").alias("notes"))

@@ -74,13 +74,13 @@ def test_promotion(spark):
 
 
 BROKEN = [
-    (dict(schema="x"), "schema must be"), (dict(translation_pair_id=" "), "translation_pair_id"), (dict(reviewer__reviewer_type="bot"), "reviewer_type"),
-    (dict(reviewer__reviewer_type="model"), "model/hybrid reviews require reviewer.model_id"), (dict(evidence__lego_image_url="http://x"), "lego_image_url"),
+    (dict(schema="x"), "schema:unknown"), (dict(translation_pair_id=" "), "translation_pair_id"), (dict(reviewer__reviewer_type="bot"), "reviewer_type"),
+    (dict(reviewer__reviewer_type="model"), "model_id:needed_for_model"), (dict(evidence__lego_image_url="http://x"), "lego_image_url"),
     (dict(evidence__source_image_sha256="zz"), "source_image_sha256"), (dict(evidence__claims_unobserved_surfaces=True), "claims_unobserved_surfaces"),
-    (dict(annotations__regions={"tail": [ITEM]}), "unknown annotation regions"), (dict(annotations__regions={}), "at least one semantic annotation"),
-    (dict(created_at=None), "require created_at"), (dict(review_status="done"), "review_status"), (dict(adjudicates_review_ids=["x"]), "must not claim"),
+    (dict(annotations__regions={"tail": [ITEM]}), "regions:unknown"), (dict(annotations__regions={}), "annotations:needed_when_final"),
+    (dict(created_at=None), "created_at:needed_when_final"), (dict(review_status="done"), "review_status"), (dict(adjudicates_review_ids=["x"]), ":only_when_adjudicated"),
     (dict(annotations__regions={"head": [dict(ITEM, confidence=1.5)]}), "confidence"), (dict(annotations__regions={"head": [dict(ITEM, decision="bad")]}), "decision"),
-    (dict(annotations__regions={"head": [ITEM, dict(ITEM, feature=" cape")]}), "duplicate feature/decision"), (dict(limitations=[" "]), "limitations")]
+    (dict(annotations__regions={"head": [ITEM, dict(ITEM, feature=" cape")]}), "regions:repeated_decision"), (dict(limitations=[" "]), "limitations")]
 
 
 def test_validation_rules(spark):
@@ -148,8 +148,8 @@ def test_asset_reviews(spark):
     rows = [("a", "h1", "approved", {"x": True}, None, True), ("a", "bad", "approved", {"x": True}, None, True), ("b", "h2", "approved", {"x": False}, None, True), ("b", "h2", "rejected", {"x": False}, " ", False), ("z", "h", "maybe", {}, None, True)]
     df = spark.createDataFrame(rows, "id string, digest string, decision string, checks map<string,boolean>, notes string, model_input_allowed boolean").withColumn("n", F.monotonically_increasing_id())
     got = [set(r.errors) for r in review.asset_review_errors(df, cand, "id", ["digest"]).orderBy("n").collect()]
-    assert got[0] == set() and got[1] == {"digest does not match the candidate"} and got[2] == {"approval requires every check to be true"} and got[3] == {"rejection requires notes"}
-    assert {"unknown candidate", "decision is not allowed", "checks must be an object"} <= got[4]
+    assert got[0] == set() and got[1] == {"digest:differs"} and got[2] == {"checks:open"} and got[3] == {"notes:needed_when_rejected"}
+    assert {"candidate:unknown", "decision:unknown", "checks:missing"} <= got[4]
 
 
 def test_source_review_findings(spark):
@@ -157,7 +157,7 @@ def test_source_review_findings(spark):
     rows = [("a", "true", "false", None), ("b", "false", "false", None), ("b", "false", "false", None), ("x", "uncertain", "uncertain", "")]
     reviews = spark.createDataFrame(rows, "id string, has_text string, needs_edit string, notes string")
     got = set(values(review.source_review_findings(queue, reviews, "id", ["has_text"]), "id", "finding"))
-    assert got == {("a", "a visible mark requires an edit"), ("b", "duplicate_review"), ("c", "unreviewed_record"), ("x", "unknown_record"), ("x", "uncertain needs notes")}
+    assert got == {("a", "needs_edit:mark_without_edit"), ("b", "duplicate_review"), ("c", "unreviewed_record"), ("x", "unknown_record"), ("x", "notes:needed_when_uncertain")}
 
 
 REF = "sample_id string, derived_asset_id string, component_type string, view string, medium string, authority string, sha256 string, width double, height double, identity_confidence double, view_confidence double, segmentation_confidence double, blur_score double, occlusion_score double, bad boolean"
