@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles; Jaccard distance on sets is a metric, and two documents link when it is at most ``1 - percent / 100`` (``eps``).
 
 Level 0. Unrelated documents are all at distance 1 from any pivot, so a Voronoi diagram of the whole space would copy every document into every region. The space is therefore first cut into *blocks*
-that lose no link: a set of ``s`` shingles and a partner of it differ in at most ``D(s)`` shingles, so if shingles are dealt into classes by hash, the first ``D + 1`` classes that are not empty contain one
-that both sets fill equally. A block is all sets with one equal class (single shingles take the place of classes for sets below 64). Blocks hold sets that have much in common, where distances tell something. Equal sets are one point from the start.
+that lose no link: a set of ``s`` shingles and a partner of it differ in at most ``D(s)`` shingles, so if shingles are dealt into classes by hash, both fill all but ``D`` of the set's ``m`` classes equally.
+A block is all sets with one equal class (single shingles take the place of classes for sets below 64), and a set of which fewer than ``m - D`` classes have met another set links with nothing and leaves all blocks; that
+frees documents which only share a passage, however common. Blocks hold sets that have much in common, where distances tell something. Equal sets are one point from the start.
 
 Recursion. In each block the sets with most blocks (one for each of ``k`` slots) are pivots; every set of the block is compared with them exactly. Sets within ``eps`` link. A set goes to the region of its nearest pivot (Voronoi), and also to that of
 any pivot at most ``2 eps`` farther, and inside a region to the ring of its distance and the next one: by the triangle inequality both ends of every link meet in a ring. Blocks whose sets are already connected need no
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from curatrix.llm import files
@@ -57,28 +58,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The blocks of a set: one number for each class that stands for it."""
-    n = len(hashes)
-    label = n.bit_length() - 1
-    out = []
-    for b in (label, label + 1) if most(n, percent) >= 1 << (label + 1) else (label,):
-        need = differing(n, percent) + 1
-        seed = U((b + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
-        if b < _FLAT:
-            out.append(mix(hashes[:need] ^ seed))
-            continue
-        classes = (differing((2 << b) - 1, percent) + 1) * 3 // 2
-        dealt = mix(hashes ^ seed)
-        own = (dealt % U(classes)).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        if len(first) < need:
-            raise ValueError("a set fills too few classes to be joined exactly; choose more classes")
-        total = np.add.reduceat(mix(dealt[order] + U(1)), first)[:need]
-        out.append(mix(total ^ mix(own[first][:need].astype(U) + seed)))
-    return np.concatenate(out)
+def labels(n: int, percent: int) -> tuple[int, ...]:
+    """The size classes in which a set meets its partners: its own, and the next one if a partner can be that large."""
+    own = n.bit_length() - 1
+    return (own, own + 1) if most(n, percent) >= 2 << own else (own,)
+
+
+def signatures(hashes: np.ndarray, percent: int, label: int) -> tuple[np.ndarray, int]:
+    """The blocks of a set in a size class, and how many of them any partner shares there."""
+    seed = U((label + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
+    if label < _FLAT:
+        return mix(hashes ^ seed), len(hashes) - differing(len(hashes), percent)
+    dealt = mix(hashes ^ seed)
+    own = (dealt % U((2 << label) // 4)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    need = len(first) - differing(len(hashes), percent)
+    if need < 1:
+        raise ValueError("a set fills too few classes to be joined exactly; choose more classes")
+    total = np.add.reduceat(mix(dealt[order] + U(1)), first)
+    return mix(total ^ mix(own[first].astype(U) + seed)), need
 
 
 # ------------------------------------------------------------------ passes over the texts
@@ -96,24 +96,41 @@ def described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def blocked(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """``(block, sid)`` of every set; sets that a task has seen before are left out there."""
+    """``(block, sid, need)`` of every set, ``need`` with the size class in its lowest bit; sets that a task has seen before are left out there."""
     source = docs.where(F.col(key).isNotNull()).select(F.col(text).cast("string"))
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for row, end, _, _ in slices(batch.column(0), 1 << 21):
-                blocks, ids = [], []
+                blocks, ids, needs = [], [], []
                 for s in shingle_sets(batch.column(0).slice(row, end - row), size):
                     sid = identity(s)[0]
-                    if len(s) and sid not in seen:
-                        seen.add(sid)
-                        blocks.append(signatures(s, percent))
-                        ids.append(np.full(len(blocks[-1]), sid, np.int64))
+                    if not len(s) or sid in seen:
+                        continue
+                    seen.add(sid)
+                    for up, label in enumerate(labels(len(s), percent)):
+                        made, need = signatures(s, percent, label)
+                        blocks.append(made)
+                        ids.append(np.full(len(made), sid, np.int64))
+                        needs.append(np.full(len(made), need << 1 | up, np.int64))
                 if blocks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).view(np.int64)), pa.array(np.concatenate(ids))], names=["block", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (blocks, ids, needs)], names=["block", "sid", "need"])
+
+    return source.mapInArrow(run, _LONGS("block", "sid", "need"))
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The distinct rows of blocks that hold more than one set."""
+    block = Window.partitionBy("block")
+    met = rows.withColumns({"a": F.min("sid").over(block), "b": F.max("sid").over(block)}).where("a != b")
+    return met.select("block", "sid", "need").distinct()
+
 
-    return source.mapInArrow(run, _LONGS("block", "sid"))
+def able(rows: DataFrame) -> DataFrame:
+    """The rows of sets that share as many blocks as a partner of theirs would."""
+    met = rows.groupBy("sid", "need").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= F.shiftright("need", 1)).select("sid", "need")
+    return rows.join(met, ["sid", "need"])
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int, together: int = 2048) -> DataFrame:
@@ -180,9 +197,10 @@ class _Join:
 
     def run(self, depth: int, small: int) -> DataFrame:
         """``(sid, root)`` of the sets that link with another one."""
-        rows = blocked(self.docs, self.key, self.text, self.size, self.percent)
-        shared = rows.groupBy("block").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("block")
-        blocks = self.stored(rows.join(shared, "block").distinct(), "blocks")
+        rows = materialize(shared(blocked(self.docs, self.key, self.text, self.size, self.percent)))
+        for _ in range(3):  # each round frees sets that met only sets freed before
+            rows = materialize(able(shared(rows)))
+        blocks = self.stored(rows.select("block", "sid"), "blocks")
         self.texts = self._texts(blocks)
         weight = blocks.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
         self.weight = materialize(weight)
