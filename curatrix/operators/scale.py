@@ -34,6 +34,8 @@ def position(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
     The range partitioning is materialised once, because both passes must see the same partitions.
     """
     order = _order(order)
+    if not keys:
+        return _numbered(df, order, name)
     ranged = df.repartitionByRange(*[F.col(k).asc() for k in keys], *order)
     ranged = materialize(ranged.withColumn("_slice", F.spark_partition_id()))
     part = ["_slice", *keys]
@@ -47,6 +49,17 @@ def position(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] =
     return ranked.drop("_slice", "_local", "_before", *[f"_o_{k}" for k in part])
 
 
+def _numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Overall positions with one shuffle: sorted ranges are numbered in place, and one row per range tells what comes before it."""
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    at = F.shiftright("_id", 33)
+    sizes = ranged.groupBy(at.alias("_slice")).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    joined = ranged.withColumn("_slice", at).join(F.broadcast(before), "_slice")
+    return joined.withColumn(name, F.col("_id") % (1 << 33) + F.col("_before") + 1).drop("_slice", "_before", "_id")
+
+
 def _null_safe(columns: Sequence[str], prefix: str) -> Column:
     condition = F.lit(True)
     for c in columns:
