@@ -1,11 +1,9 @@
-import os
+"""Shared by the tests of this folder; imported by name, since the folder above has the conftest."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 
 from curatrix.llm import bpe
 from curatrix.llm.queries import WORD_BPE

@@ -2,7 +2,7 @@ import random
 import re
 
 import brute
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, documents
 
 from curatrix.llm import chunks
 

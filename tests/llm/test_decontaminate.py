@@ -1,6 +1,6 @@
 import brute
 import pytest
-from conftest import documents
+from fixtures_llm import corpus, documents  # noqa: F401
 
 from curatrix.llm import decontaminate as dc
 

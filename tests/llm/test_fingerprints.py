@@ -1,7 +1,7 @@
 import brute
 import numpy as np
 import pyarrow as pa
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 
 from curatrix.llm import fingerprints as fp
 

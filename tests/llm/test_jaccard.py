@@ -2,7 +2,7 @@ import random
 
 import brute
 import numpy as np
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 
 from curatrix.llm import components, jaccard
 

@@ -4,7 +4,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 
 from curatrix.llm import ngram_lm as lm
 

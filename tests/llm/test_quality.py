@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, documents
 
 from curatrix.llm import quality
 

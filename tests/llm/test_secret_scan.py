@@ -1,5 +1,5 @@
 import brute
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from curatrix.llm import files, secret_scan as ss

@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
-from conftest import SCHEMA, documents
+from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 
 from curatrix.llm import files, sharding
 
