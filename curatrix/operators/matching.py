@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from curatrix.functions.rules import sequence_ratio
 from curatrix.functions.text import col
 from curatrix.operators.scale import small_side
 from curatrix.session import materialize
@@ -232,24 +231,39 @@ def subject_score(generic: Iterable[str] = ()) -> Callable[[DataFrame], DataFram
     return score
 
 
-def composite_score() -> Callable[[DataFrame], DataFrame]:
-    """0.35 containment + 0.25 Jaccard + 0.20 sequence ratio + 0.20 hits of the first two words.
+def edit_ratio(a: Column | str, b: Column | str) -> Column:
+    """One minus the edit distance over the longer length; two empty texts are alike."""
+    a, b = col(a), col(b)
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
-    Left columns: ``text`` and ``core`` (first two words). Class column on the right: ``text``.
+
+def composite_score(
+    similarity: Callable[[str, str], Column] = edit_ratio, adjust: Callable[[Column], Column] | None = None,
+) -> Callable[[DataFrame], DataFrame]:
+    """0.35 containment + 0.25 Jaccard + 0.20 similarity of the texts + 0.20 hits of the first two words.
+
+    Left columns: ``text`` and ``core`` (first two words). Class column on the right: ``text``. ``adjust`` turns the name score into the
+    score that ranks (for example ``adjust_composite`` over the left columns and the right ones, ``r_*``); its bonus belongs into the bound.
     """
 
     def score(pairs: DataFrame) -> DataFrame:
         n = F.size(F.array_intersect("lwords", "rwords"))
         union = F.size(F.array_union("lwords", "rwords"))
         core = F.size(F.filter("core", lambda t: F.array_contains("rwords", t))) / F.greatest(F.size("core"), F.lit(1))
-        value = (
-            0.35 * n / F.size("lwords") + 0.25 * n / union + 0.20 * sequence_ratio("text", "r_text") + 0.20 * core
-        )
-        return pairs.withColumn("score", F.round(value, 4))
+        value = F.round(0.35 * n / F.size("lwords") + 0.25 * n / union + 0.20 * similarity("text", "r_text") + 0.20 * core, 4)
+        return pairs.withColumn("score", value if adjust is None else adjust(value))
 
     return score
 
 
+CONTEXT_BONUS, LATE_PENALTY = 0.12, 0.08
+
+
+def adjusted_bound(open_: DataFrame) -> Column:
+    """Upper bound of a composite score that ``adjust_composite`` may raise."""
+    return composite_bound(open_) + CONTEXT_BONUS
+
+
 def composite_bound(open_: DataFrame) -> Column:
     """Upper bound of ``composite_score`` for a class with exactly the given shared words."""
     n = F.size(F.split("wordset", " "))
@@ -259,7 +273,7 @@ def composite_bound(open_: DataFrame) -> Column:
 
 def adjust_composite(score: Column, gate: Column, context: Column, late: Column) -> Column:
     """Context bonus 0.12 behind the identity gate, late-release penalty 0.08, clamped to [0, 1]."""
-    value = score + F.when(context & gate, 0.12).otherwise(0.0) - F.when(late, 0.08).otherwise(0.0)
+    value = score + F.when(context & gate, CONTEXT_BONUS).otherwise(0.0) - F.when(late, LATE_PENALTY).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4)
 
 

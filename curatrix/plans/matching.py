@@ -57,20 +57,33 @@ def composite(t):
     left = t.part.select("p_partkey", F.split("p_name", " ").alias("ordered"), F.col("p_name").alias("text"))
     left = left.select("p_partkey", F.array_distinct("ordered").alias("words"), "text", F.slice("ordered", 1, 2).alias("core"))
     name = F.concat_ws(" ", "p_name", F.lower("p_type"))
-    right = t.part.select(F.col("p_partkey").alias("rid"), F.array_distinct(F.split(name, " ")).alias("words"), name.alias("text"))
-    return matching.top_matches(left, right, "p_partkey", "rid", "words", matching.composite_score(), 5, [], ["text", "core"],
-                                bound=matching.composite_bound, right_columns=["text"])
+    right = t.part.select(F.col("p_partkey").alias("rid"), F.array_distinct(F.split(name, " ")).alias("words"), name.alias("text"), F.col("p_size").alias("year"))
+    year = F.col("r_year")
+    score = matching.composite_score(adjust=lambda s: matching.adjust_composite(s, s >= 0.7, year < 10, year > 40))
+    return matching.top_matches(left, right, "p_partkey", "rid", "words", score, 5, [], ["text", "core"], bound=matching.adjusted_bound, right_columns=["text", "year"])
+
+
+COMPOSITE_SQL = """
+with l as (select p_name as a, list_distinct(string_split(p_name, ' ')) as lw, string_split(p_name, ' ')[1:2] as core from part group by 1, 2, 3),
+ r as (select p_name || ' ' || lower(p_type) as b, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) as rw, p_size as y, list_sort(list(p_partkey))[1:5] as ids from part group by 1, 2, 3),
+ p as (select *, len(list_intersect(lw, rw)) as n from l, r where list_has_any(lw, rw)),
+ s as (select a, ids, y, round(0.35 * n / len(lw) + 0.25 * n / (len(lw) + len(rw) - n) + 0.20 * (1 - levenshtein(a, b) / greatest(length(a), length(b), 1)) + 0.20 * len(list_filter(core, lambda x: list_contains(rw, x))) / greatest(len(core), 1), 4) as s from p),
+ j as (select a, ids, round(greatest(0.0, least(1.0, s + case when y < 10 and s >= 0.7 then 0.12 else 0.0 end - case when y > 40 then 0.08 else 0.0 end)), 4) as score from s),
+ e as (select a, score, unnest(ids) as rid from j where score > 0), t as (select *, row_number() over (partition by a order by score desc, rid) as rank from e qualify rank <= 5),
+ m as (select p_partkey, rank, rid, score from part join t on t.a = p_name)
+"""
 
 
-@query("composite_scored_match")
+@query("composite_scored_match", COMPOSITE_SQL + "select p_partkey, rank::int as rank, rid, score from m")
 def composite_scored_match(t):
-    """Top-5 by the composite name score, adjusted by release year."""
-    facts = t.part.select(F.col("p_partkey").alias("rid"), F.col("p_size").alias("year"))
-    out = composite(t).join(facts, "rid")
-    return out.withColumn("adjusted", matching.adjust_composite(F.col("score"), F.col("score") >= 0.8, F.col("year") < 10, F.col("year") > 40))
+    """Top-5 by the composite name score, ranked after the context bonus and the late-release penalty."""
+    return composite(t)
 
 
-@query("top_margin_bands")
+@query("top_margin_bands", COMPOSITE_SQL + """, f as (select p_partkey, score, count(*) as n, min(rid) as id from m group by 1, 2), g as (select *, row_number() over (partition by p_partkey order by score desc) as rn from f),
+ h as (select p_partkey, max(case when rn = 1 then id end) as top_id, max(case when rn = 1 then score end) as top_score, max(case when rn = 1 then n end) as tie_count, max(case when rn = 2 then score end) as s2 from g group by 1),
+ i as (select *, case when tie_count > 1 then top_score else coalesce(s2, 0.0) end as second_score from h), k as (select *, round(top_score - second_score, 4) as margin from i)
+select p_partkey, top_id, top_score, second_score, margin, tie_count, case when tie_count >= 4 then 'high' when tie_count >= 2 then 'medium' else 'low' end as ambiguity, case when top_score >= 0.86 and margin >= 0.10 then 'strong_candidate' when top_score >= 0.76 and margin >= 0.05 then 'review_candidate' else 'unresolved' end as band from k""")
 def top_margin_bands(t):
     """Margin between first and second composite candidate and its band."""
     m = rank.top_margin(composite(t), ["p_partkey"], "score", "rid")

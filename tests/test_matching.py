@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from curatrix.functions import rules
 from curatrix.operators import matching
 
 WORDS = ["red", "blue", "wizard", "knight", "captain", "robot", "old", "ice", "lizard", "queen", "spaceman", "pirate"]
@@ -57,7 +58,7 @@ def test_composite_equals_brute_force(spark, limit):
     left, right = [(i, make()) for i in range(40)], [(i, make()) for i in range(200)]
     ldf = spark.createDataFrame(left, "lid int, text string").withColumn("words", F.split("text", " ")).withColumn("core", F.slice("words", 1, 2))
     rdf = spark.createDataFrame(right, "rid int, text string").withColumn("words", F.split("text", " "))
-    out = matching.top_matches(ldf, rdf, "lid", "rid", "words", matching.composite_score(), 5, [], ["text", "core"], frequency_limit=limit,
+    out = matching.top_matches(ldf, rdf, "lid", "rid", "words", matching.composite_score(rules.sequence_ratio), 5, [], ["text", "core"], frequency_limit=limit,
                                bound=matching.composite_bound, right_columns=["text"])
     got = {}
     for r in out.collect():
