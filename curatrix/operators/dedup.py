@@ -38,10 +38,12 @@ def exact_dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
-    """Last arrival wins per key."""
-    rows = table.unionByName(changes, allowMissingColumns=True)
-    rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(arrival)).alias("_b"))
+    """Last arrival wins per key; of rows that arrived at once, a change wins over the table, then a digest of the row decides."""
+    rows = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in (*keys, "_new")]
+    order = F.struct(F.col(arrival), F.col("_new"), F.sha2(F.to_json(F.struct(*rest)), 256).alias("_d"))
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_b"))
+    rows = rows.drop("_new")
     return picked.select(*keys, "_b.*").select(*rows.columns)
 
 

@@ -62,8 +62,17 @@ def _lookup(table: Mapping, key: Column, default: Column) -> Column:
 
 
 def evidence_score(authority: Mapping[str, int] = AUTHORITY) -> Column:
-    """Authority, confidences, capped resolution, minus blur and occlusion; a zero stays a zero."""
-    n = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    """Authority, confidences, capped resolution, minus blur and occlusion; a zero stays a zero.
+
+    A negative or non-finite figure, or a confidence above 1, raises: it would outrank sound evidence.
+    """
+
+    def n(name: str) -> Column:
+        value = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        most = float("inf") if name in ("width", "height") else 1.0
+        sound = (value >= 0) & ~F.isnan(value) & (value < float("inf")) & (value <= most)
+        return F.when(sound, value).otherwise(F.raise_error(F.concat(F.lit(f"{name} out of range: "), value.cast("string"))).cast("double"))
+
     resolution = F.when((n("width") > 0) & (n("height") > 0),
                         F.least(F.lit(15.0), F.sqrt(n("width")) * F.sqrt(n("height")) / 100)).otherwise(0.0)
     return (

@@ -1,7 +1,8 @@
 """Results above the limits that operators once had, and null keys."""
 
 from curatrix.functions.reference import with_reference
-from curatrix.operators import group, joins, pages, queues, scale
+from curatrix.operators import dedup, group, joins, pages, queues, rank, scale
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -65,3 +66,19 @@ def test_null_keys_stay(spark):
     assert {r.k for r in scale.first_values(df, ["k"], "record", 1, "v").collect()} == {None, "k"}
     other = df.select("k", F.lit(1).alias("x")).distinct()
     assert scale.null_safe_join(df, other, ["k"]).count() == 4 and scale.null_safe_join(df, other, ["k"], "left_anti").count() == 0
+
+
+def test_equal_arrivals_have_one_order(spark):
+    table = spark.createDataFrame([("a", 1, "old"), ("b", 1, "x"), ("b", 1, "y")], "k string, at int, v string")
+    changes = spark.createDataFrame([("a", 1, "new")], "k string, at int, v string")
+    made = [sorted(tuple(r) for r in dedup.upsert(table.repartition(n), changes, ["k"], "at").collect()) for n in (1, 3)]
+    assert made[0] == made[1] and made[0][0] == ("a", 1, "new") and len(made[0]) == 2
+
+
+def test_figures_out_of_range_raise(spark):
+    names = ("width", "height", "identity_confidence", "view_confidence", "segmentation_confidence", "blur_score", "occlusion_score")
+    row = lambda **x: spark.createDataFrame([("primary", *[x.get(n, 0.5) for n in names])], "authority string, " + ", ".join(f"{n} double" for n in names)).select(rank.evidence_score()).first()
+    assert row(width=4000.0, height=None)
+    for bad in (dict(view_confidence=1.5), dict(blur_score=-0.1), dict(identity_confidence=float("nan")), dict(width=float("inf"))):
+        with pytest.raises(Exception, match="out of range"):
+            row(**bad)
