@@ -9,7 +9,7 @@ frees documents which only share a passage, however common. Blocks hold sets tha
 
 Recursion. In each block the sets with most blocks (one for each of ``k`` slots) are pivots; every set of the block is compared with them exactly. Sets within ``eps`` link. A set goes to the region of its nearest pivot (Voronoi), and also to that of
 any pivot at most ``2 eps`` farther, and inside a region to the ring of its distance and the next one: by the triangle inequality both ends of every link meet in a ring. Blocks whose sets are already connected need no
-more comparisons and end; the rings of the others are the next blocks, without their pivots. After ``depth`` levels the pairs of what is left, of sizes and distances that still allow a link and not connected yet, are compared one by one.
+more comparisons and end; the rings of the others are the next blocks, without their pivots. When ``few`` pairs are left, or after ``depth`` levels, the pairs of what is left, of sizes and distances that still allow a link and not connected yet, are compared one by one.
 
 Comparisons stream: a pivot's texts are dealt over as many tasks as its partners need, the pivot's text first. No group is collected, nothing but counts reaches the driver.
 
@@ -193,22 +193,24 @@ class _Join:
         """The blocks whose sets are not all in one component, with the ``root`` of each set."""
         joined = materialize(blocks.join(self.root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
         apart = joined.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("block")
-        return materialize(joined.join(apart, "block"))
+        return joined.join(apart, "block")
 
-    def run(self, depth: int, small: int) -> DataFrame:
+    def run(self, depth: int, small: int, few: int) -> DataFrame:
         """``(sid, root)`` of the sets that link with another one."""
         rows = materialize(shared(blocked(self.docs, self.key, self.text, self.size, self.percent)))
-        for _ in range(3):  # each round frees sets that met only sets freed before
-            rows = materialize(able(shared(rows)))
-        blocks = self.stored(rows.select("block", "sid"), "blocks")
+        rows = materialize(able(rows))
+        blocks = self.stored(shared(rows).select("block", "sid"), "blocks")
         self.texts = self._texts(blocks)
         weight = blocks.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
         self.weight = materialize(weight)
         blocks = self._once(blocks)
         for level in range(depth):
             blocks = self._level(blocks, level, small)
-            if not blocks.head(1):
+            pairs = blocks.groupBy("block").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+            if not pairs:
                 return self.root
+            if pairs <= few:
+                break
         x, y = blocks.alias("x"), blocks.alias("y")
         sizes = self.sizes
         pairs = (x.join(y, F.col("x.block") == F.col("y.block")).where("x.sid < y.sid and x.root != y.root").select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("pivot")).distinct()
@@ -256,14 +258,14 @@ class _Join:
         return self._once(cells.join(apart, "block"))
 
 
-def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 2, small: int = 32, salts: int = 16) -> DataFrame:
+def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 32, few: int = 4_000_000, salts: int = 16) -> DataFrame:
     """``doc, n_shingles, component``: one row per document; ``component`` is the smallest id that its links reach."""
     join = _Join(docs, key, text, size, percent)
     join.sets = join.stored(described(docs, key, text, size), "sets")
     bad = join.sets.where("n > 0").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
     if bad.head(1):
         raise ValueError("two sets share a 64-bit identity; change the seeds")
-    roots = join.run(depth, small)
+    roots = join.run(depth, small, few)
     sets = join.sets.where("n > 0 and doc is not null")
     groups = sets.groupBy("sid").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     groups = groups.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").where("first < last or root is not null").withColumn("root", F.coalesce("root", "sid"))

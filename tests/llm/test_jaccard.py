@@ -34,8 +34,7 @@ def test_deep_recursion_equals_all_pairs(spark):
     random.shuffle(rows)
     want = sorted(brute.components(rows))
     assert len({w[2] for w in want}) < len(rows) - 40
-    for depth, small in ((1, 2), (3, 4)):
-        assert _rows(jaccard.report(documents(spark, rows), depth=depth, small=small)) == want
+    assert _rows(jaccard.report(documents(spark, rows), depth=3, small=4, few=0)) == want
 
 
 def test_blocks_lose_no_link():
@@ -76,5 +75,6 @@ def test_components(spark):
     random.shuffle(pairs)
     frame = spark.createDataFrame(pairs, "a long, b long")
     got = {r.node: r.root for r in components.components(frame, "a", "b").collect()}
+    assert got == {r.node: r.root for r in components.components(frame, "a", "b", together=0).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == got[103] == 100 and got[320] == 300 and 200 not in got
     assert components.components(frame.limit(0), "a", "b").count() == 0
