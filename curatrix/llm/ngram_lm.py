@@ -50,17 +50,17 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def encode_sequence(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a monotone sequence of non-negative numbers: packed low bits, unary high bits, and the place of every 32nd one and zero."""
+    """Arrays of a monotone sequence of non-negative numbers: packed low bits, unary high bits, and the ones before each 512 bits of these."""
     n = len(values)
     top = int(values[-1]) + 1 if n else 1
     width = max(0, (top // max(n, 1)).bit_length() - 1)
     high = (values >> width).astype(np.int64)
     bits = n + (top >> width) + 2
     ones = high + np.arange(n)
-    unary = np.zeros(bits // 64 + 3, U)
+    unary = np.zeros(-(-(bits // 64 + 3) // 8) * 8, U)
     np.bitwise_or.at(unary, ones >> 6, U(1) << (ones & 63).astype(U))
-    zeros = np.setdiff1d(np.arange(bits), ones, assume_unique=True)[::32]
-    return {"head": np.array([n, width, (top >> width) + 1], np.int64), "low": _packed(values & ((1 << width) - 1), width), "high": unary, "one": ones[::32].astype(np.int64), "zero": zeros.astype(np.int64)}
+    before = np.cumsum(np.bitwise_count(unary).reshape(-1, 8).sum(axis=1, dtype=np.int64))
+    return {"head": np.array([n, width, (top >> width) + 1], np.int64), "low": _packed(values & ((1 << width) - 1), width), "high": unary, "before": np.concatenate([[0], before[:-1]])}
 
 
 _ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
@@ -76,7 +76,7 @@ def _byte_counts(x: np.ndarray) -> np.ndarray:
 
 
 def _nth(bits: np.ndarray, flip: np.uint64, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """The place of the ``rest``-th set bit (of the bits xor ``flip``) from place ``at`` on, which is itself number 0."""
+    """The place of the ``rest``-th set bit, counted from 0, of the bits xor ``flip`` from place ``at`` on."""
     word = at >> 6
     now = (bits[word] ^ flip) & (_ALL << (at & 63).astype(U))
     counts, rest = _byte_counts(now), rest.astype(U)
@@ -97,7 +97,8 @@ class Sequence:
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.width, self.tops = (int(x) for x in arrays[f"{name}.head"])
-        self._low, self._high, self._one, self._zero = (arrays[f"{name}.{k}"] for k in ("low", "high", "one", "zero"))
+        self._low, self._high, self._ones = (arrays[f"{name}.{k}"] for k in ("low", "high", "before"))
+        self._zeros = 512 * np.arange(len(self._ones)) - self._ones
 
     def low(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -110,13 +111,15 @@ class Sequence:
         return (value & U((1 << self.width) - 1)).astype(np.int64)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        place = _nth(self._high, U(0), self._one[at >> 5], at & 31)
+        block = np.searchsorted(self._ones, at, side="right") - 1
+        place = _nth(self._high, U(0), block << 9, at - self._ones[block])
         return ((place - at) << self.width) | self.low(at)
 
     def _from(self, high: np.ndarray) -> np.ndarray:
         """The number of elements whose high part is below ``high``."""
         zero = np.maximum(high - 1, 0)
-        place = _nth(self._high, _ALL, self._zero[zero >> 5], zero & 31)
+        block = np.searchsorted(self._zeros, zero, side="right") - 1
+        place = _nth(self._high, _ALL, block << 9, zero - self._zeros[block])
         return np.where(high > 0, place - zero, 0)
 
     def find(self, values: np.ndarray) -> np.ndarray:
