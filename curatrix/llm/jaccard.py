@@ -252,8 +252,9 @@ class _Join:
         home = near.groupBy("block", "sid").agg(F.min("d").alias("home"))
         near = near.join(home, ["block", "sid"]).where(F.col("d") <= F.col("home") + 2 * eps + 1e-9)
         ring = F.floor(F.col("d") / (eps + 1e-9)).cast("int")
-        rings = near.select(F.explode(F.array(ring, ring + 1)).alias("ring"), "block", "pivot", "sid", "root")
-        cells = materialize(rings.select(F.xxhash64("block", "pivot", "ring", F.lit(level)).alias("block"), "sid", "root").distinct())
+        # the blocks that chose one pivot make one region: both ends of a link share a block, so they share its regions
+        rings = near.select("pivot", "sid", "root", F.explode(F.array(ring, ring + 1)).alias("ring")).distinct()
+        cells = materialize(rings.select(F.xxhash64("pivot", "ring", F.lit(level)).alias("block"), "sid", "root"))
         apart = cells.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("block")
         return self._once(cells.join(apart, "block"))
 
