@@ -15,8 +15,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one of the smallest id."""
-    return jaccard.representatives(docs)
+    """One document of each group of linked documents stays, the one of the smallest id. Links are those of a stage on words, five-word shingles and 80 %, not the defaults of op8."""
+    return jaccard.representatives(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

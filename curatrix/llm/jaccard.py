@@ -19,6 +19,8 @@ component. Rows of equal id are one document. Empty tables give empty results. S
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -64,19 +66,30 @@ def labels(n: int, percent: int) -> tuple[int, ...]:
     return (own, own + 1) if most(n, percent) >= 2 << own else (own,)
 
 
+def classes(label: int, percent: int) -> int:
+    """Into how many classes a size class is dealt: a quarter of its sizes, more for lower limits, so that its largest sets fill more than differ by eight deviations of the number filled."""
+    size = 2 << label
+    for many in (size // 4 << i for i in range(5)):
+        mean = size / many
+        free = math.exp(-mean)
+        if many * (1 - free) - differing(size - 1, percent) > 8 * math.sqrt(many * free * (1 - (1 + mean) * free)):
+            break
+    return many
+
+
 def signatures(hashes: np.ndarray, percent: int, label: int) -> tuple[np.ndarray, int]:
     """The blocks of a set in a size class, and how many of them any partner shares there."""
     seed = U((label + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
     if label < _FLAT:
         return mix(hashes ^ seed), len(hashes) - differing(len(hashes), percent)
     dealt = mix(hashes ^ seed)
-    own = (dealt % U((2 << label) // 4)).astype(np.int64)
+    own = (dealt % U(classes(label, percent))).astype(np.int64)
     order = np.argsort(own, kind="stable")
     own = own[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     need = len(first) - differing(len(hashes), percent)
     if need < 1:
-        raise ValueError("a set fills too few classes to be joined exactly; choose more classes")
+        raise ValueError("a set fills too few classes to be joined exactly; percent must be above 50")
     total = np.add.reduceat(mix(dealt[order] + U(1)), first)
     return mix(total ^ mix(own[first].astype(U) + seed)), need
 

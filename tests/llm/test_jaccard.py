@@ -54,6 +54,16 @@ def test_blocks_lose_no_link():
                 assert np.intersect1d(x, y).size >= max(least, more) >= 1
 
 
+def test_lower_limits_have_classes_enough():
+    random = np.random.default_rng(3)
+    for percent in (60, 70, 75, 80, 85, 90):
+        for n in [*range(1, 300), 511, 1023, 4095]:
+            s = np.unique(random.integers(0, 1 << 63, n).astype(np.uint64))
+            for label in jaccard.labels(len(s), percent):
+                assert jaccard.signatures(s, percent, label)[1] >= 1
+    assert all(jaccard.classes(label, 85) == (2 << label) // 4 for label in range(6, 24))
+
+
 def test_nulls_ties_and_empty_table(spark):
     assert _rows(jaccard.report(spark.createDataFrame([], SCHEMA))) == []
     rows = [(5, "a b c d e"), (3, "A b  c d\te"), (3, "a b c d e"), (7, None), (8, ""), (9, "x"), (2, "x"), (4, "a b c d e f")]

@@ -1,5 +1,8 @@
+import random
+
 import brute
 import pytest
+from fixtures_llm import documents
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -77,3 +80,22 @@ def test_run(spark):
     made = corpus_pipeline.run(spark, FOLDER)
     assert made.where(F.size("token_ids") != F.col("n_tokens")).count() == 0
     assert decontaminate.clean(made, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).count() == made.count() > 0
+
+
+def test_near_duplicates_by_five_words_and_80_percent(spark):
+    """Copies between the limits of op8 and those of the stage, and the groups of all pairs."""
+    pool = [f"w{i}" for i in range(5000)]
+    pick = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = pick.choices(pool, k=(100, 200, 259)[g % 3])
+        rows.append((g * 10, " ".join(base)))
+        rows.append((g * 10 + 1, " ".join(base + pick.choices(pool, k=len(base) // 5))))
+        few = list(base)
+        for i in range(len(base) // 50):
+            few[25 + i * 50] = "other"
+        rows.append((g * 10 + 2, " ".join(few)))
+    want = {c for _, _, c in brute.components(rows, 5, 80)}
+    assert want != {c for _, _, c in brute.components(rows)}
+    made = corpus_pipeline.near_duplicate_stage(spark, documents(spark, rows), FOLDER)
+    assert {r.doc_id for r in made.collect()} == want
