@@ -95,17 +95,18 @@ def signatures(hashes: np.ndarray, percent: int, label: int) -> tuple[np.ndarray
 
 
 # ------------------------------------------------------------------ passes over the texts
-def described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``(doc, n, sid, check)``: size and identity of each row's set."""
-    source = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
+def described(docs: DataFrame, key: str, text: str, size: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc, n, sid, check)``: size and identity of each row's set; and the columns ``extra``."""
+    source = docs.select(F.col(key).cast("long"), F.col(text).cast("string"), *extra)
+    names = ["doc", "n", "sid", "check", *extra]
 
     def run(batches):
         for batch in batches:
             rows = [(len(s), *identity(s)) for s in shingle_sets(batch.column(1), size)]
             n, sid, check = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), pa.array(check)], names=["doc", "n", "sid", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), pa.array(check), *[batch.column(2 + i) for i in range(len(extra))]], names=names)
 
-    return source.mapInArrow(run, _LONGS("doc", "n", "sid", "check"))
+    return source.mapInArrow(run, _LONGS(*names))
 
 
 def blocked(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -177,7 +178,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, together: int = 204
 
 # ------------------------------------------------------------------ the join
 class _Join:
-    def __init__(self, docs: DataFrame, key: str, text: str, size: int, percent: int):
+    def __init__(self, docs: DataFrame, key: str, text: str, size: int, percent: int, every: bool = False):
+        self.every = every  # compare connected sets too
         self.spark, self.docs, self.key, self.text, self.size, self.percent = docs.sparkSession, docs, key, text, size, percent
         self.folder = files.shared_folder(self.spark, "jaccard")
         self.eps = 1 - percent / 100
@@ -205,6 +207,8 @@ class _Join:
     def open_blocks(self, blocks: DataFrame) -> DataFrame:
         """The blocks whose sets are not all in one component, with the ``root`` of each set."""
         joined = materialize(blocks.join(self.root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+        if self.every:
+            return joined
         apart = joined.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("block")
         return joined.join(apart, "block")
 
@@ -226,7 +230,7 @@ class _Join:
                 break
         x, y = blocks.alias("x"), blocks.alias("y")
         sizes = self.sizes
-        pairs = (x.join(y, F.col("x.block") == F.col("y.block")).where("x.sid < y.sid and x.root != y.root").select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("pivot")).distinct()
+        pairs = (x.join(y, F.col("x.block") == F.col("y.block")).where("x.sid < y.sid" if self.every else "x.sid < y.sid and x.root != y.root").select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("pivot")).distinct()
                  .join(sizes.select("sid", F.col("n").alias("a")), "sid").join(sizes.select(F.col("sid").alias("pivot"), F.col("n").alias("b")), "pivot")
                  .where(100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")).select("sid", "pivot"))
         self.compare(pairs, "last")
@@ -268,18 +272,23 @@ class _Join:
         # the blocks that chose one pivot make one region: both ends of a link share a block, so they share its regions
         rings = near.select("pivot", "sid", "root", F.explode(F.array(ring, ring + 1)).alias("ring")).distinct()
         cells = materialize(rings.select(F.xxhash64("pivot", "ring", F.lit(level)).alias("block"), "sid", "root"))
-        apart = cells.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("block")
+        apart = cells.groupBy("block").agg(F.min("sid" if self.every else "root").alias("a"), F.max("sid" if self.every else "root").alias("b")).where("a < b").select("block")
         return self._once(cells.join(apart, "block"))
 
 
-def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 32, few: int = 4_000_000, salts: int = 16) -> DataFrame:
-    """``doc, n_shingles, component``: one row per document; ``component`` is the smallest id that its links reach."""
-    join = _Join(docs, key, text, size, percent)
-    join.sets = join.stored(described(docs, key, text, size), "sets")
+def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int, depth: int = 5, small: int = 32, few: int = 4_000_000, every: bool = False, extra: tuple[str, ...] = ()) -> tuple[_Join, DataFrame]:
+    """The join with its rows' sets, columns of longs ``extra`` beside them, and ``(sid, root)`` of the sets that link with another one."""
+    join = _Join(docs, key, text, size, percent, every)
+    join.sets = join.stored(described(docs, key, text, size, extra), "sets")
     bad = join.sets.where("n > 0").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
     if bad.head(1):
         raise ValueError("two sets share a 64-bit identity; change the seeds")
-    roots = join.run(depth, small, few)
+    return join, join.run(depth, small, few)
+
+
+def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 32, few: int = 4_000_000, salts: int = 16) -> DataFrame:
+    """``doc, n_shingles, component``: one row per document; ``component`` is the smallest id that its links reach."""
+    join, roots = _joined(docs, key, text, size, percent, depth, small, few)
     sets = join.sets.where("n > 0 and doc is not null")
     groups = sets.groupBy("sid").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     groups = groups.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").where("first < last or root is not null").withColumn("root", F.coalesce("root", "sid"))
@@ -295,6 +304,29 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return linked(docs, **options).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 32, few: int = 4_000_000) -> DataFrame:
+    """``doc, n_shingles, component, n_links``: the link form. Any two different sets that meet in a ring are compared, connected or not, so no link is missing.
+
+    ``n_links`` counts the other documents whose sets are equal to that of the row or link with it (one with several linked texts once for each); null for a null id. The number of comparisons grows with the square
+    of a group of different near copies, as the number of links does."""
+    join, roots = _joined(docs, key, text, size, percent, depth, small, few, every=True)
+    rows = join.sets.where("n > 0 and doc is not null")
+    holders = materialize(rows.select("sid", "doc").distinct().groupBy("sid").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")))
+    named = holders.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select("sid", "docs", "least")
+    found = join.links().where("sid != pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.join(holders.select(F.col("sid").alias("b"), "docs"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("docs").alias("others"))
+    named = named.join(met, "sid", "left").select("sid", "least", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    made = join.sets.join(named, "sid", "left")
+    linkable, known = F.col("n") > 0, F.col("doc").isNotNull()
+    return made.select("doc", F.col("n").alias("n_shingles"), F.when(known, F.coalesce(F.when(linkable, F.col("least")), "doc")).alias("component"), F.when(known, F.coalesce(F.when(linkable, F.col("n_links")), F.lit(0))).alias("n_links"))
+
+
+def link_report(docs: DataFrame, **options) -> DataFrame:
+    return links(docs, **options).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "n_links")
+
+
 def representatives(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """One document of each group, the one of the smallest id, all columns as they came; rows of a null id stay."""
     stay = linked(docs, key=key, **options).where("doc = component").select(F.col("doc").alias(key)).distinct()

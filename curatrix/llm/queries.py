@@ -77,3 +77,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard_join", sql.JACCARD)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.report(table(spark, folder, "documents"))
+
+
+@query("op8_ngram_jaccard_links", sql.JACCARD_LINKS)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_report(table(spark, folder, "documents"))

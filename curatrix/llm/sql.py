@@ -41,3 +41,5 @@ with recursive d as (select doc_id, regexp_extract_all({FOLDED}, '[^\\x20\\x09-\
  l as (select a, b from b join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * common >= 85 * (na.n + nb.n - common)),
  r as (select a as node, b as to_ from l union select r.node, l.b from r join l on l.a = r.to_)
 select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce((select min(to_) from r where r.node = d.doc_id), d.doc_id)) as component_id from d left join n using (doc_id)"""
+
+JACCARD_LINKS = JACCARD.replace(" as component_id from d", " as component_id, (select count(*) from l where l.a = d.doc_id) as n_links from d")

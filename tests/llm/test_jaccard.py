@@ -37,6 +37,39 @@ def test_deep_recursion_equals_all_pairs(spark):
     assert _rows(jaccard.report(documents(spark, rows), depth=3, small=4, few=0)) == want
 
 
+def _n_links(rows, size=4, percent=85):
+    sets = [(d, brute.shingle_set(t, size)) for d, t in rows]
+    met = lambda s, t: s and t and 100 * len(s & t) >= percent * len(s | t)
+    return {d: sum(e != d and bool(met(s, t)) for e, t in sets) for d, s in sets}
+
+
+def test_link_form_loses_no_link(spark, corpus):
+    """A dense group of different edits of one template: connected sets are compared too, also in the recursion and the last step."""
+    pick = random.Random(5)
+    pool = [f"w{i}" for i in range(500)]
+    base = pick.choices(pool, k=120)
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(pick.randint(0, 3)):
+            words[pick.randrange(120)] = pick.choice(pool)
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000, rows[0][1]), (2001, rows[0][1]), *[r for r in corpus if r[1] is None or len(r[1]) < 30_000]]
+    want = _n_links(rows)
+    groups = {d: (n, c) for d, n, c in brute.components(rows)}
+    for options in ({}, {"depth": 3, "small": 4, "few": 0}):
+        made = jaccard.link_report(documents(spark, rows), **options).collect()
+        assert len(made) == len(rows)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in made} == {d: (*groups[d], want[d]) for d in want}
+    assert sum(want.values()) > 2000
+
+
+def test_link_form_of_odd_rows(spark):
+    assert jaccard.link_report(spark.createDataFrame([], SCHEMA)).collect() == []
+    rows = [(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "A b c d"), (3, ""), (4, None)]
+    assert {tuple(r) for r in jaccard.link_report(documents(spark, rows)).collect()} == {(None, 1, None, None), (1, 1, 1, 1), (2, 1, 1, 1), (3, 0, 3, 0), (4, 0, 4, 0)}
+
+
 def test_blocks_lose_no_link():
     """Whatever the sizes and the place of the differences, two linked sets share as many blocks as they need."""
     random = np.random.default_rng(2)
