@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from curatrix.llm import files
 from curatrix.llm.components import components
-from curatrix.llm.text import U, mix, shingle_sets, slices
+from curatrix.llm.text import U, fresh, mix, shingle_sets, slices
 from curatrix.session import materialize
 
 SIZE, PERCENT = 4, 85
@@ -96,15 +96,15 @@ def signatures(hashes: np.ndarray, percent: int, label: int) -> tuple[np.ndarray
 
 # ------------------------------------------------------------------ passes over the texts
 def described(docs: DataFrame, key: str, text: str, size: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc, n, sid, check)``: size and identity of each row's set; and the columns ``extra``."""
-    source = docs.select(F.col(key).cast("long"), F.col(text).cast("string"), *extra)
-    names = ["doc", "n", "sid", "check", *extra]
+    """``(doc, n, sid, check, digest)``: size and identity of each row's set, a digest of its text; and the columns ``extra``."""
+    source = docs.select(F.col(key).cast("long"), F.col(text).cast("string"), F.xxhash64(F.col(text).cast("string")), *extra)
+    names = ["doc", "n", "sid", "check", "digest", *extra]
 
     def run(batches):
         for batch in batches:
             rows = [(len(s), *identity(s)) for s in shingle_sets(batch.column(1), size)]
             n, sid, check = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), pa.array(check), *[batch.column(2 + i) for i in range(len(extra))]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid), pa.array(check), *[batch.column(2 + i) for i in range(1 + len(extra))]], names=names)
 
     return source.mapInArrow(run, _LONGS(*names))
 
@@ -237,15 +237,15 @@ class _Join:
         return self.roots()
 
     def _texts(self, blocks: DataFrame) -> DataFrame:
-        """``(sid, text)`` of every set in a block: the row of its smallest id."""
+        """``(sid, text)`` of every set in a block: the row of its smallest id, found by id and text, since many texts may have one id."""
         wanted = self.spark.read.schema(blocks.schema).parquet(f"{self.folder}/blocks").select("sid").distinct()
-        firsts = self.sets.where("n > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-        firsts = materialize(firsts.join(wanted, "sid"))
+        firsts = self.sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "digest")).alias("least"), F.first("n").alias("n"))
+        firsts = materialize(firsts.select("sid", "least.doc", "least.digest", "n").join(wanted, "sid"))
         self.sizes = firsts.select("sid", "n")
-        # 16 bytes a row; a list beyond this bound is joined by a shuffle instead
+        # 24 bytes a row; a list beyond this bound is joined by a shuffle instead
         few = F.broadcast(firsts) if firsts.count() <= 500_000 else firsts
-        docs = self.docs.select(F.col(self.key).cast("long").alias("doc"), F.col(self.text).cast("string").alias("text"))
-        return self.stored(docs.join(few, "doc").select("sid", "text"), "texts")
+        docs = self.docs.select(F.col(self.key).cast("long").alias("doc"), F.col(self.text).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+        return self.stored(docs.join(few, ["doc", "digest"]).select("sid", "text"), "texts")
 
     @staticmethod
     def _once(blocks: DataFrame) -> DataFrame:
@@ -327,7 +327,35 @@ def link_report(docs: DataFrame, **options) -> DataFrame:
     return links(docs, **options).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
-def representatives(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, the one of the smallest id, all columns as they came; rows of a null id stay."""
-    stay = linked(docs, key=key, **options).where("doc = component").select(F.col("doc").alias(key)).distinct()
-    return docs.join(stay, key, "left_semi").dropDuplicates([key]).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+def _once_a_task(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that a task has seen before by the columns of longs ``names`` go, so that many equal rows do not meet in one task of a shuffle."""
+    at = [rows.columns.index(n) for n in names]
+
+    def run(batches):
+        seen: set[tuple] = set()
+        for batch in batches:
+            new = []
+            for mark in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                new.append(mark not in seen)
+                seen.add(mark)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, **options) -> DataFrame:
+    """One row of each component of linked texts, all columns as they came: the one of the smallest id, then of the smallest digest of its text, then of the whole row. Different texts under one id are rows
+    of their own: those that link with nothing stay. So do rows without shingles and rows of a null id."""
+    doc, digest, whole = marks = [fresh(docs, n) for n in ("_doc", "_digest", "_whole")]
+    fields = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    # no words: the white space of ``text.SPACED``
+    plain = F.col(text).cast("string")
+    bare = F.col(key).cast("long").isNull() | ~F.coalesce(plain.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    marked = docs.where(~bare).withColumns({doc: F.col(key).cast("long"), digest: F.xxhash64(plain), whole: F.xxhash64(*fields)})
+    join, roots = _joined(marked, key, text, size, percent, **options, extra=(whole,))
+    # one row for each set before the links are joined: a set that many rows hold is no group of a join
+    least = F.min(F.struct("doc", "digest", whole)).alias("least")
+    sets = join.sets.groupBy("sid").agg(least).join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
+    kept = sets.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.doc").alias(doc), F.col("least.digest").alias(digest), F.col(f"least.{whole}").alias(whole))
+    stay = _once_a_task(marked, marks).join(kept, marks, "left_semi").dropDuplicates(marks).select(docs.columns)
+    return stay.unionByName(docs.where(bare))

@@ -112,6 +112,20 @@ def test_representatives(spark):
     assert made.columns == frame.columns and sorted(str(r.doc_id) for r in made.collect()) == ["1", "3", "4", "None"]
 
 
+def test_representatives_of_one_id_with_several_texts(spark):
+    """One row for each component whatever the ids: no unlinked text goes, and none stays beside its copy."""
+    pick = random.Random(9)
+    pool = [f"w{i}" for i in range(3000)]
+    alone = [" ".join(pick.choices(pool, k=60)) for _ in range(40)]
+    copied = pick.choices(pool, k=100)
+    near = " ".join([*copied[:-1], "other"])
+    rows = [(1, t) for t in alone] + [(1, near), (2, " ".join(copied)), (3, alone[0]), (0, near.upper()), (5, " "), (5, ""), (5, ""), (None, near), (None, near)]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        made = sorted(((r.doc_id, r.text) for r in jaccard.representatives(documents(spark, rows)).collect()), key=str)
+        assert made == sorted([*((1, t) for t in alone), (0, near.upper()), (5, " "), (5, ""), (5, ""), (None, near), (None, near)], key=str)
+
+
 def test_components(spark):
     random.seed(1)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (200, 200)] + [(300, 300 + i) for i in range(1, 50)]
