@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the folded bytes (A-Z lower-cased, white space one kind); a chunk ends at a word whose last byte finds the hash's cut bits zero, so cuts depend on the 16 bytes before them
-only: an insertion moves no cut behind it. A piece between cuts has about ``2 ** cut_bits`` words and at most ``longest``; a chunk is two neighbouring pieces, so that short common pieces alone never
-count, and chunks overlap by one. Chunks are known by a 64-bit digest of their words. A chunk is repeated if documents of different ids hold it; consecutive repeated chunks of ``least`` words or more
+A gear hash rolls over the folded bytes (A-Z lower-cased, white space one kind); a piece ends at a word whose hash, at its last byte, is not above those of the ``reach`` words on each side, so cuts depend on
+these words and the 16 bytes before them only: an insertion moves no cut behind it, and where words or short lines repeat, the same place of each period ends a piece, since equal hashes all do. A piece has about
+``2 * reach + 1`` words; one of more than ``longest`` (none in eight million random words) is divided from its start. A chunk is two neighbouring pieces, so that short common pieces alone never count, and chunks overlap by one. Chunks are known by a 64-bit digest of their words. A chunk is repeated if documents of different ids hold it; consecutive repeated chunks of ``least`` words or more
 together are a repeated passage. The document of the smallest id keeps a chunk, the others lose it.
 
 Digests are counted by sums that fold in each task, and only repeated ones are joined back; a digest that a third of all documents hold is split by the skew handling of that join. Only chunks
@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from curatrix.llm.text import SPACED, U, fresh, mix, per_text, slices, word_hashes, words
 
-CUT_BITS, LONGEST, LEAST = 2, 32, 24
+REACH, LONGEST, LEAST = 2, 32, 24
 _NO_ID = -(2**63)
 _GEAR = (mix(np.arange(257, 513, dtype=U)) >> U(48)).astype(np.uint16)
 _PARTS = (U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93))
@@ -35,16 +35,27 @@ def gear(low: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut(column: pa.Array, cut_bits: int = CUT_BITS, longest: int = LONGEST):  # longest: at most 127
+def _lowest(h: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
+    """Which words have a hash that no word of their text within ``reach`` words has a smaller one than."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    low = np.ones(len(h), bool)
+    for step in range(1, reach + 1):
+        other = text[step:] != text[:-step]
+        low[step:] &= other | (h[step:] <= h[:-step])
+        low[:-step] &= other | (h[:-step] <= h[step:])
+    return low
+
+
+def cut(column: pa.Array, reach: int = REACH, longest: int = LONGEST):  # longest: at most 127
     """For each slice of texts: ``(first row, pieces' rows, digests, words, start bytes, end bytes, bytes, offsets)``."""
     for row, end, data, at in slices(column):
         low, starts, ends, first = words(data, at, SPACED)
         if not len(starts):
             continue
         h = gear(np.where(low == 0, 32, low), at)
-        last = (h[ends - 1] >> np.uint16(16 - cut_bits)) == 0
+        last = _lowest(h[ends - 1], first, reach)
         last[first[1:][first[1:] > first[:-1]] - 1] = True
-        # no chunk is longer than ``longest`` words: a run without a cut is divided from its start
+        # no piece is longer than ``longest`` words: a run without a cut is divided from its start
         stop = np.flatnonzero(last) + 1
         begin = np.concatenate([[0], stop[:-1]])
         pieces = -(-(stop - begin) // longest)

@@ -55,3 +55,19 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert chunks.report(documents(spark, [(1, text), (1, text)])).collect() == []
     made = chunks.report(documents(spark, [(None, text), (1, text), (1, text)])).collect()
     assert [(r.doc_id, r.dropped_words > 0) for r in sorted(made, key=str)] == [(1, True), (None, False)]
+
+
+def test_passages_of_51_words_by_the_thousand(spark):
+    """Random and repetitive passages (periods of 1 to 12 words) in two documents each, with other words around."""
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choices("abcdefghijklmnopé", k=pick.randint(2, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    rows, kinds = [], {}
+    for n in range(4000):
+        period = (51, 1, 2, 3, 5, 8, 12, 51)[n % 8]
+        passage = (prose(period) * 51)[:51]
+        kinds[n] = period
+        rows += [(2 * n + i, " ".join([*prose(pick.randint(1, 70)), *passage, *prose(pick.randint(1, 70))])) for i in range(2)]
+    found = {r.doc_id for r in chunks.report(documents(spark, rows)).collect()}
+    missed = [kinds[n] for n in kinds if not {2 * n, 2 * n + 1} <= found]
+    assert not missed, {p: missed.count(p) for p in set(missed)}
