@@ -493,7 +493,7 @@ def numbered(docs: DataFrame, model: Model, *, text: str = "text", out: str = "n
 
 def grow(model: Model, rows: DataFrame, ids: Column, *, order: int = 3, min_count: int = 2, discount: float = 0.75) -> Model:
     """Levels 2 to ``order`` from the word ids of all rows."""
-    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task holds one shard at a time
     parents, width = model.vocabulary, model.vocabulary
     for level in range(1, order):
         if not parents:

@@ -41,7 +41,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_lm_scoring")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_lm.report(table(spark, folder, "documents"))
+    return ngram_lm.report(table(spark, folder, "documents"), min_count=1)
 
 
 @query("op1_document_fingerprints")

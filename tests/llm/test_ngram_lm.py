@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 
-from curatrix.llm import ngram_lm as lm
+from curatrix.llm import ngram_lm as lm, queries
 
 
 def plain(rows, order=3, least=2, discount=0.75):
@@ -51,6 +51,18 @@ def test_equals_plain_model(spark, corpus, order):
         assert abs(r.score - score) <= 0.03 * r.n_tokens
 
 
+def test_query_keeps_ngrams_seen_once(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    made = {r.doc_id: r for r in queries.QUERIES["op9_lm_scoring"](spark, folder).collect()}
+    assert len(made) == len(rows)
+    want = {d: (n, score) for d, _, n, _, _, _, score in plain(rows, least=1)}
+    cut = {d: score for d, _, _, _, _, _, score in plain(rows)}
+    assert any(abs(want[d][1] - cut[d]) > 0.1 * want[d][0] for d in want)
+    for d, r in made.items():
+        assert r.n_tokens == want[d][0] and abs(r.score - want[d][1]) <= 0.03 * r.n_tokens
+
+
 def test_no_training_rows(spark):
     assert lm.report(spark.createDataFrame([], SCHEMA)).collect() == []
     held = next(i for i in range(100) if brute.crc(i) % 7 == 2)
