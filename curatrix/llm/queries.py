@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, ngram_lm, quality, secret_scan, sharding, sql, warc
+from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, merkle, ngram_lm, quality, secret_scan, sharding, sql, warc
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -82,3 +82,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard_links", sql.JACCARD_LINKS)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_report(table(spark, folder, "documents"))
+
+
+@query("op11_merkle_dataset_manifest", sql.MERKLE)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.report(table(spark, folder, "documents"))

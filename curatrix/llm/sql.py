@@ -43,3 +43,43 @@ with recursive d as (select doc_id, regexp_extract_all({FOLDED}, '[^\\x20\\x09-\
 select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce((select min(to_) from r where r.node = d.doc_id), d.doc_id)) as component_id from d left join n using (doc_id)"""
 
 JACCARD_LINKS = JACCARD.replace(" as component_id from d", " as component_id, (select count(*) from l where l.a = d.doc_id) as n_links from d")
+
+#: The 256 words of the CRC-32 table, eight halving steps of each byte.
+CRC_TABLE = "select list_transform(range(256), lambda b: list_reduce([b::bigint] || range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as tab"
+
+
+def crc32(text: str, table: str = "tab") -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, with the table in scope."""
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::int, 2))::bigint)"
+    return f"xor(list_reduce([4294967295::bigint] || {data}, lambda c, b: xor({table}[((xor(c, b) & 255) + 1)::int], c >> 8)), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree(name: str, leaves: str, levels: int = 9) -> str:
+    """CTEs ``{name}steps(g, k, i, b, a)`` and ``{name}top(g, h)`` of ``leaves(g, i, h, n)``: ``levels`` rounds of hashing runs of eight, enough for 8 ** levels leaves."""
+    made = [f"{name}0 as (select g, i, h, n from {leaves})"]
+    for k in range(levels):
+        made.append(f"{name}{k + 1} as (select g, i // 8 as i, case when any_value(n) > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h, any_value((n + 7) // 8) as n from {name}{k} group by g, i // 8)")
+    steps = " union all ".join(
+        f"select x.g, {k} as k, x.i, coalesce(string_agg(y.h, '' order by y.i) filter (y.i < x.i), '') as b, coalesce(string_agg(y.h, '' order by y.i) filter (y.i > x.i), '') as a from {name}{k} x join {name}{k} y on x.g = y.g and x.i // 8 = y.i // 8 where x.n > 1 group by x.g, x.i" for k in range(levels))
+    return ", ".join([*made, f"{name}steps as ({steps})", f"{name}top as (select g, h from {name}{levels})"])
+
+
+_LOW_TEXT = f"translate(text, '{_UPPER}', '{_LOWER}')"
+MERKLE = f"""
+with c as materialized ({CRC_TABLE}),
+ d as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n, row_number() over () as rid from
+  (select doc_id, coalesce('1' || lang, '0') as g, {_leaf('text')} as leaf, case when {crc32('doc_id::varchar')} % 3 = 0 then {_leaf(_LOW_TEXT)} else {_leaf('text')} end as tampered from documents, c)),
+ {_tree('t', '(select g, i, leaf as h, n from d)')},
+ s as (select g as lang, '' as g, row_number() over (order by encode(g)) - 1 as i, h, count(*) over () as n from ttop), {_tree('u', 's', 6)},
+ p as (select d.rid, t.k as k, t.b, t.a from d join tsteps t on t.g = d.g and t.i = d.i // (8 ** t.k)::bigint union all
+  select d.rid, 100 + u.k, u.b, u.a from d join s on s.lang = d.g join usteps u on u.i = s.i // (8 ** u.k)::bigint),
+ q as (select rid, list({{'b': b, 'a': a}} order by k) as steps from p group by rid),
+ f as (select d.*, coalesce(steps, []) as steps, s.h as subroot, u.h as root from d join s on s.lang = d.g left join q using (rid), utop u),
+ r as (select doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_transform(steps, lambda x: x.b || x.a), lambda x, y: x || y, ''), '')) as proof_sha256,
+  list_reduce([{{'b': tampered, 'a': ''}}] || steps, lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b as folded_root from f)
+select *, folded_root = root as verified from r"""
