@@ -83,3 +83,16 @@ with c as materialized ({CRC_TABLE}),
  r as (select doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_transform(steps, lambda x: x.b || x.a), lambda x, y: x || y, ''), '')) as proof_sha256,
   list_reduce([{{'b': tampered, 'a': ''}}] || steps, lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b as folded_root from f)
 select *, folded_root = root as verified from r"""
+
+_RUNS = f"unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+'))"
+SPELLING = f"""
+with recursive c as materialized ({CRC_TABLE}), r as (select doc_id, run, count(*) as n from (select doc_id, {_RUNS} as run from documents) group by 1, 2),
+ h as (select run, n, {crc32("doc_id::varchar || ':' || run")} as h from r, c),
+ w as materialized (select word, sum(n)::bigint as n from (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h) where length(word) >= 5 group by 1 having sum(n) >= 3),
+ d as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as less from (select word, n, unnest(range(length(word))) as i from w)),
+ p as (select x.word, y.word as other, y.n as other_n from d x join d y on x.i = y.i and x.less = y.less and x.word <> y.word
+  union select d.word, w.word, w.n from d join w on w.word = d.less union select w.word, d.word, d.n from d join w on w.word = d.less),
+ b as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as best, max(other_n) as best_n from p group by 1),
+ f as materialized (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from w left join b using (word)),
+ t as (select word, word as root from f union all select t.word, f.form from t join f on f.word = t.root where f.form is not null)
+select f.word, f.form, z.root, f.n, f.n_near, f.form_n from f join (select t.word, t.root from t join f on f.word = t.root where f.form is null) z using (word)"""

@@ -100,6 +100,13 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * _power(_BACK, len(low))[starts])
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each run ``starts`` to ``ends`` of 64-bit values; runs of equal values hash alike wherever they stand, empty ones to one number."""
+    sums = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values * _power(_STEP, len(values)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_BACK, len(values) + 1)[starts])
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``(shingle hashes, first)`` of ``size`` consecutive words inside a row; a row of fewer words, but not none, has one of all its words."""
     count = np.diff(first)
