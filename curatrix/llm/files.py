@@ -37,6 +37,17 @@ def write_file(folder: str, name: str, data: bytes) -> str:
     return name
 
 
+def unique_name(stem: str) -> str:
+    """A name that no other attempt of a task uses."""
+    return f"{stem}-{uuid.uuid4().hex[:12]}"
+
+
+def read_file(uri: str) -> bytes:
+    system, path = resolve(uri)
+    with system.open_input_stream(path, compression=None) as source:
+        return source.read()
+
+
 def mapped(uri: str) -> str:
     """A local path to map into memory: the file itself where the folder is mounted, else a copy in the task's own folder."""
     system, path = resolve(uri)

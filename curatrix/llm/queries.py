@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, merkle, ngram_lm, quality, secret_scan, sharding, spelling, sql, warc
+from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, merkle, ngram_lm, quality, secret_scan, sharding, spelling, sql, vectors, warc
 
 #: Place of the public tokenizer file.
 WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
@@ -92,3 +92,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_spelling_variant_grouping", sql.SPELLING)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.report(table(spark, folder, "documents"))
+
+
+@query("op12_embedding_near_dedup", sql.EMBEDDINGS)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.report(table(spark, folder, "embeddings"))

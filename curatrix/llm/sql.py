@@ -96,3 +96,11 @@ with recursive c as materialized ({CRC_TABLE}), r as (select doc_id, run, count(
  f as materialized (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from w left join b using (word)),
  t as (select word, word as root from f union all select t.word, f.form from t join f on f.word = t.root where f.form is not null)
 select f.word, f.form, z.root, f.n, f.n_near, f.form_n from f join (select t.word, t.root from t join f on f.word = t.root where f.form is null) z using (word)"""
+
+EMBEDDINGS = """
+with recursive e as (select vec_id, list_transform(embedding, lambda x: x::double) as v, embedding is not null and len(embedding) > 0 and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), false) and list_max(list_transform(embedding, lambda x: abs(x))) > 0 as ok from embeddings),
+ u as materialized (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from e where ok),
+ l as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.u) = len(b.u) where list_dot_product(a.u, b.u) >= 0.95),
+ r as (select a as node, b as to_ from l union select r.node, l.b from r join l on l.a = r.to_),
+ g as (select node, min(to_) as least from r group by 1), n as (select a, count(*) as n from l group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(g.least, vec_id)) as component_id, vec_id <= coalesce(g.least, vec_id) as kept from e left join g on g.node = vec_id left join n on n.a = vec_id"""
