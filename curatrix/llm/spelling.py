@@ -5,9 +5,9 @@ From the first three, two that share no character become its *pivots*: among all
 positions. One edit cannot touch both pivots. So of two near words, the one whose third bigram ranks lower (or either, if equal) has a pivot that survives in the other word, and every
 occurrence there of a bigram of that rank is in the other's prefix: looking each word's pivots up in the prefixes of all words finds every pair.
 
-Position limits: around a pivot that survives, the edit is on one side only. Words of equal length hold it at one position; in a longer or shorter word it moves by one if the edit is before it, and stays
-if it is behind it; and the other side of the word is the same in both. A lookup is therefore an equality of bigram, length, position, side and the hash of the side that has to be the same.
-What meets is verified by edit distance. Nothing is cut off, and no pair of words is compared for sharing a block.
+Position limits: a cut between the pivots splits the places of the edit. Behind the cut it leaves the first pivot at its place and all that comes before the cut as it is; before the cut it leaves all behind it, and the
+second pivot moves with the length. A lookup is therefore an equality of bigram, place, length, distance to the cut and the hash of the part that has to be the same; distances to the cut are powers of two,
+which keeps the entries of a prefix few. What meets is verified by edit distance. Nothing is cut off, and no pair of words is compared for sharing a block.
 
 Pivots need three bigrams at positions that are not all neighbours, that is words of four code points; shorter ones raise. Words may hold any characters and be of any length; null and empty texts have no words; repeated
 rows count each; a null id deletes nothing; ties between near words of equal counts go to the first in code-point order; an empty table gives no rows. Further columns are ignored, whatever their names.
@@ -28,8 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bigrams are told apart by 16 bits, exactly for code points below 256; beyond, a shared number only adds candidates. The order is one table of this size at most.
 KINDS = 1 << 16
 EDITS, PREFIX = 1, 3
-#: (change of length, move of the pivot, side that stays the same: 0 before it, 1 behind it) of an edit beside a pivot.
-MOVES = ((0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 1, 1), (-1, 0, 0), (-1, -1, 1))
+#: Change of length of a near word.
+LONGER = (0, 1, -1)
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 97) -> DataFrame:
@@ -114,22 +114,47 @@ def _entries(column: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     in_prefix = rank <= rank[first + PREFIX - 1][word]
     lead = first[:, None] + np.arange(PREFIX)
     by_place = np.take_along_axis(lead, place[lead].argsort(axis=1), axis=1)
-    picked = np.take_along_axis(by_place, pivots(place[by_place], counts[kind[by_place]]), axis=1).ravel()
+    picked = np.take_along_axis(by_place, pivots(place[by_place], counts[kind[by_place]]), axis=1)
     steps = mix((points.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
     start, end = bounds[:-1], bounds[1:]
 
-    def key(at: np.ndarray, longer: int, moved: int, side: int) -> np.ndarray:
+    def key(at: np.ndarray, reach: np.ndarray, longer: int, behind: bool) -> np.ndarray:
+        """Of the part before (``behind``: from) the cut, ``reach`` from the far end of the bigram."""
         w = word[at]
-        low = np.where(side == 0, start[w], start[w] + place[at] + 2)
-        high = np.where(side == 0, start[w] + place[at], end[w])
-        head = (kind[at].astype(U) << U(1)) | U(side)
-        return mix(range_hashes(steps, low, high) ^ mix(mix(head * U(0x9E3779B97F4A7C15) + (size[w] + longer).astype(U)) + (place[at] + moved).astype(U)))
-
-    held = np.flatnonzero(in_prefix)
-    parts = [(word[held], key(held, 0, 0, side), False) for side in (0, 1)] + [(word[picked], key(picked, *m), True) for m in MOVES]
+        cut = start[w] + place[at] + (2 - reach if behind else reach)
+        part = range_hashes(steps, cut, end[w]) if behind else range_hashes(steps, start[w], cut)
+        moved = place[at] + (longer if behind else 0)
+        fields = [(kind[at] << 1) | behind, size[w] + longer, moved, reach]
+        for field in fields:
+            part = mix(part ^ (field.astype(U) * U(0x9E3779B97F4A7C15)))
+        return part
+
+    parts = []
+    held, reach = np.flatnonzero(in_prefix), 2
+    while reach <= size.max(initial=0):
+        for behind in (False, True):
+            fits = held[place[held] + 2 >= reach] if behind else held[place[held] + reach <= size[word[held]]]
+            parts.append((word[fits], key(fits, np.full(len(fits), reach), 0, behind), False))
+        reach *= 2
+    left, right = picked[:, 0], picked[:, 1]
+    before, behind = cuts(place[left], place[right], size[word[left]])
+    parts += [(word[left], key(left, before, d, False), True) for d in LONGER] + [(word[right], key(right, behind, d, True), True) for d in LONGER]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
 
 
+def cuts(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reaches ``(a, b)``, powers of two: the part before ``left + a`` and the part from ``right + 2 - b`` do not overlap, so that one edit leaves one of them whole; the shorter is as long as can be."""
+    room, best = right - left + 2, np.zeros(len(left), np.int64)
+    before, behind = np.full(len(left), 2), np.full(len(left), 2)
+    widest = [1 << k for k in range(1, int(room.max(initial=2)).bit_length() + 1)]
+    for a in widest:
+        for b in widest:
+            shorter = np.minimum(left + a, size - right - 2 + b)
+            better = (a + b <= room) & (shorter > best)
+            best, before, behind = np.where(better, shorter, best), np.where(better, a, before), np.where(better, b, behind)
+    return before, behind
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``(word, n, other, other_n)`` in both directions for all near pairs of ``words(word, n)``; each word is listed once."""
     spread = words.sparkSession.sparkContext.broadcast(ranks(words))  # half a megabyte, whatever the input
