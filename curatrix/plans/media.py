@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from curatrix.operators import geometry, media
+from curatrix.operators import geometry, media, neighbours
 from curatrix.plans.registry import query
 
 BOX_SQL = "select p_partkey as id, (p_partkey * 37 % 1009)::double as x0, (p_partkey * 37 % 1009 + 4 + p_size % 7)::double as x1, (p_partkey * 53 % 499)::double as y0, (p_partkey * 53 % 499 + 6 + p_size % 5)::double as y1, (p_size % 40)::double as z0, (p_size % 40 + 5)::double as z1 from part"
@@ -117,7 +117,7 @@ select query_id, neighbour_id, cosine, rank::int as rank from r where rank <= 3"
 def nearest_neighbours(t):
     e = media.embedding_index(t.embeddings, "vec_id", "embedding", "driver-model")
     vectors = e.select("vec_id", "unit")
-    return media.nearest_neighbours(vectors, vectors, "vec_id", "unit", 3)
+    return neighbours.nearest_neighbours(vectors, vectors, "vec_id", "unit", 3)
 
 
 @query("status_rollup", "select o_orderstatus, count(*) as n from orders group by 1")

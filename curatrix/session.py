@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so that a lost executor costs no recomputation."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder, whose size the planner knows; loops need it, because a checkpoint keeps the estimate of its plan, which multiplies with every join."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -82,22 +82,6 @@ def test_region_join_paths_agree(spark, monkeypatch):
     assert values(small, "id", "count") == values(media.pixel_region_join(df, regions).groupBy("id").count(), "id", "count")
 
 
-@pytest.mark.parametrize("block, pivots", [(2048, 256), (16, 6)])
-def test_neighbours_equal_brute_force(spark, block, pivots):
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=(4, 8))
-    v = np.concatenate([base[rng.integers(0, 4, 150)] + rng.normal(scale=0.2, size=(150, 8)), np.repeat(base[:1], 60, axis=0)])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, unit array<double>")
-    got = {}
-    for r in media.nearest_neighbours(df, df, "id", "unit", 4, pivots, block).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.neighbour_id))
-    sims = np.round(v @ v.T, 6)
-    for i in range(len(v)):
-        order = sorted((j for j in range(len(v)) if j != i), key=lambda j: (-sims[i, j], j))[:4]
-        assert [n for _, n in sorted(got[i])] == order
-
-
 def test_image_part_index(spark):
     images = spark.createDataFrame([("3626bp01",), ("973-front",), ("none",)], "stem string")
     parts = spark.createDataFrame([("3626bp01", "Head"), ("973", "Torso")], "number string, name string")
