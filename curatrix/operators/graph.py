@@ -4,67 +4,101 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from curatrix.functions.ids import hash_fraction_split, set_digest
-from curatrix.operators.scale import small_side
-from curatrix.session import materialize
+from curatrix.session import stored
 
 
-def ancestry(df: DataFrame, ident: str, parent: str, label: str, depth: int = 64) -> DataFrame:
+def ancestry(df: DataFrame, ident: str, parent: str, label: str) -> DataFrame:
     """Leaf-to-root lineage ``array<struct<id,name>>`` per node; stops at a cycle or a missing parent.
 
-    One equi-join per level; finished chains leave the working set, and the loop ends when none is left.
+    Pointer doubling: a round appends to each lineage the one of the node it stops at, so that a chain of n nodes takes about log2(n) equi-joins. Finished lineages leave the
+    working set, and one that runs into itself is cut where it does; there is no limit of depth.
     """
-    nodes = materialize(df.select(F.col(ident).alias("id"), F.nullif(F.col(parent).cast("string"), F.lit("")).alias("up"),
-                                  F.col(label).alias("name")).dropDuplicates(["id"]))
-    step = F.struct(F.col("id").cast("string").alias("id"), F.col("name").alias("name"))
-    open_ = nodes.select(F.col("id").alias("leaf"), F.array(step).alias("lineage"), "up")
-    done = None
-    up = small_side(nodes.select(F.col("id").cast("string").alias("pid"), F.col("up").alias("pup"), F.col("name").alias("pname")))
-    for _ in range(depth):
-        joined = open_.join(up, F.col("up") == F.col("pid"), "left")
-        seen = F.exists("lineage", lambda s: s["id"] == F.col("pid"))
-        stop = F.col("pid").isNull() | seen
-        joined = materialize(joined.withColumn("_stop", stop))
-        finished = joined.where("_stop").select("leaf", "lineage")
-        done = finished if done is None else done.unionByName(finished)
-        open_ = joined.where("not _stop").select(
-            "leaf", F.array_append("lineage", F.struct(F.col("pid").alias("id"), F.col("pname").alias("name"))).alias("lineage"),
-            F.col("pup").alias("up"))
-        if open_.isEmpty():
-            return done.withColumnRenamed("leaf", ident)
-    raise ValueError(f"hierarchy deeper than {depth} levels")
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, component)`` with the smallest node of each component as its label.
-
-    Alternating large-star and small-star rounds. Each star is a min-aggregate (folded per task) and one
-    join; neighbours are never collected, and AQE splits the join of a hub. Every round ends in a reliable
-    checkpoint.
+    nodes = df.select(F.col(ident).alias("leaf"), F.col(ident).cast("string").alias("id"), F.nullif(F.col(parent).cast("string"), F.lit("")).alias("up"), F.col(label).alias("name")).dropDuplicates(["leaf"])
+    paths = stored(nodes.select("leaf", "id", F.array(F.struct("id", "name")).alias("lineage"), "up"))
+    done = []
+    while True:
+        further = paths.select(F.col("id").alias("up"), F.col("lineage").alias("rest"), F.col("up").alias("further"))
+        joined = paths.where("up is not null").join(further, "up", "left")
+        ids = lambda c: F.transform(c, lambda s: s["id"])
+        again = F.array_min(F.transform(F.array_intersect(ids("lineage"), ids("rest")), lambda x: F.array_position(ids("rest"), x)))
+        grown = F.when(F.col("rest").isNull(), F.col("lineage")).otherwise(F.concat("lineage", F.when(again.isNull(), F.col("rest")).otherwise(F.slice("rest", F.lit(1), F.coalesce(again, F.lit(1)) - 1))))
+        # A lineage goes on unless it met itself, or the node it stops at is missing or finished.
+        moved = joined.select("leaf", "id", grown.alias("lineage"), F.when(F.col("rest").isNotNull() & again.isNull(), F.col("further")).alias("up"))
+        paths = stored(moved.unionByName(paths.where("up is null")))
+        if paths.where("up is not null").isEmpty():
+            return paths.select(F.col("leaf").alias(ident), "lineage")
+
+
+#: Links that one task contracts; 16 bytes each.
+TASK_LINKS = 2_000_000
+
+
+def _contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """Every node of ``links(u, v)`` of a task with the least node it is connected with there: at most one link for each node and task leaves it."""
+
+    def run(batches):
+        parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        if parts:
+            nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+            u, v = ends.reshape(2, -1)
+            root = np.arange(len(nodes))
+            while True:
+                low = np.minimum(root[u], root[v])
+                new = root.copy()
+                np.minimum.at(new, root[u], low)
+                np.minimum.at(new, root[v], low)
+                while (new[new] != new).any():
+                    new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            inner = root != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[root[inner]])], names=["u", "v"])
+
+    return links.select("u", "v").repartition(tasks, "v").mapInArrow(run, "u long, v long")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """``(u, v)``: every linked node with the least node of its component, itself included, over 64-bit ids.
+
+    Links are dealt by their lower end and contracted in their task; where one task holds them all that is the result. Otherwise alternating stars follow: a star is a min-aggregate and one join, what leaves
+    it is contracted again, and a round that changes nothing ends the loop.
     """
-    pairs = edges.select("src", "dst").where("src <> dst")
-    links = materialize(pairs.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    digest = None
-    for _ in range(max_rounds):
+    links, digest = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    while True:
+        tasks = -(-links.count() // TASK_LINKS)
+        links = stored(_contracted(links, max(1, tasks)))
+        row = tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if tasks <= 1 or row == digest:
+            least = links.groupBy("u").agg(F.min("v").alias("v"))
+            return least.unionByName(least.select(F.col("v").alias("u"), "v").distinct())
+        digest = row
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        star = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        links = materialize(star.where("u <> v").distinct())
-        row = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(row) == digest:
-            break
-        digest = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
-    # At the fixpoint every node points at its component's smallest node.
-    return nodes.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_m")), "node", "left").select(
-        "node", F.coalesce("_m", "node").alias("component"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        star = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
+        links = stored(star.where("u <> v").distinct())
+
+
+def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, root)``: the number of the component of every node; nodes are numbered once, and rounds move numbers only."""
+    numbered = stored(nodes.distinct().withColumn("u", F.monotonically_increasing_id()))
+    end = lambda c: numbered.select(F.col("node").alias(c), F.col("u").alias(f"{c}_n"))
+    pairs = edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_n").alias("u"), F.col("dst_n").alias("v"))
+    return stored(numbered.join(_roots(pairs), "u", "left").select("node", F.coalesce("v", "u").alias("root")))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, component)`` with the smallest node of each component as its label."""
+    labels = _labelled(nodes.select("node"), edges)
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return labels.join(least, "root").select("node", "component")
 
 
 def connected_groups(
@@ -91,7 +125,7 @@ def connected_groups(
     values = F.explode(F.array(*[F.when(F.col(f).isNotNull(), node(F.lit(f), F.col(f))) for f in fields]))
     edges = base.select(F.col("node").alias("src"), values.alias("dst")).where("dst is not null").distinct()
     nodes = members.unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    labels = connected_components(nodes, edges).join(members, "node", "left_semi")
+    labels = _labelled(nodes, edges).withColumnRenamed("root", "component").join(members, "node", "left_semi")
     ids = component_digests(labels)
     return (
         base.join(labels.join(ids, "component").select("node", "component_id"), "node")
@@ -151,46 +185,43 @@ def determinant(matrix: str):
         + m(0, 2) * (m(1, 0) * m(2, 1) - m(1, 1) * m(2, 0)))
 
 
-def flatten_hierarchy(
-    roots: DataFrame, refs: DataFrame, known: DataFrame, depth: int = 128, strict_missing: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """Expand ``refs(parent, child, line_no, m, invert)`` below ``roots(part)`` level by level.
+def flatten_hierarchy(roots: DataFrame, refs: DataFrame, known: DataFrame, strict_missing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Expand ``refs(parent, child, line_no, m, invert)`` below ``roots(part)``.
 
     Gives ``(root, part, path, m, flip, depth)`` per occurrence with composed transforms and winding flips, and
-    the missing references. A cycle raises; so does a missing part when ``strict_missing``.
+    the missing references. A cycle below a root raises; so does a missing part when ``strict_missing``.
+
+    Pointer doubling: round r holds the chains of exactly 2^r references and appends them to all occurrences less than 2^r deep, so that a nesting of depth d takes about log2(d) rounds. A chain that meets itself is kept
+    as a loop and not prolonged: it raises if an occurrence reaches it.
     """
     if "invert" not in refs.columns:
         refs = refs.withColumn("invert", F.lit(False))
-    parts = known.select("part").distinct()
-    level = roots.select(
-        F.col("part").alias("root"), "part", F.array("part").alias("path"), F.array(*[F.lit(x) for x in IDENTITY]).alias("m"),
-        F.lit(False).alias("flip"), F.lit(0).alias("depth"))
-    level = materialize(level)
-    result, missing = level, None
-    for d in range(1, depth + 2):
-        step = level.select("root", F.col("part").alias("parent"), "path", F.col("m").alias("pm"), F.col("flip").alias("pflip")).join(
-            refs, "parent")
-        step = step.join(parts.withColumn("_known", F.lit(True)), F.col("child") == F.col("part"), "left").drop("part")
-        step = materialize(step.withColumn("_cycle", F.array_contains("path", F.col("child"))))
-        if step.isEmpty():
+    parts = known.select(F.col("part").alias("child")).distinct()
+    # Boolean exclusive or, written as inequality.
+    turned = F.coalesce("invert", F.lit(False)) != (determinant("m") < 0)
+    steps = refs.select(F.col("parent").alias("top"), "child", F.array("child").alias("tail"), "m", turned.alias("turn"), (F.col("parent") == F.col("child")).alias("loop"))
+    chains = stored(steps.join(parts, "child"))
+    found = stored(roots.select(
+        F.col("part").alias("root"), "part", F.array("part").alias("path"), F.array(*[F.lit(x) for x in IDENTITY]).alias("m"), F.lit(False).alias("flip"), F.lit(0).alias("depth")))
+    while True:
+        grown = found.withColumnRenamed("m", "pm").join(chains.withColumnsRenamed({"m": "cm", "top": "part"}), "part")
+        looped = F.col("loop") | F.arrays_overlap("path", "tail")
+        grown = stored(grown.select("root", F.col("child").alias("part"), F.concat("path", "tail").alias("path"), compose("pm", "cm").alias("m"), (F.col("flip") != F.col("turn")).alias("flip"), (F.col("depth") + F.size("tail")).alias("depth"), looped.alias("loop")))
+        if grown.isEmpty():
             break
-        if d > depth:
-            raise RecursionError(f"references nest deeper than {depth}")
-        looped = step.where("_cycle").take(1)
-        if looped:
-            raise ValueError(f"cyclic reference: {' -> '.join(looped[0]['path'] + [looped[0]['child']])}")
-        lost = step.where("_known is null").select("parent", "child").distinct()
-        if strict_missing:
-            gone = lost.take(1)
-            if gone:
-                raise FileNotFoundError(f"unresolved reference {gone[0]['child']!r} in {gone[0]['parent']!r}")
-        missing = lost if missing is None else missing.unionByName(lost)
-        # Boolean exclusive or, written as inequality.
-        flip = (F.col("pflip") != F.coalesce("invert", F.lit(False))) != (determinant("m") < 0)
-        level = step.where("_known").select(
-            "root", F.col("child").alias("part"), F.array_append("path", F.col("child")).alias("path"), compose("pm", "m").alias("m"),
-            flip.alias("flip"), F.lit(d).alias("depth"))
-        result = result.unionByName(level)
-    if missing is None:
-        missing = roots.sparkSession.createDataFrame([], "parent string, child string")
-    return result, missing
+        bad = grown.where("loop").take(1)
+        if bad:
+            path = bad[0]["path"]
+            end = next(i for i, p in enumerate(path) if p in path[:i])
+            raise ValueError(f"cyclic reference: {' -> '.join(path[: end + 1])}")
+        found = found.unionByName(grown.drop("loop"))
+        a, b = chains.where("not loop").withColumnsRenamed({"m": "pm", "child": "mid", "tail": "head", "turn": "before"}), chains.withColumnsRenamed({"top": "mid", "m": "cm", "loop": "ends"})
+        met = F.col("ends") | F.arrays_overlap("head", "tail") | F.array_contains("tail", F.col("top"))
+        chains = stored(a.join(b, "mid").select("top", "child", F.concat("head", "tail").alias("tail"), compose("pm", "cm").alias("m"), (F.col("before") != F.col("turn")).alias("turn"), met.alias("loop")))
+    lost = refs.join(parts, "child", "left_anti").select("parent", "child").distinct()
+    lost = lost.join(found.select(F.col("part").alias("parent")).distinct(), "parent", "left_semi")
+    if strict_missing:
+        gone = lost.take(1)
+        if gone:
+            raise FileNotFoundError(f"unresolved reference {gone[0]['child']!r} in {gone[0]['parent']!r}")
+    return found, lost

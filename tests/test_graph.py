@@ -41,6 +41,31 @@ def test_long_chain(spark):
     assert {c for _, c in values(graph.connected_components(nodes, spark.createDataFrame(edges, "src int, dst int")), "node", "component")} == {0}
 
 
+def test_components_of_many_tasks(spark, monkeypatch):
+    """With few links to a task the stars take over; a hub, a chain and random links."""
+    monkeypatch.setattr(graph, "TASK_LINKS", 40)
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(60)] + [(200 + rng.randrange(150), 200 + rng.randrange(150)) for _ in range(110)]
+    nodes = spark.createDataFrame([(i,) for i in range(360)], "node int")
+    got = dict(values(graph.connected_components(nodes, spark.createDataFrame(edges, "src int, dst int")), "node", "component"))
+    want = union_find(edges)
+    assert got == {i: want.get(i, i) for i in range(360)}
+
+
+def test_deep_hierarchies_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: rounds.append(1) or real(df))
+    df = spark.createDataFrame([(str(i), str(i - 1) if i else "", f"n{i}") for i in range(1000)] + [("a", "c", "a"), ("b", "a", "b"), ("c", "b", "c"), ("d", "a", "d")], "id string, parent_id string, name string")
+    got = {r.id: [x.id for x in r.lineage] for r in graph.ancestry(df, "id", "parent_id", "name").collect()}
+    assert all(got[str(i)] == [str(j) for j in range(i, -1, -1)] for i in range(0, 1000, 37)) and len(rounds) <= 12
+    assert (got["a"], got["b"], got["d"]) == (["a", "c", "b"], ["b", "a", "c"], ["d", "a", "c", "b"])
+    rounds.clear()
+    refs = [("root" if i == 0 else f"p{i - 1}", f"p{i}", 1, move(1.0)) for i in range(300)] + [("u", "v", 1, move(0.0)), ("v", "u", 1, move(0.0))]
+    out, missing = hierarchy(spark, refs, ["root", "u", "v", *[f"p{i}" for i in range(300)]])
+    assert {r.part: (r.depth, r.m[3]) for r in out.select("part", "depth", "m").collect()} == {"root": (0, 0.0)} | {f"p{i}": (i + 1, i + 1.0) for i in range(300)}
+    assert len(rounds) <= 24 and missing.count() == 0
+
+
 FIELDS = ["sha256", "source_reference_asset_id", "duplicate_cluster_id"]
 SCHEMA = "derived_asset_id string, outfit_design_id string, sha256 string, source_reference_asset_id string, duplicate_cluster_id string"
 ROWS = [("1", "A", "h1", "s1", None), ("2", "B", "h1", "s2", "c9"), ("3", "C", "h3", "s3", "c9"), ("4", "D", "h4", "s4", None)]
