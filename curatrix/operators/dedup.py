@@ -91,12 +91,12 @@ def near_duplicate_pairs(df: DataFrame, ident: str, code: str, distance: int = 3
 
 
 def near_duplicate_groups(df: DataFrame, ident: str, code: str, distance: int = 3) -> DataFrame:
-    """Review groups of records with close codes: ``(ident, group_code)``; nothing is removed."""
+    """Review groups of records with close codes: ``(ident, code, group_code)``; nothing is removed, and a record without a code has no group code."""
     df = materialize(df.select(ident, code))
     edges = near_duplicate_pairs(df, ident, code, distance).select(F.col("code_a").alias("src"), F.col("code_b").alias("dst"))
     nodes = df.select(F.col(code).alias("node")).where("node is not null").distinct()
     labels = connected_components(nodes, edges).select(F.col("node").alias(code), F.col("component").alias("group_code"))
-    return df.select(ident, code).join(labels, code)
+    return df.join(labels, code, "left")
 
 
 def difference_hash(luma: DataFrame, asset: str) -> DataFrame:

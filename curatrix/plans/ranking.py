@@ -151,12 +151,6 @@ def priority_queue(t):
     return queues.priority_queue(t.lineitem, [head, torso], keys).select(*keys, "review_priority_score")
 
 
-@query("near_duplicate_groups")
-def near_duplicate_groups(t):
-    """Review groups of documents with close 64-bit codes over all their words."""
-    return dedup.near_duplicate_groups(document_codes(t), "doc_id", "code", 3)
-
-
 def document_codes(t):
     """Difference hash of the word histogram: whole texts, folded per bucket before it is compared."""
     words = F.explode(F.split(F.lower("text"), r"\s+"))
@@ -180,3 +174,20 @@ select count(*) as pairs, sum(dist)::bigint as total_distance from (select len(a
 def near_duplicate_pairs(t):
     pairs = dedup.near_duplicate_pairs(document_codes(t), "doc_id", "code", 3)
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum("hamming").alias("total_distance"))
+
+
+GROUPS_SQL = """
+with recursive w as (select doc_id, ('0x' || left(md5(unnest(string_split_regex(lower(text), '\\s+'))), 4))::int % 65 as b from documents), h as (select doc_id, b, count(*) as n from w group by 1, 2),
+ d as (select doc_id, bit, sum(v) as v from (select doc_id, b as bit, n as v from h union all select doc_id, b - 1, -n from h) where bit between 0 and 63 group by 1, 2),
+ c as materialized (select doc_id, coalesce(list_sort(list(bit) filter (v > 0)), []) as bits, coalesce(sum(case when bit = 63 then -9223372036854775808::hugeint else (1::hugeint << bit::int) end) filter (v > 0), 0)::bigint as code from d group by 1),
+ k as materialized (select distinct code, bits from c),
+ e as materialized (select a.code as a, b.code as b from k a join k b on a.code <> b.code where len(a.bits) + len(b.bits) - 2 * len(list_intersect(a.bits, b.bits)) <= 3),
+ r as (select code as node, code as to_ from k union select r.node, e.b from r join e on r.to_ = e.a), g as (select node, min(to_) as group_code from r group by 1)
+select documents.doc_id, code, group_code from documents left join c using (doc_id) left join g on g.node = c.code"""
+
+
+@query("near_duplicate_groups", GROUPS_SQL)
+def near_duplicate_groups(t):
+    """Review groups of documents with close 64-bit codes over all their words; a text without words has no code and stays."""
+    codes = t.documents.select("doc_id").join(document_codes(t), "doc_id", "left")
+    return dedup.near_duplicate_groups(codes, "doc_id", "code", 3)
