@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.operators.graph import connected_components
-from curatrix.operators.scale import estimated_bytes
+from curatrix.operators.ranges import overlap_join
 
 AXES = ("x", "y", "z")
 
@@ -110,23 +110,12 @@ def transform_triangles(triangles: DataFrame, occurrences: DataFrame) -> DataFra
 def aabb_overlap_join(left: DataFrame, right: DataFrame, ident: str, width: float, eps: float = 1e-9, self_join: bool = False, same: Column | None = None) -> DataFrame:
     """Pairs of boxes ``(ident, x0, x1, y0, y1, z0, z1)`` that overlap on all axes.
 
-    Boxes are cut into cells of ``width`` on all three axes and meet on equal cells, so a crowded stretch of one
-    axis is split by the other two. A pair is kept only in the first cell it shares: no distinct is needed.
+    Boxes meet on the cells of the larger one's size class (``ranges.overlap_join``), of which ``width`` is the finest: a crowded stretch of one axis is split by the other two, and a box over all
+    cells still lies in eight at most.
     """
-    cells = lambda a: F.sequence(F.floor((F.col(f"{a}0") - eps) / width), F.floor((F.col(f"{a}1") + eps) / width))
-
-    def grid(df: DataFrame, side: str) -> DataFrame:
-        out = df
-        for a in AXES:
-            out = out.withColumn(f"c{a}", F.explode(cells(a)))
-        keep = [ident, *[f"{a}{i}" for a in AXES for i in (0, 1)], *[c for c in df.columns if c == "owner"]]
-        return out.select(*[F.col(c).alias(f"{side}_{c}") for c in keep], "cx", "cy", "cz")
-
-    pairs = grid(left, "a").join(grid(right, "b"), ["cx", "cy", "cz"])
-    for a in AXES:
-        pairs = pairs.where((F.col(f"a_{a}0") <= F.col(f"b_{a}1") + eps) & (F.col(f"a_{a}1") + eps >= F.col(f"b_{a}0")))
-        first = F.floor((F.greatest(f"a_{a}0", f"b_{a}0") - eps) / width)
-        pairs = pairs.where(F.col(f"c{a}") == first)
+    axes = [(f"{a}0", f"{a}1") for a in AXES]
+    kept = [ident, *[c for axis in axes for c in axis], *[c for c in left.columns if c == "owner"]]
+    pairs = overlap_join(left.select(*kept), right.select(*kept), axes, axes, width, eps)
     if self_join:
         pairs = pairs.where(F.col(f"a_{ident}") < F.col(f"b_{ident}"))
     if same is not None:
@@ -143,15 +132,9 @@ def collision_candidates(triangles: DataFrame, width: float, eps: float = 1e-9)
 
 
 def slice_range_join(items: DataFrame, heights: DataFrame, low: str, high: str, height: str, width: float) -> DataFrame:
-    """Rows whose interval ``[low, high]`` contains a height.
-
-    A height list of checked small size is broadcast; a larger one meets the intervals by equal cells.
-    """
-    inside = (F.col(low) <= F.col(height)) & (F.col(height) <= F.col(high))
-    if estimated_bytes(heights) <= 1 << 20:
-        return items.join(F.broadcast(heights), inside)
-    cut = items.withColumn("_c", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return cut.join(heights.withColumn("_c", F.floor(F.col(height) / width)), "_c").where(inside).drop("_c")
+    """Rows whose interval ``[low, high]`` contains a height: points meet intervals on the cells of the interval's size class, ``width`` the finest."""
+    pairs = overlap_join(items, heights, [(low, high)], [(height, height)], width)
+    return pairs.select(*[F.col(f"a_{c}").alias(c) for c in items.columns], *[F.col(f"b_{c}").alias(c) for c in heights.columns])
 
 
 def mesh_profile(triangles: DataFrame, samples: int = 101, vertical: str = "z", front: str = "x", side: str = "y", eps: float = 1e-9) -> DataFrame:

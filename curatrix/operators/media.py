@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from curatrix.functions.ids import stable_id
-from curatrix.operators.scale import estimated_bytes
+from curatrix.operators.ranges import overlap_join
 
 
 def mask_overlap(masks: DataFrame, left: str, right: str, by: Sequence[str] = ("asset",)) -> DataFrame:
@@ -47,19 +47,9 @@ def landmark_error(landmarks: DataFrame, grid: DataFrame, by: Sequence[str] = ("
 
 
 def pixel_region_join(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pixels inside declared rectangles ``(id, x0, y0, x1, y1)``, half-open.
-
-    A region list of checked small size is broadcast. A larger one is cut into tiles and meets the pixels by an
-    equi-join on the tile.
-    """
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    if estimated_bytes(regions) <= 8 << 20:
-        return pixels.join(F.broadcast(regions), inside)
-    tile = 64
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(b) - 1) / tile)))
-    tiled = regions.withColumn("_tx", span("x0", "x1")).withColumn("_ty", span("y0", "y1"))
-    keyed = pixels.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
-    return keyed.join(tiled, ["_tx", "_ty"]).where(inside).drop("_tx", "_ty")
+    """Pixels inside declared rectangles ``(id, x0, y0, x1, y1)``, half-open: pixels meet rectangles on the cells of the rectangle's size class, 64 pixels the finest."""
+    pairs = overlap_join(pixels, regions, [("x", "x"), ("y", "y")], [("x0", "x1"), ("y0", "y1")], 64.0, half_open=True)
+    return pairs.select(*[F.col(f"a_{c}").alias(c) for c in pixels.columns], *[F.col(f"b_{c}").alias(c) for c in regions.columns])
 
 
 def flat_colour_match(pixels: DataFrame, regions: DataFrame, by: Sequence[str] = ("asset",)) -> DataFrame:

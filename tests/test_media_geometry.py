@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from curatrix.operators import dedup, geometry, media, pages
+from curatrix.operators import dedup, geometry, media, pages, ranges
+from pyspark.sql import functions as F
 from conftest import values
 
 
@@ -74,12 +75,11 @@ def test_foreground_bbox_by_alpha_and_by_colour(spark):
     assert got == {"a": (0.2, 0.2, 0.5, 0.6, 0.12), "b": (0.7, 0.0, 0.8, 1.0, 0.1)}
 
 
-def test_region_join_paths_agree(spark, monkeypatch):
-    _, df = picture(spark, 3, 70, 70)
-    regions = spark.createDataFrame([("q", 1, 2, 68, 66), ("w", 60, 60, 70, 70), ("e", 0, 0, 1, 1)], "id string, x0 int, y0 int, x1 int, y1 int")
-    small = media.pixel_region_join(df, regions).groupBy("id").count()
-    monkeypatch.setattr(media, "estimated_bytes", lambda _: 1 << 40)
-    assert values(small, "id", "count") == values(media.pixel_region_join(df, regions).groupBy("id").count(), "id", "count")
+def test_region_join_equals_brute_force(spark):
+    rows, df = picture(spark, 3, 70, 70)
+    regions = [("q", 1, 2, 68, 66), ("w", 60, 60, 70, 70), ("e", 0, 0, 1, 1), ("all", -5000, -5000, 90000, 90000), ("none", 5, 5, 5, 5), ("turned", 9, 9, 3, 3), ("null", None, 0, 9, 9)]
+    got = {r.id: r["count"] for r in media.pixel_region_join(df, spark.createDataFrame(regions, "id string, x0 int, y0 int, x1 int, y1 int")).groupBy("id").count().collect()}
+    assert got == {"q": 67 * 64, "w": 100, "e": 1, "all": 4900}
 
 
 def test_image_part_index(spark):
@@ -145,16 +145,39 @@ def test_placed_triangles_flip(spark):
     assert [(p.x, p.y) for p in row.v] == [(5.0, 0.0), (6.0, 0.0), (6.0, 1.0)]
 
 
+def boxes(rng, n, sizes):
+    for i in range(n):
+        at, size = [rng.uniform(0, 20) for _ in range(3)], rng.choice(sizes)
+        yield (i, *[v for x in at for v in (x, x + rng.uniform(0, size))])
+
+
+BOX = "id int, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
+
+
 def test_box_join_equals_brute_force(spark):
     rng = random.Random(2)
-    boxes = []
-    for i in range(120):
-        x, y, z = (rng.uniform(0, 20) for _ in range(3))
-        boxes.append((i, x, x + rng.uniform(0, 4), y, y + rng.uniform(0, 4), z, z + rng.uniform(0, 4)))
-    df = spark.createDataFrame(boxes, "id int, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    rows = [*boxes(rng, 150, [0.0, 1.0, 4.0, 4.0, 15.0, 300.0]), (150, *[-1e5, 1e5] * 3), (151, 3.0, 2.0, 0.0, 20.0, 0.0, 20.0), (152, None, 2.0, 0.0, 20.0, 0.0, 20.0)]
+    df = spark.createDataFrame(rows, BOX)
     got = values(geometry.aabb_overlap_join(df, df, "id", 2.5, self_join=True), "left_id", "right_id")
     hit = lambda a, b: all(a[k] <= b[k + 1] + 1e-9 and a[k + 1] + 1e-9 >= b[k] for k in (1, 3, 5))
-    assert sorted(got) == sorted((a[0], b[0]) for a, b in itertools.combinations(boxes, 2) if hit(a, b))
+    assert sorted(got) == sorted((a[0], b[0]) for a, b in itertools.combinations(rows[:151], 2) if hit(a, b))
+
+
+def test_a_box_over_all_cells_costs_few_rows(spark):
+    df = spark.createDataFrame([*boxes(random.Random(3), 50, [1.0]), (50, *[-1e6, 1e6] * 3)], BOX)
+    axes = [("x0", "x1"), ("y0", "y1"), ("z0", "z1")]
+    made = [(F.col(a), F.col(b)) for a, b in axes]
+    classed = df.withColumn("_class", ranges._class(made, 2.5, 0.0))
+    entered = ranges._entered(classed, made, ranges._classes(classed), 2.5, 0.0, "a_")
+    assert entered.where("a_id = 50").count() <= 8 and entered.count() <= 51 * 8 * 2
+
+
+def test_slices_equal_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, x := rng.uniform(0, 100), x + rng.choice([0.0, 0.5, 3.0, 60.0, 1000.0])) for i in range(80)]
+    heights = [float(h) for h in range(0, 130, 3)]
+    got = values(geometry.slice_range_join(spark.createDataFrame(items, "id int, z0 double, z1 double"), spark.createDataFrame([(h,) for h in heights], "height double"), "z0", "z1", "height", 2.0), "id", "height")
+    assert got == sorted(((i, h) for i, a, b in items for h in heights if a <= h <= b), key=str)
 
 
 def test_collision_candidates_skip_the_same_part(spark):
