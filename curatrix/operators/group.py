@@ -313,6 +313,34 @@ def coverage_gaps(covered: DataFrame, by: Sequence[str]) -> DataFrame:
         F.round(F.avg(F.col("covered").cast("int")), 4).alias("coverage_fraction"))
 
 
+# Parts of a registry status that place a gap, looked for in this order.
+NON_CLASS_STATUSES = ("umbrella", "source_label", "construction_style_not_single", "construction_method_umbrella", "unresolved")
+HIGH_VALUE_STATUSES = (
+    "canonical_existing", "architecture_family", "catalog_identified", "adjacent_official_architecture", "official_architecture_family", "official_architecture_variant",
+    "official_character_specific_architecture", "historical_reference_architecture", "strong_catalog_evidence")
+
+
+def gap_class(status: str) -> Column:
+    """``struct<gap_class, priority>`` of a registry row that nothing covers."""
+    text = F.lower(F.coalesce(F.col(status), F.lit("")))
+    holds = lambda parts: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p))
+    kind = lambda name, priority: F.struct(F.lit(name).alias("gap_class"), F.lit(priority).alias("priority"))
+    return (
+        F.when(holds(NON_CLASS_STATUSES), kind("ontology_resolution", "P2")).when(holds(HIGH_VALUE_STATUSES), kind("official_evaluation_gap", "P0"))
+        .when(F.startswith(text, F.lit("commercial_architecture")), kind("custom_evaluation_gap", "P1"))
+        .when(F.contains(text, F.lit("strong")) & F.contains(text, F.lit("candidate")), kind("evidence_resolution_then_evaluation", "P1")).otherwise(kind("research_gap", "P2")))
+
+
+def gated(cases: DataFrame, gate: DataFrame, record: str, allowed: str) -> DataFrame:
+    """Cases whose record the gate allows as model input; a record that is missing there, or null, is not allowed."""
+    return cases.join(gate.where(F.col(allowed)).select(record).distinct(), record, "left_semi")
+
+
+def coverage_gap_rows(covered: DataFrame, status: str) -> DataFrame:
+    """The rows of ``coverage`` that no source covers, with their class and priority."""
+    return covered.where(~F.col("covered")).drop("covered", "covered_by").withColumn("_gap", gap_class(status)).select("*", "_gap.gap_class", "_gap.priority").drop("_gap")
+
+
 def exact_reference_sets(
     evidence: DataFrame, keys: Sequence[str], subject: str, role: str, component: str, roles: Sequence[str],
 ) -> DataFrame:

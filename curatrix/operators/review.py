@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from curatrix.functions.ids import canonical_digest, canonical_json
 from curatrix.functions.rules import compact, reasons
@@ -286,29 +286,41 @@ def hardcase_score(items: DataFrame, key: str, weights: Mapping[str, int] = DECI
 
 
 def progress(plan: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Per batch: selected, submitted, double-reviewed, evidence-blocked and adjudicated items.
+    """One row per batch and one for the whole plan (``batch_index`` null): selected, submitted, double-reviewed, evidence-blocked and adjudicated items.
 
-    ``plan(batch_index, item_id)`` lists the members of every batch; reviews are flat rows.
+    ``plan(batch_index, item_id)`` lists the members of every batch; reviews are flat rows. An item counts once in the overall row, even if two batches hold it; ``outside_plan`` counts reviewed items that no batch holds,
+    and ``next_batch`` marks the first batch that is not complete.
     """
     c = F.col
-    per_item = reviews.groupBy("item_id").agg(
+    per_item = reviews.where(c("item_id").isNotNull()).groupBy("item_id").agg(
         F.count_if((c("review_status") == "submitted") & (c("review_role") == "reviewer")).alias("_sub"),
         F.count_distinct(F.when((c("review_status") == "submitted") & (c("review_role") == "reviewer"), c("principal"))).alias("_who"),
         F.count_if((c("review_status") == "adjudicated") & (c("review_role") == "adjudicator")).alias("_adj"),
         F.count_if((c("review_status") == "submitted") & c("evidence").isNull()).alias("_inexact"),
+        F.count_if((c("review_status") == "submitted") & (c("review_role") == "reviewer") & c("evidence").isNotNull()).alias("_exact"),
         F.count_distinct(F.when(c("review_status") == "submitted", c("evidence"))).alias("_variants"))
-    j = plan.select("batch_index", "item_id").join(per_item, "item_id", "left").na.fill(0, ["_sub", "_who", "_adj", "_inexact", "_variants"])
-    double = (c("_who") >= 2)
-    exact = (c("_inexact") == 0) & (c("_variants") == 1)
-    return j.groupBy("batch_index").agg(
-        F.count(F.lit(1)).alias("selected_records"), F.count_if(c("_who") > 0).alias("submitted_items"),
-        F.sum("_sub").alias("submitted_reviews"), F.count_if(double & exact).alias("double_reviewed_items"),
-        F.count_if(double & ~exact).alias("evidence_blocked_items"), F.count_if(c("_adj") > 0).alias("adjudicated_items"),
-    ).withColumn("remaining_items", c("selected_records") - c("submitted_items")).withColumn(
-        "first_review_complete", c("selected_records") == c("submitted_items"))
+    # One shuffle on the item serves both grains: rows of a batch, and each item once under no batch.
+    members = plan.select("batch_index", "item_id").distinct().withColumn("_in", F.lit(True))
+    rows = members.join(per_item, "item_id", "full").na.fill(0, ["_sub", "_who", "_adj", "_inexact", "_exact", "_variants"])
+    first = F.row_number().over(W.partitionBy("item_id").orderBy("batch_index")) == 1
+    grains = rows.withColumn("_first", first).withColumn("_grain", F.explode(F.array(F.lit(0), F.lit(1)))).where((c("_in") & (c("_grain") == 0)) | (c("_first") & (c("_grain") == 1)))
+    inside = F.coalesce("_in", F.lit(False))
+    double, exact = c("_who") >= 2, (c("_inexact") == 0) & (c("_variants") == 1)
+    count = lambda condition: F.count_if(inside & condition)
+    out = grains.groupBy("_grain", F.when(c("_grain") == 0, c("batch_index")).alias("batch_index")).agg(
+        count(F.lit(True)).alias("selected_records"), count(c("_who") > 0).alias("submitted_items"),
+        F.sum(F.when(inside, c("_sub")).otherwise(0)).alias("submitted_reviews"), count(double & exact).alias("double_reviewed_items"),
+        count(double & ~exact).alias("evidence_blocked_items"), count(c("_adj") > 0).alias("adjudicated_items"),
+        count((c("_who") > 0) & (c("_exact") == 0)).alias("inexact_items"), F.count_if(~inside & (c("_who") > 0)).alias("outside_plan"))
+    out = out.withColumn("remaining_items", c("selected_records") - c("submitted_items")).withColumn("first_review_complete", c("selected_records") == c("submitted_items"))
+    waiting = next_incomplete(out.where("_grain = 0")).scalar()
+    return out.select(
+        "batch_index", "selected_records", "submitted_items", "submitted_reviews", "double_reviewed_items", "evidence_blocked_items", "adjudicated_items", "inexact_items", "outside_plan", "remaining_items", "first_review_complete",
+        F.when(c("_grain") == 0, F.coalesce(c("batch_index") == waiting, F.lit(False))).otherwise(waiting.isNotNull()).alias("next_batch"))
 
 
 def next_incomplete(batches: DataFrame) -> DataFrame:
+    """One row: the first batch with items that nobody has reviewed, or null."""
     return batches.where("not first_review_complete").agg(F.min("batch_index").alias("next_batch_index"))
 
 
@@ -394,48 +406,111 @@ def compile_submission(batch: DataFrame, compact_rows: DataFrame, reviewer_id: s
     return normalise_reviews(out)
 
 
-def asset_review_errors(reviews: DataFrame, candidates: DataFrame, key: str, digests: Sequence[str], decisions=("approved", "rejected")) -> DataFrame:
-    """Hash-bound approvals: known candidate, equal digests, full checks on approval, notes on rejection."""
-    j = reviews.join(candidates.select(key, F.lit(True).alias("_known"), *[F.col(d).alias(f"c_{d}") for d in digests]), key, "left")
-    approved = F.col("decision") == "approved"
-    checks = (F.coalesce(F.size("checks"), F.lit(0)) > 0)
-    rules = [(F.col("_known"), "candidate:unknown"), (F.col("decision").isin(*decisions), "decision:unknown")]
-    rules += [(F.col("_known").isNull() | (F.col(d) == F.col(f"c_{d}")), f"{d}:differs") for d in digests]
-    rules += [
-        (checks, "checks:missing"),
-        (~approved | F.forall(F.map_values("checks"), lambda v: v), "checks:open"),
-        (~(F.col("decision") == "rejected") | (F.trim(F.coalesce("notes", F.lit(""))) != ""), "notes:needed_when_rejected"),
-        (F.col("model_input_allowed") == approved, "model_input_allowed:differs")]
-    return with_errors(j, rules).drop("_known", *[f"c_{d}" for d in digests])
+# Fixed values of asset and source reviews.
+ASSET_SCHEMA = "body-architecture-sanitized-asset-review/v1"
+ASSET_DECISIONS = ("approved", "rejected", "revise")
+ASSET_DIGESTS = ("source_file_sha256", "sanitized_pixel_sha256", "sanitized_png_sha256")
+ASSET_CHECKS = (
+    "identity_preserved", "primary_figure_complete", "forbidden_text_absent", "task_confounders_absent", "architecture_evidence_preserved", "no_material_transform_artifacts")
+SOURCE_STATUSES = ("approved_raw", "sanitization_required")
+PRIMARY_VIEWS = ("front", "front_3q", "side", "rear", "multi_view_composite", "uncertain")
+ACTIONS = ("none", "tight_figure_crop", "mask_regions", "segment_primary_figure", "replace_source", "manual_composite_cleanup")
+TRISTATE = ("true", "false", "uncertain")
 
+Rule = tuple[Column, str]
 
-# Answers of a tri-state check.
-TRISTATE = ("true", "false", "uncertain")
+
+def _filled(c: Column | str) -> Column:
+    return F.trim(c) != ""
+
+
+def _texts(c: Column | str) -> Column:
+    """An array of texts that are not blank; it may be empty, but not null."""
+    return F.forall(c, lambda x: F.coalesce(_filled(x), F.lit(False)))
+
+
+def _holds(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _person_rules(kind: Sequence[tuple[Column, str]]) -> list[Rule]:
+    """Rules of ``reviewer``; ``kind`` adds what a model has to state."""
+    modelled = _holds(F.col("reviewer.reviewer_type").isin("model", "hybrid"))
+    return [
+        (F.col("reviewer").isNotNull(), "reviewer:missing"), (_filled("reviewer.reviewer_id"), "reviewer.reviewer_id:empty"), (F.col("reviewer.reviewer_type").isin(*REVIEWER_TYPES), "reviewer.reviewer_type:unknown"),
+        *[(~modelled | _holds(given), code) for given, code in kind]]
 
 
-def source_review_findings(queue: DataFrame, reviews: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
-    """Set-level findings of source reviews: unknown, duplicate, unreviewed keys and broken cross-field rules.
+def _shared_rules(digests: Sequence[str]) -> list[Rule]:
+    value = F.col("review_confidence")
+    return [
+        *[(F.col(d).rlike("^[0-9a-f]{64}$"), f"{d}:not_a_digest") for d in digests],
+        (value.between(0, 1) & ~F.isnan(value), "review_confidence:out_of_range"), (_texts("notes"), "notes:not_texts")]
 
-    ``flags`` are tri-state text columns; ``needs_edit`` must be ``true`` as soon as any flag is.
+
+def _bound(reviews: DataFrame, given: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Reviews with what the row of their key holds, ``g_*``; ``_known`` tells whether there is one. A key that is given twice raises."""
+    twice = F.raise_error(F.concat(F.lit(f"{key} given twice: "), F.col(key).cast("string"))).cast("boolean")
+    one = given.groupBy(key).agg(*[F.first(v).alias(f"g_{v}") for v in values], F.count(F.lit(1)).alias("_n")).withColumn("_known", F.when(F.col("_n") == 1, True).otherwise(twice)).drop("_n")
+    return reviews.join(one, key, "left").withColumn("_known", _holds(F.col("_known")))
+
+
+def asset_review_errors(reviews: DataFrame, candidates: DataFrame, key: str = "source_record_id") -> DataFrame:
+    """Adds ``errors`` and the normal form: a content id where there is none, and ``model_input_allowed``, which only an approval gives.
+
+    Only an approval is bound to the candidate of today, by all three digests, and needs every check to hold; rejections and revisions stay valid as history, but have to say why.
     """
-    counts = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rule = with_errors(reviews, [
-        *[(F.col(f).isin(*TRISTATE), f"{f}:unknown") for f in flags],
-        (~_any_true(flags) | (F.col("needs_edit") == "true"), "needs_edit:mark_without_edit"),
-        (~(F.col("needs_edit") == "uncertain") | (F.trim(F.coalesce("notes", F.lit(""))) != ""), "notes:needed_when_uncertain")])
-    broken = rule.select(key, F.explode("errors").alias("finding")).distinct()
-    known = queue.select(key).distinct()
-    return (
-        counts.join(known, key, "left_anti").select(key, F.lit("unknown_record").alias("finding"))
-        .unionByName(counts.where("_n > 1").select(key, F.lit("duplicate_review").alias("finding")))
-        .unionByName(known.join(counts, key, "left_anti").select(key, F.lit("unreviewed_record").alias("finding"))).unionByName(broken))
-
-
-def _any_true(flags: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for f in flags:
-        hit = hit | F.coalesce(F.col(f) == "true", F.lit(False))
-    return hit
+    decision, checks = F.col("decision"), F.col("checks")
+    approved = _holds(decision == "approved")
+    j = _bound(reviews, candidates, key, ASSET_DIGESTS)
+    rules = [
+        (F.col("schema") == ASSET_SCHEMA, "schema:unknown"), (decision.isin(*ASSET_DECISIONS), "decision:unknown"), (_filled(F.col(key).cast("string")), f"{key}:empty"), (~approved | F.col("_known"), f"{key}:no_candidate"),
+        *[(~approved | ~F.col("_known") | _holds(F.col(d) == F.col(f"g_{d}")), f"{d}:differs") for d in ASSET_DIGESTS],
+        (checks.isNotNull(), "checks:missing"), (checks.isNull() | F.forall(F.map_keys(checks), lambda k: k.isin(*ASSET_CHECKS)), "checks:unknown"),
+        *[(F.try_element_at(checks, F.lit(c)).isNotNull(), f"checks.{c}:open") for c in ASSET_CHECKS],
+        (~approved | F.forall(F.array(*[F.lit(c) for c in ASSET_CHECKS]), lambda c: _holds(F.try_element_at(checks, c))), "checks:fail_when_approved"),
+        *_person_rules([(_filled(f"reviewer.{f}"), f"reviewer.{f}:needed_for_model") for f in ("model_id", "model_revision")]), *_shared_rules(ASSET_DIGESTS),
+        (~_holds(decision.isin("rejected", "revise")) | (F.coalesce(F.size("notes"), F.lit(0)) > 0), "notes:needed_unless_approved"), (_filled("reviewed_at"), "reviewed_at:empty")]
+    content = canonical_digest({c: F.col(c) for c in (key, *ASSET_DIGESTS, "decision", "checks", "reviewer", "reviewed_at")})
+    given = F.nullif(F.col("review_id"), F.lit("")) if "review_id" in reviews.columns else F.lit(None).cast("string")
+    out = with_errors(j, rules).withColumns({"review_id": F.coalesce(given, F.concat(F.lit("sanreview-"), F.left(content, F.lit(24)))), "model_input_allowed": approved})
+    return out.drop("_known", *[f"g_{d}" for d in ASSET_DIGESTS])
+
+
+def source_review_errors(reviews: DataFrame, queue: DataFrame, key: str = "source_record_id") -> DataFrame:
+    """Adds ``errors``: identity with the queue, views, completeness, leakage, action, reviewer and what each status demands.
+
+    ``queue`` holds ``key``, ``source_id`` and ``source_file_sha256``; ``identity_match`` and ``primary_figure_complete`` are tri-state texts.
+    """
+    status, action, allowed = F.col("status"), F.col("sanitization_action"), F.col("raw_model_input_allowed")
+    raw, cleaning = _holds(status == "approved_raw"), _holds(status == "sanitization_required")
+    j = _bound(reviews, queue, key, ("source_id", "source_file_sha256"))
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) == 0
+    approval = {
+        "identity_match": F.col("identity_match") == "true", "primary_figure_complete": F.col("primary_figure_complete") == "true",
+        # A list that is no list of texts is reported as such and counts as empty here.
+        "visible_text_leakage": empty("visible_text_leakage") | ~_holds(_texts("visible_text_leakage")), "visual_confounders": empty("visual_confounders") | ~_holds(_texts("visual_confounders")),
+        "sanitization_action": action == "none", "raw_model_input_allowed": allowed}
+    rules = [
+        (_filled(F.col(key).cast("string")), f"{key}:empty"), (F.col("_known"), f"{key}:unknown"), (_filled("source_id"), "source_id:empty"),
+        *[(~F.col("_known") | F.col(c).eqNullSafe(F.col(f"g_{c}")), f"{c}:differs") for c in ("source_id", "source_file_sha256")],
+        (status.isin(*SOURCE_STATUSES), "status:unknown"), *[(F.col(c).isin(*TRISTATE), f"{c}:unknown") for c in ("identity_match", "primary_figure_complete")],
+        (F.col("primary_view").isin(*PRIMARY_VIEWS), "primary_view:unknown"), *[(_texts(c), f"{c}:not_texts") for c in ("visible_text_leakage", "visual_confounders")],
+        (action.isin(*ACTIONS), "sanitization_action:unknown"), (allowed.isNotNull(), "raw_model_input_allowed:missing"),
+        *_person_rules([(F.coalesce(_filled("reviewer.model_family"), F.lit(False)) | _filled("reviewer.model_id"), "reviewer.model:needed_for_model")]), (_filled("reviewer.review_method"), "reviewer.review_method:empty"),
+        *_shared_rules(["source_file_sha256"]), *[(~raw | _holds(ok), f"{c}:against_approval") for c, ok in approval.items()],
+        (~cleaning | _holds(~allowed), "raw_model_input_allowed:against_sanitization"), (~cleaning | ~_holds(action == "none"), "sanitization_action:needed"),
+        (~cleaning | ~_holds(F.col("identity_match") == "false") | _holds(action == "replace_source"), "sanitization_action:replace_other_identity")]
+    return with_errors(j, rules).drop("_known", "g_source_id", "g_source_file_sha256")
+
+
+def source_review_findings(queue: DataFrame, reviews: DataFrame, key: str = "source_record_id") -> DataFrame:
+    """``(key, finding)`` of a set of source reviews: every broken rule, duplicate reviews, and queue rows that nobody reviewed."""
+    checked = source_review_errors(reviews, queue, key)
+    broken = checked.select(key, F.explode("errors").alias("finding")).distinct()
+    doubled = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.lit("duplicate_review").alias("finding"))
+    open_ = queue.select(key).distinct().join(reviews.select(key).distinct(), key, "left_anti").select(key, F.lit("unreviewed_record").alias("finding"))
+    return broken.unionByName(doubled).unionByName(open_)
 
 
 def review_coverage(queue: DataFrame, reviews: DataFrame, key: str, status: str) -> DataFrame:

@@ -190,27 +190,85 @@ def map_columns_by_tab(t):
     return out.select("event_id", F.array_join(flat, ";").alias("fields"))
 
 
-@query("asset_review_errors", """
-with r as (select doc_id, n_chars % 17 = 0 as stale, quality = 1 as ok, toxic = 0 as chk, quality = 1 or n_chars % 2 = 0 as allowed, n_chars % 4 > 0 as noted from labels join documents using (doc_id))
-select doc_id, stale::int + (ok and not chk)::int + (not ok and not noted)::int + (allowed <> ok)::int as errors from r""")
+def _broken(rows: str, rules: dict[str, str], key: str = "id") -> str:
+    """SQL of one row per broken rule: a rule that is false or null is broken."""
+    listed = ", ".join(f"case when not coalesce({ok}, false) then '{code}' end" for code, ok in rules.items())
+    return f"select distinct {key}, finding from (select {key}, unnest([{listed}]) as finding from {rows}) where finding is not null"
+
+
+PERSON_SQL = {"reviewer.reviewer_id:empty": "trim(who) <> ''", "reviewer.reviewer_type:unknown": "kind in ('human', 'model', 'hybrid')"}
+TEXTS_SQL = "len(list_filter({0}, lambda x: trim(x) = '')) = 0"
+ASSET_SQL = """
+r as (select case when k % 73 = 0 then ' ' else 'd' || k end as id, case when k % 37 = 0 then 'old' else 'body-architecture-sanitized-asset-review/v1' end as schema, case when k % 41 = 0 then 'maybe' when k % 3 = 0 then 'rejected' when k % 3 = 1 then 'revise' else 'approved' end as decision,
+  case when k % 7 = 0 then upper(h) when k % 11 = 0 then sha256('stale') else h end as a, case when k % 13 = 0 then null else h end as b, case when k % 17 = 0 then 'short' else h end as c, k % 29 = 0 as nochecks, quality = 1 or k % 2 = 0 as clean, k % 19 = 0 as gap, k % 23 = 0 as more,
+  case when k % 71 = 0 then null when k % 31 = 0 then ' ' else 'r' end as who, case when k % 71 = 0 then null when k % 43 = 0 then 'bot' when k % 2 = 0 then 'model' else 'human' end as kind, case when k % 4 > 0 then 'm' end as model, case when k % 5 > 0 then 'v' else '' end as revision, case when k % 47 > 0 then (k % 10) / 8.0 end as conf,
+  case when n_chars % 13 = 0 then [' '] when n_chars % 4 = 0 then ['seen'] when n_chars % 53 > 0 then []::varchar[] end as notes, case when k % 59 > 0 then '2026-01-01' else '' end as stamp, k % 14 = 2 or k % 73 = 0 as lost, h
+  from (select doc_id as k, quality, n_chars, sha256(text) as h from labels join documents using (doc_id)))"""
+
+
+@query("asset_review_errors", f"with {ASSET_SQL} " + _broken("r", {
+    "schema:unknown": "schema like 'body%'", "decision:unknown": "decision <> 'maybe'", "source_record_id:no_candidate": "decision <> 'approved' or not lost",
+    **{f"{d}:differs": f"decision <> 'approved' or lost or {c} = h" for d, c in zip(review.ASSET_DIGESTS, "abc", strict=True)}, **{f"{d}:not_a_digest": f"regexp_full_match({c}, '[0-9a-f]{{64}}')" for d, c in zip(review.ASSET_DIGESTS, "abc", strict=True)},
+    "checks:missing": "not nochecks", "checks:unknown": "nochecks or not more", **{f"checks.{c}:open": "not nochecks" if i else "not nochecks and not gap" for i, c in enumerate(review.ASSET_CHECKS)},
+    "checks:fail_when_approved": "decision <> 'approved' or (not nochecks and not gap and clean)", "reviewer:missing": "who is not null", "source_record_id:empty": "id <> ' '", **PERSON_SQL, "reviewer.model_id:needed_for_model": "coalesce(kind, '') <> 'model' or model is not null",
+    "reviewer.model_revision:needed_for_model": "coalesce(kind, '') <> 'model' or revision <> ''", "review_confidence:out_of_range": "conf between 0 and 1", "notes:not_texts": TEXTS_SQL.format("notes"), "notes:needed_unless_approved": "decision not in ('rejected', 'revise') or len(notes) > 0", "reviewed_at:empty": "stamp <> ''"}))
 def asset_review_errors(t):
-    h, n = F.sha2("text", 256), F.col("n_chars")
-    docs = t.documents.select("doc_id", "n_chars", h.alias("digest"))
-    ok = F.col("quality") == 1
-    rows = t.labels.join(docs, "doc_id").select(
-        "doc_id", F.when(n % 17 == 0, "stale").otherwise(F.col("digest")).alias("digest"), F.when(ok, "approved").otherwise("rejected").alias("decision"), F.create_map(F.lit("clean"), F.col("toxic") == 0).alias("checks"),
-        (ok | (n % 2 == 0)).alias("model_input_allowed"), F.when(n % 4 > 0, "reason").alias("notes"))
-    return review.asset_review_errors(rows, docs.select("doc_id", "digest"), "doc_id", ["digest"]).select("doc_id", F.size("errors").alias("errors"))
-
-
-@query("source_review_findings", """
-with q as (select doc_id from documents where n_chars >= 200), r as (select doc_id, toxic = 1 as mark, quality = 1 as edit from labels union all select doc_id, toxic = 1, quality = 1 from labels where toxic = 1)
-select doc_id, 'unknown_record' as finding from (select distinct doc_id from r) where doc_id not in (select doc_id from q) union all select doc_id, 'duplicate_review' from r group by 1 having count(*) > 1
-union all select doc_id, 'unreviewed_record' from q where doc_id not in (select doc_id from r) union all select distinct doc_id, 'needs_edit:mark_without_edit' from r where mark and not edit""")
+    """Asset reviews of all labelled documents, each rule broken by some; one row per broken rule."""
+    docs = t.documents.select(F.col("doc_id").alias("k"), "n_chars", F.sha2("text", 256).alias("h"))
+    k, n, h = F.col("k"), F.col("n_chars"), F.col("h")
+    check = lambda i: F.when(F.lit(i > 0) | (k % 19 != 0), (F.col("quality") == 1) | (k % 2 == 0) | F.lit(i > 0))
+    pairs = [v for i, c in enumerate(review.ASSET_CHECKS) for v in (F.lit(c), check(i))]
+    rows = t.labels.join(docs, F.col("doc_id") == k).select(
+        F.when(k % 73 == 0, " ").otherwise(F.concat(F.lit("d"), k.cast("string"))).alias("source_record_id"), F.when(k % 37 == 0, "old").otherwise(review.ASSET_SCHEMA).alias("schema"),
+        F.when(k % 41 == 0, "maybe").when(k % 3 == 0, "rejected").when(k % 3 == 1, "revise").otherwise("approved").alias("decision"),
+        F.when(k % 7 == 0, F.upper(h)).when(k % 11 == 0, F.sha2(F.lit("stale"), 256)).otherwise(h).alias("source_file_sha256"), F.when(k % 13 != 0, h).alias("sanitized_pixel_sha256"), F.when(k % 17 == 0, "short").otherwise(h).alias("sanitized_png_sha256"),
+        F.when(k % 29 != 0, F.map_concat(F.create_map(*pairs), F.when(k % 23 == 0, F.create_map(F.lit("more"), F.lit(True))).otherwise(F.create_map().cast("map<string,boolean>")))).alias("checks"),
+        F.when(k % 71 > 0, F.struct(F.when(k % 31 == 0, " ").otherwise("r").alias("reviewer_id"), F.when(k % 43 == 0, "bot").when(k % 2 == 0, "model").otherwise("human").alias("reviewer_type"), F.when(k % 4 > 0, "m").alias("model_id"), F.when(k % 5 > 0, "v").otherwise("").alias("model_revision"))).alias("reviewer"),
+        F.when(k % 47 > 0, k % 10 / 8.0).alias("review_confidence"), F.when(n % 13 == 0, F.array(F.lit(" "))).when(n % 4 == 0, F.array(F.lit("seen"))).when(n % 53 > 0, F.array().cast("array<string>")).alias("notes"), F.when(k % 59 > 0, "2026-01-01").otherwise("").alias("reviewed_at"))
+    candidates = docs.where(k % 14 != 2).select(F.concat(F.lit("d"), k.cast("string")).alias("source_record_id"), *[h.alias(d) for d in review.ASSET_DIGESTS])
+    return review.asset_review_errors(rows, candidates).select(F.col("source_record_id").alias("id"), F.explode("errors").alias("finding")).distinct()
+
+
+SOURCE_SQL = """
+l as (select doc_id as k, quality, toxic, n_chars as n, sha256(text) as h from labels join documents using (doc_id)), m as (select * from l union all select * from l where toxic = 1),
+r as (select case when k % 23 = 0 then 'x' || k else 'd' || k end as id, k % 23 > 0 as known, case when k % 11 = 0 then 'other' when k % 13 = 0 then ' ' else 's' || k end as sid, 's' || k as qid, case when k % 7 = 0 then upper(h) when k % 17 = 0 then sha256('x') else h end as a, h,
+  case when k % 19 = 0 then 'maybe' when quality = 1 then 'approved_raw' else 'sanitization_required' end as status, case when k % 29 = 0 then 'yes' when k % 5 = 0 then 'false' when k % 5 = 1 then 'uncertain' else 'true' end as identity,
+  ['front', 'front_3q', 'side', 'rear', 'multi_view_composite', 'uncertain', 'top'][(k % 7 + 1)::int] as view, case when k % 31 > 0 then (k % 6 <> 0)::varchar end as complete, case when k % 37 = 0 then [' '] when toxic = 1 then ['logo'] else []::varchar[] end as leak,
+  case when n % 9 = 0 then ['hand'] when n % 67 > 0 then []::varchar[] end as confound, ['none', 'none', 'none', 'tight_figure_crop', 'mask_regions', 'replace_source', 'paint', 'none'][(k % 8 + 1)::int] as action, case when k % 43 > 0 then (quality = 1) <> (k % 41 = 0) end as allowed,
+  case when k % 47 > 0 then (k % 10) / 8.0 end as conf, case when n % 13 = 0 then [' '] when n % 4 > 0 then []::varchar[] end as notes, case when k % 59 = 0 then ' ' else 'r' end as who, case when k % 53 = 0 then 'bot' when k % 3 = 0 then 'model' when k % 3 = 1 then 'hybrid' else 'human' end as kind,
+  k % 4 > 0 as named, k % 61 > 0 as method from m)"""
+
+
+def _approved(ok: str) -> str:
+    return f"status <> 'approved_raw' or coalesce({ok}, false)"
+
+
+@query("source_review_findings", f"with {SOURCE_SQL}, q as (select 'd' || doc_id as id from documents) " + _broken("r", {
+    "source_record_id:unknown": "known", "source_id:empty": "trim(sid) <> ''", "source_id:differs": "not known or sid = qid", "source_file_sha256:differs": "not known or a = h", "source_file_sha256:not_a_digest": "regexp_full_match(a, '[0-9a-f]{64}')",
+    "status:unknown": "status <> 'maybe'", "identity_match:unknown": "identity <> 'yes'", "primary_figure_complete:unknown": "complete is not null", "primary_view:unknown": "view <> 'top'", "visible_text_leakage:not_texts": TEXTS_SQL.format("leak"), "visual_confounders:not_texts": "confound is not null",
+    "sanitization_action:unknown": "action <> 'paint'", "raw_model_input_allowed:missing": "allowed is not null", **PERSON_SQL, "reviewer.model:needed_for_model": "kind not in ('model', 'hybrid') or named", "reviewer.review_method:empty": "method",
+    "review_confidence:out_of_range": "conf between 0 and 1", "notes:not_texts": TEXTS_SQL.format("notes"), "identity_match:against_approval": _approved("identity = 'true'"), "primary_figure_complete:against_approval": _approved("complete = 'true'"),
+    "visible_text_leakage:against_approval": _approved("leak <> ['logo']"), "visual_confounders:against_approval": _approved("coalesce(confound <> ['hand'], true)"), "sanitization_action:against_approval": _approved("action = 'none'"), "raw_model_input_allowed:against_approval": _approved("allowed"),
+    "raw_model_input_allowed:against_sanitization": "status <> 'sanitization_required' or not allowed", "sanitization_action:needed": "status <> 'sanitization_required' or action <> 'none'",
+    "sanitization_action:replace_other_identity": "status <> 'sanitization_required' or identity <> 'false' or action = 'replace_source'"}) + """
+union all select id, 'duplicate_review' from r group by 1 having count(*) > 1 union all select id, 'unreviewed_record' from q where id not in (select id from r)""")
 def source_review_findings(t):
-    word = lambda c: F.when(c, "true").otherwise("false")
-    rows = t.labels.select("doc_id", word(F.col("toxic") == 1).alias("visible_text"), word(F.col("quality") == 1).alias("needs_edit"), F.lit(None).cast("string").alias("notes"))
-    return review.source_review_findings(t.documents.where("n_chars >= 200").select("doc_id"), rows.unionAll(rows.where("visible_text = 'true'")), "doc_id", ["visible_text"])
+    """Source reviews of all labelled documents against a queue of all documents, each rule broken by some."""
+    docs = t.documents.select(F.col("doc_id").alias("k"), F.col("n_chars").alias("n"), F.sha2("text", 256).alias("h"))
+    k, n, h, none = F.col("k"), F.col("n"), F.col("h"), F.array().cast("array<string>")
+    name = lambda letter: F.concat(F.lit(letter), k.cast("string"))
+    pick = lambda size, *values: F.get(F.array(*[F.lit(v) for v in values]), (k % size).cast("int"))
+    one = lambda v: F.array(F.lit(v))
+    rows = t.labels.join(docs, F.col("doc_id") == k).select(
+        F.when(k % 23 == 0, name("x")).otherwise(name("d")).alias("source_record_id"), F.when(k % 11 == 0, "other").when(k % 13 == 0, " ").otherwise(name("s")).alias("source_id"), F.when(k % 7 == 0, F.upper(h)).when(k % 17 == 0, F.sha2(F.lit("x"), 256)).otherwise(h).alias("source_file_sha256"),
+        F.when(k % 19 == 0, "maybe").when(F.col("quality") == 1, "approved_raw").otherwise("sanitization_required").alias("status"), F.when(k % 29 == 0, "yes").when(k % 5 == 0, "false").when(k % 5 == 1, "uncertain").otherwise("true").alias("identity_match"),
+        pick(7, "front", "front_3q", "side", "rear", "multi_view_composite", "uncertain", "top").alias("primary_view"), F.when(k % 31 > 0, (k % 6 != 0).cast("string")).alias("primary_figure_complete"),
+        F.when(k % 37 == 0, one(" ")).when(F.col("toxic") == 1, one("logo")).otherwise(none).alias("visible_text_leakage"), F.when(n % 9 == 0, one("hand")).when(n % 67 > 0, none).alias("visual_confounders"),
+        pick(8, "none", "none", "none", "tight_figure_crop", "mask_regions", "replace_source", "paint", "none").alias("sanitization_action"), F.when(k % 43 > 0, (F.col("quality") == 1) != (k % 41 == 0)).alias("raw_model_input_allowed"),
+        F.when(k % 47 > 0, k % 10 / 8.0).alias("review_confidence"), F.when(n % 13 == 0, one(" ")).when(n % 4 > 0, none).alias("notes"), (F.col("toxic") == 1).alias("again"),
+        F.struct(F.when(k % 59 == 0, " ").otherwise("r").alias("reviewer_id"), F.when(k % 53 == 0, "bot").when(k % 3 == 0, "model").when(k % 3 == 1, "hybrid").otherwise("human").alias("reviewer_type"), F.when(k % 4 > 0, "f").alias("model_family"), F.lit(None).cast("string").alias("model_id"), F.when(k % 61 > 0, "m").otherwise("").alias("review_method")).alias("reviewer"))
+    queue = docs.select(name("d").alias("source_record_id"), name("s").alias("source_id"), h.alias("source_file_sha256"))
+    return review.source_review_findings(queue, rows.unionAll(rows.where("again"))).withColumnRenamed("source_record_id", "id")
 
 
 @query("family_class", """

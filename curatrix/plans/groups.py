@@ -295,6 +295,25 @@ def entity_review_rank(t):
     return queues.entity_review_rank(groups).select("name", F.array_join("review_reasons", ",").alias("review_reasons"), F.col("review_priority_score").cast("long").alias("review_priority_score"))
 
 
+STATUSES = ("umbrella_term", "Canonical_Existing", "commercial_architecture_x", "strong_visual_candidate", "seen once", "architecture_family_unresolved", "strong_catalog_evidence_candidate")
+
+
+@query("coverage_gap_rows", f"""
+with p as (select p_partkey, case when p_partkey % 8 < 7 then {list(STATUSES)}[(p_partkey % 8 + 1)::int] end as status from part),
+ k as (select p.*, exists(select 1 from lineitem l join orders on o_orderkey = l_orderkey where l_partkey = p_partkey and l_returnflag = 'R' and o_orderstatus = 'F' and l_quantity > 30) as covered, lower(coalesce(status, '')) as s from p),
+ g as (select *, case when s like '%umbrella%' or s like '%unresolved%' then 'ontology_resolution,P2' when s like '%canonical_existing%' or s like '%architecture_family%' or s like '%strong_catalog_evidence%' then 'official_evaluation_gap,P0'
+  when s like 'commercial_architecture%' then 'custom_evaluation_gap,P1' when s like '%strong%candidate%' then 'evidence_resolution_then_evaluation,P1' else 'research_gap,P2' end as c from k where not covered)
+select p_partkey, status, split_part(c, ',', 1) as gap_class, split_part(c, ',', 2) as priority from g""")
+def coverage_gap_rows(t):
+    """Parts that no case covers whose order the gate allows."""
+    k = F.col("p_partkey") % 8
+    status = F.get(F.array(*[F.lit(s) for s in STATUSES]), k.cast("int"))
+    cases = t.lineitem.where("l_returnflag = 'R' and l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("record"))
+    gate = t.orders.select(F.col("o_orderkey").alias("record"), (F.col("o_orderstatus") == "F").alias("allowed"))
+    covered = group.coverage(t.part.select("p_partkey", status.alias("status")), {"returned": group.gated(cases, gate, "record", "allowed")}, "p_partkey")
+    return group.coverage_gap_rows(covered, "status")
+
+
 @query("coverage", """
 with k as (select p_partkey, p_type, exists(select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R') as a, exists(select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49) as b from part)
 select p_type, count(*) as registered, count_if(a or b) as covered_count, count_if(not (a or b)) as gap_count, round(avg((a or b)::int), 4) as coverage_fraction from k group by 1""")

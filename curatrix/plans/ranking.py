@@ -81,14 +81,17 @@ def batch_plan(t):
     return out.withColumn("top_score", F.round("top_score", 6)).withColumn("bottom_score", F.round("bottom_score", 6))
 
 
-@query("review_progress", BATCH_SQL + """, l as (select l_orderkey as o_orderkey, l_suppkey % 3 as who, case when l_returnflag = 'R' then 'adjudicated' when l_returnflag = 'A' then 'draft' else 'submitted' end as st, case when l_linenumber % 5 = 0 then null else l_linestatus end as ev from lineitem),
- p as (select o_orderkey, count_if(st = 'submitted') as sub, count(distinct case when st = 'submitted' then who end) as who, count_if(st = 'adjudicated') as adj, count_if(st = 'submitted' and ev is null) as inexact, count(distinct case when st = 'submitted' then ev end) as vars from l group by 1),
- j as (select batch_index, coalesce(sub, 0) as sub, coalesce(who, 0) as who, coalesce(adj, 0) as adj, coalesce(inexact, 0) = 0 and coalesce(vars, 0) = 1 as exact from b left join p using (o_orderkey))
-select batch_index, count(*) as selected_records, count_if(who > 0) as submitted_items, sum(sub)::bigint as submitted_reviews, count_if(who >= 2 and exact) as double_reviewed_items, count_if(who >= 2 and not exact) as evidence_blocked_items, count_if(adj > 0) as adjudicated_items, count(*) - count_if(who > 0) as remaining_items, count_if(who > 0) = count(*) as first_review_complete from j group by 1""")
+@query("review_progress", BATCH_SQL + """, l as (select case when l_orderkey % 50 = 0 then -l_orderkey else l_orderkey end as o_orderkey, l_suppkey % 3 as who, case when l_returnflag = 'R' then 'adjudicated' when l_returnflag = 'A' then 'draft' else 'submitted' end as st, case when l_linenumber % 5 = 0 then null else l_linestatus end as ev from lineitem),
+ p as (select o_orderkey, count_if(st = 'submitted') as sub, count(distinct case when st = 'submitted' then who end) as who, count_if(st = 'adjudicated') as adj, count_if(st = 'submitted' and ev is null) as inexact, count_if(st = 'submitted' and ev is not null) as ex, count(distinct case when st = 'submitted' then ev end) as vars from l group by 1),
+ j as (select batch_index, coalesce(sub, 0) as sub, coalesce(who, 0) as who, coalesce(adj, 0) as adj, coalesce(ex, 0) as ex, coalesce(inexact, 0) = 0 and coalesce(vars, 0) = 1 as exact from b left join p using (o_orderkey)),
+ a as (select batch_index, count(*) as selected_records, count_if(who > 0) as submitted_items, sum(sub)::bigint as submitted_reviews, count_if(who >= 2 and exact) as double_reviewed_items, count_if(who >= 2 and not exact) as evidence_blocked_items, count_if(adj > 0) as adjudicated_items, count_if(who > 0 and ex = 0) as inexact_items, count(*) - count_if(who > 0) as remaining_items, count_if(who > 0) = count(*) as first_review_complete from j group by grouping sets ((batch_index), ())),
+ n as (select min(batch_index) as nxt from a where not first_review_complete and batch_index is not null), o as (select count(*) as outside from p where who > 0 and o_orderkey not in (select o_orderkey from b))
+select a.*, case when batch_index is null then outside else 0 end as outside_plan, case when batch_index is null then nxt is not null else coalesce(batch_index = nxt, false) end as next_batch from a, n, o""")
 def review_progress(t):
     plan = rank.batch_members(t.orders.select("o_orderkey", (F.col("o_totalprice") / 50000).alias("score")), "score", "o_orderkey").select("batch_index", F.col("o_orderkey").alias("item_id"))
     status = F.when(F.col("l_returnflag") == "R", "adjudicated").when(F.col("l_returnflag") == "A", "draft").otherwise("submitted")
-    rows = t.lineitem.select(F.col("l_orderkey").alias("item_id"), status.alias("review_status"), F.when(F.col("l_returnflag") == "R", "adjudicator").otherwise("reviewer").alias("review_role"),
+    item = F.when(F.col("l_orderkey") % 50 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    rows = t.lineitem.select(item.alias("item_id"), status.alias("review_status"), F.when(F.col("l_returnflag") == "R", "adjudicator").otherwise("reviewer").alias("review_role"),
                              (F.col("l_suppkey") % 3).cast("string").alias("principal"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_linestatus")).alias("evidence"))
     return review.progress(plan, rows)
 

@@ -143,21 +143,62 @@ def test_work_batches(spark):
         review.blind_second_review(queue.withColumn("ev", F.lit(None).cast("string")), ["score"], "ev").collect()
 
 
+D1, D2 = "a" * 64, "b" * 64
+PERSON = "reviewer struct<reviewer_id:string,reviewer_type:string,model_family:string,model_id:string,model_revision:string,review_method:string>, review_confidence double, notes array<string>"
+ASSET = f"n int, source_record_id string, schema string, decision string, source_file_sha256 string, sanitized_pixel_sha256 string, sanitized_png_sha256 string, checks map<string,boolean>, reviewed_at string, {PERSON}"
+
+
+def asset_review(n, **kw):
+    base = dict(source_record_id="a", schema=review.ASSET_SCHEMA, decision="approved", source_file_sha256=D1, sanitized_pixel_sha256=D1, sanitized_png_sha256=D1, checks=dict.fromkeys(review.ASSET_CHECKS, True), reviewed_at="2026", reviewer=("r", "human", None, None, None, "eye"), review_confidence=0.5, notes=[])
+    return dict(base, n=n, **kw)
+
+
 def test_asset_reviews(spark):
-    cand = spark.createDataFrame([("a", "h1"), ("b", "h2")], "id string, digest string")
-    rows = [("a", "h1", "approved", {"x": True}, None, True), ("a", "bad", "approved", {"x": True}, None, True), ("b", "h2", "approved", {"x": False}, None, True), ("b", "h2", "rejected", {"x": False}, " ", False), ("z", "h", "maybe", {}, None, True)]
-    df = spark.createDataFrame(rows, "id string, digest string, decision string, checks map<string,boolean>, notes string, model_input_allowed boolean").withColumn("n", F.monotonically_increasing_id())
-    got = [set(r.errors) for r in review.asset_review_errors(df, cand, "id", ["digest"]).orderBy("n").collect()]
-    assert got[0] == set() and got[1] == {"digest:differs"} and got[2] == {"checks:open"} and got[3] == {"notes:needed_when_rejected"}
-    assert {"candidate:unknown", "decision:unknown", "checks:missing"} <= got[4]
+    candidates = spark.createDataFrame([(k, D1, D1, D1) for k in "ab"], "source_record_id string, source_file_sha256 string, sanitized_pixel_sha256 string, sanitized_png_sha256 string")
+    failed = {**dict.fromkeys(review.ASSET_CHECKS, True), "identity_preserved": False}
+    cases = [
+        (dict(), set()), (dict(source_record_id="z"), {"source_record_id:no_candidate"}), (dict(source_record_id="z", decision="revise", notes=["old"]), set()), (dict(source_file_sha256=D2), {"source_file_sha256:differs"}),
+        (dict(source_file_sha256=D2, decision="rejected", notes=["no"], checks=failed), set()), (dict(decision="rejected"), {"notes:needed_unless_approved"}), (dict(checks=failed), {"checks:fail_when_approved"}),
+        (dict(checks={**failed, "mood": True}, decision="revise", notes=["x", " "]), {"checks:unknown", "notes:not_texts"}), (dict(reviewer=("r", "model", None, "m", "", "eye")), {"reviewer.model_revision:needed_for_model"}),
+        (dict(reviewer=None, schema="s", reviewed_at=" ", review_confidence=float("nan")), {"reviewer:missing", "reviewer.reviewer_id:empty", "reviewer.reviewer_type:unknown", "schema:unknown", "reviewed_at:empty", "review_confidence:out_of_range"}),
+        (dict(sanitized_png_sha256=D1.upper(), decision="maybe"), {"sanitized_png_sha256:not_a_digest", "decision:unknown"}),
+        (dict(checks=None, decision="revise", notes=["x"]), {"checks:missing", *[f"checks.{c}:open" for c in review.ASSET_CHECKS]})]
+    df = spark.createDataFrame([asset_review(i, **kw) for i, (kw, _) in enumerate(cases)], ASSET)
+    out = review.asset_review_errors(df, candidates).orderBy("n").collect()
+    assert [set(r.errors) for r in out] == [want for _, want in cases]
+    assert out[0].model_input_allowed and not out[5].model_input_allowed and out[0].review_id.startswith("sanreview-") and out[0].review_id != out[5].review_id
+    with pytest.raises(Exception, match="given twice"):
+        review.asset_review_errors(df, candidates.unionAll(candidates)).collect()
+
+
+SOURCE = f"source_record_id string, source_id string, source_file_sha256 string, status string, identity_match string, primary_view string, primary_figure_complete string, visible_text_leakage array<string>, visual_confounders array<string>, sanitization_action string, raw_model_input_allowed boolean, {PERSON}"
+
+
+def source_review(key, **kw):
+    base = dict(source_id="s", source_file_sha256=D1, status="approved_raw", identity_match="true", primary_view="side", primary_figure_complete="true", visible_text_leakage=[], visual_confounders=[], sanitization_action="none", raw_model_input_allowed=True, reviewer=("r", "hybrid", "f", None, None, "eye"), review_confidence=1.0, notes=[])
+    return dict(base, source_record_id=key, **kw)
 
 
 def test_source_review_findings(spark):
-    queue = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
-    rows = [("a", "true", "false", None), ("b", "false", "false", None), ("b", "false", "false", None), ("x", "uncertain", "uncertain", "")]
-    reviews = spark.createDataFrame(rows, "id string, has_text string, needs_edit string, notes string")
-    got = set(values(review.source_review_findings(queue, reviews, "id", ["has_text"]), "id", "finding"))
-    assert got == {("a", "needs_edit:mark_without_edit"), ("b", "duplicate_review"), ("c", "unreviewed_record"), ("x", "unknown_record"), ("x", "notes:needed_when_uncertain")}
+    queue = spark.createDataFrame([(k, "s", D1) for k in "abcdefg"], "source_record_id string, source_id string, source_file_sha256 string")
+    clean = dict(status="sanitization_required", raw_model_input_allowed=False, sanitization_action="mask_regions")
+    rows = [
+        source_review("a"), source_review("b"), source_review("b"), source_review("x"), source_review("c", visible_text_leakage=["logo"], primary_figure_complete="uncertain"),
+        source_review("d", **clean), source_review("e", **{**clean, "sanitization_action": "none", "raw_model_input_allowed": True}), source_review("f", **clean | dict(identity_match="false"), primary_view="top")]
+    got = set(values(review.source_review_findings(queue, spark.createDataFrame(rows, SOURCE)), "source_record_id", "finding"))
+    assert got == {
+        ("b", "duplicate_review"), ("x", "source_record_id:unknown"), ("g", "unreviewed_record"), ("c", "visible_text_leakage:against_approval"), ("c", "primary_figure_complete:against_approval"),
+        ("e", "raw_model_input_allowed:against_sanitization"), ("e", "sanitization_action:needed"), ("f", "sanitization_action:replace_other_identity"), ("f", "primary_view:unknown")}
+
+
+def test_progress_of_batches_and_plan(spark):
+    plan = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e"), (2, "a")], "batch_index int, item_id string")
+    rows = [("a", "r1", "E", "submitted"), ("a", "r2", "E", "submitted"), ("b", "r1", "E", "submitted"), ("b", "r2", "F", "submitted"), ("c", "r1", None, "submitted"), ("z", "r1", "E", "submitted"), ("c", "r9", "E", "adjudicated"), (None, "r1", "E", "submitted")]
+    reviews = spark.createDataFrame([(i, w, e, s, "adjudicator" if s == "adjudicated" else "reviewer") for i, w, e, s in rows], "item_id string, principal string, evidence string, review_status string, review_role string")
+    got = {r.batch_index: r for r in review.progress(plan, reviews).collect()}
+    pick = lambda r: (r.selected_records, r.submitted_items, r.submitted_reviews, r.double_reviewed_items, r.evidence_blocked_items, r.adjudicated_items, r.inexact_items, r.outside_plan, r.remaining_items, r.first_review_complete, r.next_batch)
+    assert pick(got[1]) == (2, 2, 4, 1, 1, 0, 0, 0, 0, True, False) and pick(got[2]) == (3, 2, 3, 1, 0, 1, 1, 0, 1, False, True) and pick(got[3])[-2:] == (False, False)
+    assert pick(got[None]) == (5, 3, 5, 1, 1, 1, 1, 1, 2, False, True)
 
 
 REF = "sample_id string, derived_asset_id string, component_type string, view string, medium string, authority string, sha256 string, width double, height double, identity_confidence double, view_confidence double, segmentation_confidence double, blur_score double, occlusion_score double, bad boolean"
