@@ -151,7 +151,7 @@ def envelope_spans(t):
 def image_part_index(t):
     tail = F.when(F.col("l_returnflag") == "R", "-front").when(F.col("l_returnflag") == "A", "_2").otherwise("")
     images = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("P"), F.col("l_partkey").cast("string"), tail).alias("stem"))
-    parts = t.part.where("p_size <= 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("number"), "p_name")
+    parts = t.part.select(F.concat(F.when(F.col("p_size") <= 40, "P").otherwise("Q"), F.col("p_partkey").cast("string")).alias("number"), "p_name")
     return media.image_part_index(images, parts, "stem", "number").select("l_orderkey", "l_linenumber", "stem", "matched", F.col("part.p_name").alias("part_name"))
 
 

@@ -153,7 +153,7 @@ def alias_collapse(t):
 
 @query("brand_candidates", """
 with c as (select c_custkey, case when c_custkey % 4 = 0 then lower(c_mktsegment) end as explicit, case when c_custkey % 3 = 0 then left(c_mktsegment, 3) else upper(c_mktsegment) end as prefix from customer),
- a as (select lower(s) as alias, list_sort(list(distinct 'B' || n)) as b from (select distinct c_mktsegment as s, c_nationkey % 2 as n from customer where c_mktsegment <> 'MACHINERY') group by 1), p as (select upper(left(s, 3)) as prefix, list_sort(list(distinct 'P' || s)) as b from (select distinct c_mktsegment as s from customer where c_mktsegment <> 'BUILDING') group by 1),
+ a as (select lower(s) as alias, list_sort(list(distinct 'B' || n)) as b from (select distinct case when c_mktsegment = 'MACHINERY' then 'RETIRED' else c_mktsegment end as s, c_nationkey % 2 as n from customer) group by 1), p as (select upper(left(s, 3)) as prefix, list_sort(list(distinct 'P' || s)) as b from (select distinct case when c_mktsegment = 'BUILDING' then 'RETIRED' else c_mktsegment end as s from customer) group by 1),
  j as (select c.*, a.b as b1, p.b as b2, t.b as b3 from c left join a on a.alias = c.explicit left join p on p.prefix = c.prefix left join a t on t.alias = lower(c.prefix)), k as (select *, coalesce(b1, b2, b3, []) as bs from j)
 select c_custkey, array_to_string(bs, ',') as brand_candidates, case when b1 is not null then 'explicit_brand_name_or_alias' when b2 is not null then 'observed_product_prefix' when b3 is not null then 'exact_brand_or_alias_token' end as candidate_method,
  case when len(bs) = 1 then 'brand_candidate_single' when len(bs) > 1 then 'brand_candidate_ambiguous' else 'unresolved_prefix' end as resolution_status from k""")
@@ -161,8 +161,9 @@ def brand_candidates(t):
     seg = F.col("c_mktsegment")
     c = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lower(seg)).alias("explicit"), F.when(F.col("c_custkey") % 3 == 0, F.left(seg, F.lit(3))).otherwise(F.upper(seg)).alias("prefix"))
     base = t.customer.select("c_mktsegment", (F.col("c_nationkey") % 2).alias("n")).distinct()
-    aliases = base.where("c_mktsegment <> 'MACHINERY'").select(F.lower(seg).alias("alias"), F.concat(F.lit("B"), F.col("n")).alias("brand"))
-    prefixes = base.where("c_mktsegment <> 'BUILDING'").select(F.upper(F.left(seg, F.lit(3))).alias("prefix"), F.concat(F.lit("P"), seg).alias("brand")).distinct()
+    but = lambda gone: F.when(seg == gone, "RETIRED").otherwise(seg)
+    aliases = base.select(F.lower(but("MACHINERY")).alias("alias"), F.concat(F.lit("B"), F.col("n")).alias("brand"))
+    prefixes = base.select(F.upper(F.left(but("BUILDING"), F.lit(3))).alias("prefix"), F.concat(F.lit("P"), but("BUILDING")).alias("brand")).distinct()
     out = group.brand_candidates(c, "explicit", "prefix", aliases, prefixes)
     return out.select("c_custkey", F.array_join("brand_candidates", ",").alias("brand_candidates"), "candidate_method", "resolution_status")
 
@@ -262,14 +263,14 @@ def backlog_rank(t):
 
 
 BRAND_SQL = """
-with c as (select c_mktsegment as brand, case when c_nationkey < 20 then 'AX' else 'N' || c_nationkey end as pf from customer where c_acctbal >= 0), p as (select brand, pf, count(*) as n from c group by 1, 2),
+with c as (select c_mktsegment as brand, case when c_nationkey < 20 then 'AX' else 'N' || c_nationkey end as pf from customer), p as (select brand, pf, count(*) as n from c group by 1, 2),
  b as (select brand, sum(n)::bigint as figure_count, count(*) as prefix_count, max(n) as dominant_count from p group by 1), d as (select brand, min(pf) as dominant_prefix from p join b using (brand) where n = dominant_count group by 1),
  census as (select brand, figure_count, prefix_count, dominant_prefix, dominant_count, round(dominant_count / figure_count, 4) as dominant_fraction, dominant_count >= 10 and round(dominant_count / figure_count, 4) >= 0.80 as stable_prefix_candidate from b join d using (brand))
 """
 
 
 def _census(t):
-    c = t.customer.where("c_acctbal >= 0").select(F.col("c_mktsegment").alias("brand"), F.when(F.col("c_nationkey") < 20, "AX").otherwise(F.concat(F.lit("N"), "c_nationkey")).alias("pf"))
+    c = t.customer.select(F.col("c_mktsegment").alias("brand"), F.when(F.col("c_nationkey") < 20, "AX").otherwise(F.concat(F.lit("N"), "c_nationkey")).alias("pf"))
     return group.brand_census(c, "brand", "pf")
 
 
@@ -281,7 +282,8 @@ def brand_census(t):
 @query("registry_gap", BRAND_SQL + """select census.*, case when brand in ('FURNITURE', 'BUILDING') then lower(brand) end as canonical, case when brand in ('FURNITURE', 'BUILDING') then 'known_registry_match' else 'unmodeled_brand_slug' end as registry_status,
  round(figure_count * case when stable_prefix_candidate then 1.5 else 1.0 end * case when brand in ('FURNITURE', 'BUILDING') then 0.25 else 1.0 end, 2)::double as review_priority_score from census""")
 def registry_gap(t):
-    known = t.customer.where("c_mktsegment in ('FURNITURE', 'BUILDING')").select(F.col("c_mktsegment").alias("alias"), F.lower("c_mktsegment").alias("canonical")).distinct()
+    name = F.when(F.col("c_mktsegment").isin("FURNITURE", "BUILDING"), F.col("c_mktsegment")).otherwise("UNLISTED")
+    known = t.customer.select(name.alias("alias"), F.lower(name).alias("canonical")).distinct()
     return queues.registry_gap(_census(t), known, "brand")
 
 

@@ -15,15 +15,18 @@ def star_join(t):
                            ["c_custkey", "o_orderkey", F.year("o_orderdate").alias("order_year"), "l_partkey", "p_brand"])
 
 
-@query("left_enrich", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, p_type from lineitem left join (select * from part where p_size <= 25) p on l_partkey = p_partkey""")
+@query("left_enrich", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, p_type from lineitem left join part on p_partkey = case when l_returnflag = 'R' then -l_partkey else l_partkey end""")
 def left_enrich(t):
-    dim = t.part.where("p_size <= 25").select("p_partkey", "p_name", "p_type")
-    return joins.enrich(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), dim, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+    """Lines with their part; returned lines carry a key that no part has and stay without one."""
+    key = F.when(F.col("l_returnflag") == "R", -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    return joins.enrich(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", key.alias("_k")), t.part.select("p_partkey", "p_name", "p_type"), F.col("_k") == F.col("p_partkey")).drop("p_partkey", "_k")
 
 
-@query("orphans", "select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0)")
+@query("orphans", "select o_orderkey, o_custkey from orders where o_custkey not in (select case when c_acctbal < 0 then -c_custkey else c_custkey end from customer)")
 def orphans(t):
-    return joins.orphans(t.orders.select("o_orderkey", "o_custkey"), t.customer.where("c_acctbal >= 0"), F.col("o_custkey") == F.col("c_custkey"))
+    """Orders of customers that are not registered under their key; those in debt are under another."""
+    registry = t.customer.select(F.when(F.col("c_acctbal") < 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"))
+    return joins.orphans(t.orders.select("o_orderkey", "o_custkey"), registry, F.col("o_custkey") == F.col("c_custkey"))
 
 
 @query("covered", "select doc_id, lang from documents where doc_id in (select doc_id from labels where quality = 1)")
@@ -150,7 +153,7 @@ def expand_to_parts(t):
     comp = t.lineitem.select(F.col("l_orderkey").alias("fig"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("component_id"), "l_partkey",
                              F.when(F.col("l_returnflag") == "R", "head").otherwise("torso").alias("component_role"), F.when(F.col("l_quantity") > 25, "base").alias("print_of")).distinct()
     roles = t.spark.createDataFrame([("head", "head"), ("torso", "torso"), ("torso", "head")], "role string, component_role string")
-    return joins.expand_to_parts(cand, comp, t.part.where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey")), "o_custkey", "fig", "l_partkey", "role", "component_role", "score", roles)
+    return joins.expand_to_parts(cand, comp, t.part.select(F.when(F.col("p_size") <= 25, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("l_partkey")), "o_custkey", "fig", "l_partkey", "role", "component_role", "score", roles)
 
 
 @query("alias_retrieval", """
@@ -181,10 +184,10 @@ def id_lookup(t):
 
 
 @query("refine_by_evidence", """select o_orderkey, evidence_status, case evidence_status when 'verified' then 'actionable' when 'conflict' then 'review' else 'backlog' end as route
-from orders left join (select l_orderkey as o_orderkey, case when count(distinct l_returnflag) = 1 then 'verified' when count(distinct l_returnflag) = 3 then 'conflict' else 'partial' end as evidence_status from lineitem where l_quantity > 20 group by 1) using (o_orderkey)""")
+from orders left join (select l_orderkey as o_orderkey, case when count(distinct l_returnflag) = 1 then 'verified' when count(distinct l_returnflag) = 3 then 'conflict' else 'partial' end as evidence_status from lineitem group by 1) using (o_orderkey)""")
 def refine_by_evidence(t):
     n = F.count_distinct("l_returnflag")
-    ev = t.lineitem.where("l_quantity > 20").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(n == 1, "verified").when(n == 3, "conflict").otherwise("partial").alias("evidence_status"))
+    ev = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(n == 1, "verified").when(n == 3, "conflict").otherwise("partial").alias("evidence_status"))
     return joins.refine_by_evidence(t.orders.select("o_orderkey"), ev, "o_orderkey", {"verified": "actionable", "conflict": "review"}, "backlog")
 
 
@@ -198,7 +201,7 @@ def alias_fallback(t):
 
 
 @query("hash_gate", """
-with q as (select doc_id, sha256(text) as h from documents), c as (select doc_id, case when doc_id % 13 = 0 then 'other' else sha256(text) end as h from documents where n_chars >= 300),
+with q as (select doc_id, sha256(text) as h from documents), c as (select case when n_chars >= 300 then doc_id else -doc_id - 1 end as doc_id, case when doc_id % 13 = 0 then 'other' else sha256(text) end as h from documents),
  r as (select doc_id, case when doc_id % 17 = 0 then 'stale' else sha256(text) end as h, case when quality = 1 then 'approved' else 'rejected' end as decision, toxic = 0 as ok from labels join documents using (doc_id)),
  g as (select doc_id, count(*) as n, min(decision) as d0, max(decision) as d1, bool_and(ok) as ok, min(h) as h0, max(h) as h1 from r group by 1),
  j as (select q.doc_id, coalesce(n, 0) as review_count, case when c.h is null then 'candidate_missing' when c.h <> q.h then 'candidate_digest_mismatch' when n is null then 'review_missing'
@@ -207,28 +210,29 @@ select doc_id, review_count, blocked_reason, blocked_reason is null as admitted
 def hash_gate(t):
     h = F.sha2("text", 256)
     q = t.documents.select("doc_id", h.alias("digest"))
-    c = t.documents.where("n_chars >= 300").select("doc_id", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(h).alias("digest"))
+    c = t.documents.select(F.when(F.col("n_chars") >= 300, F.col("doc_id")).otherwise(-F.col("doc_id") - 1).alias("doc_id"), F.when(F.col("doc_id") % 13 == 0, "other").otherwise(h).alias("digest"))
     r = t.labels.join(t.documents.select("doc_id", h.alias("_h")), "doc_id").select(
         "doc_id", F.when(F.col("doc_id") % 17 == 0, "stale").otherwise(F.col("_h")).alias("digest"), F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"),
         F.create_map(F.lit("clean"), F.col("toxic") == 0).alias("checks"))
     return joins.hash_gate(q, c, r, "doc_id", ["digest"]).drop("digest")
 
 
-@query("overlay_documents", """select p_partkey, case when p_size > 40 then sha256('v2|' || p_name) else sha256(p_name) end as digest, case when p_size > 40 then 'supplement' else 'base' end as origin from part""")
+@query("overlay_documents", """select p_partkey, case when p_size > 40 then sha256('v2|' || p_name) else sha256(p_name) end as digest, case when p_size > 40 then 'supplement' else 'base' end as origin from part union all select -p_partkey - 1, sha256('v2|' || p_name), 'supplement' from part where p_size <= 40""")
 def overlay_documents(t):
     base = t.part.select("p_partkey", F.sha2("p_name", 256).alias("digest"))
-    new = t.part.where("p_size > 40").select("p_partkey", F.sha2(F.concat(F.lit("v2|"), "p_name"), 256).alias("digest"))
+    new = t.part.select(F.when(F.col("p_size") > 40, F.col("p_partkey")).otherwise(-F.col("p_partkey") - 1).alias("p_partkey"), F.sha2(F.concat(F.lit("v2|"), "p_name"), 256).alias("digest"))
     return joins.overlay_documents(base, new.unionAll(new), ["p_partkey"], "digest")
 
 
 @query("set_drift", """
-with a as (select p_partkey, p_name, p_size from part where p_brand <> 'Brand#3'), b as (select p_partkey, case when p_partkey % 4 = 1 then p_name || '!' else p_name end as p_name, case when p_partkey % 6 = 1 then null else p_size end as p_size from part where p_brand <> 'Brand#4')
+with a as (select case when p_brand = 'Brand#3' then -p_partkey else p_partkey end as p_partkey, p_name, p_size from part), b as (select case when p_brand = 'Brand#4' then -p_partkey else p_partkey end as p_partkey, case when p_partkey % 4 = 1 then p_name || '!' else p_name end as p_name, case when p_partkey % 6 = 1 then null else p_size end as p_size from part)
 select coalesce(a.p_partkey, b.p_partkey) as p_partkey, case when b.p_partkey is null then 'missing_right' when a.p_partkey is null then 'extra_right' when a.p_name <> b.p_name or b.p_size is null then 'changed' else 'equal' end as drift_status,
  case when a.p_partkey is null or b.p_partkey is null then '' else concat_ws(',', case when a.p_name <> b.p_name then 'p_name' end, case when b.p_size is null then 'p_size' end) end as changed_fields
 from a full join b on a.p_partkey = b.p_partkey""")
 def set_drift(t):
-    a = t.part.where("p_brand <> 'Brand#3'").select("p_partkey", "p_name", "p_size")
-    b = t.part.where("p_brand <> 'Brand#4'").select("p_partkey", F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("p_name"),
+    key = lambda brand: F.when(F.col("p_brand") == brand, -F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("p_partkey")
+    a = t.part.select(key("Brand#3"), "p_name", "p_size")
+    b = t.part.select(key("Brand#4"), F.when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("p_name"),
                                                    F.when(F.col("p_partkey") % 6 != 1, F.col("p_size")).alias("p_size"))
     return joins.drift(a, b, ["p_partkey"], ["p_name", "p_size"]).withColumn("changed_fields", F.array_join("changed_fields", ","))
 
@@ -272,9 +276,9 @@ def union_sources(t):
         "suppliers": t.supplier.select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")), "generated": t.supplier.select(F.col("s_name").alias("name"))}, ("generated",))
 
 
-@query("key_comparison", """select coalesce(a.k, b.k) as k, case when b.k is null then 'missing' when a.k is null then 'extra' else 'overlap' end as side from (select distinct p_partkey as k from part where p_size <= 30) a full join (select distinct l_partkey as k from lineitem where l_quantity > 48) b on a.k = b.k""")
+@query("key_comparison", """select coalesce(a.k, b.k) as k, case when b.k is null then 'missing' when a.k is null then 'extra' else 'overlap' end as side from (select distinct p_partkey as k from part) a full join (select distinct l_suppkey * 30 as k from lineitem) b on a.k = b.k""")
 def key_comparison(t):
-    return dedup.key_comparison(t.part.where("p_size <= 30").select(F.col("p_partkey").alias("k")), t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("k")), "k")
+    return dedup.key_comparison(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.select((F.col("l_suppkey") * 30).alias("k")), "k")
 
 
 @query("exact_dedup", """select event_type, user_id, event_id, value from (select *, row_number() over (partition by user_id, event_type order by value desc, event_id) as rn from events) where rn = 1""")

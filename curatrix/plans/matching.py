@@ -148,11 +148,11 @@ def counterpart_class(t):
 
 @query("caption_reconcile", """
 with s as (select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 3 = 1 then p_name || ' ' || lower(p_type) else lower(p_type) || ' ' || split_part(p_name, ' ', 2) || ' x' end as caption from part),
- c as (select p_partkey, p_name from part where p_size > 5), j as (select s.p_partkey, caption, p_name as cur, string_split(caption, ' ') as a, string_split(coalesce(p_name, ''), ' ') as b from s left join c using (p_partkey)),
+ c as (select case when p_size > 5 then p_partkey else -p_partkey - 1 end as p_partkey, p_name from part), j as (select s.p_partkey, caption, p_name as cur, string_split(caption, ' ') as a, string_split(coalesce(p_name, ''), ' ') as b from s left join c using (p_partkey)),
  k as (select *, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as o from j),
  r as (select *, case when cur is null then 'missing_current_catalog_record' when caption = cur then 'same' when contains(caption, cur) or contains(cur, caption) then 'extends_or_shortens_name' when o >= 0.75 then 'minor_name_normalization' when o >= 0.45 then 'moderate_name_drift' else 'substantial_name_drift' end as relation from k)
 select p_partkey, caption, cur as current_name, cur is not null as current_match, relation, case when relation = 'same' then 'none' when relation in ('missing_current_catalog_record', 'substantial_name_drift') then 'high' else 'medium' end as review_priority from r""")
 def caption_reconcile(t):
     k, kind = F.col("p_partkey") % 3, F.lower("p_type")
     caption = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws(" ", "p_name", kind)).otherwise(F.concat_ws(" ", kind, F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("x")))
-    return queues.caption_reconcile(t.part.select("p_partkey", caption.alias("caption")), t.part.where("p_size > 5").select("p_partkey", "p_name"), "p_partkey", "caption", "p_name")
+    return queues.caption_reconcile(t.part.select("p_partkey", caption.alias("caption")), t.part.select(F.when(F.col("p_size") > 5, F.col("p_partkey")).otherwise(-F.col("p_partkey") - 1).alias("p_partkey"), "p_name"), "p_partkey", "caption", "p_name")

@@ -74,33 +74,49 @@ def url_policy(t):
     return t.pages.select("page_id", pages.url_policy("url", ("thther.example.org", "m.ththth.example.net")).alias("reason"))
 
 
-@query("segment_between_matches", """
-with w as (select page_id, regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g') || ' K' || page_id || ' First name K-' || (page_id + 1) || ': second name' || chr(10) || 'rest kf9 tail' as s from pages)
-select page_id, pos, serial, name from (select page_id, 0 as pos, 'K' || page_id as serial, 'First name' as name from w union all select page_id, 1, 'K' || (page_id + 1), 'second name' from w union all select page_id, 2, 'KF9', 'tail' from w)""")
+LINES_SQL = f"""
+y as (select page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b[^>]*>.*?</script\\s*>', '<x>', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g') as h from pages),
+ z as (select page_id, list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda x: trim(regexp_replace({UNESCAPE.format("x")}, '\\s+', ' ', 'g'))), lambda x: x <> '') as ls from y)"""
+
+
+@query("visible_lines", f"with {LINES_SQL} select page_id, len(ls)::int as lines, sha256(array_to_string(ls, chr(10))) as digest, nullif(trim(regexp_extract(array_to_string(ls, chr(10)), '(?i)Updated\\s+(?:as\\s+of\\s+)?([^\\n.]+)', 1)), '') as updated from z")
+def visible_lines(t):
+    """Text nodes of the pages as lines, and the label of the last update where a page has one."""
+    text = pages.visible_lines("html")
+    return t.pages.select("page_id", F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).alias("lines"), F.sha2(text, 256).alias("digest"), pages.updated_label(text).alias("updated"))
+
+
+SEGMENTS_SQL = LINES_SQL + """,
+ n as (select page_id, ls, unnest(range(len(ls))) as i from z),
+ s as (select page_id, (row_number() over (partition by page_id order by i) - 1)::int as pos, case when i % 4 = 1 then 'K' else 'KF' end || i as serial, nullif(left(trim(regexp_replace(ls[i + 1], '^[\\s:–—-]+', '')), 250), '') as name from n where i % 4 in (1, 2))"""
+
+
+@query("segment_between_matches", f"with {SEGMENTS_SQL} select page_id, pos, serial, name from s")
 def segments(t):
+    """Serials of the pages' lines, each with the rest of its line."""
     return _segments(t)
 
 
 def _segments(t):
-    k = F.col("page_id")
-    base = F.regexp_replace(F.lower("url"), "[^a-z0-9]+", " ")
-    s = F.concat(base, F.lit(" K"), k, F.lit(" First name K-"), k + 1, F.lit(": second name\nrest kf9 tail"))
-    return t.pages.select("page_id", F.inline(pages.segments_between(s, "KF|K")))
+    """The lines of the whole page, two of every four marked with a serial by their number."""
+    lines = F.split(pages.visible_lines("html"), "\n")
+    code = lambda i: F.when(i % 4 == 1, F.concat(F.lit("K"), i, F.lit(" "))).when(i % 4 == 2, F.concat(F.lit("kf-"), i, F.lit(": "))).otherwise("")
+    return t.pages.select("page_id", F.inline(pages.segments_between(F.array_join(F.transform(lines, lambda x, i: F.concat(code(i), x)), "\n"), "KF|K")))
 
 
-SERIAL_SQL = """
-with s as (select page_id, 0 as pos, 'K' || page_id as serial, 'First name' as name from pages union all select page_id, 1, 'K' || (page_id + 1), 'second name' from pages union all select page_id, 2, 'KF9', 'tail' from pages),
- f as (select serial, name, min(page_id * 10 + pos) as fp from s group by 1, 2), o as (select serial, count(*) as occurrence_count from s group by 1),
- g as (select serial, count(*) as name_count, string_agg(name, ';' order by fp, name) as names from f group by 1), r as (select o.*, name_count, names, case when name_count = 1 then 'named' else 'conflicting_names' end as name_status from o join g using (serial))
+SERIAL_SQL = f"""
+with {SEGMENTS_SQL},
+ f as (select serial, name, min(page_id * 1000000 + pos) as fp from s group by 1, 2), o as (select serial, count(*) as occurrence_count from s group by 1),
+ g as (select serial, count(*) as name_count, string_agg(name, chr(10) order by fp, name) as names from f group by 1), r as (select o.*, name_count, names, case when name_count = 1 then 'named' else 'conflicting_names' end as name_status from o join g using (serial))
 """
 
 
-@query("serial_observations", SERIAL_SQL + "select serial, occurrence_count, name_count, split_part(names, ';', 1) as first_name, name_status from r")
+@query("serial_observations", SERIAL_SQL + "select serial, occurrence_count, name_count, split_part(names, chr(10), 1) as first_name, name_status from r")
 def serial_observations(t):
     return group.serial_observations(_segments(t), "serial", "name", "page_id", "pos")
 
 
-@query("serial_names", SERIAL_SQL + "select serial, row_number() over (partition by serial order by fp, name)::bigint as name_no, name, (fp // 10)::bigint as page_id, (fp % 10)::int as pos from f")
+@query("serial_names", SERIAL_SQL + "select serial, row_number() over (partition by serial order by fp, name)::bigint as name_no, name, (fp // 1000000)::bigint as page_id, (fp % 1000000)::int as pos from f")
 def serial_names(t):
     return group.serial_names(_segments(t), "serial", "name", "page_id", "pos")
 

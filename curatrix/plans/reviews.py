@@ -91,11 +91,11 @@ def review_conflicts(t):
 
 
 @query("review_coverage", """
-with q as (select doc_id, lang from documents where n_chars > 300), c as (select doc_id, count(*) as n from (select doc_id from labels union all select doc_id from labels where toxic = 1) group by 1)
+with q as (select case when n_chars > 300 then doc_id else -doc_id - 1 end as doc_id, lang from documents), c as (select doc_id, count(*) as n from (select doc_id from labels union all select doc_id from labels where toxic = 1) group by 1)
 select lang, count_if(n is not null) as reviewed, count_if(n is null) as unreviewed, count_if(n > 1) as duplicate_reviews from q left join c using (doc_id) group by 1
 union all select 'outside_queue', count(*), 0, 0 from c where doc_id not in (select doc_id from q)""")
 def review_coverage(t):
-    return review.review_coverage(t.documents.where("n_chars > 300").select("doc_id", "lang"), t.labels.select("doc_id").unionAll(t.labels.where("toxic = 1").select("doc_id")), "doc_id", "lang")
+    return review.review_coverage(t.documents.select(F.when(F.col("n_chars") > 300, F.col("doc_id")).otherwise(-F.col("doc_id") - 1).alias("doc_id"), "lang"), t.labels.select("doc_id").unionAll(t.labels.where("toxic = 1").select("doc_id")), "doc_id", "lang")
 
 
 def event_reviews(t):
