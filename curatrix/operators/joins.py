@@ -238,6 +238,20 @@ def expand_to_parts(
     return placed.withColumn("in_part_list", F.col("link_rank") <= listed).drop("print_of")
 
 
+def geometry_links(links: DataFrame, geometry: DataFrame, subject: str, part: str, asset: str) -> DataFrame:
+    """The three link lists of ``expand_to_parts`` as rows: ``(subject, list, component_id, part, asset, score, entity)``.
+
+    ``geometry(part, asset, ...)`` holds every asset of a part; codes meet without regard to case. A plain part gives a ``base`` row, which says nothing about a print; a printed one gives a ``raw`` row, and a ``strict`` row too where its link
+    class is strict. A component and an asset count once in a list, with their best score.
+    """
+    code = lambda c: F.lower(F.col(c).cast("string"))
+    assets = geometry.where(F.col(asset).isNotNull()).select(code(part).alias("_code"), F.col(asset)).distinct()
+    kinds = F.when(F.col("link_class") == "base_substrate_link", F.array(F.lit("base"))).when(F.col("link_class") == "strict_print_link", F.array(F.lit("raw"), F.lit("strict"))).when(F.col("link_class") == "unverified_print_link", F.array(F.lit("raw")))
+    rows = links.withColumn("_code", code(part)).join(assets, "_code").withColumn("list", F.explode(kinds))
+    best = rows.groupBy(subject, "list", "component_id", asset).agg(F.max(F.struct(F.col("score"), F.col("entity"), F.col(part).alias("part"))).alias("_b"))
+    return best.select(subject, "list", "component_id", F.col("_b.part").alias(part), asset, "_b.score", "_b.entity")
+
+
 # Order of representation states, strongest first.
 REPRESENTATION = ("likely_existing_representation", "existing_name_level_representation", "name_match_variant_unresolved")
 

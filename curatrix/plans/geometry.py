@@ -155,6 +155,27 @@ def image_part_index(t):
     return media.image_part_index(images, parts, "stem", "number").select("l_orderkey", "l_linenumber", "stem", "matched", F.col("part.p_name").alias("part_name"))
 
 
+@query("apply_corrections", """
+with r as (select event_id, event_type as tab, 'User ' || user_id as name, printf('%.2f', value) as v from events),
+ f as (select event_id as id, case when event_id % 5 = 0 then 'someone' when event_id % 5 = 1 then '' else ' user  ' || user_id end as expected, event_id % 2 = 0 as renames, event_id % 3 = 0 as clears, 'why ' || event_id % 4 as why from events where event_id % 7 < 4),
+ j as (select r.*, f.*, id is not null and (expected = '' or expected <> 'someone') as ok from r left join f on id = event_id and tab <> 'view')
+select event_id, case when not ok or not (renames or clears) then 'name=' || name || ';value=' || v else 'name=' || case when renames then 'renamed' else name end || ';value=' || case when clears then '' else v end end as fields,
+ case when ok then concat_ws(';', case when renames then 'name=' || name end, case when clears then 'value=' || v end) end as original, case when ok then why end as rationale from j""")
+def apply_corrections(t):
+    """Fields of the event rows under a table of corrections; those that expect another name do not hold."""
+    k = F.col("event_id")
+    rows = t.events.select("event_id", F.col("event_type").alias("tab"), F.create_map(F.lit("name"), F.concat(F.lit("User "), "user_id"), F.lit("value"), F.format_string("%.2f", "value")).alias("fields"))
+    none = F.create_map().cast("map<string,string>")
+    wanted = t.events.select(
+        # A correction names row and tab; those of other rows, and of the tab that has none, carry a key that no row has.
+        F.when(k % 7 < 4, k).otherwise(-k - 1).alias("event_id"), F.when(F.col("event_type") == "view", "other").otherwise(F.col("event_type")).alias("tab"),
+        F.when(k % 5 == 0, "someone").when(k % 5 == 1, "").otherwise(F.concat(F.lit(" user  "), "user_id")).alias("expected_name"), F.when(k % 2 == 0, F.create_map(F.lit("name"), F.lit("renamed"))).otherwise(none).alias("corrected"),
+        F.when(k % 3 == 0, F.array(F.lit("value"))).otherwise(F.array().cast("array<string>")).alias("cleared"), F.lit(0.9).alias("confidence"), F.concat(F.lit("why "), k % 4).alias("rationale"))
+    shown = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+    out = readers.apply_corrections(rows, wanted, ["event_id", "tab"], "name")
+    return out.select("event_id", shown("fields").alias("fields"), F.when(F.col("correction").isNotNull(), shown("correction.original")).alias("original"), "correction.rationale")
+
+
 @query("topology_rules", """
 with l as (select l_orderkey, l_linenumber, l_partkey % 2 = 0 as std, l_returnflag = 'R' as bal, case when l_quantity < 10 then '' when l_quantity < 20 then 'helmet' when l_quantity < 30 then 'hood' when l_quantity < 40 then 'mask' else 'cowl' end as g from lineitem)
 select l_orderkey, l_linenumber, case g when 'cowl' then 'head_plus_separate_cowl' when 'mask' then 'head_plus_separate_mask_untyped' when 'hood' then 'head_plus_separate_hood' when 'helmet' then 'head_plus_separate_helmet' else case when not std then 'dedicated_nonstandard_head_no_separate_headgear' when bal then 'standard_head_print_only' else 'unresolved_topology' end end as topology_class,

@@ -139,7 +139,7 @@ def priority_resolution(t):
     return joins.priority_resolution(left, right, "lid", "rid", "lname", "rname", embedded).select("c_custkey", "match_id", "match_method", "confidence")
 
 
-@query("expand_to_parts", """
+EXPAND_SQL = """
 with cand as (select o_custkey, o_orderkey as fig, case when o_orderstatus = 'F' then 'head' else 'torso' end as role, round(o_totalprice / 500000, 4) as score from orders),
  comp as (select l_orderkey as fig, l_orderkey * 100 + l_linenumber as component_id, l_partkey, case when l_returnflag = 'R' then 'head' else 'torso' end as component_role, case when l_quantity > 25 then 'base' end as print_of from lineitem),
  roles as (select 'head' as role, 'head' as component_role union all select 'torso', 'torso' union all select 'torso', 'head'),
@@ -147,8 +147,15 @@ with cand as (select o_custkey, o_orderkey as fig, case when o_orderstatus = 'F'
  hop as (select o_custkey, component_id, l_partkey, print_of, max(score) as score, max_by(cand.fig, score * 1e9 + cand.fig) as fig from cand join roles using (role) join comp on comp.fig = cand.fig and comp.component_role = roles.component_role group by 1, 2, 3, 4),
  lk as (select hop.*, case when geo.l_partkey is null then 'no_geometry' when print_of is null then 'base_substrate_link' when score >= 0.9 then 'strict_print_link' else 'unverified_print_link' end as link_class,
    row_number() over (partition by o_custkey order by score desc, hop.l_partkey, component_id, print_of nulls first) as link_rank from hop left join geo on geo.l_partkey = hop.l_partkey)
-select o_custkey, component_id, l_partkey, score, fig, link_class, link_rank, link_rank <= 30 as in_part_list from lk""")
+"""
+
+
+@query("expand_to_parts", EXPAND_SQL + """select o_custkey, component_id, l_partkey, score, fig, link_class, link_rank, link_rank <= 30 as in_part_list from lk""")
 def expand_to_parts(t):
+    return _expanded(t)
+
+
+def _expanded(t):
     cand = t.orders.select("o_custkey", F.col("o_orderkey").alias("fig"), F.when(F.col("o_orderstatus") == "F", "head").otherwise("torso").alias("role"), F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
     comp = t.lineitem.select(F.col("l_orderkey").alias("fig"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("component_id"), "l_partkey",
                              F.when(F.col("l_returnflag") == "R", "head").otherwise("torso").alias("component_role"), F.when(F.col("l_quantity") > 25, "base").alias("print_of")).distinct()
@@ -156,6 +163,16 @@ def expand_to_parts(t):
     return joins.expand_to_parts(cand, comp, t.part.select(F.when(F.col("p_size") <= 25, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("l_partkey")), "o_custkey", "fig", "l_partkey", "role", "component_role", "score", roles)
 
 
+@query("geometry_links", EXPAND_SQL.rstrip() + """, ge as (select distinct case when p_size <= 25 then l_partkey end as l_partkey, 'asset-' || l_suppkey % 40 as asset_id from lineitem join part on p_partkey = l_partkey),
+ x as (select o_custkey, component_id, l_partkey, score, fig, asset_id, unnest(case link_class when 'base_substrate_link' then ['base'] when 'strict_print_link' then ['raw', 'strict'] when 'unverified_print_link' then ['raw'] else [] end) as list from lk join ge using (l_partkey))
+select o_custkey, list, component_id, l_partkey, asset_id, score, fig as entity from x qualify row_number() over (partition by o_custkey, list, component_id, asset_id order by score desc, fig desc, l_partkey desc) = 1""")
+def geometry_links(t):
+    """Base, raw and strict links of every customer's parts with all assets of the part."""
+    assets = t.lineitem.join(t.part.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
+        F.when(F.col("p_size") <= 25, F.col("l_partkey")).alias("l_partkey"), F.concat(F.lit("asset-"), F.col("l_suppkey") % 40).alias("asset_id"))
+    return joins.geometry_links(_expanded(t).withColumnRenamed("fig", "entity"), assets, "o_custkey", "l_partkey", "asset_id")
+
+
 @query("alias_retrieval", """
 with tg as (select p_partkey, p_name as n1, p_type, lower(p_type) || ' ' || split_part(p_name, ' ', 2) as ident from part),
  rl as (select case when p_size <= 5 then p_name else lower(p_type) || ' ' || split_part(p_name, ' ', 2) || case when p_size > 10 then ' ' || p_size else '' end end as rn, p_brand as rt, count(*) as n from part group by 1, 2),

@@ -1,11 +1,14 @@
 """Windows, ranks, batches and sorts over the driver tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from curatrix.functions import rules
 from curatrix.operators import dedup, queues, rank, review
 from curatrix.operators.scale import position, top_k
 from curatrix.plans.registry import query
+from curatrix.session import checkpoint_root
 from curatrix.sources import writers
 
 
@@ -137,9 +140,14 @@ def natural_serial_sort(t):
     return position(s, list(rank.natural_serial("s")), name="position").drop("s")
 
 
-@query("fixed_shards", "select shard::int as shard, count(*) as rows, min(o_orderkey) as first_key, max(o_orderkey) as last_key from (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 + 1 as shard from orders) group by 1")
+@query("fixed_shards", "select 'records-part-' || case when shard < 100 then lpad(shard::varchar, 2, '0') else shard::varchar end as shard_name, count(*) as rows, min(o_orderkey) as first_key, max(o_orderkey) as last_key, count(*) = max(row_no) - min(row_no) + 1 as in_row from (select *, (row_no - 1) // 1000 + 1 as shard from (select o_orderkey, row_number() over (order by o_orderkey) as row_no from orders)) group by shard")
 def fixed_shards(t):
-    return writers.shard_numbers(t.orders.select("o_orderkey"), ["o_orderkey"], 1000).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+    """All orders written as shards of 1,000 rows and read back."""
+    path = f"{checkpoint_root(t.spark)}/shards-{uuid.uuid4().hex}"
+    writers.write_fixed_shards(t.orders.select("o_orderkey"), path, ["o_orderkey"], 1000)
+    back = t.spark.read.schema("o_orderkey long, row_no long, shard_name string").json(path)
+    n = F.count(F.lit(1))
+    return back.groupBy("shard_name").agg(n.alias("rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), (n == F.max("row_no") - F.min("row_no") + 1).alias("in_row"))
 
 
 @query("priority_queue", """

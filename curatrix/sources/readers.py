@@ -308,6 +308,32 @@ def map_columns_by_tab(rows: DataFrame, mapping: DataFrame, tab: str, cells: str
     return out.where((F.size("fields") > 0) & ~header).select(*key, "fields")
 
 
+def apply_corrections(rows: DataFrame, corrections: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """Field overlays with a reason on ``rows(key, fields map<string,string>)``; the source rows stay as they are.
+
+    ``corrections(key, expected_name, corrected map<string,string>, cleared array<string>, confidence, rationale)``: the correction of a row holds unless it expects another name than the field ``name`` has, both
+    compared in normal form; blank names expect nothing. Cleared fields become null, also where they are corrected. ``correction`` keeps the original values of all touched fields, the overlay, confidence and rationale, and is
+    null where nothing was applied. A key with two corrections raises.
+    """
+    from curatrix.functions.text import norm_text
+    from curatrix.operators.scale import null_safe_join
+
+    parts = ("expected_name", "corrected", "cleared", "confidence", "rationale")
+    twice = F.raise_error(F.lit("two corrections of one row")).cast("boolean")
+    packed = corrections.groupBy(*key).agg(F.first(F.struct(*parts)).alias("_fix"), F.count(F.lit(1)).alias("_n"))
+    j = null_safe_join(rows, packed.select(*key, F.when(F.col("_n") == 1, F.col("_fix")).otherwise(F.when(twice, F.col("_fix"))).alias("_fix")), list(key), "left").withColumnRenamed("fields", "_before")
+    expected, observed = (norm_text(F.coalesce(c, F.lit(""))) for c in (F.col("_fix.expected_name"), F.try_element_at("_before", F.lit(name))))
+    empty = F.create_map().cast("map<string,string>")
+    new, gone = F.coalesce("_fix.corrected", empty), F.coalesce("_fix.cleared", F.array().cast("array<string>"))
+    touched = F.array_sort(F.array_union(F.map_keys(new), gone))
+    kept = F.map_filter("_before", lambda k, v: ~F.array_contains(touched, k))
+    overlay = F.map_concat(kept, F.map_filter(new, lambda k, v: ~F.array_contains(gone, k)), F.map_from_arrays(gone, F.transform(gone, lambda g: F.lit(None).cast("string"))))
+    holds = F.col("_fix").isNotNull() & ((expected == "") | (observed == "") | (expected == observed))
+    original = F.map_from_arrays(touched, F.transform(touched, lambda f: F.try_element_at(F.col("_before"), f)))
+    log = F.struct(original.alias("original"), new.alias("corrected"), gone.alias("cleared"), F.col("_fix.confidence").alias("confidence"), F.col("_fix.rationale").alias("rationale"))
+    return j.withColumns({"_holds": holds}).select(*[c for c in rows.columns if c != "fields"], F.when(F.col("_holds"), overlay).otherwise(F.col("_before")).alias("fields"), F.when(F.col("_holds"), log).alias("correction"))
+
+
 def flatten_scalars(df: DataFrame, ident: str, payload: str, depth: int = 3) -> DataFrame:
     """All scalar leaves of a JSON column as ``(ident, path, value)`` down to ``depth`` levels; deeper nesting raises."""
     level = df.select(F.col(ident), F.lit("").alias("path"), F.parse_json(payload).alias("v"))

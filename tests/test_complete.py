@@ -82,3 +82,10 @@ def test_figures_out_of_range_raise(spark):
     for bad in (dict(view_confidence=1.5), dict(blur_score=-0.1), dict(identity_confidence=float("nan")), dict(width=float("inf"))):
         with pytest.raises(Exception, match="out of range"):
             row(**bad)
+
+
+def test_geometry_links_are_three_lists(spark):
+    links = spark.createDataFrame([("s", 1, "3626BP", 0.95, "f1", "strict_print_link"), ("s", 1, "3626bp", 0.99, "f2", "strict_print_link"), ("s", 2, "973", 0.5, "f1", "unverified_print_link"), ("s", 3, "970", 0.5, "f1", "base_substrate_link"), ("s", 4, "973", 0.5, "f1", "no_geometry")], "s string, component_id int, part string, score double, entity string, link_class string")
+    assets = spark.createDataFrame([("3626bp", "a1"), ("3626BP", "a1"), ("3626bp", "a2"), ("973", "a3"), ("970", "a4"), ("970", None), (None, "a5")], "part string, asset string")
+    got = {(r["list"], r.component_id, r.asset): r.entity for r in joins.geometry_links(links, assets, "s", "part", "asset").collect()}
+    assert got == {(k, 1, a): "f2" for k in ("raw", "strict") for a in ("a1", "a2")} | {("raw", 2, "a3"): "f1", ("base", 3, "a4"): "f1"}

@@ -165,6 +165,18 @@ def test_image_headers(spark):
                    "vp8": ("webp", 64, 32, None), "txt": (None, None, None, "unsupported_image_format")}
 
 
+def test_corrections_hold_only_for_the_expected_name(spark):
+    rows = spark.createDataFrame([(i, {"name": n, "hue": "red"}) for i, n in enumerate(["Käpt'n  Blau", "other", None, "kept", "x"])] + [(None, {"name": "null row"})], "row long, fields map<string,string>")
+    fixes = spark.createDataFrame([(0, "KÄPT'N BLAU", {"hue": "blue", "mood": "calm"}, ["name"], 0.8, "seen"), (1, "someone", {"hue": "blue"}, [], 0.8, "seen"), (2, "any", {"hue": "blue"}, ["hue"], 0.8, None), (4, " ", None, None, None, "empty"), (None, "", {"hue": "grey"}, [], 1.0, "null key")],
+                                  "row long, expected_name string, corrected map<string,string>, cleared array<string>, confidence double, rationale string")
+    got = {r["row"]: r for r in readers.apply_corrections(rows, fixes, ["row"], "name").collect()}
+    assert got[0].fields == {"name": None, "hue": "blue", "mood": "calm"} and got[0].correction.original == {"name": "Käpt'n  Blau", "hue": "red", "mood": None} and got[0].correction.rationale == "seen"
+    assert got[1].correction is None and got[1].fields["hue"] == "red" and got[3].correction is None
+    assert got[2].fields["hue"] is None and got[4].fields == {"name": "x", "hue": "red"} and got[4].correction.rationale == "empty" and got[None].fields["hue"] == "grey"
+    with pytest.raises(Exception, match="two corrections"):
+        readers.apply_corrections(rows, fixes.unionAll(fixes), ["row"], "name").collect()
+
+
 def test_map_columns_by_tab(spark):
     rows = spark.createDataFrame([(1, "DC", {"A": "Name", "B": "First Appearance"}), (2, "DC", {"A": "Robin", "B": " "}), (3, "MV", {"C": "Hulk"}), (4, "XX", {"A": "?"})], "row int, tab string, cells map<string,string>")
     mapping = spark.createDataFrame([("DC", "name", "A"), ("DC", "first_appearance", "B"), ("MV", "name", "C")], "tab string, field string, letter string")
