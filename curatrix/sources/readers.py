@@ -78,6 +78,7 @@ def scan_jsonl(spark: SparkSession, paths: str | list[str], schema: str, line_nu
         "r.*", "source_path", "line_no")
 
 
+# Fixed values, as given: keys under which a document may hold its list.
 RECORD_KEYS = ("data", "items", "cosmetics", "results", "records")
 
 
