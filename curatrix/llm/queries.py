@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm import bpe, chunks, decontaminate, fingerprints, jaccard, merkle, ngram_lm, quality, secret_scan, sharding, spelling, sql, vectors, warc
 
 #: Place of the public tokenizer file.
-WORD_BPE = os.environ.get("WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

@@ -1,5 +1,4 @@
 import hashlib
-import os
 import random
 
 import pyarrow as pa
@@ -9,8 +8,6 @@ from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
 from curatrix.llm import bpe
 from curatrix.llm.queries import WORD_BPE
 
-pytestmark = pytest.mark.skipif(not os.path.exists(WORD_BPE), reason="no tokenizer file")
-
 
 @pytest.fixture(scope="module")
 def library():
@@ -64,3 +61,22 @@ def test_both_ways_of_merging_agree():
     assert rules.merge_many(words) == [rules.merge_one(w) for w in words]
     assert bpe.Codec(rules, None).split("<|endoftext|>") == [" <|endoftext|>"]
     assert list(bpe.Codec(rules, None).encode_all(pa.array([], pa.string()))) == []
+
+
+def test_all_code_points_split_as_in_the_library(spark, library):
+    """Every code point inside a word, beside marks and digits, and in random company; the pieces of the whole file, bytes mapped back."""
+    splitter = bpe.Rules(WORD_BPE).splitter.learn(spark)
+    back = {c: b for b, c in enumerate(bpe._byte_chars())}
+
+    def pieces(t):
+        return [bytes(back[c] for c in w).decode() for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(t))]
+
+    def wrong(batches):
+        for batch in batches:
+            chars = [chr(p) for p in batch.column(0).to_pylist()]
+            rng = random.Random(len(chars))
+            texts = [f"x{c}y ?{c}' 2{c}{c}" for c in chars] + ["".join(rng.choices(chars, k=20) + ["Σ", "'S", "\u0301"]) for _ in range(50)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t in texts if splitter.words(t) != pieces(t)], pa.string())], names=["text"])
+
+    points = spark.range(0, 0x110000, 1, 32).where("id < 55296 or id >= 57344")
+    assert points.mapInArrow(wrong, "text string").collect() == []
