@@ -33,36 +33,76 @@ def write_fixed_shards(df: DataFrame, path: str, order: Sequence[str], n: int) -
     shards.repartition("shard").sortWithinPartitions("shard", "row_no").drop("shard").write.mode("overwrite").partitionBy("shard_name").json(path)
 
 
-def publish(df: DataFrame, path: str, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]] = ()) -> int:
-    """Write to a staging folder, check what was written, then swap it in; the old data stays until then.
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str | None]]:
+    """``(number, folder)`` of all commits, newest first; a commit that was not written to its end has no folder."""
+    fs, folder = _hadoop(spark, f"{path.rstrip('/')}/_commits")
+    found = []
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name, length = status.getPath().getName(), int(status.getLen())
+        if name.isdigit():
+            stream = fs.open(status.getPath())
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") if length else ""
+            stream.close()
+            found.append((int(name), text[:-1] if text.endswith("\n") else None))
+    return sorted(found, key=lambda c: -c[0])
+
+
+def _commit(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    """Takes the number, which only one writer can, and then names the folder."""
+    fs, p = _hadoop(spark, f"{path.rstrip('/')}/_commits/{number:020d}")
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(f"{folder}\n".encode()))
+    finally:
+        out.close()
+
+
+def publish(df: DataFrame, path: str, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]] = (), keep: int = 2) -> int:
+    """Write a version of its own, check what was written, then commit it; ``published`` reads the newest commit.
 
-    Each check returns the offending rows; any row stops the publication. Returns the row count.
+    Each check returns the offending rows; any row stops the publication. Returns the row count. The commit is the one step that counts: before it readers see the version before, after it the new one, so that a crash
+    between any two steps leaves a readable table. Of two writers that began from the same commit one raises. Versions older than the ``keep`` newest commits are removed at the end.
     """
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    spark, root = df.sparkSession, path.rstrip("/")
+    before = _commits(spark, root)
+    number = before[0][0] + 1 if before else 1
+    folder = f"data-{uuid.uuid4().hex}"
+    fs, target = _hadoop(spark, f"{root}/{folder}")
+    done = False
     try:
-        df.write.mode("errorifexists").parquet(staging)
-        written = spark.read.parquet(staging)
+        df.write.mode("errorifexists").parquet(f"{root}/{folder}")
+        written = spark.read.parquet(f"{root}/{folder}")
         for label, check in checks:
             bad = check(written).take(3)
             if bad:
                 raise DataQualityError(f"{label}: {[r.asDict() for r in bad]}")
         rows = written.count()
-        old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.previous-{uuid.uuid4().hex}")
-        moved = fs.exists(target) and fs.rename(target, old)
-        if not fs.rename(temp, target):
-            if moved:
-                fs.rename(old, target)
-            raise OSError(f"cannot move {staging} to {path}")
-        if moved:
-            fs.delete(old, True)
-        return rows
+        _commit(spark, root, number, folder)
+        done = True
     finally:
-        if fs.exists(temp):
-            fs.delete(temp, True)
+        if not done and fs.exists(target) and folder not in [f for _, f in _commits(spark, root)]:
+            fs.delete(target, True)
+    after = _commits(spark, root)
+    named = [c for c in after if c[1]]
+    live = {f for _, f in named[:keep]}
+    for n, f in after:
+        if f not in live and n < named[0][0]:
+            for old in ([f"{root}/{f}"] if f else []) + [f"{root}/_commits/{n:020d}"]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    return rows
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed version."""
+    for _, folder in _commits(spark, path):
+        if folder:
+            return spark.read.parquet(f"{path.rstrip('/')}/{folder}")
+    raise FileNotFoundError(f"nothing published at {path}")
 
 
 def source_manifest(spark: SparkSession, paths: Mapping[str, str], tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -201,12 +201,44 @@ def test_fixed_shards(spark, tmp_path):
 def test_publish_keeps_old_data_when_a_check_fails(spark, tmp_path):
     path = str(tmp_path / "table")
     doubled = [("duplicate ids", lambda df: df.groupBy("id").count().where("count > 1"))]
+    with pytest.raises(FileNotFoundError):
+        writers.published(spark, path)
     assert writers.publish(spark.range(5), path, doubled) == 5
     with pytest.raises(DataQualityError):
         writers.publish(spark.range(3).unionAll(spark.range(1)), path, doubled)
-    assert spark.read.parquet(path).count() == 5
-    assert writers.publish(spark.range(7), path, doubled) == 7 and spark.read.parquet(path).count() == 7
-    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+    assert writers.published(spark, path).count() == 5
+    for n in (7, 8, 9):
+        assert writers.publish(spark.range(n), path, doubled) == n and writers.published(spark, path).count() == n
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("data-")]) == 2
+
+
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_a_crash_between_any_two_steps_leaves_a_readable_table(spark, tmp_path, monkeypatch, at):
+    """The writer dies before the commit, with a commit of no content, or after it."""
+    path, real = str(tmp_path / "table"), writers._commit
+    writers.publish(spark.range(5), path)
+
+    def dying(s, root, number, folder):
+        if at == 1:
+            open(f"{root}/_commits/{number:020d}", "w").close()
+        if at == 2:
+            real(s, root, number, folder)
+        raise OSError("lost")
+
+    monkeypatch.setattr(writers, "_commit", dying)
+    with pytest.raises(OSError):
+        writers.publish(spark.range(6), path)
+    monkeypatch.undo()
+    assert writers.published(spark, path).count() == (6 if at == 2 else 5)
+    assert writers.publish(spark.range(7), path) == 7 and writers.published(spark, path).count() == 7
+
+
+def test_of_two_writers_one_raises(spark, tmp_path):
+    path = str(tmp_path / "table")
+    other = [("meanwhile", lambda df: (writers.publish(df.sparkSession.range(3), path), df.where("false"))[1])]
+    with pytest.raises(Exception, match="(?i)exist"):
+        writers.publish(spark.range(5), path, other)
+    assert writers.published(spark, path).count() == 3
 
 
 def test_dedup_or_fail(spark):
