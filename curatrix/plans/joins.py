@@ -156,7 +156,8 @@ def expand_to_parts(t):
 
 
 def _expanded(t):
-    cand = t.orders.select("o_custkey", F.col("o_orderkey").alias("fig"), F.when(F.col("o_orderstatus") == "F", "head").otherwise("torso").alias("role"), F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
+    # SQL rounds the binary product (0.01945 gives 0.0194), ``round`` to four digits the decimal text
+    cand = t.orders.select("o_custkey", F.col("o_orderkey").alias("fig"), F.when(F.col("o_orderstatus") == "F", "head").otherwise("torso").alias("role"), (F.round(F.col("o_totalprice") / 500000 * 10000) / 10000).alias("score"))
     comp = t.lineitem.select(F.col("l_orderkey").alias("fig"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("component_id"), "l_partkey",
                              F.when(F.col("l_returnflag") == "R", "head").otherwise("torso").alias("component_role"), F.when(F.col("l_quantity") > 25, "base").alias("print_of")).distinct()
     roles = t.spark.createDataFrame([("head", "head"), ("torso", "torso"), ("torso", "head")], "role string, component_role string")
