@@ -140,14 +140,16 @@ def slice_range_join(items: DataFrame, heights: DataFrame, low: str, high: str,
 def mesh_profile(triangles: DataFrame, samples: int = 101, vertical: str = "z", front: str = "x", side: str = "y", eps: float = 1e-9) -> DataFrame:
     """Front and side span per normalised height of every mesh.
 
-    Each triangle is expanded only to the sample heights it crosses, so the work follows the crossings.
+    Each triangle is expanded only to the sample heights it crosses, so the work follows the crossings. Bounds meet their triangles by a shuffle (or as they lie, where triangles
+    are dealt by mesh): the planner takes a mesh for as small as its unexpanded row and would broadcast it. Heights that nothing crosses are added as rows without a point.
     """
     if len({vertical, front, side}) != 3 or samples < 2:
         raise ValueError("axes must be distinct and samples at least 2")
     bounds = mesh_bounds(triangles).select("mesh_id", F.col(f"min_{vertical}").alias("base"), F.col(f"size_{vertical}").alias("tall"))
     n = samples - 1
     low, high = F.least(*[_point(i, vertical) for i in range(3)]), F.greatest(*[_point(i, vertical) for i in range(3)])
-    j = triangles.join(bounds.where("tall > 0"), "mesh_id")
+    bounds = bounds.where("tall > 0")
+    j = triangles.join(bounds.hint("merge"), "mesh_id")
     first = F.greatest(F.lit(0), F.floor((low - F.col("base")) / F.col("tall") * n - 1e-6)).cast("int")
     last = F.least(F.lit(n), F.ceil((high - F.col("base")) / F.col("tall") * n + 1e-6)).cast("int")
     cut = j.withColumn("step", F.explode(F.sequence(first, last))).withColumn("height_norm", F.col("step") / n)
@@ -159,10 +161,9 @@ def mesh_profile(triangles: DataFrame, samples: int = 101, vertical: str = "z",
         points += [F.when(F.abs(da) <= eps, at(F.lit(0.0))), F.when(F.abs(db) <= eps, at(F.lit(1.0))),
                    F.when(((da < -eps) & (db > eps)) | ((da > eps) & (db < -eps)), at((F.col("plane") - _point(i, vertical)) / (_point(k, vertical) - _point(i, vertical))))]
     flat = cut.select("mesh_id", "step", "height_norm", "tall", F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())).alias("p"))
-    spans = flat.groupBy("mesh_id", "step", "height_norm", "tall").agg(
+    grid = bounds.select("mesh_id", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step"), "tall").withColumn("height_norm", F.col("step") / n)
+    out = flat.unionByName(grid, allowMissingColumns=True).groupBy("mesh_id", "step", "height_norm", "tall").agg(
         *[f(f"p.{a}").alias(f"{name}_{m}") for name, a in (("front", front), ("side", side)) for m, f in (("min", F.min), ("max", F.max))])
-    grid = bounds.where("tall > 0").select("mesh_id", "tall", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step")).withColumn("height_norm", F.col("step") / n)
-    out = grid.join(spans.drop("tall", "height_norm"), ["mesh_id", "step"], "left")
     for name in ("front", "side"):
         out = out.withColumn(f"{name}_span", F.coalesce(F.col(f"{name}_max") - F.col(f"{name}_min"), F.lit(0.0))).withColumn(
             f"{name}_span_over_height", F.col(f"{name}_span") / F.col("tall"))

@@ -13,11 +13,16 @@ CORNERS = ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1,
 FACES = ((0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7))
 
 
+# Meshes in one task: a box is a short row but makes twelve triangles.
+TASK_MESHES = 20_000
+
+
 def box_meshes(t):
-    """Every part's box as a closed mesh of twelve triangles."""
+    """Every part's box as a closed mesh of twelve triangles, dealt by mesh before the rows multiply."""
     corner = lambda c: F.struct(*[F.col(f"{a}{end}").alias(a) for a, end in zip("xyz", c)])
     faces = F.array(*[F.struct(F.lit(i).alias("tri_id"), F.array(*[corner(CORNERS[k]) for k in f]).alias("v")) for i, f in enumerate(FACES)])
-    return boxes(t).select(F.col("id").alias("mesh_id"), F.explode(faces).alias("f")).select("mesh_id", "f.*")
+    dealt = boxes(t).withColumnRenamed("id", "mesh_id").repartition(1 + t.part.count() // TASK_MESHES, "mesh_id")
+    return dealt.select("mesh_id", F.explode(faces).alias("f")).select("mesh_id", "f.*")
 
 
 @query("mesh_bounds", f"select id as mesh_id, 12 as triangle_count, x0 as min_x, x1 as max_x, y0 as min_y, y1 as max_y, z0 as min_z, z1 as max_z, x1 - x0 as size_x, y1 - y0 as size_y, z1 - z0 as size_z, (x0 + x1) / 2 as centre_x, (y0 + y1) / 2 as centre_y, (z0 + z1) / 2 as centre_z from ({BOX_SQL})")

@@ -47,3 +47,10 @@ def test_group_values_of_many_chunks_are_one_row(compare):
     """More than 100,000 names in a segment: three chunks of one facet, next to facets of a single one."""
     rows = "select i as c_custkey, format('Customer#{{:09d}}', (i * 7919) % 250000) as c_name, (i % 25)::int as c_nationkey, 0.0::double as c_acctbal, case when i % 50 = 0 then 'BUILDING' else 'FURNITURE' end as c_mktsegment from range(250000) r(i)"
     assert len(compare("group_values", customer=rows)) == 4
+
+
+def test_mesh_joins_do_not_go_through_the_driver(spark):
+    """The planner sees a mesh as small as its unexpanded row."""
+    df = spark.range(1000).select(F.col("id").alias("mesh_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("tri_id")).withColumn(
+        "v", F.array(*[F.struct(*[F.rand(3 * i + k).alias(a) for k, a in enumerate("xyz")]) for i in range(3)]))
+    assert "Broadcast" not in geometry.mesh_profile(df, 5)._jdf.queryExecution().sparkPlan().toString()
