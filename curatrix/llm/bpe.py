@@ -1,8 +1,7 @@
 """BPE encoding and decoding: a minimal acyclic transducer holds the frequent words, other words are merged exactly.
 
 The rules come from a public tokenizer file of the ``word end`` kind: NFC, white space removed, lower case, a split into words, byte
-symbols, ranked merges. Frequent words of a bounded sample of documents (``sample_docs`` rows at most in expectation, ``lexicon`` words;
-both only decide what is fast, never an id) are merged once and compiled into an automaton with shared suffixes. Counts on its arcs number
+symbols, ranked merges. The most frequent words, counted over all documents (``lexicon`` of them at most, which only decides what is fast, never an id), are merged once and compiled into an automaton with shared suffixes. Counts on its arcs number
 the words, the number selects the ids, and the arrays are mapped into memory by the tasks from the shared folder. Words that it lacks are merged
 many at a time, always the lowest rank and of these the leftmost pair, as the plain algorithm does. Each worker keeps a bounded memo.
 
@@ -30,6 +29,7 @@ from tokenizers import Tokenizer
 
 from curatrix.llm import files
 from curatrix.llm.text import per_text, slices
+from curatrix.session import materialize
 
 _NONE = np.int32(2**31 - 1)
 MEMO, TOGETHER = 150_000, 1 << 21
@@ -351,36 +351,45 @@ def _codec(mark: str, rules, folder: str) -> Codec:
     return _codecs[mark]
 
 
-def _lexicon(docs: DataFrame, text: str, rules: Rules, sample_docs: int, lexicon: int) -> str:
-    spark = docs.sparkSession
-    folder = files.shared_folder(spark, "lexicon")
-    share = min(1.0, sample_docs / max(1, docs.select(F.lit(1)).count()))
+def _lexicon(docs: DataFrame, text: str, rules: Rules, lexicon: int) -> str:
+    folder = files.shared_folder(docs.sparkSession, "lexicon")
+    words = frequent_words(docs, text, rules, lexicon)
+    build_lexicon(words, dict(zip(words, rules.merge_many(words), strict=True)), folder)
+    return folder
+
+
+def frequent_words(docs: DataFrame, text: str, rules: Rules, lexicon: int) -> list[bytes]:
+    """The most frequent words of all rows, ``lexicon`` of them at most: of sixteen steps to each doubling of the count, those that fit whole. Sums by step and these words come to the driver, no more."""
+
+    sent = docs.sparkSession.sparkContext.broadcast(rules)
 
     def count(column: pa.Array) -> list[pa.Array]:
-        codec, rows = Codec(rules, None), []
+        codec = Codec(sent.value, None)
         seen = Counter(chain.from_iterable(codec.split(t or "") for t in column.to_pylist()))
         rows = [[{"word": w, "n": n} for w, n in seen.items() if w[0] != " "]] + [[]] * (len(column) - 1)
         return [pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))]
 
     kind = StructType([StructField("w", ArrayType(StructType([StructField("word", StringType()), StructField("n", LongType())])))])
-    picked = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t", F.monotonically_increasing_id()), F.lit(1_000_003)) < share * 1_000_003)  # by row: copies of one text do not come all together
-    top = (per_text(picked, "t", count, kind, "c", []).select(F.explode("c.w").alias("w")).groupBy("w.word").agg(F.sum("w.n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(lexicon).collect())
-    words = [r.word.encode() for r in top]
-    build_lexicon(words, dict(zip(words, rules.merge_many(words), strict=True)), folder)
-    return folder
+    counts = materialize(per_text(docs.select(F.col(text).alias("t")), "t", count, kind, "c", []).select(F.explode("c.w").alias("w")).groupBy("w.word").agg(
+        F.sum("w.n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16)))
+    room, least = lexicon, None
+    for r in counts.groupBy("step").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        if r.words > room:
+            break
+        room, least = room - r.words, r.step
+    return [] if least is None else [r.word.encode() for r in counts.where(F.col("step") >= least).select("word").collect()]
 
 
 FIELDS = StructType([StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("ids_text", StringType()), StructField("decoded", StringType())])
 
 
 def encoded(docs: DataFrame, rules_path: str, *, text: str = "text", out: str = "bpe", keep: list[str] | None = None, fields: tuple[str, ...] = ("n_tokens", "ids", "decoded"),
-            sample_docs: int = 2_000, lexicon: int = 65_536) -> DataFrame:
+            lexicon: int = 65_536) -> DataFrame:
     """The columns ``keep`` and a struct ``out`` of the wanted ``fields``: ``n_tokens``, ``ids``, ``ids_text`` (decimal, one space between), ``decoded``."""
     spark = docs.sparkSession
     rules = Rules(rules_path)
     rules.splitter.learn(spark)
-    folder = _lexicon(docs, text, rules, sample_docs, lexicon)
+    folder = _lexicon(docs, text, rules, lexicon)
     sent, mark = spark.sparkContext.broadcast(rules), uuid.uuid4().hex
 
     def run(column: pa.Array) -> list[pa.Array]:

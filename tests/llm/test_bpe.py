@@ -80,3 +80,12 @@ def test_all_code_points_split_as_in_the_library(spark, library):
 
     points = spark.range(0, 0x110000, 1, 32).where("id < 55296 or id >= 57344")
     assert points.mapInArrow(wrong, "text string").collect() == []
+
+
+def test_frequent_words_are_counted_over_all_rows(spark):
+    rules = bpe.Rules(WORD_BPE)
+    rules.splitter.learn(spark)
+    rows = documents(spark, [(i, "often " * (i % 3) + f"twice{chr(97 + i // 2 % 26)}{chr(97 + i // 52 % 26)}{chr(97 + i // 1352)}") for i in range(6000)])
+    assert len(set(bpe.frequent_words(rows, "text", rules, 10_000))) == 3001
+    assert bpe.frequent_words(rows, "text", rules, 10) == [b"often"]
+    assert bpe.frequent_words(rows.limit(0), "text", rules, 10) == []
