@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from curatrix.operators.graph import connected_components
+from curatrix.operators.graph import connected_components, folded
 from curatrix.operators.ranges import overlap_join
 
 AXES = ("x", "y", "z")
@@ -47,11 +50,12 @@ def _edges(triangles: DataFrame, digits: int) -> DataFrame:
 def mesh_audit(triangles: DataFrame, digits: int = 7, area: float = 1e-10, volume: float = 1e-12) -> DataFrame:
     """Topology and quality of every mesh: boundary, non-manifold, winding, duplicates, volume, components."""
     edges = _edges(triangles, digits)
+    corner = lambda i: F.struct(*[(F.round(_point(i, a), digits) + F.lit(0.0)).alias(a) for a in AXES])
     per_edge = edges.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum("dir").alias("s"))
     topo = per_edge.groupBy("mesh_id").agg(
         F.count(F.lit(1)).alias("unique_edges"), F.count_if(F.col("n") == 1).alias("boundary_edges"),
         F.count_if(F.col("n") > 2).alias("nonmanifold_edges"), F.count_if((F.col("n") == 2) & (F.abs("s") == 2)).alias("winding_conflicts"))
-    vertices = edges.select("mesh_id", F.explode(F.array("lo", "hi")).alias("p")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("unique_vertices"))
+    vertices = triangles.select("mesh_id", F.explode(F.array(*[corner(i) for i in range(3)])).alias("p")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("unique_vertices"))
     d = lambda i, a: _point(i, a) - _point(0, a)
     cross = [d(1, "y") * d(2, "z") - d(1, "z") * d(2, "y"), d(1, "z") * d(2, "x") - d(1, "x") * d(2, "z"), d(1, "x") * d(2, "y") - d(1, "y") * d(2, "x")]
     double_area = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2])
@@ -59,12 +63,13 @@ def mesh_audit(triangles: DataFrame, digits: int = 7, area: float = 1e-10, volum
         _point(0, "x") * (_point(1, "y") * _point(2, "z") - _point(1, "z") * _point(2, "y"))
         + _point(0, "y") * (_point(1, "z") * _point(2, "x") - _point(1, "x") * _point(2, "z"))
         + _point(0, "z") * (_point(1, "x") * _point(2, "y") - _point(1, "y") * _point(2, "x")))
-    corner = lambda i: F.struct(*[(F.round(_point(i, a), digits) + F.lit(0.0)).alias(a) for a in AXES])
     face = F.array_sort(F.array(*[corner(i) for i in range(3)]))
     shape = triangles.groupBy("mesh_id").agg(
         F.count(F.lit(1)).alias("triangle_count"), F.count_if(double_area <= area).alias("degenerate_triangles"), (F.sum(triple) / 6).alias("signed_volume"))
     faces = triangles.select("mesh_id", face.alias("f")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("_faces"))
-    out = shape.join(topo, "mesh_id").join(vertices, "mesh_id").join(faces, "mesh_id").join(face_components(triangles, edges), "mesh_id")
+    out = shape
+    for side in (topo, vertices, faces, face_components(triangles, edges)):  # one row per mesh each: no side goes through the driver
+        out = out.join(side.hint("merge"), "mesh_id")
     c = F.col
     closed = (c("boundary_edges") == 0) & (c("nonmanifold_edges") == 0)
     out = out.withColumn("duplicate_triangles", c("triangle_count") - c("_faces")).withColumn(
@@ -78,14 +83,45 @@ def mesh_audit(triangles: DataFrame, digits: int = 7, area: float = 1e-10, volum
         (F.abs("signed_volume") <= volume, "zero_volume")))
 
 
+#: Faces of the meshes that one task joins on the average; a single mesh of more goes through ``graph``.
+TASK_FACES = 500_000
+
+
 def face_components(triangles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected face groups per mesh over shared edges; every face links to the first face of an edge only."""
-    first = edges.groupBy("mesh_id", "lo", "hi").agg(F.min("tri_id").alias("_t"))
-    links = edges.join(first, ["mesh_id", "lo", "hi"]).where(F.col("tri_id") != F.col("_t"))
+    """Connected face groups per mesh over shared edges; every face links to the first face of an edge only.
+
+    No component leaves its mesh, so meshes are dealt whole and joined in their task; only meshes too large for that go through the components of a graph.
+    """
+    sizes = triangles.groupBy("mesh_id").agg(F.count_distinct("tri_id").alias("_faces"))
+    total, most = sizes.agg(F.sum("_faces"), F.max("_faces")).first()
+    first = F.min("tri_id").over(W.partitionBy("mesh_id", "lo", "hi"))
+    links = edges.select("mesh_id", "tri_id", first.alias("_t")).where(F.col("tri_id") != F.col("_t"))
+    if (most or 0) <= TASK_FACES:
+        return _whole(sizes, links, total or 0)
+    large = sizes.where(F.col("_faces") > TASK_FACES).select("mesh_id")
     node = lambda c: F.struct(F.col("mesh_id"), F.col(c).alias("tri_id"))
-    nodes = triangles.select(node("tri_id").alias("node"))
-    labels = connected_components(nodes, links.select(node("tri_id").alias("src"), node("_t").alias("dst")))
-    return labels.select("node.mesh_id", "component").groupBy("mesh_id").agg(F.count_distinct("component").alias("components"))
+    of = lambda df, how: df.join(large, "mesh_id", how)
+    labels = connected_components(of(triangles, "left_semi").select(node("tri_id").alias("node")), of(links, "left_semi").select(node("tri_id").alias("src"), node("_t").alias("dst")))
+    counts = labels.select("node.mesh_id", "component").groupBy("mesh_id").agg(F.count_distinct("component").alias("components"))
+    return counts.unionByName(_whole(of(sizes, "left_anti"), of(links, "left_anti"), total))
+
+
+def _whole(sizes: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """Face groups of meshes whose links lie in one task: faces less those that hang on a smaller one."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            mesh, a, b = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+            mesh, faces = mesh.dictionary_encode(), pa.concat_arrays([a, b]).dictionary_encode()
+            codes, width = mesh.indices.to_numpy().astype(np.int64), len(faces.dictionary)
+            u, v = faces.indices.to_numpy().astype(np.int64).reshape(2, -1) + codes * width
+            nodes, root = folded(u, v)
+            merged = np.bincount(nodes[root != np.arange(len(nodes))] // width, minlength=len(mesh.dictionary))
+            yield pa.RecordBatch.from_arrays([mesh.dictionary, pa.array(merged, pa.int64())], names=["mesh_id", "_merged"])
+
+    merged = links.repartition(1 + total // TASK_FACES, "mesh_id").mapInArrow(run, StructType([links.schema["mesh_id"], StructField("_merged", LongType())]))
+    return sizes.join(merged.hint("merge"), "mesh_id", "left").select("mesh_id", (F.col("_faces") - F.coalesce("_merged", F.lit(0))).alias("components"))
 
 
 def apply_transform(vertices: DataFrame, transforms: DataFrame, key: str, matrix: str = "m") -> DataFrame:

@@ -38,25 +38,30 @@ def ancestry(df: DataFrame, ident: str, parent: str, label: str) -> DataFrame:
 TASK_LINKS = 2_000_000
 
 
+def folded(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted nodes of links and, for each, the place of the least node it is connected with."""
+    nodes, ends = np.unique(np.stack([u, v]), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, root
+        root = new
+
+
 def _contracted(links: DataFrame, tasks: int) -> DataFrame:
     """Every node of ``links(u, v)`` of a task with the least node it is connected with there: at most one link for each node and task leaves it."""
 
     def run(batches):
         parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
         if parts:
-            nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
-            u, v = ends.reshape(2, -1)
-            root = np.arange(len(nodes))
-            while True:
-                low = np.minimum(root[u], root[v])
-                new = root.copy()
-                np.minimum.at(new, root[u], low)
-                np.minimum.at(new, root[v], low)
-                while (new[new] != new).any():
-                    new = new[new]
-                if (new == root).all():
-                    break
-                root = new
+            nodes, root = folded(*np.concatenate(parts, axis=1))
             inner = root != np.arange(len(nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(nodes[root[inner]])], names=["u", "v"])
 

@@ -14,7 +14,7 @@ FACES = ((0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2
 
 
 # Meshes in one task: a box is a short row but makes twelve triangles.
-TASK_MESHES = 20_000
+TASK_MESHES = 10_000
 
 
 def box_meshes(t):

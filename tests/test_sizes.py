@@ -54,3 +54,16 @@ def test_mesh_joins_do_not_go_through_the_driver(spark):
     df = spark.range(1000).select(F.col("id").alias("mesh_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("tri_id")).withColumn(
         "v", F.array(*[F.struct(*[F.rand(3 * i + k).alias(a) for k, a in enumerate("xyz")]) for i in range(3)]))
     assert "Broadcast" not in geometry.mesh_profile(df, 5)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in geometry.mesh_audit(df)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_face_groups_of_small_and_large_meshes(spark, monkeypatch):
+    """A strip of n faces, each pair of neighbours sharing an edge, cut after every fifth face."""
+    rows = [(m, i, [(float(i + k + i // 5), float((i + k) % 2), 0.0) for k in range(3)]) for m, n in (("a", 4), ("b", 30), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "mesh_id string, tri_id int, v array<struct<x:double,y:double,z:double>>")
+    want = None
+    for limit in (500_000, 10, 0):
+        monkeypatch.setattr(geometry, "TASK_FACES", limit) if limit else monkeypatch.undo()
+        got = {r.mesh_id: r.components for r in geometry.mesh_audit(df).collect()}
+        want = want or got
+        assert got == want and got["a"] == got["c"] == 1 and got["b"] > 1
