@@ -12,12 +12,17 @@ from curatrix.operators.scale import first_values, null_safe_join, position, sma
 from curatrix.session import materialize
 
 
+#: Rows that one task makes distinct.
+TASK_ROWS = 1_000_000
+
+
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column]], columns: Sequence[Column | str]) -> DataFrame:
-    """Inner joins along a star or chain, then distinct projected rows."""
+    """Inner joins along a star or chain, then distinct projected rows, dealt by all columns to tasks of about ``TASK_ROWS`` rows of the fact table, however few shuffle partitions the session has."""
     out = fact
     for dim, condition in dims:
         out = out.join(small_side(dim), condition)
-    return out.select(*columns).distinct()
+    out = out.select(*columns)
+    return out.repartition(1 + fact.count() // TASK_ROWS, *out.columns).distinct()
 
 
 def enrich(df: DataFrame, dim: DataFrame, condition: Column | str | list) -> DataFrame:

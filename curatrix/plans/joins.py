@@ -10,7 +10,9 @@ from curatrix.plans.registry import query
 @query("star_join", """select distinct c_custkey, o_orderkey, year(o_orderdate)::int as order_year, l_partkey, p_brand
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey""")
 def star_join(t):
-    fact = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = 1 + t.lineitem.count() // joins.TASK_ROWS
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").repartition(tasks, "o_orderkey")
+    fact = t.lineitem.select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joins.star_join(fact, [(t.customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")), (t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))],
                            ["c_custkey", "o_orderkey", F.year("o_orderdate").alias("order_year"), "l_partkey", "p_brand"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows_of
-from curatrix.operators import geometry
+from curatrix.operators import geometry, joins
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -67,3 +67,11 @@ def test_face_groups_of_small_and_large_meshes(spark, monkeypatch):
         got = {r.mesh_id: r.components for r in geometry.mesh_audit(df).collect()}
         want = want or got
         assert got == want and got["a"] == got["c"] == 1 and got["b"] > 1
+
+
+def test_distinct_rows_of_a_star_are_dealt_by_their_number(spark, monkeypatch):
+    """The session has four shuffle partitions; eleven tasks take 1,000 rows."""
+    monkeypatch.setattr(joins, "TASK_ROWS", 100, raising=False)
+    fact = spark.range(1000).select((F.col("id") % 500).alias("a"), (F.col("id") % 7).alias("b"))
+    out = joins.star_join(fact, [(spark.range(5).withColumnRenamed("id", "k"), F.col("b") == F.col("k"))], ["a", "b"])
+    assert out.rdd.getNumPartitions() == 11 and sorted(map(tuple, out.collect())) == sorted({(i % 500, i % 7) for i in range(1000) if i % 7 < 5})
