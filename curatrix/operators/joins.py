@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from curatrix.functions.rules import jaccard
 from curatrix.functions.text import norm_text, tokens
 from curatrix.operators.scale import first_values, null_safe_join, position, small_side
-from curatrix.session import materialize
+from curatrix.session import materialize, stored
 
 
 #: Rows that one task makes distinct.
@@ -224,6 +224,17 @@ def expand_to_parts(
     ``(subject, component)`` with its link class and its place among the links of the subject. All links stay; ``listed`` marks the
     first ones, which make up the short part list.
     """
+    flat = part_links(candidates, components, geometry, subject, entity, part, role, component_role, score, roles, strict_score)
+    order = [F.col(score).desc(), part, "component_id", F.col("print_of").asc_nulls_first()]
+    placed = position(flat, order, [subject], name="link_rank")
+    return placed.withColumn("in_part_list", F.col("link_rank") <= listed).drop("print_of")
+
+
+def part_links(
+    candidates: DataFrame, components: DataFrame, geometry: DataFrame, subject: str, entity: str, part: str,
+    role: str, component_role: str, score: str, roles: DataFrame, strict_score: float = 0.9,
+) -> DataFrame:
+    """The links of ``expand_to_parts`` with ``print_of`` and without their places, for uses that need no order."""
     hop = candidates.join(small_side(roles), role).join(components, [entity, component_role])
     best = hop.groupBy(subject, "component_id", part, "print_of").agg(
         F.max_by(F.struct(F.col(score).alias("score"), F.col(entity).alias("entity")),
@@ -236,11 +247,12 @@ def expand_to_parts(
         .when(~printed, "base_substrate_link")
         .when(F.col("_b.score") >= strict_score, "strict_print_link").otherwise("unverified_print_link")
     )
-    flat = linked.select(subject, "component_id", part, "print_of", F.col("_b.score").alias(score),
+    return linked.select(subject, "component_id", part, "print_of", F.col("_b.score").alias(score),
                          F.col("_b.entity").alias(entity), kind.alias("link_class"))
-    order = [F.col(score).desc(), part, "component_id", F.col("print_of").asc_nulls_first()]
-    placed = position(flat, order, [subject], name="link_rank")
-    return placed.withColumn("in_part_list", F.col("link_rank") <= listed).drop("print_of")
+
+
+#: Links of a component that meet with arrays of assets, and about how many assets an array holds.
+FEW_LINKS, ASSETS = 16, 1000
 
 
 def geometry_links(links: DataFrame, geometry: DataFrame, subject: str, part: str, asset: str) -> DataFrame:
@@ -248,13 +260,28 @@ def geometry_links(links: DataFrame, geometry: DataFrame, subject: str, part: st
 
     ``geometry(part, asset, ...)`` holds every asset of a part; codes meet without regard to case. A plain part gives a ``base`` row, which says nothing about a print; a printed one gives a ``raw`` row, and a ``strict`` row too where its link
     class is strict. A component and an asset count once in a list, with their best score.
+
+    A component with one link has nothing to be best of. The links of one with up to ``FEW_LINKS`` meet with the assets of their parts as arrays (at most about ``ASSETS`` in each, dealt by hash beyond that), and a link gives the assets
+    that no better one has; only components of more links meet asset by asset.
     """
     code = lambda c: F.lower(F.col(c).cast("string"))
     assets = geometry.where(F.col(asset).isNotNull()).select(code(part).alias("_code"), F.col(asset)).distinct()
     kinds = F.when(F.col("link_class") == "base_substrate_link", F.array(F.lit("base"))).when(F.col("link_class") == "strict_print_link", F.array(F.lit("raw"), F.lit("strict"))).when(F.col("link_class") == "unverified_print_link", F.array(F.lit("raw")))
-    rows = links.withColumn("_code", code(part)).join(assets, "_code").withColumn("list", F.explode(kinds))
-    best = rows.groupBy(subject, "list", "component_id", asset).agg(F.max(F.struct(F.col("score"), F.col("entity"), F.col(part).alias("part"))).alias("_b"))
-    return best.select(subject, "list", "component_id", F.col("_b.part").alias(part), asset, "_b.score", "_b.entity")
+    links = links.select(subject, "component_id", "score", "entity", F.col(part).alias("_part"), code(part).alias("_code"), kinds.alias("_lists")).where("_lists is not null and _code is not null")
+    links = links.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(subject, "component_id")))
+    assets = stored(assets)
+    most = assets.groupBy("_code").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    held = assets.groupBy("_code", F.pmod(F.xxhash64(asset), F.lit(1 + most // ASSETS)).alias("_deal")).agg(F.collect_list(asset).alias("_assets"))
+    alone = links.where("_n = 1").join(held, "_code").withColumn("list", F.explode("_lists")).withColumn(asset, F.explode("_assets"))
+
+    few = links.where(F.col("_n").between(2, FEW_LINKS)).join(held, "_code").repartition(subject, "component_id", "_deal").withColumn("list", F.explode("_lists"))
+    better = W.partitionBy(subject, "component_id", "_deal", "list").orderBy(*[F.col(c).desc() for c in ("score", "entity", "_part")]).rowsBetween(W.unboundedPreceding, -1)
+    few = few.withColumn("_taken", F.flatten(F.collect_list("_assets").over(better))).withColumn(asset, F.explode(F.array_except("_assets", "_taken")))
+
+    many = links.where(F.col("_n") > FEW_LINKS).join(assets, "_code").withColumn("list", F.explode("_lists"))
+    many = many.groupBy(subject, "list", "component_id", asset).agg(F.max(F.struct("score", "entity", "_part")).alias("_b")).select("*", "_b.*")
+    rows = [df.select(subject, "list", "component_id", F.col("_part").alias(part), asset, "score", "entity") for df in (alone, few, many)]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 # Order of representation states, strongest first.

@@ -157,13 +157,13 @@ def expand_to_parts(t):
     return _expanded(t)
 
 
-def _expanded(t):
+def _expanded(t, operator=joins.expand_to_parts):
     # SQL rounds the binary product (0.01945 gives 0.0194), ``round`` to four digits the decimal text
     cand = t.orders.select("o_custkey", F.col("o_orderkey").alias("fig"), F.when(F.col("o_orderstatus") == "F", "head").otherwise("torso").alias("role"), (F.round(F.col("o_totalprice") / 500000 * 10000) / 10000).alias("score"))
     comp = t.lineitem.select(F.col("l_orderkey").alias("fig"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("component_id"), "l_partkey",
                              F.when(F.col("l_returnflag") == "R", "head").otherwise("torso").alias("component_role"), F.when(F.col("l_quantity") > 25, "base").alias("print_of")).distinct()
     roles = t.spark.createDataFrame([("head", "head"), ("torso", "torso"), ("torso", "head")], "role string, component_role string")
-    return joins.expand_to_parts(cand, comp, t.part.select(F.when(F.col("p_size") <= 25, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("l_partkey")), "o_custkey", "fig", "l_partkey", "role", "component_role", "score", roles)
+    return operator(cand, comp, t.part.select(F.when(F.col("p_size") <= 25, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("l_partkey")), "o_custkey", "fig", "l_partkey", "role", "component_role", "score", roles)
 
 
 @query("geometry_links", EXPAND_SQL.rstrip() + """, ge as (select distinct case when p_size <= 25 then l_partkey end as l_partkey, 'asset-' || l_suppkey % 40 as asset_id from lineitem join part on p_partkey = l_partkey),
@@ -173,7 +173,7 @@ def geometry_links(t):
     """Base, raw and strict links of every customer's parts with all assets of the part."""
     assets = t.lineitem.join(t.part.select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.when(F.col("p_size") <= 25, F.col("l_partkey")).alias("l_partkey"), F.concat(F.lit("asset-"), F.col("l_suppkey") % 40).alias("asset_id"))
-    return joins.geometry_links(_expanded(t).withColumnRenamed("fig", "entity"), assets, "o_custkey", "l_partkey", "asset_id")
+    return joins.geometry_links(_expanded(t, joins.part_links).withColumnRenamed("fig", "entity"), assets, "o_custkey", "l_partkey", "asset_id")
 
 
 @query("alias_retrieval", """

@@ -75,3 +75,29 @@ def test_distinct_rows_of_a_star_are_dealt_by_their_number(spark, monkeypatch):
     fact = spark.range(1000).select((F.col("id") % 500).alias("a"), (F.col("id") % 7).alias("b"))
     out = joins.star_join(fact, [(spark.range(5).withColumnRenamed("id", "k"), F.col("b") == F.col("k"))], ["a", "b"])
     assert out.rdd.getNumPartitions() == 11 and sorted(map(tuple, out.collect())) == sorted({(i % 500, i % 7) for i in range(1000) if i % 7 < 5})
+
+
+def test_geometry_links_need_no_places(compare, monkeypatch):
+    """The places of a part list are numbered over all links, which the link lists do not use."""
+    monkeypatch.setattr(joins, "position", lambda *a, **k: pytest.fail("places are numbered"))
+    compare("geometry_links")
+
+
+@pytest.mark.parametrize("few, assets", [(16, 1000), (3, 1000), (16, 2), (1, 1)])
+def test_links_of_a_component_share_assets(spark, monkeypatch, few, assets):
+    """Components of 1 to 8 links, equal links and ties of score and entity among them; a code in two cases, a part without assets."""
+    monkeypatch.setattr(joins, "FEW_LINKS", few, raising=False)
+    monkeypatch.setattr(joins, "ASSETS", assets, raising=False)
+    kinds = ["base_substrate_link", "strict_print_link", "unverified_print_link", "no_geometry"]
+    links = [(i % 2 or None, c, f"P{(c * 5 + i * 3) % 7}", (i * c) % 3 / 2, i % 2, kinds[(i + c) % 4]) for c in range(8) for i in range(c + 1)]
+    links.append(links[-1])
+    held = [(f"{'pP'[a % 2]}{p}", f"a{a % 5}") for p in range(6) for a in range(p, 2 * p + 2)]
+    want = {}
+    for subject, c, part, score, entity, kind in links:
+        for name in {"base_substrate_link": ["base"], "strict_print_link": ["raw", "strict"], "unverified_print_link": ["raw"]}.get(kind, []):
+            for asset in {a for p, a in held if p.lower() == part.lower()}:
+                key = (subject, name, c, asset)
+                want[key] = max(want.get(key, (-1.0,)), (score, entity, part))
+    df = spark.createDataFrame(links, "subject long, component_id long, part string, score double, entity long, link_class string")
+    out = joins.geometry_links(df, spark.createDataFrame(held, "part string, asset string"), "subject", "part", "asset").collect()
+    assert len(out) == len(want) and {(r.subject, r.list, r.component_id, r.asset): (r.score, r.entity, r.part) for r in out} == want
