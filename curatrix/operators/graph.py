@@ -197,7 +197,7 @@ def flatten_hierarchy(roots: DataFrame, refs: DataFrame, known: DataFrame, stric
     the missing references. A cycle below a root raises; so does a missing part when ``strict_missing``.
 
     Pointer doubling: round r holds the chains of exactly 2^r references and appends them to all occurrences less than 2^r deep, so that a nesting of depth d takes about log2(d) rounds. A chain that meets itself is kept
-    as a loop and not prolonged: it raises if an occurrence reaches it.
+    as a loop and not prolonged: it raises if an occurrence reaches it. Below the first reference every parent is some reference's child, so only such references are doubled.
     """
     if "invert" not in refs.columns:
         refs = refs.withColumn("invert", F.lit(False))
@@ -205,24 +205,38 @@ def flatten_hierarchy(roots: DataFrame, refs: DataFrame, known: DataFrame, stric
     # Boolean exclusive or, written as inequality.
     turned = F.coalesce("invert", F.lit(False)) != (determinant("m") < 0)
     steps = refs.select(F.col("parent").alias("top"), "child", F.array("child").alias("tail"), "m", turned.alias("turn"), (F.col("parent") == F.col("child")).alias("loop"))
-    chains = stored(steps.join(parts, "child"))
-    found = stored(roots.select(
-        F.col("part").alias("root"), "part", F.array("part").alias("path"), F.array(*[F.lit(x) for x in IDENTITY]).alias("m"), F.lit(False).alias("flip"), F.lit(0).alias("depth")))
-    while True:
+    # Children that are not known are looked for once, by name; where there are none, no reference has to meet the parts.
+    children = stored(refs.select("child").distinct())
+    unknown = stored(children.join(parts, "child", "left_anti"))
+    complete = unknown.isEmpty()
+    if not complete:
+        steps = steps.where("child is not null").join(unknown, "child", "left_anti")
+    at_root = roots.select(F.col("part").alias("root"), "part", F.array("part").alias("path"), F.array(*[F.lit(x) for x in IDENTITY]).alias("m"), F.lit(False).alias("flip"), F.lit(0).alias("depth"))
+
+    def placed(found: DataFrame, chains: DataFrame) -> DataFrame:
         grown = found.withColumnRenamed("m", "pm").join(chains.withColumnsRenamed({"m": "cm", "top": "part"}), "part")
         looped = F.col("loop") | F.arrays_overlap("path", "tail")
         grown = stored(grown.select("root", F.col("child").alias("part"), F.concat("path", "tail").alias("path"), compose("pm", "cm").alias("m"), (F.col("flip") != F.col("turn")).alias("flip"), (F.col("depth") + F.size("tail")).alias("depth"), looped.alias("loop")))
-        if grown.isEmpty():
-            break
         bad = grown.where("loop").take(1)
         if bad:
             path = bad[0]["path"]
             end = next(i for i, p in enumerate(path) if p in path[:i])
             raise ValueError(f"cyclic reference: {' -> '.join(path[: end + 1])}")
-        found = found.unionByName(grown.drop("loop"))
+        return grown.drop("loop")
+
+    below = placed(at_root, steps)
+    chains = stored(steps.join(children.select(F.col("child").alias("top")), "top", "left_semi"))
+    while not chains.isEmpty():
+        grown = placed(below, chains)
+        if grown.isEmpty():
+            break
+        below = below.unionByName(grown)
         a, b = chains.where("not loop").withColumnsRenamed({"m": "pm", "child": "mid", "tail": "head", "turn": "before"}), chains.withColumnsRenamed({"top": "mid", "m": "cm", "loop": "ends"})
         met = F.col("ends") | F.arrays_overlap("head", "tail") | F.array_contains("tail", F.col("top"))
         chains = stored(a.join(b, "mid").select("top", "child", F.concat("head", "tail").alias("tail"), compose("pm", "cm").alias("m"), (F.col("before") != F.col("turn")).alias("turn"), met.alias("loop")))
+    found = at_root.unionByName(below)
+    if complete:
+        return found, refs.select("parent", "child").where("false")
     lost = refs.join(parts, "child", "left_anti").select("parent", "child").distinct()
     lost = lost.join(found.select(F.col("part").alias("parent")).distinct(), "parent", "left_semi")
     if strict_missing:

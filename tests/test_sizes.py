@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows_of
-from curatrix.operators import geometry, joins
+from curatrix.operators import geometry, graph, joins
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -101,3 +101,15 @@ def test_links_of_a_component_share_assets(spark, monkeypatch, few, assets):
     df = spark.createDataFrame(links, "subject long, component_id long, part string, score double, entity long, link_class string")
     out = joins.geometry_links(df, spark.createDataFrame(held, "part string, asset string"), "subject", "part", "asset").collect()
     assert len(out) == len(want) and {(r.subject, r.list, r.component_id, r.asset): (r.score, r.entity, r.part) for r in out} == want
+
+
+def test_references_of_roots_are_not_doubled(spark, monkeypatch):
+    """200 roots place two parts, the parts one mould: chains hold the references below parts only."""
+    seen, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: seen.append(keep(df)) or seen[-1])
+    refs = [(f"r{i}", p) for i in range(200) for p in ("p", "q")] + [("p", "m"), ("q", "m")]
+    r = spark.createDataFrame([(*x, 1, [1.0, 0, 0, 2.0, 0, 1.0, 0, 0, 0, 0, 1.0, 0]) for x in refs], "parent string, child string, line_no int, m array<double>")
+    part = lambda names: spark.createDataFrame([(n,) for n in names], "part string")
+    found, lost = graph.flatten_hierarchy(part([f"r{i}" for i in range(200)]), r, part("pqm"))
+    assert found.groupBy("depth").count().orderBy("depth").collect() == [(0, 200), (1, 400), (2, 400)] and lost.isEmpty()
+    assert max(df.count() for df in seen if "top" in df.columns) == 2
