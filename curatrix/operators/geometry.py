@@ -143,20 +143,21 @@ def transform_triangles(triangles: DataFrame, occurrences: DataFrame) -> DataFra
     return out.withColumn("v", F.when(F.col("flip"), turned).otherwise(F.col("v"))).drop("flip")
 
 
-def aabb_overlap_join(left: DataFrame, right: DataFrame, ident: str, width: float, eps: float = 1e-9, self_join: bool = False, same: Column | None = None) -> DataFrame:
+def aabb_overlap_join(left: DataFrame, right: DataFrame, ident: str, width: float, eps: float = 1e-9, self_join: bool = False, same: Column | None = None, corners: bool = False) -> DataFrame:
     """Pairs of boxes ``(ident, x0, x1, y0, y1, z0, z1)`` that overlap on all axes.
 
     Boxes meet on the cells of the larger one's size class (``ranges.overlap_join``), of which ``width`` is the finest: a crowded stretch of one axis is split by the other two, and a box over all
-    cells still lies in eight at most.
+    cells still lies in eight at most. ``corners`` keeps both boxes in the columns of ``box_metrics``, so that pairs need not meet their boxes again.
     """
     axes = [(f"{a}0", f"{a}1") for a in AXES]
     kept = [ident, *[c for axis in axes for c in axis], *[c for c in left.columns if c == "owner"]]
-    pairs = overlap_join(left.select(*kept), right.select(*kept), axes, axes, width, eps)
+    pairs = overlap_join(left.select(*kept), right.select(*kept), axes, axes, width, eps, dealt=self_join)
     if self_join:
         pairs = pairs.where(F.col(f"a_{ident}") < F.col(f"b_{ident}"))
     if same is not None:
         pairs = pairs.where(same)
-    return pairs.select(F.col(f"a_{ident}").alias("left_id"), F.col(f"b_{ident}").alias("right_id"))
+    kept = [f"{s}_{c}" for s in "ab" for axis in axes for c in axis] if corners else []
+    return pairs.select(F.col(f"a_{ident}").alias("left_id"), F.col(f"b_{ident}").alias("right_id"), *kept)
 
 
 def collision_candidates(triangles: DataFrame, width: float, eps: float = 1e-9) -> DataFrame:

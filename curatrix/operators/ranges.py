@@ -35,17 +35,18 @@ def _entered(df: DataFrame, axes: Sequence[tuple[Column, Column]], others: list[
     return out.select("_at", "_step", *[f"_cell{i}" for i in range(len(axes))], *[F.col(c).alias(f"{prefix}{c}") for c in kept])
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_axes: Sequence[tuple[str, str]], right_axes: Sequence[tuple[str, str]], width: float, eps: float = 0.0, half_open: bool = False) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, left_axes: Sequence[tuple[str, str]], right_axes: Sequence[tuple[str, str]], width: float, eps: float = 0.0, half_open: bool = False, dealt: bool = False) -> DataFrame:
     """Pairs of rows whose boxes share a point, columns prefixed ``a_`` and ``b_``; ``width`` is the length of the finest cells.
 
     An axis is a pair of columns, low and high; a point names one column twice. Boxes are closed and ``eps`` wider at both ends; ``half_open`` leaves out the high end of the right side. Boxes with a null bound or whose high
-    end lies below the low one meet nothing.
+    end lies below the low one meet nothing. ``dealt`` deals both sides by their cells: for sides of like size with many cells, which the planner may take for small and join in the few tasks that read the other one.
     """
     columns = lambda axes: [(F.col(low).cast("double"), F.col(high).cast("double")) for low, high in axes]
     a, b = columns(left_axes), columns(right_axes)
     left, right = left.withColumn("_class", _class(a, width, eps)), right.withColumn("_class", _class(b, width, eps))
     cells = [f"_cell{i}" for i in range(len(a))]
-    entered = _entered(left, a, _classes(right), width, eps, "a_").join(_entered(right, b, _classes(left), width, eps, "b_").drop("_step"), ["_at", *cells])
+    other = _entered(right, b, _classes(left), width, eps, "b_").drop("_step")
+    entered = _entered(left, a, _classes(right), width, eps, "a_").join(other.hint("merge") if dealt else other, ["_at", *cells])
     pairs = entered.where(F.col("_at") == F.greatest("a__class", "b__class"))
     for i, ((l0, l1), (r0, r1)) in enumerate(zip(left_axes, right_axes, strict=True)):
         first = F.floor((F.greatest(f"a__low{i}", f"b__low{i}") - eps) / F.col("_step"))

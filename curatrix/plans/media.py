@@ -30,8 +30,7 @@ with p as ({OVERLAP_SQL}), b as ({BOX_SQL}), j as (select left_id, right_id, a.x
 select left_id, right_id, va as volume_a, vb as volume_b, i as intersection, ub as union_box_volume, round(i / (va + vb - i), 6) as iou from m""")
 def box_iou(t):
     b = boxes(t)
-    side = lambda p, key: b.select(F.col("id").alias(key), *[F.col(f"{a}{i}").alias(f"{p}_{a}{i}") for a in "xyz" for i in (0, 1)])
-    pairs = geometry.aabb_overlap_join(b, b, "id", 12.0, self_join=True).join(side("a", "left_id"), "left_id").join(side("b", "right_id"), "right_id")
+    pairs = geometry.aabb_overlap_join(b, b, "id", 12.0, self_join=True, corners=True)
     out = geometry.box_metrics(pairs)
     return out.select("left_id", "right_id", "volume_a", "volume_b", "intersection", "union_box_volume", F.round("iou", 6).alias("iou"))
 

@@ -113,3 +113,11 @@ def test_references_of_roots_are_not_doubled(spark, monkeypatch):
     found, lost = graph.flatten_hierarchy(part([f"r{i}" for i in range(200)]), r, part("pqm"))
     assert found.groupBy("depth").count().orderBy("depth").collect() == [(0, 200), (1, 400), (2, 400)] and lost.isEmpty()
     assert max(df.count() for df in seen if "top" in df.columns) == 2
+
+
+def test_pairs_of_boxes_keep_their_corners(spark):
+    """The ratio of pairs needs one join, not two more for the corners, and no side goes through the driver."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no driver tables")
+    plan = entry.queries()["box_iou"](spark, FOLDER)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Join ") == 1 and "Broadcast" not in plan.sparkPlan().toString()
