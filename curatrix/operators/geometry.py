@@ -160,14 +160,27 @@ def aabb_overlap_join(left: DataFrame, right: DataFrame, ident: str, width: floa
     return pairs.select(F.col(f"a_{ident}").alias("left_id"), F.col(f"b_{ident}").alias("right_id"), *kept)
 
 
-def collision_candidates(triangles: DataFrame, width: float, eps: float = 1e-9) -> DataFrame:
-    """Pairs of triangles of different parts whose boxes overlap; ``tri_id`` must be unique."""
+def _triangle_boxes(triangles: DataFrame, *columns: str) -> DataFrame:
     low = lambda a: F.least(*[_point(i, a) for i in range(3)])
     high = lambda a: F.greatest(*[_point(i, a) for i in range(3)])
-    boxes = triangles.select("tri_id", F.col("mesh_id").alias("owner"), *[f(a).alias(f"{a}{i}") for a in AXES for i, f in ((0, low), (1, high))])
+    return triangles.select(*columns, F.col("mesh_id").alias("owner"), *[f(a).alias(f"{a}{i}") for a in AXES for i, f in ((0, low), (1, high))])
+
+
+def collision_candidates(triangles: DataFrame, width: float, eps: float = 1e-9) -> DataFrame:
+    """Pairs of triangles of different parts whose boxes overlap; ``tri_id`` must be unique."""
+    boxes = _triangle_boxes(triangles, "tri_id")
     return aabb_overlap_join(boxes, boxes, "tri_id", width, eps, True, F.col("a_owner") != F.col("b_owner"))
 
 
+def collision_counts(triangles: DataFrame, width: float, eps: float = 1e-9) -> DataFrame:
+    """``(left_part, right_part, triangle_pairs)``: how many pairs ``collision_candidates`` has for two parts. Triangles of a part with equal boxes, as the two halves of a flat face, meet the others as one box with their number."""
+    axes = [(f"{a}0", f"{a}1") for a in AXES]
+    boxes = _triangle_boxes(triangles)
+    boxes = boxes.groupBy(*boxes.columns).agg(F.count(F.lit(1)).alias("n"))
+    pairs = overlap_join(boxes, boxes, axes, axes, width, eps, dealt=True).where("a_owner < b_owner")
+    return pairs.groupBy(F.col("a_owner").alias("left_part"), F.col("b_owner").alias("right_part")).agg(F.sum(F.col("a_n") * F.col("b_n")).alias("triangle_pairs"))
+
+
 def slice_range_join(items: DataFrame, heights: DataFrame, low: str, high: str, height: str, width: float) -> DataFrame:
     """Rows whose interval ``[low, high]`` contains a height: points meet intervals on the cells of the interval's size class, ``width`` the finest."""
     pairs = overlap_join(items, heights, [(low, high)], [(height, height)], width)

@@ -61,10 +61,7 @@ select id as left_part, id2 as right_part, count(*) as triangle_pairs from t whe
 @query("collision_candidates", COLLISION_SQL)
 def collision_candidates(t):
     """Triangle pairs of different parts with overlapping boxes, counted per pair of parts."""
-    mesh = box_meshes(t).withColumn("tri_id", F.col("mesh_id") * 12 + F.col("tri_id"))
-    pairs = geometry.collision_candidates(mesh, 12.0)
-    part = lambda c: F.expr(f"{c} div 12")
-    return pairs.groupBy(part("left_id").alias("left_part"), part("right_id").alias("right_part")).agg(F.count(F.lit(1)).alias("triangle_pairs"))
+    return geometry.collision_counts(box_meshes(t), 12.0)
 
 
 @query("apply_transform", f"select id, 2 * x0 - y0 + 10 as x, x0 + y0 as y, 0.5 * z0 + id % 7 as z from ({BOX_SQL})")

@@ -115,6 +115,17 @@ def test_references_of_roots_are_not_doubled(spark, monkeypatch):
     assert max(df.count() for df in seen if "top" in df.columns) == 2
 
 
+def test_halves_of_a_face_meet_as_one_box(spark, monkeypatch):
+    """Triangles of few different places, so that many of a mesh have one box: counts are those of the pairs, from fewer rows."""
+    rows = [(m, 10 * m + i, [(float((m * 3 + i // 2 * 7 + k * (i % 3)) % 9), float((m + k) % 4), float(m % 3)) for k in range(3)]) for m in range(30) for i in range(8)]
+    mesh = spark.createDataFrame(rows, "mesh_id long, tri_id long, v array<struct<x:double,y:double,z:double>>")
+    part = lambda c: F.expr(f"{c} div 10")
+    want = sorted(map(tuple, geometry.collision_candidates(mesh, 2.0).groupBy(part("left_id"), part("right_id")).count().collect()))
+    sizes, join = [], geometry.overlap_join
+    monkeypatch.setattr(geometry, "overlap_join", lambda a, *rest, **kw: sizes.append(a.count()) or join(a, *rest, **kw))
+    assert want and sorted(map(tuple, geometry.collision_counts(mesh, 2.0).collect())) == want and sizes[0] < len(rows)
+
+
 def test_pairs_of_boxes_keep_their_corners(spark):
     """The ratio of pairs needs one join, not two more for the corners, and no side goes through the driver."""
     if not os.path.isdir(FOLDER):
