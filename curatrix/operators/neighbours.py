@@ -3,7 +3,7 @@
 The tree splits rows by their nearest pivot until a node holds ``leaf`` rows or one point; every level is one shuffle of the rows that are still to be split, and a node with most of the rows
 is split by many tasks. Nodes keep a centre and the largest angle to it. Pairs of nodes (queries, index) are followed from the root to the leaves, and the triangle inequality on angles
 drops a pair, with all pairs below it, once no member can beat the neighbours that its queries have already. What is left are block products of bounded size. Without any structure in the vectors
-no bound can drop a pair; the result is the same.
+no bound can drop a pair; where the bounds leave more than half of all products the rows are dealt anew, by id into few large blocks, and every pair of blocks is compared. The result is the same.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 from curatrix.operators.scale import small_side, top_k
 from curatrix.session import stored
 
-_STRIPE = 1024
+#: Scores that are held at once.
+_STRIPE = 4 << 20
+#: Blocks on each side, and rows of a block, where all pairs are compared: a row is sent once to each block of the other side, so their number decides what is shuffled.
+_SIDE, _BLOCK = 16, 65_536
 #: Rounding leaves up to 3e-8 between equal vectors; a node of this radius is not split.
 _POINT = 1e-6
 
@@ -103,8 +106,9 @@ def _best_in_block(k: int):
             x = x.sort_values("xid", kind="stable")
             ids, own = x["xid"].to_numpy(), q["id"].to_numpy()
             points, asked = np.stack(x["xunit"].to_numpy()), np.stack(q["unit"].to_numpy())
-            for start in range(0, len(q), _STRIPE):
-                scores = np.round(asked[start: start + _STRIPE] @ points.T, 6)
+            stripe = max(1, _STRIPE // len(ids))
+            for start in range(0, len(q), stripe):
+                scores = np.round(asked[start: start + stripe] @ points.T, 6)
                 least = np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(scores), -2.0)
                 row, at = np.nonzero(scores >= least[:, None])
                 order = np.lexsort((at, -scores[row, at], row))
@@ -162,13 +166,14 @@ def _nearest_points(index: DataFrame, queries: DataFrame, kind: str, k: int, lea
     q, radii = (x, None) if queries is index else _routed(queries, levels, leaf)
 
     def blocked(df: DataFrame, sizes: DataFrame) -> DataFrame:
-        return df.join(small_side(sizes), "node").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        return df.join(small_side(sizes.drop("n")), "node").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
-    count = lambda df: stored(df.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks")))
+    count = lambda df, leaf=leaf: stored(df.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")))
     xs = count(x)
     qs = xs if q is x else count(q)
     schema = f"query_id {kind}, neighbour_id {kind}, cosine double"
-    xb = blocked(x, xs).select(F.col("node").alias("b"), F.col("blk").alias("xk"), F.col("id").alias("xid"), F.col("unit").alias("xunit"))
+    indexed = lambda df, sizes: blocked(df, sizes).select(F.col("node").alias("b"), F.col("blk").alias("xk"), F.col("id").alias("xid"), F.col("unit").alias("xunit"))
+    xb = indexed(x, xs)
     # First look: one block of the query's own leaf.
     first = _renamed(blocked(q, xs)).groupBy("node", "blk").cogroup(_renamed(xb).groupBy("b", "xk")).applyInPandas(_best_in_block(k), schema)
     if nodes is None:
@@ -185,6 +190,15 @@ def _nearest_points(index: DataFrame, queries: DataFrame, kind: str, k: int, lea
         tight = paths.groupBy("leaf").agg(F.least(F.first("limit"), F.min("reach")).alias("limit"))
         limits = tight.select(F.explode(_above("leaf")).alias("node"), "limit").groupBy("node").agg(F.max("limit").alias("limit"))
         pairs = _followed(figures, limits)
+        total = lambda sizes: sizes.agg(F.sum("n")).first()[0] or 0
+        n_q, n_x = total(qs), total(xs)
+        left = pairs.join(qs.select(F.col("node").alias("a"), F.col("n").alias("qn")), "a").join(xs.select(F.col("node").alias("b"), F.col("n").alias("xn")), "b")
+        if 2 * (left.agg(F.sum(F.col("qn") * F.col("xn"))).first()[0] or 0) > n_q * n_x:
+            whole = lambda df, n: (df.withColumn("node", F.lit("r")), min(max(leaf, -(-n // _SIDE)), _BLOCK))
+            (x, x_leaf), (q, q_leaf) = whole(x, n_x), whole(q, n_q)
+            xs, qs = count(x, x_leaf), count(q, q_leaf)
+            xb = indexed(x, xs)
+            pairs = xs.select(F.col("node").alias("a"), F.col("node").alias("b"))
     tasks = pairs.join(qs.select(F.col("node").alias("a"), F.col("blocks").alias("qn")), "a").join(xs.select(F.col("node").alias("b"), F.col("blocks").alias("xn")), "b")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tasks = stored(tasks.withColumn("qk", numbers("qn")).withColumn("xk", numbers("xn")).select("a", "qk", "b", "xk"))

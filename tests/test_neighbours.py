@@ -61,3 +61,13 @@ def test_whole_subtrees_are_dropped(spark, monkeypatch):
     """Where vectors have groups, the pairs of leaves that are compared are a small part of all."""
     pairs, leaves = leaf_pairs(spark, monkeypatch, clustered(7, 24, 30, 16, 0.03), 12)
     assert leaves > 100 and pairs < 0.35 * leaves * leaves
+
+
+def test_vectors_without_groups_meet_in_few_blocks(spark, monkeypatch):
+    """No bound drops a pair of these: leaves of at most 40 rows make way for 8 blocks on each side."""
+    seen, keep = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df: seen.append(keep(df)) or seen[-1])
+    v = clustered(9, 300, 1, 32, 0)
+    df = frame(spark, v)
+    assert got(neighbours.nearest_neighbours(df, df, "id", "unit", 3, 40, 4)) == plain(v, v, 3, True)
+    assert [d.count() for d in seen if d.columns == ["a", "qk", "b", "xk"]] == [64]
