@@ -4,7 +4,7 @@ Levels. Level 1 holds the hashes of all training words (one more token ends each
 Level ``k`` holds, for each node of level ``k - 1``, its successors: at level 2 the next word's id, from level 3 on its *rank among the successors
 of the shorter context* (``w`` after ``u v`` is stored as the rank of ``w`` among the successors of ``v``). A level is one monotone sequence
 ``parent * width + child`` and one monotone sequence of pointers, both in Elias-Fano form, 8-bit codes of the smoothed probabilities
-and of the weight left to the shorter context, and a bit filter that spares most searches for what is not there. Levels are cut into shards by ranges of parents, built by sorted partitions and mapped into
+and of the weight left to the shorter context, and a bit filter that spares most searches for what is not there; all levels but the last have counts too. Levels are cut into shards by ranges of parents, built by sorted partitions and mapped into
 memory by the scoring tasks; nothing of them passes through the driver but the list of shards.
 
 Model. ``P1`` is the add-one estimate; above it absolute discounting is interpolated: ``P(w|h) = (c(hw) - D) / c(h) + left(h) P(w|h')``. N-grams of order 2
@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, Stru
 
 from curatrix.llm import files
 from curatrix.llm.text import SPACED, U, fresh, mix, per_text, slices, word_hashes, words
-from curatrix.session import materialize
+from curatrix.session import materialize, tidy
 
 END = 1
 SLICE = 1 << 21
@@ -224,7 +224,12 @@ class Trie:
         out = np.zeros(len(nodes), np.int64)
         cut = np.searchsorted(nodes, before).tolist() + [len(nodes)]
         for s in range(len(before)):
-            out[cut[s]: cut[s + 1]] = maps[s]["count"][nodes[cut[s]: cut[s + 1]] - before[s]]
+            at = nodes[cut[s]: cut[s + 1]] - before[s]
+            own = maps[s]["count"][at].astype(np.int64)
+            if "large" in maps[s]:
+                over = np.flatnonzero(own == _LARGE)
+                own[over] = maps[s]["large"][np.searchsorted(maps[s]["large_at"], at[over])]
+            out[cut[s]: cut[s + 1]] = own
         return out
 
     @staticmethod
@@ -449,6 +454,15 @@ def _sizes(n: np.ndarray) -> np.ndarray:
     return n.astype(np.uint32 if n.max() < 1 << 32 else np.int64)
 
 
+_LARGE = 255
+
+
+def _short(n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; those that do not fit stand apart, with their places."""
+    at = np.flatnonzero(n >= _LARGE)
+    return {"count": np.minimum(n, _LARGE).astype(np.uint8), "large": _sizes(n[at]) if len(at) else np.zeros(0, np.uint32), "large_at": at.astype(np.int64)}
+
+
 def vocabulary(docs: DataFrame, *, text: str = "text") -> Model:
     """Level 1: all words of all rows, counted."""
     spark = docs.sparkSession
@@ -517,7 +531,7 @@ def grow(model: Model, rows: DataFrame, ids: Column, *, order: int = 3, min_coun
             p = (n - discount) / np.maximum(_trie(*args).counts_of(level - 1, np.arange(base, base + many))[parent], 1)
             left = 1 - np.bincount(parent, weights=p, minlength=many)
             starts = np.searchsorted(parent, np.arange(many + 1))
-            data = _named("key", encode_sequence(k - base * width)) | _named("from", encode_sequence(starts)) | {"bits": _filter(k - base * width), "p": _code(p), "left": _code(np.clip(left, 1e-8, 1)), "count": _sizes(n)}
+            data = _named("key", encode_sequence(k - base * width)) | _named("from", encode_sequence(starts)) | {"bits": _filter(k - base * width), "p": _code(p), "left": _code(np.clip(left, 1e-8, 1))} | (_short(n) if level + 1 < order else {})
             name = files.write_file(model.folder, f"{level + 1}-{shard}-{uuid.uuid4().hex}", _pack(data))
             return {"first": base, "nodes": len(k), "total": int(n.sum()), "widest": int(np.diff(starts).max()), "name": name}
 
@@ -532,15 +546,16 @@ def grow(model: Model, rows: DataFrame, ids: Column, *, order: int = 3, min_coun
 def _stored(df: DataFrame, model: Model) -> DataFrame:
     """Written to the folder of the model: the words of each text are looked up once for all levels."""
     path = f"{model.folder}/rows-{uuid.uuid4().hex[:8]}"
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.options(**{"parquet.enable.dictionary": "false", "compression": "zstd"}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def train(docs: DataFrame, *, text: str = "text", **options) -> Model:
     """Counts the n-grams of all rows and builds the trie."""
-    model = vocabulary(docs, text=text)
-    rows = _stored(numbered(docs, model, text=text, keep=[]), model)
-    return grow(model, rows, F.col("numbers")["ids"], **options)
+    with tidy(docs.sparkSession):
+        model = vocabulary(docs, text=text)
+        rows = _stored(numbered(docs, model, text=text, keep=[]), model)
+        return grow(model, rows, F.col("numbers")["ids"], **options)
 
 
 _SCORED = StructType([*_NUMBERED.fields[1:], StructField("score", DoubleType())])
@@ -583,9 +598,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """Trains on the rows that are not held out and scores all rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", "text", held.alias("held_out"))
-    model = vocabulary(docs.where(~F.col("held_out")))
-    rows = _stored(numbered(docs, model, keep=["doc_id", "held_out"]), model)
-    grow(model, rows.where(~F.col("held_out")), F.col("numbers")["ids"], **options)
+    with tidy(docs.sparkSession):
+        model = vocabulary(docs.where(~F.col("held_out")))
+        rows = _stored(numbered(docs, model, keep=["doc_id", "held_out"]), model)
+        grow(model, rows.where(~F.col("held_out")), F.col("numbers")["ids"], **options)
     s = F.col("lm")
     return _score(rows, model, "numbers", "lm", ["doc_id", "held_out"]).select(
         "doc_id", "held_out", s["n_tokens"].alias("n_tokens"), s["n_known"].alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),

@@ -91,3 +91,15 @@ def test_repeated_values_in_pointers():
     values = np.array([0, 0, 0, 4, 4, 9, 9, 9, 12])
     s = lm.Sequence({f"x.{k}": v for k, v in lm.encode_sequence(values).items()}, "x")
     assert s[np.arange(9)].tolist() == values.tolist()
+
+
+def test_counts_in_bytes_and_shuffle_files_that_go(spark):
+    """A count above a byte stands apart, the last level has no counts, and no shuffle file outlives the step that made it."""
+    docs = documents(spark, [(i, "a b " * 200 + "c d e") for i in range(4)])
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    model = lm.train(docs, min_count=1)
+    trie = lm.Trie(model.folder, model.levels, model.widths)
+    nodes = np.arange(sum(len(m["count"]) for m in trie.levels[1][2]))
+    assert sorted(trie.counts_of(1, nodes).tolist()) == [4, 4, 4, 4, 796, 800]
+    assert all(m["count"].dtype == np.uint8 for m in trie.levels[1][2]) and not any("count" in m for m in trie.levels[2][2])
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
