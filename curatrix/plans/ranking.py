@@ -1,8 +1,11 @@
 """Windows, ranks, batches and sorts over the driver tables."""
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
 
 from curatrix.functions import rules
 from curatrix.operators import dedup, queues, rank, review
@@ -162,16 +165,30 @@ def priority_queue(t):
     return queues.priority_queue(t.lineitem, [head, torso], keys).select(*keys, "review_priority_score")
 
 
+BUCKETS = 65
+
+
+def _word_counts(batches):
+    """How many words of each text fall into each bucket."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            piece = batch.slice(start, 256)
+            lists = piece.column(1)
+            at = np.repeat(np.arange(len(lists)) * BUCKETS, lists.value_lengths().to_numpy(zero_copy_only=False))
+            found = np.bincount(at + lists.flatten().to_numpy(zero_copy_only=False), minlength=len(lists) * BUCKETS)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * BUCKETS, pa.int32()), pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([piece.column(0), counts], names=["doc_id", "counts"])
+
+
 def document_codes(t):
-    """Difference hash of the word histogram: whole texts, folded per bucket before it is compared."""
-    words = F.explode(F.split(F.lower("text"), r"\s+"))
-    bucket = F.conv(F.left(F.md5("word"), F.lit(4)), 16, 10).cast("int") % 65
-    hist = t.documents.select("doc_id", words.alias("word")).groupBy("doc_id", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    """Difference hash of the word histogram: whole texts, counted inside their row; rows of one id are added up."""
+    bucket = lambda word: F.conv(F.left(F.md5(word), F.lit(4)), 16, 10).cast("int") % BUCKETS
+    words = t.documents.where("text is not null").select("doc_id", F.transform(F.split(F.lower("text"), r"\s+"), bucket).alias("buckets"))
+    schema = T.StructType([words.schema["doc_id"], T.StructField("counts", T.ArrayType(T.LongType()))])
+    hist = words.mapInArrow(_word_counts, schema).groupBy("doc_id").agg(*[F.sum(F.col("counts")[b]).alias(f"n{b}") for b in range(BUCKETS)])
     # Bit b is set when bucket b holds more words than bucket b + 1.
-    both = F.explode(F.array(F.struct(F.col("b").alias("bit"), F.col("n").alias("v")), F.struct((F.col("b") - 1).alias("bit"), (-F.col("n")).alias("v"))))
-    diff = hist.select("doc_id", both.alias("d")).groupBy("doc_id", F.col("d.bit").alias("bit")).agg(F.sum("d.v").alias("v")).where("bit between 0 and 63")
-    bit = F.when(F.col("v") > 0, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
-    return diff.groupBy("doc_id").agg(F.bit_or(bit).alias("code"))
+    bits = [F.when(F.col(f"n{b}") > F.col(f"n{b + 1}"), F.expr(f"shiftleft(1L, {b})")).otherwise(F.lit(0).cast("long")) for b in range(BUCKETS - 1)]
+    return hist.select("doc_id", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("code"))
 
 
 NEAR_SQL = """

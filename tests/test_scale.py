@@ -1,6 +1,7 @@
 """Balanced building blocks: totals, order and skew."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,24 @@ def test_census_continues_large_entities_on_chunk_rows(spark):
     out = group.nested_census(entities, "k", {"sets": (sets, ["n"], ["n"]), "parts": (parts, ["p"], ["p"])}, chunk=3)
     got = {(r.k, r.chunk_no): ([s.n for s in r.sets], [p.p for p in r.parts], r.name) for r in out.collect()}
     assert got == {("a", 0): ([0, 1, 2], ["p1"], "A"), ("a", 1): ([3, 4, 5], [], "A"), ("a", 2): ([6], [], "A"), ("b", 0): ([1], ["p2", "p3", "p4"], "B"), ("c", 0): ([], [], "C")}
+
+
+def test_document_codes_count_words_inside_their_row(spark):
+    """Rows of one id are added up, null texts give no code, and no row for each word leaves its text."""
+    from hashlib import md5
+    from types import SimpleNamespace
+
+    from curatrix.plans import ranking
+
+    rows = [(1, "A b  c c"), (1, "d e a"), (2, None), (3, ""), (4, " x y x\tz " * 300), (None, "p q"), (None, "q r r"), (5, None), (5, "w w v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hist = {}
+    for i, text in rows:
+        if text is not None:
+            own = hist.setdefault(i, [0] * 65)
+            for word in re.split(r"\s+", text.lower()):
+                own[int(md5(word.encode()).hexdigest()[:4], 16) % 65] += 1
+    want = {i: sum(1 << b for b in range(64) if h[b] > h[b + 1]) for i, h in hist.items()}
+    made = ranking.document_codes(SimpleNamespace(documents=docs))
+    assert {r.doc_id: r.code % (1 << 64) for r in made.collect()} == want
+    assert "Generate" not in made._jdf.queryExecution().toString()
