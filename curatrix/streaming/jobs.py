@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,7 +17,7 @@ from curatrix.operators.review import adjudicate, flatten_reviews, normalise_rev
 from curatrix.operators.scale import null_safe_join
 from curatrix.session import stored
 
-#: Rows that a stateful task hands on at once.
+#: Rows that a stateful task keeps under one key and hands on at once.
 CHUNK = 10_000
 
 
@@ -102,30 +103,45 @@ def _plain(value):
 
 
 class _Reviews(StatefulProcessor):
-    """Keeps the distinct rows of an item under their digest and hands on all of them whenever the item gets rows; ``_new`` marks those that came now."""
+    """Keeps the distinct rows of an item in numbered chunks and hands on all of them whenever the item gets rows; ``_new`` marks those that came now.
+
+    A call to the state costs a round trip to the JVM, so it moves a chunk of rows at a time, never a row."""
 
     def __init__(self, schema: T.StructType):
         self.schema = schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", T.StructType([T.StructField("digest", T.StringType())]), self.schema)
+        self.chunks = handle.getMapState("chunks", T.StructType([T.StructField("number", T.LongType())]), T.StructType([T.StructField("rows", T.BinaryType())]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        names, new = self.schema.names, set()
+        columns = [*self.schema.names, "_new"]
+        known: set[str] = set()
+        number, last = -1, []
+        for (at,), (data,) in self.chunks.iterator():
+            held = pickle.loads(data)
+            known.update(digest for *_, digest in held)
+            if at > number:
+                number, last = at, held
+            yield pd.DataFrame([(*row, False) for *row, _ in held], columns=columns)
+        if number < 0 or len(last) >= CHUNK:
+            number, last = number + 1, []
+        new: list[tuple] = []
         for part in rows:
             # by place: the last column may arrive under another name
             for *row, digest in part.itertuples(index=False, name=None):
-                if not self.rows.containsKey((digest,)):
-                    self.rows.updateValue((digest,), tuple(map(_plain, row)))
-                    new.add(digest)
-        chunk: list[tuple] = []
-        for digest, row in self.rows.iterator():
-            chunk.append((*row, digest[0] in new))
-            if len(chunk) == CHUNK:
-                yield pd.DataFrame(chunk, columns=[*names, "_new"])
-                chunk = []
-        if chunk:
-            yield pd.DataFrame(chunk, columns=[*names, "_new"])
+                if digest in known:
+                    continue
+                known.add(digest)
+                new.append((*map(_plain, row), digest))
+                if len(last) + len(new) >= CHUNK:
+                    yield self._add(number, last, new, columns)
+                    number, last, new = number + 1, [], []
+        if new:
+            yield self._add(number, last, new, columns)
+
+    def _add(self, number: int, last: list[tuple], new: list[tuple], columns: list[str]) -> pd.DataFrame:
+        self.chunks.updateValue((number,), (pickle.dumps(last + new),))
+        return pd.DataFrame([(*row, True) for *row, _ in new], columns=columns)
 
     def close(self) -> None:
         pass

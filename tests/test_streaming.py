@@ -91,3 +91,41 @@ def test_review_log_replays_a_lost_batch(spark, tmp_path, monkeypatch):
     run()
     assert dict(values(jobs.latest_status(spark, status), "item_id", "status")) == {"p1": "needs_adjudication"}
     assert spark.read.parquet(log).count() == 2
+
+
+def test_review_log_moves_chunks_not_rows(monkeypatch):
+    """Rows of an item reach the state a chunk at a time; rows that came before or twice are not kept again."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    calls, kept = [], {}
+
+    class State:
+        def iterator(self):
+            calls.append("read")
+            return iter(sorted(kept.items(), reverse=True))
+
+        def containsKey(self, key):  # noqa: N802
+            calls.append("ask")
+            return key in kept
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append("write")
+            kept[key] = value
+
+    monkeypatch.setattr(jobs, "CHUNK", 100)
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("refs", T.ArrayType(T.StringType()))])
+    item = jobs._Reviews(schema)
+    item.init(SimpleNamespace(getMapState=lambda *_: State()))
+
+    def come(numbers):
+        calls.clear()
+        made = [p for p in item.handleInputRows((1,), iter([pd.DataFrame({"item_id": numbers, "refs": [[str(i)] for i in numbers], "_digest": [f"d{i}" for i in numbers]})]), None)]
+        rows = [r for p in made for r in p.itertuples(index=False, name=None)]
+        return sorted(r[0] for r in rows if r[2]), sorted(r[0] for r in rows if not r[2])
+
+    assert come([*range(250), *range(50)]) == ([*range(250)], []) and len(calls) <= 4
+    assert come([*range(240, 420)]) == ([*range(250, 420)], [*range(250)]) and len(calls) <= 4
+    assert come([7]) == ([], [*range(420)])
