@@ -10,10 +10,11 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 _COMBINING: dict[int, None] = {}
+_ROWS = 64
 
 
 def _fold_value(value: str | None) -> str | None:
@@ -24,9 +25,11 @@ def _fold_value(value: str | None) -> str | None:
     return unicodedata.normalize("NFKD", value).translate(_COMBINING).casefold()
 
 
-@F.pandas_udf(T.StringType())
-def _fold_unicode(values: pd.Series) -> pd.Series:
-    return values.map(_fold_value)
+@F.arrow_udf(T.StringType())
+def _fold_unicode(values: pa.Array) -> pa.Array:
+    """A few rows at a time become Python strings; the rest of a batch stays in its buffers."""
+    parts = [pa.array([_fold_value(v) for v in values.slice(at, _ROWS).to_pylist()], pa.string()) for at in range(0, len(values), _ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def col(c: Column | str) -> Column:

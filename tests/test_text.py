@@ -131,3 +131,13 @@ def test_topology_rules(spark):
     df = spark.createDataFrame(rows, f"i int, routes array<string>, heads {part}, gear {part}")
     got = [(r.t.topology_class, r.t.confidence) for r in df.select("i", C.topology("routes", "heads", "gear").alias("t")).orderBy("i").collect()]
     assert got == [(c, p) for *_, c, p in TOPOLOGY]
+
+
+def test_unicode_fold_takes_a_few_rows_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "_ROWS", 3)
+    values = pa.array(["Straße", None, "Crème", "ﬁ", "", "Å" * 5, "x"])
+    want = ["strasse", None, "creme", "fi", "", "aaaaa", "x"]
+    assert text._fold_unicode.func(values).to_pylist() == want
+    assert text._fold_unicode.func(values.slice(2)).to_pylist() == want[2:] and text._fold_unicode.func(values.slice(7)).to_pylist() == []
