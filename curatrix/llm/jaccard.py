@@ -7,11 +7,16 @@ that lose no link: a set of ``s`` shingles and a partner of it differ in at most
 A block is all sets with one equal class (single shingles take the place of classes for sets below 64), and a set of which fewer than ``m - D`` classes have met another set links with nothing and leaves all blocks; that
 frees documents which only share a passage, however common. Blocks hold sets that have much in common, where distances tell something. Equal sets are one point from the start.
 
-Recursion. In each block the sets with most blocks (one for each of ``k`` slots) are pivots; every set of the block is compared with them exactly. Sets within ``eps`` link. A set goes to the region of its nearest pivot (Voronoi), and also to that of
+Distances. A set's sketch holds the parities of its shingles in ``BITS`` cells. Two sketches differ in no more cells than the sets in shingles, and so do their sizes; the larger of both numbers is a metric and ``2 d / (n + m + d)`` of it again
+(Steinhaus), never above the Jaccard distance. Recursion and comparison go by this bound, 256 bytes a set; texts move only for pairs that it leaves within ``eps`` and that are not connected yet, and these are compared exactly.
+For sets of much more than three times ``BITS`` shingles the bound says little, and only sizes spare texts.
+
+Recursion. In each block of more than ``small`` sets those with most blocks (one for each of four slots) are pivots; every set of the block is compared with them. A set goes to the region of its nearest pivot (Voronoi), and also to that of
 any pivot at most ``2 eps`` farther, and inside a region to the ring of its distance and the next one: by the triangle inequality both ends of every link meet in a ring. Blocks whose sets are already connected need no
-more comparisons and end; the rings of the others are the next blocks, without their pivots. When ``few`` pairs are left, or after ``depth`` levels, the pairs of what is left, of sizes and distances that still allow a link and not connected yet, are compared one by one.
+more comparisons and end; the rings of the others are the next blocks, without their pivots. Once ``few`` pairs are left in blocks, after ``depth`` levels, or when a level leaves more than half of the pairs (it is undone then), the sketches of what is left are compared by tiles of
+``TILE`` by ``TILE`` sets: first each set's text with one partner that its tile offers, then those of all pairs that are still not connected.
 
-Comparisons stream: a pivot's texts are dealt over as many tasks as its partners need, the pivot's text first. No group is collected, nothing but counts reaches the driver.
+Texts stream: a pivot's texts are dealt over as many tasks as its partners need, the pivot's text first. No group is collected, nothing but counts reaches the driver.
 
 Null and empty texts and texts of white space alone have no shingles and link with nothing; a text of fewer words than a shingle has one of all its words. Rows with a null id link with nothing and get a null
 component. Rows of equal id are one document. Empty tables give empty results. Shingles are compared by 64-bit hashes, sets by 128 bits.
@@ -24,14 +29,15 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from curatrix.llm import files
 from curatrix.llm.components import components
-from curatrix.llm.text import U, fresh, mix, shingle_sets, slices
-from curatrix.session import materialize
+from curatrix.llm.text import U, buffers, fresh, mix, shingle_sets, slices
+from curatrix.session import materialize, tidy
 
 SIZE, PERCENT = 4, 85
+BITS, TILE = 2048, 1024
 _FLAT = 6  # labels below use single shingles
 _LONGS = lambda *names: StructType([StructField(n, LongType()) for n in names])
 
@@ -176,6 +182,113 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int, together: int = 204
     return rows.mapInArrow(run, schema)
 
 
+# ------------------------------------------------------------------ sketches
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of a set's shingles in ``BITS`` cells."""
+    cells = np.bincount((hashes >> U(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
+def _cells(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    data, at = buffers(column)
+    return data[at[0]: at[-1]].reshape(len(column), BITS // 8).view(U)
+
+
+def least_apart(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """In how many shingles sets of sizes ``n`` and ``m`` differ at least, by their sketches."""
+    return np.maximum(np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64), np.abs(n - m))
+
+
+def _within(n, m, apart, percent: int):
+    """Whether sets may link that differ in no less than ``apart`` shingles."""
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """``(sid, n, sketch)`` of every set."""
+    schema = StructType([StructField("sid", LongType()), StructField("n", LongType()), StructField("sketch", BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            rows = [(sid, len(s), sketch(s)) for sid, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True) if identity(s)[0] == sid]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=schema.names)
+
+    return texts.select("sid", "text").mapInArrow(run, schema).dropDuplicates(["sid"])
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(sid, pivot, n, m, apart)`` for pairs of sets."""
+    other = sketches.select(F.col("sid").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    rows = pairs.join(sketches, "sid").join(other, "pivot").select("sid", "pivot", "n", "m", "sketch", "other")
+    names = ["sid", "pivot", "n", "m", "apart"]
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(least_apart(_cells(batch.column(4)), _cells(batch.column(5)), n, m))], names=names)
+
+    return rows.mapInArrow(run, _LONGS(*names))
+
+
+def _near(sid: np.ndarray, root: np.ndarray, n: np.ndarray, own: np.ndarray, cells: np.ndarray, cross: bool, percent: int, every: bool, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``(sid, pivot)`` of the pairs of a tile that may link; with ``one`` only the pair of each set with its least partner."""
+    order = np.argsort(sid)
+    sid, root, n, own, cells = (x[order] for x in (sid, root, n, own, cells))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, 4096 // len(sid))
+    for start in range(1, len(sid), step):
+        x, y = slice(start, start + step), slice(0, start + step)
+        met = _within(n[x, None], n[None, y], np.abs(n[x, None] - n[None, y]), percent) & (sid[x, None] > sid[None, y])
+        if not every:
+            met &= root[x, None] != root[None, y]
+        if cross:
+            met &= own[x, None] != own[None, y]
+        i, j = np.nonzero(met)
+        fine = _within(n[x][i], n[j], least_apart(cells[x][i], cells[j], n[x][i], n[j]), percent)
+        i, j = i[fine], j[fine]
+        if one and len(i):
+            first = np.concatenate([[True], i[1:] != i[:-1]])
+            i, j = i[first], j[first]
+        out.append((sid[x][i], sid[j]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (sid[:0], sid[:0])
+
+
+def _tiled(blocks: DataFrame, sketches: DataFrame, percent: int, every: bool, one: bool) -> DataFrame:
+    """The distinct ``(sid, pivot)`` inside blocks that may link and, but with ``every``, are not connected. Blocks are dealt by tiles: parts of about ``TILE`` sets, each with each."""
+    spark = blocks.sparkSession
+    many = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    rows = blocks.join(many, "block").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).join(sketches, "sid")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *[F.col(c).cast("long") for c in ("sid", "root", "n", "own")], "sketch")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "a", "b").sortWithinPartitions("block", "a", "b")
+
+    def run(batches):
+        held: list = []
+        now = None
+
+        def flush():
+            made = _near(*(np.concatenate(x) for x in zip(*held, strict=True)), now[1] != now[2], percent, every, one)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["sid", "pivot"])
+
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            rest = [*[batch.column(i).to_numpy() for i in range(3, 7)], _cells(batch.column(7))]
+            cut = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+            for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if held and tuple(key[:, a]) != now:
+                    yield flush()
+                    held = []
+                now = tuple(key[:, a])
+                held.append([x[a:b] for x in rest])
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, _LONGS("sid", "pivot")).distinct()
+
+
 # ------------------------------------------------------------------ the join
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, size: int, percent: int, every: bool = False):
@@ -183,7 +296,8 @@ class _Join:
         self.spark, self.docs, self.key, self.text, self.size, self.percent = docs.sparkSession, docs, key, text, size, percent
         self.folder = files.shared_folder(self.spark, "jaccard")
         self.eps = 1 - percent / 100
-        self.distances: DataFrame | None = None
+        self.compared: DataFrame | None = None
+        self.root: DataFrame | None = None
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -191,22 +305,26 @@ class _Join:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def compare(self, pairs: DataFrame, name: str) -> None:
-        """Adds the distances of pairs that are not known yet."""
-        if self.distances is not None:
-            pairs = pairs.join(self.distances.select("sid", "pivot"), ["sid", "pivot"], "left_anti")
+        """Compares the texts of pairs that were not compared before, and finds the components anew."""
+        if self.compared is not None:
+            ends = F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")
+            pairs = pairs.select("sid", "pivot", *ends).join(self.compared.select(*ends), ["a", "b"], "left_anti").select("sid", "pivot")
         made = self.stored(_compared(materialize(pairs), self.texts, self.size), name)
-        self.distances = made if self.distances is None else self.distances.unionByName(made)
+        self.compared = made if self.compared is None else self.compared.unionByName(made)
+        self.root = components(self.links(), "sid", "pivot")
 
     def links(self) -> DataFrame:
-        return self.distances.where(100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both"))).select("sid", "pivot")
+        return self.compared.where(100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both"))).select("sid", "pivot")
 
-    def roots(self) -> DataFrame:
-        self.root = components(self.links(), "sid", "pivot")
-        return self.root
+    def rooted(self, rows: DataFrame, of: str, root: str) -> DataFrame:
+        """``rows`` and the root of the set ``of``, itself if it has no link."""
+        if self.root is None:
+            return rows.withColumn(root, F.col(of))
+        return rows.join(self.root.select(F.col("node").alias(of), F.col("root").alias(root)), of, "left").withColumn(root, F.coalesce(root, of))
 
     def open_blocks(self, blocks: DataFrame) -> DataFrame:
         """The blocks whose sets are not all in one component, with the ``root`` of each set."""
-        joined = materialize(blocks.join(self.root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+        joined = materialize(self.rooted(blocks, "sid", "root"))
         if self.every:
             return joined
         apart = joined.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("block")
@@ -218,30 +336,33 @@ class _Join:
         rows = materialize(able(rows))
         blocks = self.stored(shared(rows).select("block", "sid"), "blocks")
         self.texts = self._texts(blocks)
-        weight = blocks.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
-        self.weight = materialize(weight)
-        blocks = self._once(blocks)
+        self.sketches = self.stored(_sketches(self.texts, self.size), "sketches")
+        self.weight = materialize(blocks.groupBy("sid").agg(F.count(F.lit(1)).alias("weight")))
+        blocks, before, ended = self._once(blocks), math.inf, []
         for level in range(depth):
-            blocks = self._level(blocks, level, small)
-            pairs = blocks.groupBy("block").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-            if not pairs:
-                return self.root
-            if pairs <= few:
+            many = materialize(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("many")))
+            pairs = many.where(F.col("many") > small).agg(F.sum(F.col("many") * (F.col("many") - 1) / 2)).first()[0] or 0
+            if pairs > before / 2:
+                blocks = large
+            if pairs <= few or pairs > before / 2:
                 break
-        x, y = blocks.alias("x"), blocks.alias("y")
-        sizes = self.sizes
-        pairs = (x.join(y, F.col("x.block") == F.col("y.block")).where("x.sid < y.sid" if self.every else "x.sid < y.sid and x.root != y.root").select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("pivot")).distinct()
-                 .join(sizes.select("sid", F.col("n").alias("a")), "sid").join(sizes.select(F.col("sid").alias("pivot"), F.col("n").alias("b")), "pivot")
-                 .where(100 * F.least("a", "b") >= self.percent * F.greatest("a", "b")).select("sid", "pivot"))
-        self.compare(pairs, "last")
-        return self.roots()
+            held = many.where(F.col("many") > small).select("block")
+            ended.append(blocks.join(held, "block", "left_anti").select("block", "sid"))
+            large, before = materialize(blocks.join(held, "block").select("block", "sid")), pairs
+            blocks = self._level(large, level)
+        blocks = blocks.select("block", "sid")
+        for part in ended:
+            blocks = blocks.unionByName(part)
+        if not self.every:
+            self.compare(_tiled(self.open_blocks(blocks), self.sketches, self.percent, False, True), "one")
+        self.compare(_tiled(self.open_blocks(blocks), self.sketches, self.percent, self.every, False), "last")
+        return self.root
 
     def _texts(self, blocks: DataFrame) -> DataFrame:
         """``(sid, text)`` of every set in a block: the row of its smallest id, found by id and text, since many texts may have one id."""
         wanted = self.spark.read.schema(blocks.schema).parquet(f"{self.folder}/blocks").select("sid").distinct()
-        firsts = self.sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "digest")).alias("least"), F.first("n").alias("n"))
-        firsts = materialize(firsts.select("sid", "least.doc", "least.digest", "n").join(wanted, "sid"))
-        self.sizes = firsts.select("sid", "n")
+        firsts = self.sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "digest")).alias("least"))
+        firsts = materialize(firsts.select("sid", "least.doc", "least.digest").join(wanted, "sid"))
         # 24 bytes a row; a list beyond this bound is joined by a shuffle instead
         few = F.broadcast(firsts) if firsts.count() <= 500_000 else firsts
         docs = self.docs.select(F.col(self.key).cast("long").alias("doc"), F.col(self.text).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
@@ -253,17 +374,18 @@ class _Join:
         held = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("total"))
         return materialize(blocks.join(held.groupBy("many", "total").agg(F.min("block").alias("block")).select("block"), "block"))
 
-    def _level(self, blocks: DataFrame, level: int, small: int) -> DataFrame:
+    def _level(self, blocks: DataFrame, level: int) -> DataFrame:
         eps = self.eps
-        many = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("many"))
-        slots = F.when(F.col("many") > small, 4).otherwise(1)
-        ranked = blocks.join(many, "block").join(self.weight, "sid").withColumn("slot", F.pmod(F.xxhash64("sid", F.lit(level)), slots).cast("int"))
+        ranked = blocks.join(self.weight, "sid").withColumn("slot", F.pmod(F.xxhash64("sid", F.lit(level)), F.lit(4)).cast("int"))
         pivots = materialize(ranked.groupBy("block", "slot").agg(F.max(F.struct("weight", "sid"))["sid"].alias("pivot")).select("block", "pivot"))
-        asked = blocks.select("block", "sid").join(pivots, "block").where("sid != pivot")
-        self.compare(asked.select("sid", "pivot").distinct(), f"distances-{level}")
-        self.roots()
-        left = self.open_blocks(blocks.select("block", "sid"))
-        known = self.distances.select("sid", "pivot", (1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d"))
+        asked = blocks.join(pivots, "block").where("sid != pivot").select("sid", "pivot").distinct()
+        known = self.stored(_sketched(asked, self.sketches), f"distances-{level}")
+        close = known.where(_within(F.col("n"), F.col("m"), F.col("apart"), self.percent)).select("sid", "pivot")
+        if not self.every:
+            close = self.rooted(self.rooted(close, "sid", "x"), "pivot", "y").where("x != y").select("sid", "pivot")
+        self.compare(close, f"compared-{level}")
+        left = self.open_blocks(blocks)
+        known = known.select("sid", "pivot", (2 * F.col("apart") / (F.col("n") + F.col("m") + F.col("apart"))).alias("d"))
         rest = left.join(pivots.select("block", F.col("pivot").alias("sid")), ["block", "sid"], "left_anti")
         near = rest.join(pivots, "block").join(known, ["sid", "pivot"])
         home = near.groupBy("block", "sid").agg(F.min("d").alias("home"))
@@ -273,20 +395,21 @@ class _Join:
         rings = near.select("pivot", "sid", "root", F.explode(F.array(ring, ring + 1)).alias("ring")).distinct()
         cells = materialize(rings.select(F.xxhash64("pivot", "ring", F.lit(level)).alias("block"), "sid", "root"))
         apart = cells.groupBy("block").agg(F.min("sid" if self.every else "root").alias("a"), F.max("sid" if self.every else "root").alias("b")).where("a < b").select("block")
-        return self._once(cells.join(apart, "block"))
+        return self._once(cells.join(apart, "block").select("block", "sid"))
 
 
-def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int, depth: int = 5, small: int = 32, few: int = 4_000_000, every: bool = False, extra: tuple[str, ...] = ()) -> tuple[_Join, DataFrame]:
+def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int, depth: int = 5, small: int = 64, few: int = 1_000_000, every: bool = False, extra: tuple[str, ...] = ()) -> tuple[_Join, DataFrame]:
     """The join with its rows' sets, columns of longs ``extra`` beside them, and ``(sid, root)`` of the sets that link with another one."""
     join = _Join(docs, key, text, size, percent, every)
-    join.sets = join.stored(described(docs, key, text, size, extra), "sets")
-    bad = join.sets.where("n > 0").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
-    if bad.head(1):
-        raise ValueError("two sets share a 64-bit identity; change the seeds")
-    return join, join.run(depth, small, few)
+    with tidy(join.spark):
+        join.sets = join.stored(described(docs, key, text, size, extra), "sets")
+        bad = join.sets.where("n > 0").groupBy("sid").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
+        if bad.head(1):
+            raise ValueError("two sets share a 64-bit identity; change the seeds")
+        return join, join.run(depth, small, few)
 
 
-def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 32, few: int = 4_000_000, salts: int = 16) -> DataFrame:
+def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 64, few: int = 1_000_000, salts: int = 16) -> DataFrame:
     """``doc, n_shingles, component``: one row per document; ``component`` is the smallest id that its links reach."""
     join, roots = _joined(docs, key, text, size, percent, depth, small, few)
     sets = join.sets.where("n > 0 and doc is not null")
@@ -304,7 +427,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return linked(docs, **options).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 32, few: int = 4_000_000) -> DataFrame:
+def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 64, few: int = 1_000_000) -> DataFrame:
     """``doc, n_shingles, component, n_links``: the link form. Any two different sets that meet in a ring are compared, connected or not, so no link is missing.
 
     ``n_links`` counts the other documents whose sets are equal to that of the row or link with it (one with several linked texts once for each); null for a null id. The number of comparisons grows with the square

@@ -97,6 +97,37 @@ def test_lower_limits_have_classes_enough():
     assert all(jaccard.classes(label, 85) == (2 << label) // 4 for label in range(6, 24))
 
 
+def test_sketches_never_part_more_than_sets():
+    """The bound is no larger than the number of differing shingles, and the metric made of it keeps the triangle inequality."""
+    pick = np.random.default_rng(6)
+    for n in (1, 3, 20, 300, 5000):
+        base = np.unique(pick.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        sets = [np.unique(np.concatenate([base[pick.random(len(base)) < keep], pick.integers(0, 1 << 63, n // 9).astype(np.uint64) << np.uint64(1)])) for keep in (1, 0.95, 0.9, 0.5, 0)]
+        cells = [np.frombuffer(jaccard.sketch(s), np.uint64) for s in sets]
+        d = {(i, j): int(jaccard.least_apart(cells[i], cells[j], len(sets[i]), len(sets[j]))) for i in range(5) for j in range(5)}
+        assert all(d[i, j] <= len(np.setxor1d(sets[i], sets[j])) for i, j in d)
+        far = {(i, j): 2 * x / max(1, len(sets[i]) + len(sets[j]) + x) for (i, j), x in d.items()}
+        assert all(far[i, j] <= far[i, k] + far[k, j] + 1e-9 for i, j in d for k in range(5))
+
+
+def test_texts_of_unlinked_families_are_not_compared(spark):
+    """Sets in common blocks that stay just below the limit cost sketches, not texts by pairs, in the recursion and without it."""
+    pick = random.Random(8)
+    pool = [f"w{i}" for i in range(5000)]
+    base = pick.choices(pool, k=400)
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in pick.sample(range(400), 14):
+            words[at] = pick.choice(pool)
+        rows.append((i, " ".join(words)))
+    want = sorted(brute.components(rows))
+    for options in ({"depth": 2, "small": 8, "few": 0}, {"depth": 0}):
+        join, roots = jaccard._joined(documents(spark, rows), "doc_id", "text", 4, 85, **options)
+        assert join.compared.count() < 4 * len(rows)
+        assert roots.count() == sum(w[0] != w[2] for w in want) + len({w[2] for w in want if w[0] != w[2]})
+
+
 def test_nulls_ties_and_empty_table(spark):
     assert _rows(jaccard.report(spark.createDataFrame([], SCHEMA))) == []
     rows = [(5, "a b c d e"), (3, "A b  c d\te"), (3, "a b c d e"), (7, None), (8, ""), (9, "x"), (2, "x"), (4, "a b c d e f")]
