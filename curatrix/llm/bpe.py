@@ -265,7 +265,8 @@ class Lexicon:
 
     def __init__(self, folder: str):
         for name in ("key", "target", "skip", "final", "root", "from", "ids"):
-            setattr(self, f"_{name}", np.load(files.mapped(f"{folder}/{name}.npy"), mmap_mode="r"))
+            # still mapped, without the cost of the subclass at each access
+            setattr(self, f"_{name}", np.load(files.mapped(f"{folder}/{name}.npy"), mmap_mode="r").view(np.ndarray))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, -1 where it is not in the lexicon; all words advance by one byte at a time."""
@@ -291,7 +292,16 @@ class Lexicon:
         return np.where(done, number, -1)
 
     def ids(self, number: int) -> tuple[int, ...]:
-        return tuple(self._ids[self._from[number]: self._from[number + 1]].tolist())
+        return next(self.all_ids(np.array([number])))
+
+    def all_ids(self, numbers: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """The ids of each word by its number, read together."""
+        start = self._from[numbers].astype(np.int64)
+        size = self._from[numbers + 1] - start
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        flat = self._ids[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)].tolist()
+        cut = bounds.tolist()
+        return (tuple(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False))
 
 
 class Codec:
@@ -324,8 +334,9 @@ class Codec:
         plain = [w for w in new if w[0] != " "]
         raw = [w.encode() for w in plain]
         number = self.lexicon.find(raw) if self.lexicon and raw else np.full(len(raw), -1)
-        rest = [i for i, n in enumerate(number) if n < 0]
-        self.memo.update((plain[i], self.lexicon.ids(n)) for i, n in enumerate(number) if n >= 0)
+        rest, found = np.flatnonzero(number < 0).tolist(), np.flatnonzero(number >= 0)
+        if len(found):
+            self.memo.update(zip([plain[i] for i in found.tolist()], self.lexicon.all_ids(number[found]), strict=True))
         self.memo.update(zip([plain[i] for i in rest], self.rules.merge_many([raw[i] for i in rest]), strict=True))
 
     def encode_all(self, texts: pa.Array) -> Iterator[list[int]]:
@@ -366,8 +377,10 @@ def frequent_words(docs: DataFrame, text: str, rules: Rules, lexicon: int) -> li
     def count(column: pa.Array) -> list[pa.Array]:
         codec = Codec(sent.value, None)
         seen = Counter(chain.from_iterable(codec.split(t or "") for t in column.to_pylist()))
-        rows = [[{"word": w, "n": n} for w, n in seen.items() if w[0] != " "]] + [[]] * (len(column) - 1)
-        return [pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))]
+        for w in [w for w in seen if w[0] == " "]:
+            del seen[w]
+        pairs = pa.StructArray.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+        return [pa.ListArray.from_arrays(pa.array([0] + [len(seen)] * len(column), pa.int32()), pairs)]
 
     kind = StructType([StructField("w", ArrayType(StructType([StructField("word", StringType()), StructField("n", LongType())])))])
     counts = materialize(per_text(docs.select(F.col(text).alias("t")), "t", count, kind, "c", []).select(F.explode("c.w").alias("w")).groupBy("w.word").agg(

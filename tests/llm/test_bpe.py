@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures_llm import SCHEMA, corpus, documents  # noqa: F401
@@ -89,3 +90,12 @@ def test_frequent_words_are_counted_over_all_rows(spark):
     assert len(set(bpe.frequent_words(rows, "text", rules, 10_000))) == 3001
     assert bpe.frequent_words(rows, "text", rules, 10) == [b"often"]
     assert bpe.frequent_words(rows.limit(0), "text", rules, 10) == []
+
+
+def test_words_of_the_lexicon_are_read_together(tmp_path):
+    words = [b"car", b"cars", b"bar", b"ba", b"zebra"]
+    bpe.build_lexicon(words, {w: tuple(range(i)) for i, w in enumerate(words)}, str(tmp_path))
+    made = bpe.Lexicon(str(tmp_path))
+    assert type(made._ids) is type(made._key) is np.ndarray and not made._ids.flags.owndata
+    assert list(made.all_ids(made.find([*words, b"car"]))) == [*(tuple(range(i)) for i in range(5)), ()]
+    assert list(made.all_ids(np.zeros(0, np.int64))) == []
