@@ -398,7 +398,7 @@ class _Join:
         return self._once(cells.join(apart, "block").select("block", "sid"))
 
 
-def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int, depth: int = 5, small: int = 64, few: int = 1_000_000, every: bool = False, extra: tuple[str, ...] = ()) -> tuple[_Join, DataFrame]:
+def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int, depth: int = 5, small: int = 64, few: int = 16_000_000, every: bool = False, extra: tuple[str, ...] = ()) -> tuple[_Join, DataFrame]:
     """The join with its rows' sets, columns of longs ``extra`` beside them, and ``(sid, root)`` of the sets that link with another one."""
     join = _Join(docs, key, text, size, percent, every)
     with tidy(join.spark):
@@ -409,7 +409,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int, depth
         return join, join.run(depth, small, few)
 
 
-def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 64, few: int = 1_000_000, salts: int = 16) -> DataFrame:
+def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 64, few: int = 16_000_000, salts: int = 16) -> DataFrame:
     """``doc, n_shingles, component``: one row per document; ``component`` is the smallest id that its links reach."""
     join, roots = _joined(docs, key, text, size, percent, depth, small, few)
     sets = join.sets.where("n > 0 and doc is not null")
@@ -427,7 +427,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return linked(docs, **options).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 64, few: int = 1_000_000) -> DataFrame:
+def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, depth: int = 5, small: int = 64, few: int = 16_000_000) -> DataFrame:
     """``doc, n_shingles, component, n_links``: the link form. Any two different sets that meet in a ring are compared, connected or not, so no link is missing.
 
     ``n_links`` counts the other documents whose sets are equal to that of the row or link with it (one with several linked texts once for each); null for a null id. The number of comparisons grows with the square
