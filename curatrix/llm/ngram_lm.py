@@ -4,8 +4,8 @@ Levels. Level 1 holds the hashes of all training words (one more token ends each
 Level ``k`` holds, for each node of level ``k - 1``, its successors: at level 2 the next word's id, from level 3 on its *rank among the successors
 of the shorter context* (``w`` after ``u v`` is stored as the rank of ``w`` among the successors of ``v``). A level is one monotone sequence
 ``parent * width + child`` and one monotone sequence of pointers, both in Elias-Fano form, 8-bit codes of the smoothed probabilities
-and of the weight left to the shorter context, and a bit filter that spares most searches for what is not there; all levels but the last have counts too. Levels are cut into shards by ranges of parents, built by sorted partitions and mapped into
-memory by the scoring tasks; nothing of them passes through the driver but the list of shards.
+and of the weight left to the shorter context; all levels but the last have counts too. Levels are cut into shards by ranges of parents. Tasks send their counted n-grams as sorted runs, one for each shard; a task merges the runs
+of a shard and writes it. Scoring tasks map all shards into memory and search them in one pass; nothing of them passes through the driver but the list of shards.
 
 Model. ``P1`` is the add-one estimate; above it absolute discounting is interpolated: ``P(w|h) = (c(hw) - D) / c(h) + left(h) P(w|h')``. N-grams of order 2
 and more are kept from ``min_count`` on; what is cut off adds to ``left(h)``, so probabilities still sum to one (but for the 8-bit grid). An n-gram can
@@ -17,7 +17,10 @@ Without training rows every token scores as unknown. Words are compared by 63-bi
 
 from __future__ import annotations
 
+import ctypes
 import json
+import mmap
+import sys
 import uuid
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from curatrix.llm import files
-from curatrix.llm.text import SPACED, U, fresh, mix, per_text, slices, word_hashes, words
+from curatrix.llm.text import SPACED, U, fresh, per_text, slices, word_hashes, words
 from curatrix.session import materialize, tidy
 
 END = 1
@@ -50,7 +53,7 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def encode_sequence(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a monotone sequence of non-negative numbers: packed low bits, unary high bits, and the ones before each 512 bits of these."""
+    """Arrays of a monotone sequence of non-negative numbers: packed low bits, unary high bits, the ones before each 512 bits of these, and inside them before each 64."""
     n = len(values)
     top = int(values[-1]) + 1 if n else 1
     width = max(0, (top // max(n, 1)).bit_length() - 1)
@@ -59,8 +62,11 @@ def encode_sequence(values: np.ndarray) -> dict[str, np.ndarray]:
     ones = high + np.arange(n)
     unary = np.zeros(-(-(bits // 64 + 3) // 8) * 8, U)
     np.bitwise_or.at(unary, ones >> 6, U(1) << (ones & 63).astype(U))
-    before = np.cumsum(np.bitwise_count(unary).reshape(-1, 8).sum(axis=1, dtype=np.int64))
-    return {"head": np.array([n, width, (top >> width) + 1], np.int64), "low": _packed(values & ((1 << width) - 1), width), "high": unary, "before": np.concatenate([[0], before[:-1]])}
+    each = np.bitwise_count(unary).reshape(-1, 8).astype(np.int64)
+    inside = np.cumsum(each, axis=1)
+    before = np.cumsum(inside[:, -1])
+    return {"head": np.array([n, width, (top >> width) + 1], np.int64), "low": _packed(values & ((1 << width) - 1), width), "high": unary,
+            "before": np.concatenate([[0], before[:-1]]), "inside": (inside - each).astype(np.uint16).ravel()}
 
 
 _ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
@@ -75,89 +81,141 @@ def _byte_counts(x: np.ndarray) -> np.ndarray:
     return ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
 
 
-def _nth(bits: np.ndarray, flip: np.uint64, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """The place of the ``rest``-th set bit, counted from 0, of the bits xor ``flip`` from place ``at`` on."""
-    word = at >> 6
-    now = (bits[word] ^ flip) & (_ALL << (at & 63).astype(U))
-    counts, rest = _byte_counts(now), rest.astype(U)
-    go = np.flatnonzero(rest >= counts >> U(56))
-    while len(go):
-        rest[go] -= counts[go] >> U(56)
-        word[go] += 1
-        now[go] = bits[word[go]] ^ flip
-        counts[go] = _byte_counts(now[go])
-        go = go[rest[go] >= counts[go] >> U(56)]
+def _nth(word: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The place of the ``rest``-th set bit of each word, counted from 0."""
+    counts, rest = _byte_counts(word), rest.astype(U)
     byte = np.bitwise_count(((rest * _ONES | _TOPS) - counts) & _TOPS).astype(U) << U(3)
     before = (counts << U(8)) >> byte & U(255)
-    return (word << 6) + byte.astype(np.int64) + _IN_BYTE[((now >> byte & U(255)) << U(3)) + rest - before]
-
-
-class Sequence:
-    """Queries on the arrays of ``encode_sequence``."""
-
-    def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.n, self.width, self.tops = (int(x) for x in arrays[f"{name}.head"])
-        self._low, self._high, self._ones = (arrays[f"{name}.{k}"] for k in ("low", "high", "before"))
-        self._zeros = 512 * np.arange(len(self._ones)) - self._ones
-
-    def low(self, at: np.ndarray) -> np.ndarray:
-        if not self.width:
-            return np.zeros(len(at), np.int64)
-        place = at * self.width
-        word, shift = place >> 6, (place & 63).astype(U)
-        value = self._low[word] >> shift
-        over = shift > 0
-        value = value | np.where(over, self._low[word + 1] << ((U(64) - shift) & U(63)), U(0))
-        return (value & U((1 << self.width) - 1)).astype(np.int64)
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        block = np.searchsorted(self._ones, at, side="right") - 1
-        place = _nth(self._high, U(0), block << 9, at - self._ones[block])
-        return ((place - at) << self.width) | self.low(at)
-
-    def _from(self, high: np.ndarray) -> np.ndarray:
-        """The number of elements whose high part is below ``high``."""
+    return byte.astype(np.int64) + _IN_BYTE[((word >> byte & U(255)) << U(3)) + rest - before]
+
+
+class Joined:
+    """Arrays of one kind that lie anywhere in memory, as the mapped files of a level do, read as one: a place counts from the lowest of them, ``at`` has the place where each begins.
+
+    ``all`` does not hold the arrays; this object does and must outlive its use."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self._kept = arrays
+        kind, place = arrays[0].dtype, np.array([x.ctypes.data if len(x) else 0 for x in arrays], np.int64)
+        low = int(place[place > 0].min(initial=np.iinfo(np.int64).max))
+        if not place.any():
+            self.all, self.at = np.zeros(1, kind), np.zeros(len(arrays), np.int64)
+            return
+        if any(x.dtype != kind or not x.flags.c_contiguous for x in arrays) or ((place[place > 0] - low) % kind.itemsize).any():
+            raise ValueError("arrays of different kinds")
+        self.at = np.maximum(place - low, 0) // kind.itemsize
+        end = max(p + x.nbytes for p, x in zip(place.tolist(), arrays, strict=True) if len(x))
+        self.all = np.frombuffer((ctypes.c_uint8 * (end - low)).from_address(low), kind)
+
+
+class Sequences:
+    """Queries on the arrays of ``encode_sequence`` of many shards, all shards in one pass. Bits and elements count on from shard to shard."""
+
+    def __init__(self, maps: list[dict[str, np.ndarray]], name: str):
+        self.n, self.width, self.tops = np.array([m[f"{name}.head"] for m in maps], np.int64).T.copy()
+        self._joined = low, high, inside = [Joined([m[f"{name}.{k}"] for m in maps]) for k in ("low", "high", "inside")]
+        blocks = np.array([len(m[f"{name}.before"]) for m in maps])
+        self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]])
+        self._block = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+        self._ones = np.concatenate([m[f"{name}.before"] + before for m, before in zip(maps, self.first.tolist(), strict=True)])
+        self._zeros = None
+        self._low, self._high, self._inside = low.all, high.all, inside.all
+        # where a shard's words and counts lie, less the words that come before them in the count over all shards
+        self._low_at, self._high_at, self._inside_at = low.at, high.at - 8 * self._block, inside.at - 8 * self._block
+        self._mask = (np.int64(1) << self.width) - 1
+
+    def _low_bits(self, shard: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Low bits of element ``at`` of its shard."""
+        width = self.width[shard]
+        place = at * width
+        word, shift = (place >> 6) + self._low_at[shard], (place & 63).astype(U)
+        # the part in the next word is moved by 64 less the shift in two steps, so that a shift of 0 leaves nothing
+        value = (self._low[word] >> shift) | (self._low[word + 1] << U(1) << (U(63) - shift))
+        return value.view(np.int64) & self._mask[shard]
+
+    def _select(self, shard: np.ndarray, rank: np.ndarray, zero: bool) -> np.ndarray:
+        """The bit, counted over all shards, of the one (or zero) of the given rank."""
+        if zero and self._zeros is None:
+            self._zeros = 512 * np.arange(len(self._ones)) - self._ones
+        counts = self._zeros if zero else self._ones
+        block = np.searchsorted(counts, rank, side="right") - 1
+        rest = rank - counts[block]
+        word, at = block << 3, self._inside_at[shard]
+        before = np.zeros(len(rank), np.int64)
+        for step in (4, 2, 1):
+            own = self._inside[at + word + step].astype(np.int64)
+            if zero:
+                own = (((word & 7) + step) << 6) - own
+            go = own <= rest
+            word += go * step
+            np.copyto(before, own, where=go)
+        bits = self._high[self._high_at[shard] + word]
+        return (word << 6) + _nth(~bits if zero else bits, rest - before)
+
+    def values(self, shard: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Element ``at`` of each shard; sorted by shard and place."""
+        place = self._select(shard, at + self.first[shard], False) - (self._block[shard] << 9)
+        return ((place - at) << self.width[shard]) | self._low_bits(shard, at)
+
+    def _from(self, shard: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of elements of the shard whose high part is below ``high``."""
         zero = np.maximum(high - 1, 0)
-        block = np.searchsorted(self._zeros, zero, side="right") - 1
-        place = _nth(self._high, _ALL, block << 9, zero - self._zeros[block])
+        start = self._block[shard] << 9
+        place = self._select(shard, zero + start - self.first[shard], True) - start
         return np.where(high > 0, place - zero, 0)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value, -1 where it is not in the sequence: successor search inside the bucket of its high part."""
+    def find(self, shard: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The index of each value in its shard, -1 where it is not there: successor search inside the bucket of its high part. Sorted by shard and value but for what cannot be there."""
         out = np.full(len(values), -1, np.int64)
-        if not self.n:
+        high = values >> self.width[shard]
+        live = np.flatnonzero((values >= 0) & (high < self.tops[shard]) & (self.n[shard] > 0))
+        if not len(live):
             return out
-        high = values >> self.width
-        live = np.flatnonzero((values >= 0) & (high < self.tops))
-        high, want = high[live], values[live] & ((1 << self.width) - 1)
-        at = self._from(high)
+        if len(live) < len(values):
+            shard, values, high = shard[live], values[live], high[live]
+        want = values & self._mask[shard]
+        at = self._from(shard, high)
+        bit = self._high_at[shard] + (self._block[shard] << 3) << 6
         # most buckets hold an element or none: a few steps along the unary bits settle them
-        todo = np.arange(len(live))
+        todo, now, place, own = np.arange(len(live)), at.copy(), at + high + bit, shard
         for _ in range(4):
-            place = at[todo] + high[todo]
-            todo = todo[(self._high[place >> 6] >> (place & 63).astype(U) & U(1)) == 1]
+            there = np.flatnonzero(self._high[place >> 6] >> (place & 63).astype(U) & U(1))
+            todo, now, place, own = todo[there], now[there], place[there], own[there]
             if not len(todo):
                 return out
-            low = self.low(at[todo])
-            hit = low == want[todo]
-            out[live[todo[hit]]] = at[todo[hit]]
-            todo = todo[low < want[todo]]
-            at[todo] += 1
-        a, end = at[todo], self._from(high[todo] + 1)
+            low, wanted = self._low_bits(own, now), want[todo]
+            hit = np.flatnonzero(low == wanted)
+            out[live[todo[hit]]] = now[hit]
+            more = np.flatnonzero(low < wanted)
+            todo, now, place, own = todo[more], now[more] + 1, place[more] + 1, own[more]
+        a, end = now, self._from(own, high[todo] + 1)
         b = end.copy()
         open_ = np.flatnonzero(a < b)
         while len(open_):
             middle = (a[open_] + b[open_]) >> 1
-            less = self.low(middle) < want[todo[open_]]
+            less = self._low_bits(own[open_], middle) < want[todo[open_]]
             a[open_[less]] = middle[less] + 1
             b[open_[~less]] = middle[~less]
             open_ = open_[a[open_] < b[open_]]
         there = np.flatnonzero(a < end)
-        there = there[self.low(a[there]) == want[todo[there]]]
+        there = there[self._low_bits(own[there], a[there]) == want[todo[there]]]
         out[live[todo[there]]] = a[there]
         return out
 
 
+class Sequence(Sequences):
+    """A sequence alone."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], name: str):
+        super().__init__([arrays], name)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.values(np.zeros(len(at), np.int64), at)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        return super().find(np.zeros(len(values), np.int64), values)
+
+
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays one after another, aligned, behind a head that names them."""
     head, parts, at = {}, [], 0
@@ -172,7 +230,8 @@ def _pack(arrays: dict[str, np.ndarray]) -> bytes:
 
 
 def _unpack(path: str) -> dict[str, np.ndarray]:
-    data = np.memmap(path, np.uint8, "r")
+    with open(path, "rb") as f:  # a map without a descriptor of its own: a task maps thousands of shards
+        data = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {})), np.uint8)
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8: 8 + size].tobytes())
     base = 8 + size
@@ -191,39 +250,49 @@ _VALUE = np.concatenate([[0.0], 10 ** (LOWEST - LOWEST * np.arange(GRID) / (GRID
 
 # ------------------------------------------------------------------ the trie in a task
 class Trie:
-    """All levels mapped into memory. ``shards[k]``: (first parent, nodes before, file) in order of parents."""
+    """All levels mapped into memory. ``shards[k]``: (first parent, nodes before, file) in order of parents. A lookup goes through all shards at once, so its cost does not depend on their number."""
 
     def __init__(self, folder: str, levels: list[list[tuple[int, int, str]]], widths: list[int]):
         self.widths = widths
         self.levels = []
         for shards in levels:
             maps = [_unpack(files.mapped(f"{folder}/{name}")) for _, _, name in shards]
-            self.levels.append((np.array([s[0] for s in shards], np.int64), np.array([s[1] for s in shards], np.int64), maps, [Sequence(m, "key") for m in maps], [Sequence(m, "from") if "from.head" in m else None for m in maps]))
+            starts = Sequences(maps, "from") if maps and "from.head" in maps[0] else None
+            self.levels.append((np.array([s[0] for s in shards], np.int64), np.array([s[1] for s in shards], np.int64), maps, Sequences(maps, "key") if maps else None, starts))
+        self._arrays: dict[tuple[int, str], tuple[Joined, np.ndarray]] = {}
 
-    def _by_shard(self, level: int, parents: np.ndarray):
-        """``(shard, rows)``; parents must be sorted."""
-        first = self.levels[level][0]
-        cut = np.searchsorted(parents, first).tolist() + [len(parents)]
-        for s in range(len(first)):
-            if cut[s] < cut[s + 1]:
-                yield s, slice(cut[s], cut[s + 1])
+    def _joined(self, level: int, name: str) -> tuple[Joined, np.ndarray]:
+        """An array of all shards of a level and its length in each."""
+        if (level, name) not in self._arrays:
+            own = [m[name] for m in self.levels[level][2]]
+            self._arrays[level, name] = Joined(own), np.array([len(x) for x in own], np.int64)
+        return self._arrays[level, name]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)`` of sorted hashes; -1 and 0 for unknown words."""
-        _, before, maps, keys, _ = self.levels[0]
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for s, rows in self._by_shard(0, hashes):
-            at = keys[s].find(hashes[rows] - self.levels[0][0][s])
-            ids[rows] = np.where(at >= 0, at + before[s], -1)
-            counts[rows] = np.where(at >= 0, maps[s]["count"][np.maximum(at, 0)], 0)
-        return ids, counts
+        first, before, maps, keys, _ = self.levels[0]
+        if not maps:
+            return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        shard = np.maximum(np.searchsorted(first, hashes, side="right") - 1, 0)
+        at = keys.find(shard, hashes - first[shard])
+        ids = np.where(at >= 0, at + before[shard], -1)
+        return ids, self.counts(ids)
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of word ids in any order, 0 for -1."""
+        _, before, maps, _, _ = self.levels[0]
+        if not maps:
+            return np.zeros(len(ids), np.int64)
+        count, _ = self._joined(0, "count")
+        shard = np.maximum(np.searchsorted(before, ids, side="right") - 1, 0)
+        return np.where(ids >= 0, count.all[(count.at - before)[shard] + np.maximum(ids, 0)], 0)
 
     def counts_of(self, level: int, nodes: np.ndarray) -> np.ndarray:
         """Counts of sorted node numbers of a level."""
         _, before, maps, _, _ = self.levels[level]
         out = np.zeros(len(nodes), np.int64)
         cut = np.searchsorted(nodes, before).tolist() + [len(nodes)]
-        for s in range(len(before)):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             at = nodes[cut[s]: cut[s + 1]] - before[s]
             own = maps[s]["count"][at].astype(np.int64)
             if "large" in maps[s]:
@@ -232,33 +301,30 @@ class Trie:
             out[cut[s]: cut[s + 1]] = own
         return out
 
-    @staticmethod
-    def _find(arrays: dict, keys: Sequence, values: np.ndarray) -> np.ndarray:
-        """Looks up what the level's bit filter lets through."""
-        place = (mix(values.view(U)) & U(len(arrays["bits"]) * 8 - 1)).astype(np.int64)
-        may = np.flatnonzero((arrays["bits"][place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) & (values >= 0))
-        out = np.full(len(values), -1, np.int64)
-        out[may] = keys.find(values[may])
-        return out
-
-    def children(self, level: int, parents: np.ndarray, kids: np.ndarray):
-        """``(node, rank among the parent's successors, probability, weight left)`` for pairs sorted by parent; node -1 if not kept."""
+    def children(self, level: int, parents: np.ndarray, kids: np.ndarray, last: bool = False):
+        """``(node, rank among the parent's successors, probability, weight left)`` for different pairs sorted by parent and kid; node -1 if not kept. ``last`` leaves out node and rank."""
         first, before, maps, keys, starts = self.levels[level]
-        n = len(parents)
-        node, rank, p, left = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
-        for s, rows in self._by_shard(level, parents):
-            parent = parents[rows] - first[s]
-            known = parent < len(maps[s]["left"])
-            inside = np.where(known, parent, 0)
-            left[rows] = np.where(known, _VALUE[maps[s]["left"][inside]], 1.0)
-            at = self._find(maps[s], keys[s], np.where(known, parent * self.widths[level] + kids[rows], -1))
-            hit = at >= 0
-            node[rows] = np.where(hit, at + before[s], -1)
-            p[rows] = np.where(hit, _VALUE[maps[s]["p"][np.maximum(at, 0)]], 0.0)
-            own = np.full(len(at), -1, np.int64)
-            own[hit] = at[hit] - starts[s][inside[hit]]
-            rank[rows] = own
-        return node, rank, p, left
+        if not len(parents):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        (left, sizes), (p, _) = self._joined(level, "left"), self._joined(level, "p")
+        new = np.ones(len(parents), bool)
+        new[1:] = parents[1:] != parents[:-1]
+        own, back = parents[new], np.cumsum(new) - 1
+        shard = np.maximum(np.searchsorted(first, own, side="right") - 1, 0)
+        parent = own - first[shard]
+        known = (parent >= 0) & (parent < sizes[shard])
+        parent = np.where(known, parent, 0)
+        weight = np.where(known, _VALUE[left.all[left.at[shard] + parent]], 1.0)
+        value = np.where(known[back] & (kids >= 0), (parent * self.widths[level])[back] + kids, -1)
+        shard_of = shard[back]
+        at = keys.find(shard_of, value)
+        hit = at >= 0
+        chance = np.where(hit, _VALUE[p.all[p.at[shard_of] + np.maximum(at, 0)]], 0.0)
+        if last:
+            return None, None, chance, weight[back]
+        node = np.where(hit, at + before[shard_of], -1)
+        rank = np.where(hit, at - starts.values(shard, parent)[back], -1)
+        return node, rank, chance, weight[back]
 
 
 class Words:
@@ -309,8 +375,8 @@ class Numbers:
         self.bounds = at // 8
         self.after = np.arange(len(self.ids)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))  # tokens before it in its document
 
-    def steps(self, trie: Trie, levels: int):
-        """For level 1, 2, ...: per token the lookup of itself after its context: ``(node, rank, probability, weight left)``."""
+    def steps(self, trie: Trie, levels: int, nodes: bool = True):
+        """For level 1, 2, ...: per token the lookup of itself after its context: ``(node, rank, probability, weight left)``; without ``nodes`` the last level leaves out the first two."""
         node, child = self.ids, self.ids
         for level in range(1, levels):
             parent = np.full(len(node), -1, np.int64)
@@ -328,18 +394,19 @@ class Numbers:
             new = np.ones(len(rows), bool)
             new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
             back = np.cumsum(new) - 1
-            for to, x in zip(found, trie.children(level, p[new], c[new]), strict=True):
-                to[rows] = x[back]
+            for to, x in zip(found, trie.children(level, p[new], c[new], level == levels - 1 and not nodes), strict=True):
+                if x is not None:
+                    to[rows] = x[back]
             yield level, found
             node, child = found[0], found[1]
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in parts])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(np.concatenate([n for _, n in parts])[order], at) if len(at) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(np.concatenate([n for _, n in parts])[order], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
 
 
 _tries: dict[str, object] = {}
@@ -376,74 +443,90 @@ class Model:
         return f"{self.mark}{len(self.levels)}", self.folder, list(self.levels), list(self.widths)
 
 
-_COUNTED = StructType([StructField("key", LongType()), StructField("n", LongType())])
+_RUN = StructType([StructField("shard", LongType()), StructField("run", BinaryType())])
 _SHARD = StructType([StructField("first", LongType()), StructField("nodes", LongType()), StructField("total", LongType()), StructField("widest", LongType()), StructField("name", StringType())])
 
 
-def _count(rows: DataFrame, column: Column, keys) -> DataFrame:
-    """``(key, n)`` summed inside each task before the shuffle; ``keys`` makes them of a slice."""
+#: Keys that a task counts before it sends them.
+HELD = 3_000_000
+
+
+def _fitting(n: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in as few bytes each as the largest needs."""
+    return n.astype(np.min_scalar_type(int(n.max())))
+
+
+def _run(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted different keys and their counts: the first key, then steps and counts in as few bytes as the largest of them needs."""
+    steps, n = _fitting(np.diff(keys, prepend=keys[0])), _fitting(n)
+    return np.array([len(keys), keys[0], steps.itemsize, n.itemsize], np.int64).tobytes() + steps.tobytes() + n.tobytes()
+
+
+def _read_run(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, first, wide, wide_n = np.frombuffer(data, np.int64, 4).tolist()
+    steps = np.frombuffer(data, f"u{wide}", size, 32)
+    return np.cumsum(steps, dtype=np.int64) + first, np.frombuffer(data, f"u{wide_n}", size, 32 + size * wide)
+
+
+def _count(rows: DataFrame, column: Column, keys, shard_of) -> DataFrame:
+    """Keys and their numbers, summed inside each task, as one sorted run for each shard (``shard_of`` sorted keys); ``keys`` makes them of a slice."""
 
     def run(batches):
         parts: list = []
         size = 0
 
-        def row(done):
-            return pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.int64())], names=["key", "n"])
+        def sent():
+            k, n = _summed(parts)
+            shard = shard_of(k)
+            cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(k)]
+            for a in range(0, len(cut) - 1, 64):
+                some = list(zip(cut[a: a + 64], cut[a + 1: a + 65], strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[[x for x, _ in some]], pa.int64()), pa.array([_run(k[x:y], n[x:y]) for x, y in some], pa.binary())], names=_RUN.names)
 
         for batch in batches:
             for _, _, data, at in slices(batch.column(0), SLICE):
                 own, n = np.unique(keys(data, at), return_counts=True)
-                parts.append((own, n.astype(np.int64)))
+                parts.append((own, n.astype(np.int32)))
                 size += len(own)
-                if size > 2_000_000:
+                if size > HELD:
                     parts = [_summed(parts)]
                     size = len(parts[0][0])
-                    if size > 1_000_000:
-                        yield row(parts[0])
+                    if size > HELD // 2:
+                        yield from sent()
                         parts, size = [], 0
-        if parts:
-            yield row(_summed(parts))
+        if size:
+            yield from sent()
 
-    return rows.select(column.alias("of")).mapInArrow(run, _COUNTED)
+    return rows.select(column.alias("of")).mapInArrow(run, _RUN)
 
 
-def _build(counted: DataFrame, shard: Column, shards: int, least: int, write) -> list:
-    """One sorted run of keys per shard, written by ``write(shard, keys, counts)``; returns the shards' rows."""
+def _build(counted: DataFrame, shards: int, least: int, write) -> list:
+    """The runs of each shard merged and written by ``write(shard, keys, counts)``; returns the shards' rows."""
 
     def run(batches):
         held: list = []
         now = None
 
         def flush():
-            k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_pylist([write(now, k, n)], schema=_arrow)
+            k, n = _summed(held)
+            if least > 1:
+                k, n = k[n >= least], n[n >= least]
+            if len(k):
+                yield pa.RecordBatch.from_pylist([write(now, k, n)], schema=_arrow)
 
         for batch in batches:
-            s, k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            cut = np.flatnonzero(np.diff(s)) + 1
-            for a, b in zip([0, *cut], [*cut, len(s)], strict=True):
-                if a == b:
-                    continue
-                if now is not None and s[a] != now:
-                    yield flush()
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if now is not None and shard != now:
+                    yield from flush()
                     held = []
-                now = int(s[a])
-                held.append((k[a:b], n[a:b]))
+                now = shard
+                held.append(_read_run(data.as_buffer()))
         if held:
-            yield flush()
+            yield from flush()
 
     _arrow = pa.schema([(f.name, pa.string() if f.name == "name" else pa.int64()) for f in _SHARD.fields])
-    summed = (counted.select(shard.cast("int").alias("shard"), "key", "n").repartition(shards, "shard").groupBy("shard", "key").agg(F.sum("n").alias("n"))
-              .where(F.col("n") >= least).sortWithinPartitions("shard", "key"))
-    return sorted(materialize(summed.mapInArrow(run, _SHARD)).collect(), key=lambda r: r["first"])
-
-
-def _filter(values: np.ndarray) -> np.ndarray:
-    """A bit for the hash of each value, eight to sixteen bits a value."""
-    bits = np.zeros(1 << max(0, (len(values) - 1).bit_length()), np.uint8)
-    place = (mix(values.view(U)) & U(len(bits) * 8 - 1)).astype(np.int64)
-    np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
-    return bits
+    dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard")
+    return sorted(materialize(dealt.mapInArrow(run, _SHARD)).collect(), key=lambda r: r["first"])
 
 
 def _named(name: str, arrays: dict) -> dict:
@@ -472,11 +555,10 @@ def vocabulary(docs: DataFrame, *, text: str = "text") -> Model:
 
     def write(shard: int, k: np.ndarray, n: np.ndarray) -> dict:
         base = shard * span << 32
-        name = files.write_file(model.folder, f"1-{shard}-{uuid.uuid4().hex}", _pack(_named("key", encode_sequence(k - base)) | {"count": _sizes(n)}))
+        name = files.write_file(model.folder, f"1-{shard}-{uuid.uuid4().hex}", _pack(_named("key", encode_sequence(k - base)) | {"count": n.astype(np.int64)}))
         return {"first": base, "nodes": len(k), "total": int(n.sum()), "widest": 0, "name": name}
 
-    counted = _count(docs, F.col(text).cast("string"), lambda data, at: token_hashes(data, at)[0])
-    rows = _build(counted, F.expr(f"shiftright(key, 32) div {span}"), shards, 1, write)
+    rows = _build(_count(docs, F.col(text).cast("string"), lambda data, at: token_hashes(data, at)[0], lambda k: (k >> 32) // span), shards, 1, write)
     model.add(rows, 1)
     model.tokens, model.vocabulary = sum(r["total"] for r in rows), sum(r["nodes"] for r in rows)
     return model
@@ -530,12 +612,12 @@ def grow(model: Model, rows: DataFrame, ids: Column, *, order: int = 3, min_coun
             parent = k // width - base
             p = (n - discount) / np.maximum(_trie(*args).counts_of(level - 1, np.arange(base, base + many))[parent], 1)
             left = 1 - np.bincount(parent, weights=p, minlength=many)
-            starts = np.searchsorted(parent, np.arange(many + 1))
-            data = _named("key", encode_sequence(k - base * width)) | _named("from", encode_sequence(starts)) | {"bits": _filter(k - base * width), "p": _code(p), "left": _code(np.clip(left, 1e-8, 1))} | (_short(n) if level + 1 < order else {})
+            starts = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=many))])
+            data = _named("key", encode_sequence(k - base * width)) | _named("from", encode_sequence(starts)) | {"p": _code(p), "left": _code(np.clip(left, 1e-8, 1))} | (_short(n) if level + 1 < order else {})
             name = files.write_file(model.folder, f"{level + 1}-{shard}-{uuid.uuid4().hex}", _pack(data))
             return {"first": base, "nodes": len(k), "total": int(n.sum()), "widest": int(np.diff(starts).max()), "name": name}
 
-        done = _build(_count(rows, ids, keys), F.expr(f"key div {width} div {each}"), shards, min_count, write)
+        done = _build(_count(rows, ids, keys, lambda k, span=width * each: k // span), shards, min_count, write)
         if not done:
             break
         model.add(done, width)
@@ -572,12 +654,8 @@ def _score(rows: DataFrame, model: Model, numbers: str, out: str, keep: list[str
         for batch in batches:
             for row, end, data, at in slices(batch.column(len(keep)), SLICE):
                 t = Numbers(data, at)
-                counts = np.zeros(len(t.ids), np.int64)
-                known = t.ids >= 0
-                own, back = np.unique(t.ids[known], return_inverse=True)
-                counts[known] = trie.counts_of(0, own)[back]
-                p = (counts + 1) / (n + v + 1)
-                for _, found in t.steps(trie, len(args[2])):
+                p = (trie.counts(t.ids) + 1) / (n + v + 1)
+                for _, found in t.steps(trie, len(args[2]), nodes=False):
                     p = found[2] + found[3] * p
                 piece = batch.slice(row, end - row)
                 score = pa.array(np.add.reduceat(np.log10(p), t.bounds[:-1]))

@@ -103,3 +103,32 @@ def test_counts_in_bytes_and_shuffle_files_that_go(spark):
     assert sorted(trie.counts_of(1, nodes).tolist()) == [4, 4, 4, 4, 796, 800]
     assert all(m["count"].dtype == np.uint8 for m in trie.levels[1][2]) and not any("count" in m for m in trie.levels[2][2])
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+
+
+def test_lookups_go_through_all_shards_at_once(spark, monkeypatch):
+    """A slice is looked up in as many passes with many shards as with one, and its n-grams are sent as runs, not as a row each."""
+    docs = documents(spark, [(i, " ".join(f"w{i * 7 + k * k % 31}" for k in range(200))) for i in range(40)])
+    count, sent, calls, nth = lm._build, [], [], lm._nth
+    monkeypatch.setattr(lm, "_build", lambda counted, *rest: sent.append(counted.count()) or count(counted, *rest))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        model = lm.train(docs, min_count=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    trie = lm.Trie(model.folder, model.levels, model.widths)
+    assert min(len(level[2]) for level in trie.levels[1:]) > 40 and sent[2] < model.tokens / 10
+    ids = np.arange(model.vocabulary)
+    monkeypatch.setattr(lm, "_nth", lambda *args: calls.append(1) or nth(*args))
+    node = np.concatenate([trie.children(1, ids, np.full(len(ids), k))[0] for k in range(20)])
+    assert (node >= 0).any() and len(calls) <= 3 * 20
+
+
+def test_an_unknown_word_is_no_successor(spark):
+    """The pair of a word and an unknown one is not the pair of the word before and the last one."""
+    model = lm.train(documents(spark, [(i, " ".join(f"w{i} w{j}" for j in range(50))) for i in range(50)]), min_count=1)
+    trie = lm.Trie(model.folder, model.levels, model.widths)
+    ids = np.arange(model.vocabulary)
+    assert (trie.children(1, ids[:-1], np.full(len(ids) - 1, len(ids) - 1))[0] >= 0).any()
+    node, _, p, _ = trie.children(1, ids, np.full(len(ids), -1))
+    assert (node == -1).all() and (p == 0).all()
