@@ -172,13 +172,62 @@ def collision_candidates(triangles: DataFrame, width: float, eps: float = 1e-9)
     return aabb_overlap_join(boxes, boxes, "tri_id", width, eps, True, F.col("a_owner") != F.col("b_owner"))
 
 
+#: Triangles of a mesh that may lie in one row, so that two meshes meet as a pair of rows.
+ROW_TRIANGLES = 256
+#: Pairs of boxes compared in one step.
+BOX_STEP = 100_000
+_BOX = [f"{a}{i}" for a in AXES for i in range(2)]
+
+
 def collision_counts(triangles: DataFrame, width: float, eps: float = 1e-9) -> DataFrame:
-    """``(left_part, right_part, triangle_pairs)``: how many pairs ``collision_candidates`` has for two parts. Triangles of a part with equal boxes, as the two halves of a flat face, meet the others as one box with their number."""
+    """``(left_part, right_part, triangle_pairs)``: how many pairs ``collision_candidates`` has for two parts. Triangles of a part with equal boxes, as the two halves of a flat face, meet the others as one box with their number.
+
+    Parts of few triangles are a row each: two of them meet once, by their bounds, and their boxes are compared there, so no pair of triangles is a row and nothing is summed over a shuffle. Pairs with a larger part go triangle by triangle.
+    """
     axes = [(f"{a}0", f"{a}1") for a in AXES]
     boxes = _triangle_boxes(triangles)
     boxes = boxes.groupBy(*boxes.columns).agg(F.count(F.lit(1)).alias("n"))
-    pairs = overlap_join(boxes, boxes, axes, axes, width, eps, dealt=True).where("a_owner < b_owner")
-    return pairs.groupBy(F.col("a_owner").alias("left_part"), F.col("b_owner").alias("right_part")).agg(F.sum(F.col("a_n") * F.col("b_n")).alias("triangle_pairs"))
+    large = triangles.groupBy(F.col("mesh_id").alias("owner")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROW_TRIANGLES).select("owner")
+    some = not large.isEmpty()
+    few = boxes.join(large, "owner", "left_anti") if some else boxes
+    for low, high in axes:
+        few = few.where(F.col(low) <= F.col(high))
+    ends = [f(c).alias(c) for low, high in axes for f, c in ((F.min, low), (F.max, high))]
+    meshes = few.where("owner is not null").groupBy("owner").agg(*ends, F.flatten(F.collect_list(F.array(*[F.col(c).cast("double") for c in (*_BOX, "n")]))).alias("boxes"))
+    out = overlap_join(meshes, meshes, axes, axes, width, eps, each=("owner", StructType([
+        StructField("left_part", boxes.schema["owner"].dataType), StructField("right_part", boxes.schema["owner"].dataType), StructField("triangle_pairs", LongType())]), lambda rows, a, b: _box_counts(rows, a, b, eps)))
+    if not some:
+        return out
+    # both orders of a pair of a larger part and another one; two larger ones count once
+    c = F.col
+    marked = boxes.join(large.withColumn("_large", F.lit(True)), "owner", "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
+    pairs = overlap_join(marked.where("_large"), marked, axes, axes, width, eps, dealt=True).where((c("a_owner") < c("b_owner")) | (~c("b__large") & (c("a_owner") > c("b_owner"))))
+    return out.unionByName(pairs.groupBy(F.least("a_owner", "b_owner").alias("left_part"), F.greatest("a_owner", "b_owner").alias("right_part")).agg(F.sum(c("a_n") * c("b_n")).alias("triangle_pairs")))
+
+
+def _box_counts(rows: pa.RecordBatch, a: np.ndarray, b: np.ndarray, eps: float):
+    """Pairs of owners and the number of pairs of their triangles whose boxes overlap; rows in which none do are left out."""
+    lists = rows.column("boxes")
+    width, at = len(_BOX) + 1, lists.offsets.to_numpy()
+    values = np.ascontiguousarray(lists.values.to_numpy().reshape(-1, width).T)
+    first, many = at[:-1] // width, np.diff(at) // width
+    total = np.zeros(len(a), np.int64)
+    kinds = many[a] * (ROW_TRIANGLES + 1) + many[b]
+    for kind in np.unique(kinds):  # pairs of as many boxes each
+        of = np.flatnonzero(kinds == kind)
+        n, m = divmod(int(kind), ROW_TRIANGLES + 1)
+        for start in range(0, len(of), step := max(1, BOX_STEP // (n * m))):
+            now = of[start: start + step]
+            p, q = (first[side[now]] + np.arange(k)[:, None] for side, k in ((a, n), (b, m)))  # (box, pair)
+            met = np.ones((n, m, len(now)), bool)
+            for low, high in ((values[i], values[i + 1]) for i in range(0, width - 1, 2)):
+                met &= low[p][:, None] <= (high[q] + eps)[None]
+                met &= (high[p] + eps)[:, None] >= low[q][None]
+            total[now] = np.einsum("ijk,ik,jk->k", met, values[-1][p], values[-1][q]).astype(np.int64)
+    some = np.flatnonzero(total)
+    owner = rows.column("owner")
+    if len(some):
+        yield pa.RecordBatch.from_arrays([owner.take(pa.array(a[some])), owner.take(pa.array(b[some])), pa.array(total[some])], names=["left_part", "right_part", "triangle_pairs"])
 
 
 def slice_range_join(items: DataFrame, heights: DataFrame, low: str, high: str, height: str, width: float) -> DataFrame:

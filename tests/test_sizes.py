@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows_of
-from curatrix.operators import geometry, graph, joins
+from curatrix.operators import geometry, graph, joins, ranges
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -126,6 +126,22 @@ def test_halves_of_a_face_meet_as_one_box(spark, monkeypatch):
     assert want and sorted(map(tuple, geometry.collision_counts(mesh, 2.0).collect())) == want and sizes[0] < len(rows)
 
 
+@pytest.mark.parametrize("crowd,row", [(20_000, 256), (4, 256), (20_000, 8), (3, 0)])
+def test_parts_meet_once(spark, monkeypatch, crowd, row):
+    """A part of few triangles is one row of the join, also in crowded cells and beside larger parts; a bound without a value meets nothing."""
+    rows = [(m, 100 * m + i, [(float((m * 3 + i // 2 * 7 + k * (i % 3)) % 9), float((m + k) % 4), float(m % 3)) for k in range(3)]) for m in range(30) for i in range(8 + m % 3 * 4)]
+    rows += [(40, 4000, None), (None, 4001, rows[0][2]), (41, 4100, [(1.0, None, 2.0)] * 3)]
+    mesh = spark.createDataFrame(rows, "mesh_id long, tri_id long, v array<struct<x:double,y:double,z:double>>")
+    part = lambda c: F.expr(f"{c} div 100")
+    want = sorted(map(tuple, geometry.collision_candidates(mesh, 2.0).groupBy(part("left_id"), part("right_id")).count().collect()))
+    monkeypatch.setattr(ranges, "CROWD", crowd)
+    monkeypatch.setattr(geometry, "ROW_TRIANGLES", row)
+    sizes, join = [], geometry.overlap_join
+    monkeypatch.setattr(geometry, "overlap_join", lambda a, *rest, **kw: sizes.append(a.count()) or join(a, *rest, **kw))
+    assert want and sorted(map(tuple, geometry.collision_counts(mesh, 2.0).collect())) == want
+    assert sizes[0] == {256: 30, 8: 10, 0: 0}[row]
+
+
 def test_pairs_of_boxes_keep_their_corners(spark):
     """The ratio of pairs needs one join, not two more for the corners, and no side goes through the driver."""
     if not os.path.isdir(FOLDER):
