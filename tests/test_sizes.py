@@ -108,7 +108,7 @@ def test_references_of_roots_are_not_doubled(spark, monkeypatch):
     seen, keep = [], graph.stored
     monkeypatch.setattr(graph, "stored", lambda df: seen.append(keep(df)) or seen[-1])
     refs = [(f"r{i}", p) for i in range(200) for p in ("p", "q")] + [("p", "m"), ("q", "m")]
-    r = spark.createDataFrame([(*x, 1, [1.0, 0, 0, 2.0, 0, 1.0, 0, 0, 0, 0, 1.0, 0]) for x in refs], "parent string, child string, line_no int, m array<double>")
+    r = spark.createDataFrame([(*x, 1, [1.0, 0.0, 0.0, 2.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]) for x in refs], "parent string, child string, line_no int, m array<double>")
     part = lambda names: spark.createDataFrame([(n,) for n in names], "part string")
     found, lost = graph.flatten_hierarchy(part([f"r{i}" for i in range(200)]), r, part("pqm"))
     assert found.groupBy("depth").count().orderBy("depth").collect() == [(0, 200), (1, 400), (2, 400)] and lost.isEmpty()
